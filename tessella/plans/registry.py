@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "fuse_tiles"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessella.plans import rasters, tiles
+
+FLAGSHIP = "fusion_confusion"
+QUERIES = tiles.QUERIES | rasters.QUERIES
+ORACLE_SQL: dict[str, str] = tiles.ORACLE_SQL | rasters.ORACLE_SQL
