@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACES, text_or_empty
+from tessella.llm.common import SPACES, persist, text_or_empty
 
 SALTS = 16
 
@@ -52,6 +52,16 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def exact_distinct(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with its columns; rows that repeat a doc_id that stays are merged."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, with its columns.
+
+    What goes is joined, not what stays: it is usually little, and then its
+    table is small enough to broadcast and no text moves once more. Rows that
+    repeat the doc_id and text of one that stays, stay with it.
+    """
+    classes = exact_classes(docs).where("group_size > 1")
+    rows = docs.select(F.col("doc_id").alias("_gone_id"), normalised("text").alias("body"))
+    rows = rows.select("_gone_id", F.sha2("body", 256).alias("text_sha256"), F.xxhash64("body").alias("check"))
+    gone = rows.join(classes, ["text_sha256", "check"]).where(~F.col("_gone_id").eqNullSafe(F.col("keep_id")))
+    gone = persist(gone.select("_gone_id", F.col("check").alias("_gone_check")).distinct())
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(normalised("text")) == gone["_gone_check"])
+    return docs.join(gone, same, "left_anti")

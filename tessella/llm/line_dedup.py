@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import SPACES, ascii_lower, persist, small_batches, text_or_empty
+from tessella.llm.common import ascii_lower, persist, small_batches, text_or_empty
 
 
 def line_key(line):
     """The line without ASCII white space at its ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, rf"^[{SPACES}]+|[{SPACES}]+\z", ""))
+    return ascii_lower(F.btrim(line, F.lit(" \t\n\v\f\r")))
 
 
 def _candidates(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
