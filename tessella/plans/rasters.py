@@ -9,7 +9,7 @@ from tessella import api
 from tessella.functions import exprs as X
 from tessella.operators import categories as K
 from tessella.operators import compare as CMP
-from tessella.operators import compose, fusion, pixels, simulate, spatial, tiling, vector
+from tessella.operators import compose, fusion, georeference, pixels, simulate, spatial, tiling, vector
 from tessella.operators.scheme import LocalScheme
 from tessella.plans import bases as B
 from tessella.sources import adapters as A
@@ -226,6 +226,15 @@ def warped_read(spark, d):
     return readers.warped_read(rasters, px, tiles, 16)
 
 
+def warp_raster(spark, d):
+    """Rasters in EPSG:4326 on a grid in EPSG:3857."""
+    px = A.tile_pixels(spark, d).where("x_off % 8 = 0 and y_off % 8 = 0").select("raster_name", (F.col("y_off") + F.col("y")).alias("y"), (F.col("x_off") + F.col("x")).alias("x"), F.col("val").alias("value"))
+    names = px.select("raster_name").distinct()
+    rasters = names.withColumn("transform", X.affine(0.1, 0, 10.0, 0, -0.1, 52.0))
+    grids = names.select("raster_name", X.affine(20000.0, 0, 1100000.0, 0, -20000.0, 6820000.0).alias("grid"), F.lit(25).alias("width"), F.lit(30).alias("height"))
+    return georeference.warp(px, rasters, grids, 4326, 3857)
+
+
 def project_pixels(spark, d):
     px = _labels(spark, d)
     return compose.project(px, _tilings(px))
@@ -340,7 +349,7 @@ QUERIES = {
     for f in (
         nodata_ratio, nodata_filter, keep_rule, tile_to_rasters, shared_tile_counts, multi_raster_tiles, mosaic_first_nonzero, append_max, alpha_channel, band_selection, image_to_label, unique_colors, palette_lookup, palette_inverse,
         category_filters, category_json, coco_json, color_hex, normalize_uint8, base_aux_split, overlap_pairs, fuse_tiles, fuse_disabled, fusion_confusion, confusion_map, confusion_counts, rgb_difference, simulate_border,
-        simulate_pattern, metatile, tile_boundary, category_mask, packed_roundtrip, overviews, resize_nearest, resize_bilinear, windowed_read, warped_read, project_pixels, overlay_composite, grid_canvas, geojson_polygons, geojson_crs,
+        simulate_pattern, metatile, tile_boundary, category_mask, packed_roundtrip, overviews, resize_nearest, resize_bilinear, windowed_read, warped_read, warp_raster, project_pixels, overlay_composite, grid_canvas, geojson_polygons, geojson_crs,
         polygon_bbox, polygon_areas, tile_polygon_candidates, rasterize_polygons, rasterize_append, rasterize_tiles, buffer_polygons, vectorize_stats, vectorize_regions, tile_pipeline,
     )
 }
@@ -397,6 +406,9 @@ ORACLE_SQL = {
     "warped_read": f"""with {_FULL}, t as (select distinct raster_name from ras) select t.raster_name, 8 z, 136 x, 84 y, i.i::int "row", j.i::int col, coalesce(r.val, 0) as value from t cross join generate_series(0, 15) i(i) cross join generate_series(0, 15) j(i)
         left join ras r on r.raster_name = t.raster_name and r.x = floor((136 + (j.i + 0.5::double) / 16) / 256 * 360 - 180 - 10.0::double) * 0 + floor(((136 + (j.i + 0.5::double) / 16) / 256 * 360 - 180) * 10 - 100)
         and r.y = floor((degrees(atan(sinh(pi() * (1 - 2 * (84 + (i.i + 0.5::double) / 16) / 256))))) * -10 + 520)""",
+    "warp_raster": f"""with {_FULL}, t as (select distinct raster_name from ras) select t.raster_name, i.i::int y, j.i::int x, coalesce(r.val, 0) as value from t cross join generate_series(0, 29) i(i) cross join generate_series(0, 24) j(i)
+        left join ras r on r.raster_name = t.raster_name and r.x = floor((degrees((1100000 + 20000 * (j.i + 0.5::double)) / 6378137) - 10) * 10)
+        and r.y = floor((52 - degrees(2 * atan(exp((6820000 - 20000 * (i.i + 0.5::double)) / 6378137)) - pi() / 2)) * 10)""",
     "project_pixels": f"with {_CANVAS} select * from cv",
     "overlay_composite": f"""with {_CANVAS} select raster_name, y, x, case when value in (1, 4) then 0 else value * 40 end r, case value when 1 then 0 when 4 then 255 else value * 40 end g, case when value in (1, 4) then 255 else value * 40 end b, case when value in (1, 4) then 192 else 255 end a from cv""",
     "grid_canvas": f"with {B.PIXELS} select distinct raster_name, y_off + y y, x_off + x x from px where x_off % 8 = 0 and y_off % 8 = 0 and (y in (0, 7) or x in (0, 7))",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import exprs as X
 from tessella.operators import cover as C
+from tessella.operators import georeference as G
 from tessella.operators import stats, tiling
 from tessella.operators.scheme import LocalScheme
 from tessella.plans import bases as B
@@ -210,6 +211,28 @@ def tiling_metadata(spark, d):
     return sinks.tiling_json(tiling.raster_tilings(A.rasters(spark, d), CENTERED)).select("raster_name", F.get_json_object("value", "$.tiling_info.tiling_source_offset_int").alias("origin"), F.get_json_object("value", "$.raster_width").cast("int").alias("width"))
 
 
+def reprojected_bounds(spark, d):
+    c = A.cover(spark, d).distinct()
+    b = F.struct(X.tile_west("x", "z").alias("left"), X.tile_north(F.col("y") + 1, "z").alias("bottom"), X.tile_west(F.col("x") + 1, "z").alias("right"), X.tile_north("y", "z").alias("top"))
+    m = c.select("z", "x", "y", G.reprojected_bounds(b, 4326, 3857).alias("b"))
+    return m.select("z", "x", "y", *[F.round(f"b.{n}", 3).alias(n) for n in ("left", "bottom", "right", "top")])
+
+
+def gcp_transform(spark, d):
+    """Transforms fitted to the corners and centre of each raster."""
+    r = A.rasters(spark, d)
+    at = lambda c, w: F.struct(w.alias("row"), c.alias("col"), X.apply_x("transform", c, w).alias("x"), X.apply_y("transform", c, w).alias("y"))
+    zero, w, h = F.lit(0), F.col("width"), F.col("height")
+    fitted = r.select("raster_name", G.resolved_transform(X.affine(1, 0, 0, 0, 1, 0), F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h), at(F.floor(w / 2), F.floor(h / 2)))).alias("t"))
+    return fitted.select("raster_name", *[F.round(f"t.{n}", 4).alias(f"t_{n}") for n in "abcdef"])
+
+
+def mercator_tile_pixel_size(spark, d):
+    c = A.cover(spark, d).distinct()
+    w, h = G.tile_size_in_pixels(X.affine(0.001, 0, -180.0, 0, -0.0005, 90.0), "x", "y", "z")
+    return c.select("z", "x", "y", F.round(w, 4).alias("w"), F.round(h, 4).alias("h"))
+
+
 _CENTERED = _layout_sql(CENTERED)
 _METRICS = f"""{_layout_sql(METERS)}, m as (select raster_name, (src_w * gsd + src_h * gsd) / 2 real_world_extent, src_w::double source_width, src_h::double source_height, 64::double / src_w width_ratio, 64::double / src_h height_ratio
   from tiles join rasters using (raster_name))"""
@@ -224,7 +247,7 @@ QUERIES = {name: _layout(s) for name, s in {**LAYOUTS, "tile_layout_meters": MET
     for f in (
         tile_count_closed_form, debug_first_k_tiles, tile_transform, tile_bounds, tile_paths, tile_path_parse, files_minus_ignored, paired_files, natural_sort_key, mercator_index, mercator_bounds, mercator_tiles_of_bbox,
         mercator_footprint, lonlat_to_3857, utm_round_trip, cover_distinct, cover_zoom_in, cover_zoom_out, cover_extent, cover_split, cover_semi_join, cover_csv_roundtrip, dissolve_edges, neighbors, surrounded_tiles, border_pixels,
-        tiling_statistics, tiling_statistics_rollup, ratio_comment, tiling_metadata,
+        tiling_statistics, tiling_statistics_rollup, ratio_comment, tiling_metadata, reprojected_bounds, gcp_transform, mercator_tile_pixel_size,
     )
 }
 
@@ -268,6 +291,10 @@ ORACLE_SQL = {name: f"{_layout_sql(s)} select * from tiles" for name, s in {**LA
     "tiling_statistics_rollup": f"{_METRICS} select raster_name, count(*) n_tiles, {_SUMMARY} from m group by rollup (raster_name)",
     "ratio_comment": f"""{_METRICS} select raster_name, case when avg(width_ratio) < 0.5 then 'ratio below 0.5: most source pixels are lost' when avg(width_ratio) > 1 then 'ratio above 1: tiles are blurred' else '' end as comment from m group by 1""",
     "tiling_metadata": f"with {B.RASTERS} select raster_name, '[' || (width // 2) || ' ' || (height // 2) || '] pixel' origin, width from rasters",
+    "reprojected_bounds": f"""with {B.COVER}, e as (select z, x, y, {_WEST} w, (x + 1) / 1024.0::double * 360 - 180 e, {_NORTH.format(y='y')} n, {_NORTH.format(y='(y + 1)')} s from cov)
+        select z, x, y, round(radians(w) * 6378137, 3) "left", round(ln(tan(pi() / 4 + radians(s) / 2)) * 6378137, 3) bottom, round(radians(e) * 6378137, 3) "right", round(ln(tan(pi() / 4 + radians(n) / 2)) * 6378137, 3) top from e""",
+    "gcp_transform": f"with {B.RASTERS} select raster_name, round(gsd, 4) t_a, 0.0::double t_b, round(origin_x, 4) t_c, 0.0::double t_d, round(-gsd, 4) t_e, round(origin_y, 4) t_f from rasters",
+    "mercator_tile_pixel_size": f"""with {B.COVER} select z, x, y, round(360 / 1024.0::double / 0.001, 4) w, round(({_NORTH.format(y='y')} - {_NORTH.format(y='(y + 1)')}) / 0.0005::double, 4) h from cov""",
     "utm_round_trip": f"""with {B.POINTS}, p as (select point_id, radians(abs(lat)) phi, radians(lon / 60) lam from points where abs(lat) < 84),
         k as (select 6378137.0::double a, 1 / 298.257223563::double f), n as (select a, f / (2 - f) n from k),
         c as (select *, a / (1 + n) * (1 + n**2 / 4 + n**4 / 64) rad, n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 a1, 13 * n**2 / 48 - 3 * n**3 / 5 a2, 61 * n**3 / 240 a3, 2 * sqrt(n) / (1 + n) ec from n),

@@ -335,3 +335,42 @@ def test_streamed_tiles_equal_a_batch(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(spark.table("live").collect()) == want
+
+
+def test_png_round_trip_and_filters(spark, tmp_path):
+    import zlib as z
+
+    from tessella.sources import images
+
+    draw = np.random.default_rng(1)
+    for n in (1, 2, 3, 4):
+        m = draw.integers(0, 255, (5, 7, n)).astype(np.uint8)
+        assert (images.decode(images.encode(m))[0] == m).all()
+    m = draw.integers(0, 255, (5, 6, 3)).astype(int)
+    lines = []
+    for y in range(5):  # each filter once, by its definition
+        row, up, kind = m[y].ravel(), m[y - 1].ravel() if y else np.zeros(18, int), y
+        left, corner = np.append([0, 0, 0], row[:-3]), np.append([0, 0, 0], up[:-3])
+        p = left + up - corner
+        near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = (0 * row, left, up, (left + up) // 2, near)[kind]
+        lines.append(bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+    plain = images.encode(m.astype(np.uint8))
+    at = plain.index(b"IDAT")
+    data = z.compress(b"".join(lines))
+    filtered = plain[: at - 4] + len(data).to_bytes(4, "big") + b"IDAT" + data + z.crc32(b"IDAT" + data).to_bytes(4, "big") + plain[plain.index(b"IEND") - 4 :]
+    assert (images.decode(filtered)[0] == m).all()
+    (tmp_path / "a.png").write_bytes(images.encode(np.array([[0, 1], [2, 1]]), [(0, 0, 0), (9, 8, 7), (1, 1, 1)]))
+    (tmp_path / "bad.png").write_bytes(b"junk")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert rows["bad.png"]["data"] is None and rows["a.png"]["palette"][1] == [9, 8, 7]
+    px = images.image_pixels(images.read_images(spark, str(tmp_path)).where("data is not null"), ["path"])
+    assert sorted((r["y"], r["x"], r["value"]) for r in px.collect()) == [(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 1)]
+    packed = spark.createDataFrame([(1, [0, 1, 2, 1])], "t int, data array<int>")
+    assert (images.decode(bytes(images.encoded_images(packed, 2, 2).first()["png"]))[0][:, :, 0] == [[0, 1], [2, 1]]).all()
+    urls = spark.createDataFrame([(f"file://{tmp_path}/bad.png",), ("nothing",), (None,)], "url string")
+    assert sorted(bytes(r["content"]) if r["content"] else b"" for r in images.fetch_images(urls).collect()) == [b"", b"", b"junk"]
+    both = images.virtual_mosaic(px.withColumn("value", F.lit(0)), px)
+    assert {r["value"] for r in pixels.mosaic(both, ["y", "x"]).collect()} == {0, 1, 2}
+    boxes = spark.createDataFrame([("g1", 0.0, 0.0, 1.0, 1.0), ("g2", 5.0, 5.0, 6.0, 6.0)], "granule string, west double, south double, east double, north double")
+    assert [r["granule"] for r in images.granules_of_tiles(boxes.drop("granule").limit(1), boxes).collect()] == ["g1"]
