@@ -7,7 +7,9 @@ that is, the two are encoded as these two pieces. So the count at each prefix is
 the count before its last piece plus one, and one pass gives them all.
 
 No piece has a space after another character, so a run of spaces with the word
-behind it is encoded on its own, and the counts of words add up.
+behind it is encoded on its own, and the counts of words add up. Likewise a word
+falls into parts at each pair of neighbours that stands in no piece, as letters
+and most signs behind them.
 
 The counts are stored as their differences, one signed byte a character; a
 count at a prefix is a sum over this store, and truncation and budget questions
@@ -31,10 +33,26 @@ from tessella.llm.common import small_batches, text_or_empty
 
 SPACE = "▁"
 #: Words kept with their counts in a Python worker; longer ones than LONG are not kept.
-KEPT, LONG = 400_000, 64
+KEPT, LONG = 300_000, 64
 NORMAL, BYTE = 1, 6
 
 
+class _Known(dict):
+    """Words and their differences; finds what is missing, keeps short words and starts anew at KEPT."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.find(word)
+        if len(word) <= LONG:
+            if len(self) > KEPT:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class PrefixCounts:
     """The counts of a sentencepiece BPE model with byte fallback and no normalisation."""
 
@@ -52,10 +70,14 @@ class PrefixCounts:
         self.score = {p.piece: p.score for p in pieces}
         self.fallback = train.byte_fallback
         self.dummy = norm.add_dummy_prefix
-        self.longest = max(map(len, self.score), default=1)
-        self.words = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        #: All pairs of characters within pieces: nothing merges across another pair.
+        self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        ends = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and not any(p[1] == c and p[0].isalpha() for p in self.joined))
+        after = f"(?=[{regex.escape(ends)}])" if ends else "(?!)"
+        self.words = regex.compile(rf"{SPACE}*\p{{L}}+{after}|{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.parts = _Known(self.part_differences)
+        self.known = _Known(self.differences)
 
     def encode(self, word: str) -> list[str]:
         """The word's pieces by merging, the best score first and the leftmost of equals."""
@@ -69,49 +91,50 @@ class PrefixCounts:
         return parts
 
     def pair_fits(self, left: str, right: str) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[left, right] = self.encode(left + right) == [left, right]
+        """The two are encoded as these two; with an empty left, right as itself."""
+        if len(self.fits) > KEPT:
+            self.fits.clear()
+        known = self.fits[left, right] = self.encode(left + right) == [p for p in (left, right) if p]
         return known
 
-    def cost(self, piece: str) -> int:
-        """Tokens of a piece: an unknown character falls back to its bytes."""
-        return 1 if piece in self.score or not self.fallback else len(piece.encode("utf-8"))
-
     def counts(self, word: str) -> list[int]:
         """The token count of each prefix of the word, of one character and more."""
         last, count = [""] * (len(word) + 1), [0] * (len(word) + 1)
+        score, fits = self.score, self.fits.get
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
+            start = end - 1
+            while True:
                 piece = word[start:end]
-                if (end - start == 1 or piece in self.score) and (start == 0 or self.pair_fits(last[start], piece)):
-                    if start == 0 and end - start > 1 and not self.reachable(piece):
-                        continue
-                    last[end], count[end] = piece, count[start] + self.cost(piece)
-                    break
+                if piece in score or start == end - 1:
+                    good = fits((last[start], piece))
+                    if self.pair_fits(last[start], piece) if good is None else good:
+                        break
+                start -= 1
+            last[end] = piece
+            count[end] = count[start] + (1 if piece in score or not self.fallback else len(piece.encode("utf-8")))
         return count[1:]
 
-    def reachable(self, piece: str) -> bool:
-        """Merging the piece's characters gives the piece itself."""
-        return self.pair_fits("", piece) if ("", piece) in self.fits else self.fits.setdefault(("", piece), self.encode(piece) == [piece])
+    def differences(self, word: str) -> bytes:
+        """The differences of a word's counts, from those of its parts that no piece spans."""
+        if word.lstrip(SPACE).isalpha():
+            return self.part_differences(word)
+        out, start, joined, parts = [], 0, self.joined, self.parts
+        for i in range(1, len(word) + 1):
+            if word[i - 1 : i + 1] not in joined:  # at the end too
+                out.append(parts[word[start:i]])
+                start = i
+        return b"".join(out)
+
+    def part_differences(self, part: str) -> bytes:
+        counts = self.counts(part)
+        return bytes([n - before & 255 for n, before in zip(counts, [0, *counts], strict=False)])
 
     def store(self, text: str) -> bytes:
         """Differences of the counts at the text's prefixes, a signed byte a character (and one for the prefixed space)."""
         if not text:
             return b""
-        known, out = self.known, []
-        for word in self.words.findall((SPACE if self.dummy else "") + text.replace(" ", SPACE)):
-            found = known.get(word)
-            if found is None:
-                found = np.diff(self.counts(word), prepend=0).astype(np.int8).tobytes()
-                if len(word) <= LONG:
-                    if len(known) > KEPT:
-                        known.clear()
-                    known[word] = found
-            out.append(found)
-        return b"".join(out)
+        words = self.words.findall((SPACE if self.dummy else "") + text.replace(" ", SPACE))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def prefix_counts(store: bytes) -> np.ndarray:
