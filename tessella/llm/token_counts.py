@@ -18,12 +18,12 @@ need no encoder.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,9 @@ from tessella.llm.common import small_batches, text_or_empty
 
 SPACE = "▁"
 #: Words kept with their counts in a Python worker; longer ones than LONG are not kept.
-KEPT, LONG = 300_000, 64
+KEPT, LONG = 800_000, 64
+#: Pairs of pieces whose fit is kept.
+PAIRS = 400_000
 NORMAL, BYTE = 1, 6
 
 
@@ -65,7 +67,7 @@ class PrefixCounts:
         pieces = [p for p in proto.pieces if p.type == NORMAL]
         if train.model_type != 2 or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or train.treat_whitespace_as_suffix:
             raise ValueError("a BPE model without normalisation is asked for")
-        if any(p.type not in (1, 2, 3, BYTE) for p in proto.pieces) or any(regex.search(f"[^{SPACE}]{SPACE}", p.piece) for p in pieces):
+        if any(p.type not in (1, 2, 3, BYTE) for p in proto.pieces) or any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in pieces):
             raise ValueError("pieces must neither be user-defined nor span words")
         self.score = {p.piece: p.score for p in pieces}
         self.fallback = train.byte_fallback
@@ -73,26 +75,30 @@ class PrefixCounts:
         self.fits: dict[tuple[str, str], bool] = {}
         #: All pairs of characters within pieces: nothing merges across another pair.
         self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        ends = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and not any(p[1] == c and p[0].isalpha() for p in self.joined))
-        after = f"(?=[{regex.escape(ends)}])" if ends else "(?!)"
-        self.words = regex.compile(rf"{SPACE}*\p{{L}}+{after}|{SPACE}*[^{SPACE}]+|{SPACE}+")
+        letter = r"[^\W\d_]"
+        signs = (c for c in map(chr, range(33, 127)) if not c.isalnum() and not any(p[1] == c and re.match(letter, p[0]) for p in self.joined))
+        after = "".join(map(re.escape, signs))
+        split = f"{SPACE}*{letter}++(?=[{after}])|" if after else ""
+        self.words = re.compile(f"{split}{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.parts = _Known(self.part_differences)
         self.known = _Known(self.differences)
 
     def encode(self, word: str) -> list[str]:
         """The word's pieces by merging, the best score first and the leftmost of equals."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score), default=None)
+        parts, score = list(word), self.score.get
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = score(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
             if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def pair_fits(self, left: str, right: str) -> bool:
         """The two are encoded as these two; with an empty left, right as itself."""
-        if len(self.fits) > KEPT:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         known = self.fits[left, right] = self.encode(left + right) == [p for p in (left, right) if p]
         return known
