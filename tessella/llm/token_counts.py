@@ -75,7 +75,9 @@ class PrefixCounts:
         self.fits: dict[tuple[str, str], bool] = {}
         #: All pairs of characters within pieces: nothing merges across another pair.
         self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        letter = r"[^\W\d_]"
+        # Letters, without the few number signs that would spoil the split of letters and signs.
+        numbers = "".join({p[0] for p in self.joined if p[0].isnumeric() and not p[0].isdecimal()})
+        letter = rf"[^\W\d_{re.escape(numbers)}]"
         signs = (c for c in map(chr, range(33, 127)) if not c.isalnum() and not any(p[1] == c and re.match(letter, p[0]) for p in self.joined))
         after = "".join(map(re.escape, signs))
         split = f"{SPACE}*{letter}++(?=[{after}])|" if after else ""
