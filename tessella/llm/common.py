@@ -57,5 +57,6 @@ def text_or_empty(name: str) -> Column:
 
 
 def ascii_lower(col: Column) -> Column:
-    """A-Z to a-z; all other characters stay."""
-    return F.translate(col, UPPER, UPPER.lower())
+    """A-Z to a-z; all other characters stay. Plain ASCII takes the short way."""
+    plain = F.length(col) == F.octet_length(col)
+    return F.when(plain, F.lower(col)).otherwise(F.translate(col, UPPER, UPPER.lower()))

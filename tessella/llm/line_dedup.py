@@ -29,9 +29,9 @@ def _candidates(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> Da
     return keys.select("doc_id", "pos", F.unhex(F.md5("key")).alias("hash"))
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """hash, n_docs, last_doc: keys in at least least_docs documents, and the largest doc_id holding each."""
-    held = _candidates(docs, doc_id, text, least_chars).groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
+def repeated_lines(lines: DataFrame, least_docs: int = 3) -> DataFrame:
+    """hash, n_docs, last_doc: keys in at least least_docs documents, and the largest doc_id holding each. lines: doc_id, hash."""
+    held = lines.groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
     counted = held.groupBy("hash").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
     return counted.where(F.col("n_docs") >= least_docs)
 
@@ -59,11 +59,12 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     document and loses no line. Empty table: no rows. Other columns aren't read.
     """
     small_batches(docs.sparkSession)
-    frequent = persist(repeated_lines(docs, doc_id, text, least_chars, least_docs))
-    found = _candidates(docs, doc_id, text, least_chars).join(frequent, "hash").where(F.col("doc_id") != F.col("last_doc"))
+    lines = persist(_candidates(docs, doc_id, text, least_chars))
+    frequent = persist(repeated_lines(lines, least_docs))
+    found = lines.join(frequent, "hash").where(F.col("doc_id") != F.col("last_doc"))
     drops = found.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body"))
     joined = rows.join(drops, "doc_id", "left")
     kept = F.coalesce(_without(F.when(F.col("gone").isNotNull(), F.col("body")), F.col("gone")), F.col("body"))
-    lines = (F.length("body") - F.length(F.regexp_replace("body", "\n", "")) + 1).cast("long")
-    return joined.select("doc_id", lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    n_lines = (F.length("body") - F.length(F.regexp_replace("body", "\n", "")) + 1).cast("long")
+    return joined.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
