@@ -65,7 +65,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_pages(common.table(spark, sf_dir, "pages"))
     return records.select(
-        F.col("id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
         warc.header_field("WARC-Type").alias("record_type"), F.regexp_extract(warc.header_field("WARC-Refers-To"), "<urn:record:(.*)>", 1).cast("long").alias("refers_to"),
     )
 

@@ -55,12 +55,18 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", uri:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """header, digest, payload of every record: the full payload, also of a revisit."""
+    """id, header, digest, payload, payload_bytes, payload_digest of every record: of the full payload, also of a revisit.
+
+    Each stored payload is hashed and measured once, where it is read, and not
+    again for every record that shares it; a reader that asks for no payload
+    moves none through the join.
+    """
     headers = spark.read.parquet(f"{path}/headers")
     payloads = spark.read.parquet(f"{path}/payloads")
-    good = F.sha2("payload", 256) == F.col("digest")
-    payloads = payloads.select("digest", F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not have digest "), "digest"))).alias("payload"))
-    return headers.join(payloads, "digest", "left")
+    payloads = payloads.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    good = F.col("payload_digest") == F.col("digest")
+    checked = lambda c: F.when(good, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("payload does not have digest "), "digest"))).alias(c)
+    return headers.join(payloads.select("digest", *map(checked, ("payload", "payload_bytes", "payload_digest"))), "digest", "left")
 
 
 def header_field(name: str, header: Column | None = None) -> Column:
