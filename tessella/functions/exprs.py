@@ -166,6 +166,19 @@ def normalized_uint8(value, dtype) -> Column:
 # tiles
 
 
+def source_to_disk_ratio(src, disk) -> Column:
+    return col(src) / col(disk)
+
+
+def disk_center(width, height) -> tuple[Column, Column]:
+    return col(width) / 2, col(height) / 2
+
+
+def pixel_coord(t, column, row, dx: float = 0.5, dy: float = 0.5) -> tuple[Column, Column]:
+    """CRS coordinates of a pixel's centre, or of another spot in it."""
+    return apply_x(t, col(column) + dx, col(row) + dy), apply_y(t, col(column) + dx, col(row) + dy)
+
+
 def end_coord(offset, size) -> Column:
     return col(offset) + col(size) - 1
 

@@ -170,6 +170,19 @@ def cover_csv_roundtrip(spark, d):
     return readers.parse_cover_lines(lines).drop("extra")
 
 
+def tile_json_roundtrip(spark, d):
+    t = tiling.local_tiles(A.rasters(spark, d), CENTERED)
+    return readers.tiles_of_json(t.select(sinks.tile_json(t).alias("value")), "value").select("tile_class", "raster_name", "x_off", "y_off", "src_w", "src_h")
+
+
+def pixel_coordinates(spark, d):
+    """Coordinates of the centre pixel of every tile."""
+    r = A.rasters(spark, d)
+    t = tiling.local_tiles(r, CENTERED).join(r.select("raster_name", "transform"), "raster_name")
+    x, y = X.pixel_coord("transform", F.col("x_off") + F.floor(F.col("src_w") / 2), F.col("y_off") + F.floor(F.col("src_h") / 2))
+    return t.select("raster_name", "tile_ord", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
 def dissolve_edges(spark, d):
     return C.dissolved_edges(A.cover(spark, d))
 
@@ -246,7 +259,7 @@ QUERIES = {name: _layout(s) for name, s in {**LAYOUTS, "tile_layout_meters": MET
     f.__name__: f
     for f in (
         tile_count_closed_form, debug_first_k_tiles, tile_transform, tile_bounds, tile_paths, tile_path_parse, files_minus_ignored, paired_files, natural_sort_key, mercator_index, mercator_bounds, mercator_tiles_of_bbox,
-        mercator_footprint, lonlat_to_3857, utm_round_trip, cover_distinct, cover_zoom_in, cover_zoom_out, cover_extent, cover_split, cover_semi_join, cover_csv_roundtrip, dissolve_edges, neighbors, surrounded_tiles, border_pixels,
+        mercator_footprint, lonlat_to_3857, utm_round_trip, cover_distinct, cover_zoom_in, cover_zoom_out, cover_extent, cover_split, cover_semi_join, cover_csv_roundtrip, tile_json_roundtrip, pixel_coordinates, dissolve_edges, neighbors, surrounded_tiles, border_pixels,
         tiling_statistics, tiling_statistics_rollup, ratio_comment, tiling_metadata, reprojected_bounds, gcp_transform, mercator_tile_pixel_size,
     )
 }
@@ -280,6 +293,8 @@ ORACLE_SQL = {name: f"{_layout_sql(s)} select * from tiles" for name, s in {**LA
     "cover_semi_join": f"with {B.COVER}, {B.POINTS}, t as (select point_id, 10 z, {_IDX.format(lon='lon', n=1024)} x, (point_id % 1024)::int y from points) select * from t where (z, x, y) in (select (z, x, y) from cov)",
     "cover_csv_roundtrip": f"""with {B.COVER}, {B.PIXELS} select 'MercatorTile' tile_class, z, x, y, null::varchar raster_name, null::int x_off, null::int y_off, null::int src_w, null::int src_h from cov
         union all select distinct 'ImagePixelTile', null, null, null, raster_name, x_off, y_off, src_w, src_h from px""",
+    "tile_json_roundtrip": f"{_CENTERED} select 'ImagePixelTile' tile_class, raster_name, x_off, y_off, src_w, src_h from tiles",
+    "pixel_coordinates": f"{_CENTERED} select raster_name, tile_ord, round(origin_x + gsd * (x_off + src_w // 2 + 0.5::double), 6) x, round(origin_y - gsd * (y_off + src_h // 2 + 0.5::double), 6) y from tiles join rasters using (raster_name)",
     "dissolve_edges": f"""with {B.COVER}, e as (select z, unnest([{{'x0': x, 'y0': y, 'x1': x + 1, 'y1': y}}, {{'x0': x, 'y0': y + 1, 'x1': x + 1, 'y1': y + 1}}, {{'x0': x, 'y0': y, 'x1': x, 'y1': y + 1}}, {{'x0': x + 1, 'y0': y, 'x1': x + 1, 'y1': y + 1}}]) s from cov)
         select z, s.x0 x0, s.y0 y0, s.x1 x1, s.y1 y1 from e group by z, s having count(*) = 1""",
     "neighbors": f"""with {B.COVER} select z, x, y, pos::int pos, (x + dx)::int nx, (y + dy)::int ny from cov, (values (0, -1, -1), (1, 0, -1), (2, 1, -1), (3, -1, 0), (4, 1, 0), (5, -1, 1), (6, 0, 1), (7, 1, 1)) n(pos, dx, dy)""",

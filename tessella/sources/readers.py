@@ -28,6 +28,11 @@ def parse_cover_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def tiles_of_json(df: DataFrame, text: str) -> DataFrame:
+    """tile_class and key of class-tagged JSON objects, as sinks.tile_json writes them."""
+    return df.select(F.from_json(text, "class string, raster_name string, x_off int, y_off int, src_w int, src_h int, x int, y int, z int").alias("t")).where("t.class is not null").select(F.col("t.class").alias("tile_class"), *[f"t.{n}" for n in ("raster_name", "x_off", "y_off", "src_w", "src_h", "x", "y", "z")])
+
+
 def read_cover(spark: SparkSession, path: str) -> DataFrame:
     return parse_cover_lines(spark.read.text(path))
 

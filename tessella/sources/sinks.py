@@ -29,6 +29,20 @@ def cover_lines(tiles: DataFrame) -> Column:
     return F.concat_ws(",", F.lit("ImagePixelTile"), "raster_name", "x_off", "y_off", "src_w", "src_h")
 
 
+def tile_json(tiles: DataFrame) -> Column:
+    """A class-tagged object of each tile's key."""
+    web = "z" in tiles.columns
+    keys = ("x", "y", "z") if web else ("raster_name", "x_off", "y_off", "src_w", "src_h")
+    return F.to_json(F.struct(F.lit("MercatorTile" if web else "ImagePixelTile").alias("class"), *keys))
+
+
+def bounds_json(bounds) -> Column:
+    """A GeoJSON polygon of struct(left, bottom, right, top), closed."""
+    b = X.col(bounds)
+    ring = F.array(*[F.array(b[x], b[y]) for x, y in (("left", "top"), ("right", "top"), ("right", "bottom"), ("left", "bottom"), ("left", "top"))])
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+
+
 def write_cover(tiles: DataFrame, path: str, splits: str | None = None) -> None:
     """Text lines; with a split column a folder for each split."""
     line = cover_lines(tiles).alias("value")
