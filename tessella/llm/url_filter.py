@@ -88,8 +88,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str
     templates = shapes.join(path_templates(shapes, fanout), ["host", "shape"])
     branches = templates.groupBy("host", "first").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     hosts = branches.groupBy("host").agg(F.sum("bad").alias("host_bad"), F.sum("labelled").alias("host_labelled"))
-    corpus = hosts.agg(F.coalesce(F.sum("host_bad"), F.lit(0)).alias("all_bad"), F.coalesce(F.sum("host_labelled"), F.lit(0)).alias("all_labelled"))
-    hosts = hosts.crossJoin(F.broadcast(corpus))  # one row
+    corpus = shapes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled")).first()
     rest_n, rest_bad = F.col("host_labelled") - F.col("labelled"), F.col("host_bad") - F.col("bad")
     pooled = F.col("host_bad") / F.col("host_labelled")
     gap = F.col("bad") / F.col("labelled") - rest_bad / rest_n
@@ -97,12 +96,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str
     alike = (F.col("labelled") < support) | F.when(rest_n > 0, F.abs(gap) <= z * error).otherwise(False)
     branches = branches.join(hosts, "host").withColumn("branch", F.when(alike, "*").otherwise(F.col("first")))
 
-    merged = templates.join(branches.select("host", "first", "branch", "host_bad", "host_labelled", "all_bad", "all_labelled"), ["host", "first"])
+    merged = templates.join(branches.select("host", "first", "branch", "host_bad", "host_labelled"), ["host", "first"])
     tail = F.when(F.instr("template", "/") > 0, F.substring(F.col("template"), F.instr("template", "/"), F.length("template"))).otherwise("")
     merged = merged.withColumn("template", F.concat("branch", tail))
     by_template = merged.groupBy("host", "branch", "template").agg(F.sum("bad").alias("t_bad"), F.sum("labelled").alias("t_labelled"))
     by_branch = by_template.groupBy("host", "branch").agg(F.sum("t_bad").alias("b_bad"), F.sum("t_labelled").alias("b_labelled"))
-    corpus_share = (F.col("all_bad") + smooth * 0.5) / (F.col("all_labelled") + smooth)
+    corpus_share = F.lit((corpus["bad"] + smooth * 0.5) / (corpus["labelled"] + smooth))
     host_share = (F.col("host_bad") + smooth * corpus_share) / (F.col("host_labelled") + smooth)
     branch_share = (F.col("b_bad") + smooth * host_share) / (F.col("b_labelled") + smooth)
     purity = (F.col("t_bad") + smooth * branch_share) / (F.col("t_labelled") + smooth)
