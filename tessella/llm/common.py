@@ -34,14 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
 
 
-def persist(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def persist(df: DataFrame, codec: str = "zstd", narrow: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
+    narrow: for tables of a few numbers a row, at most one file for each core,
+    as many shuffle partitions would only mean many tiny files.
+
     Cuts the lineage, survives the loss of any executor, and gives the planner
     the true size of what follows (a small table is then broadcast, a large one
     is not).
     """
     path = shared_dir(df.sparkSession)
+    if narrow:
+        df = df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism))
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
