@@ -156,13 +156,19 @@ def vectorize(px: DataFrame, keys: Sequence[str], width: int, height: int, value
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.select(*keys, value).schema) + ", part int, rings array<array<struct<x:double,y:double>>>"
 
     def regions(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((height, width), bool)
-        grid[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = True
-        found = trace(grid)
-        head = pdf[[*keys, value]].iloc[[0] * len(found)].reset_index(drop=True)
-        return head.assign(part=range(len(found)), rings=[[[{"x": float(a), "y": float(b)} for a, b in r] for r in p] for p in found])
-
-    return px.where(F.col(value) != 0).groupBy(*keys, value).applyInPandas(regions, schema)
+        ys, xs, values = (pdf[c].to_numpy() for c in ("y", "x", value))
+        number, part, rings = [], [], []
+        for v in np.unique(values):
+            grid = np.zeros((height, width), bool)
+            grid[ys[values == v], xs[values == v]] = True
+            for n, p in enumerate(trace(grid)):
+                number.append(v)
+                part.append(n)
+                rings.append([[{"x": float(a), "y": float(b)} for a, b in r] for r in p])
+        head = pdf[list(keys)].iloc[[0] * len(part)].reset_index(drop=True)
+        return head.assign(**{value: number, "part": part, "rings": rings})
+
+    return px.where(F.col(value) != 0).groupBy(*keys).applyInPandas(regions, schema)
 
 
 def ring_area(ring: Column) -> Column:
