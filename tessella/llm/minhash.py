@@ -19,12 +19,11 @@ as one representative. First each member of a bucket is compared with one hub,
 the member that meets most others over all bands (an original meets more of its
 copies than these meet each other). Buckets that hold several components
 afterwards are compared further: those of up to SMALL members in all pairs
-across components, larger ones with HUBS hubs; what is then still apart from
-the first hub splits by a further band's key and goes on in the smaller
-buckets, until none holds two components. A bucket of n so gives at most
-n * max(HUBS, SMALL / 2) pairs a round, and none is capped. A link is only lost
-where two members of a bucket over SMALL, neither near to a hub, part when it
-splits, in every band that they share.
+across components, larger ones with HUBS hubs. What is then still apart in a
+larger bucket is settled by a prefix-filter join on rare shingles with the
+members of all other components there (see _prefix_pairs), which passes no
+pair at the threshold over. So each pair that shares a band ends in one
+component or is below the threshold, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -328,6 +327,61 @@ def components(links: DataFrame, pairs: tuple[str, str] = ("a", "b")) -> DataFra
             return labels
 
 
+def _exploded(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+    """rep, version (tells different texts of a doc_id apart), hash, weight, total: a row for each shingle."""
+    weights = shared.value
+
+    def flush(held) -> pd.DataFrame:
+        sizes = [len(h) for _, _, h, _ in held]
+        column = lambda values: np.repeat(values, sizes)
+        return pd.DataFrame({
+            "rep": column([r for r, *_ in held]), "version": column([v for _, v, *_ in held]), "hash": np.concatenate([h for *_, h, _ in held]).view(np.int64),
+            "weight": np.concatenate([w for *_, w in held]), "total": column([w.sum() for *_, w in held]),
+        })
+
+    held, size = [], 0
+    for batch in batches:
+        for rep, version, text in zip(batch["doc_id"], batch["version"], batch["body"], strict=True):
+            h, n = shingles(text)
+            if len(h):
+                held.append((rep, version, h, weights.of(h, n)))
+                size += len(h)
+            if size > 60_000:
+                yield flush(held)
+                held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def _prefix_pairs(members: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """a, b: pairs across components, among them every one at the threshold that shares a bucket.
+
+    A text's shingles are ordered by the number of members that have them,
+    rarest first. What two texts share is at most what either weighs from their
+    first common shingle on, and at the threshold t at least t / (1 + t) of
+    both weights together. So that shingle stands within the first 1 - t of
+    either weight, and within the first (1 - t) / (1 + t) of the lesser one.
+    One end of each pair is apart from its bucket's largest component.
+    """
+    sized = members.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
+    top = sized.groupBy("band", "key").agg(F.max_by("label", F.struct("size", "label")).alias("top"))
+    apart = members.join(top, ["band", "key"]).where("label <> top").select(F.col("rep").alias("apart")).distinct()
+    labelled = persist(members.select("rep", "label").distinct().join(apart, F.col("rep") == F.col("apart"), "left").select("rep", "label", F.col("apart").isNotNull().alias("is_apart")), narrow=True)
+    held = texts.join(labelled, texts["doc_id"] == labelled["rep"], "left_semi").distinct().select("doc_id", F.xxhash64("body").alias("version"), "body")
+    every = persist(held.mapInPandas(lambda it: _exploded(it, shared), "rep long, version long, hash long, weight double, total double"))
+    spread = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("rep", "version").orderBy("n", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = every.join(spread, "hash").withColumn("before", F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
+    slack = 1e-6
+    prefix = placed.where((F.col("n") > 1) & (F.col("before") <= (1 - threshold + slack) * F.col("total")))
+    prefix = persist(prefix.select("rep", "hash", "before", "total").join(labelled, "rep"))
+    one = prefix.where("is_apart").select("hash", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("before").alias("before_x"), F.col("total").alias("total_x"))
+    two = prefix.select("hash", F.col("rep").alias("y"), F.col("label").alias("label_y"), F.col("before").alias("before_y"), F.col("total").alias("total_y"))
+    least = (threshold / (1 + threshold) - slack) * (F.col("total_x") + F.col("total_y"))
+    enough = F.least(F.col("total_x") - F.col("before_x"), F.col("total_y") - F.col("before_y")) >= least
+    return one.join(two, "hash").where((F.col("label_x") != F.col("label_y")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _share(spark: SparkSession, docs: DataFrame, text: str):
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_or_empty(text))), F.lit(0)).alias("bytes")).first()
     # At most (mean shingles of a document) / RARE rows, see the module's notes.
@@ -364,24 +418,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "d
         first = members.join(degree, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub"))
         links = verify(members.join(first, ["band", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
         labels = components(links)
-    for further in range(1, BANDS):
-        if links is None:
-            break
-        open_members = persist(_unsettled(members, labels), narrow=True)
-        if open_members.isEmpty():
-            break
+    open_members = None if links is None else persist(_unsettled(members, labels), narrow=True)
+    if open_members is not None and not open_members.isEmpty():
         small, large = open_members.where(F.col("n") <= SMALL), open_members.where(F.col("n") > SMALL)
         other = small.select("band", "key", F.col("rep").alias("b"), F.col("label").alias("other"))
         close = small.join(other, ["band", "key"]).where("rep < b and label <> other").select(F.col("rep").alias("a"), "b")
         by_degree = Window.partitionBy("band", "key").orderBy(F.col("degree").desc(), "rep")
-        hubs = persist(large.join(degree, "rep").withColumn("place", F.row_number().over(by_degree)).where(F.col("place") <= HUBS).select("band", "key", "place", F.col("rep").alias("b"), F.col("label").alias("other")), narrow=True)
+        hubs = persist(large.join(degree, "rep").withColumn("place", F.row_number().over(by_degree)).where(F.col("place") <= HUBS).select("band", "key", F.col("rep").alias("b"), F.col("label").alias("other")), narrow=True)
         far = large.join(hubs, ["band", "key"]).where("rep <> b and label <> other").select(F.col("rep").alias("a"), "b")
         links = links.union(verify(close.union(far).distinct()))
         labels = components(links)
-        top = hubs.where("place = 1").join(labels, hubs["b"] == labels["node"], "left").select("band", "key", F.coalesce(labels["label"], "b").alias("top"))
-        apart = _labelled(large.drop("label"), labels).join(top, ["band", "key"]).where("label <> top")
-        next_key = F.try_element_at("bands", (F.pmod(F.col("band") + further, F.lit(BANDS)) + 1).cast("int"))
-        members = persist(_shared_buckets(apart.select("rep", "band", "key").join(reps.select("rep", "bands"), "rep").select("rep", "band", F.xxhash64("key", next_key).alias("key"))), narrow=True)
+        left = persist(_unsettled(large.drop("label"), labels), narrow=True)
+        if not left.isEmpty():
+            links = links.union(verify(_prefix_pairs(left, texts, shared, threshold)))
+            labels = components(links)
     if links is None:
         joined = reps.select("rep", F.col("rep").alias("label"), *same)
     else:

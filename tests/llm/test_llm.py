@@ -431,6 +431,21 @@ def test_near_classes_against_brute_force(spark):
     assert {i: (c, wanted[i]) for i, c in found.items() if c != wanted[i]} == {}
 
 
+def test_near_classes_of_a_large_chained_group(spark):
+    """Members of large buckets that are near to one ordinary member each, and to no hub."""
+    draw = random.Random(11)
+    base = [f"b{i}" for i in range(400)]
+    docs = {i: edited(base, 2, draw).split() for i in range(220)}
+    for i in range(100):
+        docs[len(docs)] = edited(docs[i], 7, draw).split()
+    for i in range(220, 260):
+        docs[len(docs)] = edited(docs[i], 7, draw).split()
+    docs = {i: " ".join(words) for i, words in docs.items()}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(7)
+    found, wanted = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(rows).collect()}, brute_classes(docs)
+    assert {i: (c, wanted[i]) for i, c in found.items() if c != wanted[i]} == {}
+
+
 def test_near_classes_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_classes(docs).collect()} == brute_classes({r["doc_id"]: r["text"] for r in docs.collect()})
