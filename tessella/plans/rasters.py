@@ -162,6 +162,12 @@ def confusion_map(spark, d):
     return CMP.confusion_map(px, _categories(spark), "val", "pred", {"tp": 1, "fp": 2, "tn": 3, "fn": 4})
 
 
+def confusion_map_all_tiles(spark, d):
+    """confusion_map over every predicted pixel, not only the first tiles of each raster."""
+    px = A.predicted_pixels(spark, d).select(*TILE, "y", "x", "val", "pred")
+    return CMP.confusion_map(px, _categories(spark), "val", "pred", {"tp": 1, "fp": 2, "tn": 3, "fn": 4})
+
+
 def confusion_counts(spark, d):
     return CMP.confusion_counts(A.predicted_pixels(spark, d), _categories(spark), "val", "pred", ["raster_name"])
 
@@ -348,7 +354,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nodata_ratio, nodata_filter, keep_rule, tile_to_rasters, shared_tile_counts, multi_raster_tiles, mosaic_first_nonzero, append_max, alpha_channel, band_selection, image_to_label, unique_colors, palette_lookup, palette_inverse,
-        category_filters, category_json, coco_json, color_hex, normalize_uint8, base_aux_split, overlap_pairs, fuse_tiles, fuse_disabled, fusion_confusion, confusion_map, confusion_counts, rgb_difference, simulate_border,
+        category_filters, category_json, coco_json, color_hex, normalize_uint8, base_aux_split, overlap_pairs, fuse_tiles, fuse_disabled, fusion_confusion, confusion_map, confusion_map_all_tiles, confusion_counts, rgb_difference, simulate_border,
         simulate_pattern, metatile, tile_boundary, category_mask, packed_roundtrip, overviews, resize_nearest, resize_bilinear, windowed_read, warped_read, warp_raster, project_pixels, overlay_composite, grid_canvas, geojson_polygons, geojson_crs,
         polygon_bbox, polygon_areas, tile_polygon_candidates, rasterize_polygons, rasterize_append, rasterize_tiles, buffer_polygons, vectorize_stats, vectorize_regions, tile_pipeline,
     )
@@ -384,6 +390,8 @@ ORACLE_SQL = {
     "fusion_confusion": f"with {_BASE}, {_fused('pred')}, {B.CATEGORIES}, j as (select f.value v, lab.value l from fused f join lab using (raster_name, x_off, y_off, y, x)) select c.name as name, {_COUNTS.format(l='l', m='v')} from j, cats c where is_active and not is_ignore group by 1",
     "confusion_map": f"""with {B.PREDICTED}, {B.CATEGORIES} select raster_name, x_off, y_off, y, x, name, case when val = palette_index and pred = palette_index then 1 when pred = palette_index then 2 when val = palette_index then 4 else 3 end outcome
         from pred, cats where x_off < 8 and y_off < 8 and is_active and not is_ignore""",
+    "confusion_map_all_tiles": f"""with {B.PREDICTED}, {B.CATEGORIES} select raster_name, x_off, y_off, y, x, name, case when val = palette_index and pred = palette_index then 1 when pred = palette_index then 2 when val = palette_index then 4 else 3 end outcome
+        from pred, cats where is_active and not is_ignore""",
     "confusion_counts": f"with {B.PREDICTED}, {B.CATEGORIES} select raster_name, c.name as name, {_COUNTS.format(l='val', m='pred')} from pred, cats c where is_active and not is_ignore group by 1, 2",
     "rgb_difference": f"""with {B.LAYERED}, m as (select tile_id, y, x, band, coalesce(arg_min(value, raster_ord) filter (where value <> 0), 0) a, max(value) b from lay group by 1, 2, 3, 4) select tile_id, y, x, case when bool_or(a <> b) then 11 else 0 end as value from m group by 1, 2, 3""",
     "simulate_border": f"""with {B.PIXELS} select raster_name, x_off, y_off, y, x, case when x between 1 and 6 and y between 2 and 5 and not (x between 2 and 5 and y between 3 and 4) then 10 else val end as value from px""",

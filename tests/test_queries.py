@@ -34,6 +34,11 @@ def test_scans_read_only_their_columns(spark, sf):
     assert "ReadSchema: struct<c_custkey:bigint>" in plan
 
 
+def test_every_predicted_pixel_is_compared(spark, sf):
+    pixels = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
+    assert registry.QUERIES["confusion_map_all_tiles"](spark, sf).count() == 7 * pixels
+
+
 def test_entry(spark):
     import __spark_entry__
 
