@@ -285,6 +285,16 @@ def tile_polygon_candidates(spark, d):
     return vector.tile_candidates(tiles, features, ["k"], (8.0, 8.0)).select("x_off", "y_off", "feature_id")
 
 
+def tile_polygon_candidates_all_rasters(spark, d):
+    """Tiles of every raster with the polygons of that raster; polygons are dealt to the rasters by their number."""
+    px = A.tile_pixels(spark, d)
+    tiles = spatial.tile_boxes(px.select(*TILE, "src_w", "src_h").distinct()).select(*TILE, "x0", "y0", "x1", "y1")
+    n_rasters = px.agg((F.floor(F.max("vec_id") / 100) + 1).alias("n")).scalar()
+    raster = F.concat(F.lit("r"), F.col("feature_id") % n_rasters)
+    features = A.triangles(spark, d).select(raster.alias("raster_name"), "feature_id", "rings")
+    return vector.tile_candidates(tiles, features, ["raster_name"], (8.0, 8.0)).select(*TILE, "feature_id")
+
+
 def rasterize_polygons(spark, d):
     f = A.triangles(spark, d).select("feature_id", "rings", "category_index")
     return vector.burnt_pixels(f, ["feature_id"], 44, 44)
@@ -356,7 +366,7 @@ QUERIES = {
         nodata_ratio, nodata_filter, keep_rule, tile_to_rasters, shared_tile_counts, multi_raster_tiles, mosaic_first_nonzero, append_max, alpha_channel, band_selection, image_to_label, unique_colors, palette_lookup, palette_inverse,
         category_filters, category_json, coco_json, color_hex, normalize_uint8, base_aux_split, overlap_pairs, fuse_tiles, fuse_disabled, fusion_confusion, confusion_map, confusion_map_all_tiles, confusion_counts, rgb_difference, simulate_border,
         simulate_pattern, metatile, tile_boundary, category_mask, packed_roundtrip, overviews, resize_nearest, resize_bilinear, windowed_read, warped_read, warp_raster, project_pixels, overlay_composite, grid_canvas, geojson_polygons, geojson_crs,
-        polygon_bbox, polygon_areas, tile_polygon_candidates, rasterize_polygons, rasterize_append, rasterize_tiles, buffer_polygons, vectorize_stats, vectorize_regions, tile_pipeline,
+        polygon_bbox, polygon_areas, tile_polygon_candidates, tile_polygon_candidates_all_rasters, rasterize_polygons, rasterize_append, rasterize_tiles, buffer_polygons, vectorize_stats, vectorize_regions, tile_pipeline,
     )
 }
 
@@ -426,6 +436,8 @@ ORACLE_SQL = {
     "polygon_bbox": f"""with {B.TRIANGLES} select feature_id, x0 "left", y0 bottom, x1 "right", y2 top from tri""",
     "polygon_areas": f"with {B.TRIANGLES} select feature_id, 20.0::double area, true valid from tri",
     "tile_polygon_candidates": f"""with {B.TRIANGLES}, t as (select (i * 8)::int x_off, (j * 8)::int y_off from generate_series(0, 4) a(i), generate_series(0, 4) b(j)) select x_off, y_off, feature_id from t join tri on x0 <= x_off + 7 and x1 >= x_off and y0 <= y_off + 7 and y2 >= y_off""",
+    "tile_polygon_candidates_all_rasters": f"""with {B.PIXELS}, {B.TRIANGLES}, t as (select distinct raster_name, x_off, y_off from px), f as (select *, 'r' || (feature_id % (select max(vec_id) // 100 + 1 from embeddings)) raster_name from tri)
+        select raster_name, x_off, y_off, feature_id from t join f using (raster_name) where x0 <= x_off + 7 and x1 >= x_off and y0 <= y_off + 7 and y2 >= y_off""",
     "rasterize_polygons": f"with {_EDGES} select feature_id, y, x from burnt where y < 44 and x < 44",
     "rasterize_append": f"with {_EDGES} select y, x, max(category_index) category_index from burnt where y < 44 and x < 44 group by 1, 2",
     "rasterize_tiles": f"with {_EDGES}, o as (select unnest([22, 38, 6, -10]) o) select 'a' raster_name, a.o x_off, b.o y_off, y - b.o y, x - a.o x, max(category_index) category_index from burnt, o a, o b where x - a.o between 0 and 15 and y - b.o between 0 and 15 group by all",

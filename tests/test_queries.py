@@ -39,6 +39,15 @@ def test_every_predicted_pixel_is_compared(spark, sf):
     assert registry.QUERIES["confusion_map_all_tiles"](spark, sf).count() == 7 * pixels
 
 
+def test_tiles_of_every_raster_meet_polygons(spark, sf):
+    found = registry.QUERIES["tile_polygon_candidates_all_rasters"](spark, sf)
+    rasters = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("count(distinct floor(vec_id / 100))").first()[0]
+    assert found.select("raster_name").distinct().count() == rasters > 1
+    assert found.select("feature_id").distinct().count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 
