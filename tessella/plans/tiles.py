@@ -119,6 +119,13 @@ def mercator_tiles_of_bbox(spark, d):
     return C.tiles_of_bounds(boxes, "w", "s", "e", "n", 9).select("point_id", "z", "x", "y")
 
 
+def mercator_tiles_of_bbox_wrapped(spark, d):
+    """mercator_tiles_of_bbox with boxes that go on beyond the antimeridian."""
+    w, e = F.col("lon") - 0.3, F.col("lon") + 0.3
+    boxes = A.points(spark, d).select("point_id", F.when(w < -180, w + 360).otherwise(w).alias("w"), (F.col("lat") - 0.2).alias("s"), F.when(e > 180, e - 360).otherwise(e).alias("e"), (F.col("lat") + 0.2).alias("n"))
+    return C.tiles_of_bounds(boxes, "w", "s", "e", "n", 9).select("point_id", "z", "x", "y")
+
+
 def mercator_footprint(spark, d):
     ring = A.cover(spark, d).distinct().select("z", "x", "y", F.posexplode(sinks.mercator_footprint()[0]).alias("corner", "p"))
     return ring.select("z", "x", "y", "corner", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
@@ -258,7 +265,7 @@ _IDY = "greatest(least(floor((0.5::double - ln((1 + sin(radians(greatest(least({
 QUERIES = {name: _layout(s) for name, s in {**LAYOUTS, "tile_layout_meters": METERS}.items()} | {
     f.__name__: f
     for f in (
-        tile_count_closed_form, debug_first_k_tiles, tile_transform, tile_bounds, tile_paths, tile_path_parse, files_minus_ignored, paired_files, natural_sort_key, mercator_index, mercator_bounds, mercator_tiles_of_bbox,
+        tile_count_closed_form, debug_first_k_tiles, tile_transform, tile_bounds, tile_paths, tile_path_parse, files_minus_ignored, paired_files, natural_sort_key, mercator_index, mercator_bounds, mercator_tiles_of_bbox, mercator_tiles_of_bbox_wrapped,
         mercator_footprint, lonlat_to_3857, utm_round_trip, cover_distinct, cover_zoom_in, cover_zoom_out, cover_extent, cover_split, cover_semi_join, cover_csv_roundtrip, tile_json_roundtrip, pixel_coordinates, dissolve_edges, neighbors, surrounded_tiles, border_pixels,
         tiling_statistics, tiling_statistics_rollup, ratio_comment, tiling_metadata, reprojected_bounds, gcp_transform, mercator_tile_pixel_size,
     )
@@ -280,6 +287,10 @@ ORACLE_SQL = {name: f"{_layout_sql(s)} select * from tiles" for name, s in {**LA
     "mercator_tiles_of_bbox": f"""with {B.POINTS}, b as (select point_id, lon - 0.3::double w, lat - 0.2::double s, least(lon + 0.3::double, 179.9::double) e, lat + 0.2::double n from points),
         r as (select point_id, {_IDX.format(lon='w', n=512)} x0, {_IDX.format(lon='(e - 1e-11::double)', n=512)} x1, {_IDY.format(lat='n', n=512)} y0, {_IDY.format(lat='(s + 1e-11::double)', n=512)} y1 from b where w >= -180)
         select point_id, 9 z, x::int x, y::int y from r, generate_series(x0, greatest(x0, x1)) gx(x), generate_series(y0, greatest(y0, y1)) gy(y)""",
+    "mercator_tiles_of_bbox_wrapped": f"""with {B.POINTS}, b as (select point_id, case when lon - 0.3::double < -180 then lon - 0.3::double + 360 else lon - 0.3::double end w, lat - 0.2::double s, case when lon + 0.3::double > 180 then lon + 0.3::double - 360 else lon + 0.3::double end e, lat + 0.2::double n from points),
+        p as (select point_id, s, n, {_IDX.format(lon='w', n=512)} x0, case when w <= e then {_IDX.format(lon='(e - 1e-11::double)', n=512)} else 511 end x1 from b union all select point_id, s, n, 0, {_IDX.format(lon='(e - 1e-11::double)', n=512)} from b where w > e),
+        r as (select point_id, x0, x1, {_IDY.format(lat='n', n=512)} y0, {_IDY.format(lat='(s + 1e-11::double)', n=512)} y1 from p)
+        select point_id, 9 z, x::int x, y::int y from r, generate_series(x0, greatest(x0, x1)) gx(x), generate_series(y0, greatest(y0, y1)) gy(y)""",
     "mercator_footprint": f"""with {B.COVER}, e as (select *, round({_WEST}, 6) w, round((x + 1) / 1024.0::double * 360 - 180, 6) e, round({_NORTH.format(y='y')}, 6) n, round({_NORTH.format(y='(y + 1)')}, 6) s from cov)
         select z, x, y, c::int corner, case when c in (0, 1, 4) then w else e end lon, case when c in (1, 2) then n else s end lat from e, generate_series(0, 4) g(c)""",
     "lonlat_to_3857": f"with {B.POINTS} select point_id, round(radians(lon) * 6378137, 4) x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 4) y from points",

@@ -48,6 +48,14 @@ def test_tiles_of_every_raster_meet_polygons(spark, sf):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_boxes_across_the_antimeridian_have_both_sides(spark, tmp_path):
+    inverse = pow(7919, -1, 360000)
+    keys = [100 * inverse % 360000, 359900 * inverse % 360000]  # longitudes -179.9 and 179.9
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    found = {(r["point_id"], r["x"]) for r in registry.QUERIES["mercator_tiles_of_bbox_wrapped"](spark, str(tmp_path)).collect()}
+    assert found == {(k, x) for k in keys for x in (0, 511)}
+
+
 def test_entry(spark):
     import __spark_entry__
 
