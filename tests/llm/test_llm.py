@@ -204,9 +204,8 @@ def test_toxicity_held_out_accuracy(spark):
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
-    right = np.mean([r["predicted"] == r["toxic"] for r in rows])
     toxic, clean = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
-    assert right > 0.94
+    assert np.mean(np.array(toxic) >= 0.5) > 0.88 and np.mean(np.array(clean) < 0.5) > 0.98
     assert np.mean([[(a > b) + 0.5 * (a == b) for b in clean] for a in toxic]) > 0.8
 
 
@@ -219,6 +218,41 @@ def test_toxicity_features():
     assert toxicity.features("") == [0.0] * len(toxicity.FEATURES)
 
 
+def test_toxicity_features_without_length_switches():
+    at = toxicity.FEATURES.index
+    long = "supercalifragilisticexpialidocious" * 3
+    lexicon = toxicity.Lexicon({long.encode() + b" ": 5.0})
+    for text in (f"what {long.replace('o', '0')} is", f"{long[:40]}*{long[41:]} there", f"{long} you"):
+        assert toxicity.features(text, lexicon)[at("disguised")] + toxicity.features(text, lexicon)[at("learnt_strong")] > 0, text[:50]
+
+
+def test_toxicity_features_against_plain_counting():
+    lexicon = toxicity.Lexicon({b"vequ": 4.0, b"plonk ": 3.0, b"and ": 0.6})
+    text = "You plonk AND plonk, vequoir!! 12 é\nvequ and you see nothing idiot"
+    words = re.sub(r"[!-/:-@\[-`{-~]", " ", text).replace("AND", "and").replace("You", "you").split()
+    plain = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon), strict=True))
+    assert plain["log_words"] == pytest.approx(np.log(len(words) + 1))
+    assert plain["lexicon"] == pytest.approx(100 * words.count("idiot") / len(words))
+    assert plain["learnt_strong"] == pytest.approx(100 * (words.count("plonk") + sum(w.startswith("vequ") for w in words)) / len(words))
+    assert plain["learnt_weak"] == pytest.approx(100 * words.count("and") / len(words)) and plain["learnt_middle"] == 0 and plain["learnt_most"] == 4.0
+    you = [i for i, w in enumerate(words) if w == "you"]
+    bad = [i for i, w in enumerate(words) if w in ("idiot", "plonk") or w.startswith("vequ")]
+    assert plain["near_second_person"] == pytest.approx(100 * sum(min(abs(i - j) for j in you) <= toxicity.NEAR for i in bad) / len(words))
+    assert plain["distinct_lexicon"] == 1 and plain["learnt_distinct"] == 4 and plain["exclamation"] == 2 / len(text.encode())
+    assert plain["repetition"] == pytest.approx(1 - len(set(words)) / len(words)) and plain["capitals"] == pytest.approx(4 / sum(c.isascii() and c.isalpha() for c in text))
+
+
+def test_toxicity_lexicon_is_learnt(spark):
+    rows = [(i, f"zorbula{i % 7} word{i % 5} stays" if i % 4 == 0 else f"calm word{i % 5} stays", float(i % 4 == 0), i % 3 + 1) for i in range(240)]
+    found = toxicity.learn_lexicons(spark.createDataFrame(rows, "doc_id long, text string, label double, fold int"))
+    assert set(found) == {0, 1, 2, 3}
+    for lexicon in found.values():
+        assert lexicon.learnt[b"zorbula"] >= toxicity.WEIGHT_BANDS[-1] and b"word1 " not in lexicon.learnt and b"calm " not in lexicon.learnt
+    n = sum(r[2] for r in rows)
+    weight = np.log((n + 0.5) / (n + 1)) - np.log(0.5 / (240 - n + 1)) - toxicity.DOUBT * np.sqrt(1 / (n + 0.5) + 1 / 0.5)
+    assert found[0].learnt[b"zorbula"] == pytest.approx(weight)
+
+
 def test_toxicity_odd_rows(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
