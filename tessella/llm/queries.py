@@ -45,13 +45,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-def _bpe_digest(encoded: DataFrame) -> DataFrame:
-    out = byte_bpe.decode(encoded, BPE_RANKS, public_tokenizers.PATTERN)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    return _bpe_digest(byte_bpe.encode(docs, BPE_RANKS, public_tokenizers.PATTERN))
+    out = byte_bpe.round_trip(docs, BPE_RANKS, public_tokenizers.PATTERN)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -386,7 +386,9 @@ def test_bpe_equals_library(library, bpe):
 
 
 def test_bpe_cache_limits(library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "KEPT", 3)
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 600)
+    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 90)
+    monkeypatch.setattr(byte_bpe, "CHUNK", 7)
     with open(queries.BPE_RANKS, "rb") as f:
         small = byte_bpe.ByteBPE(f.read().splitlines(), public_tokenizers.PATTERN)
     for text in random_texts(60, 3):
@@ -394,6 +396,16 @@ def test_bpe_cache_limits(library, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_batch(pair)] == [library.encode_ordinary(t) for t in pair]
 
 
+def test_bpe_long_pieces(library, bpe):
+    # Leaves of any piece that memory can hold fit 64 bits.
+    assert int(bpe.none) * 2**46 < 2**63
+    pieces = [b"a" * 150_001, bytes(random.Random(5).choices(b"aeinrst", k=60_001)), b"ab" * 20_000]
+    for piece in pieces:
+        assert bpe.merge([piece])[0].tolist() == library.encode_ordinary(piece.decode())
+    for one, two in zip(bpe.merge(pieces[2:] * byte_bpe.SIDE_BY_SIDE), bpe.merge(pieces[2:]) * byte_bpe.SIDE_BY_SIDE, strict=True):
+        assert one.tolist() == two.tolist()
+
+
 def test_bpe_query(spark, sf, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -404,6 +416,8 @@ def test_bpe_query(spark, sf, library):
     for i, t in enumerate(ODD_TEXTS):
         assert odd[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     assert queries.bpe_digests(empty_documents(spark)).count() == 0
+    apart = byte_bpe.decode(byte_bpe.encode(odd_documents(spark), queries.BPE_RANKS, public_tokenizers.PATTERN), queries.BPE_RANKS, public_tokenizers.PATTERN)
+    assert {tuple(r) for r in apart.collect()} == {tuple(r) for r in byte_bpe.round_trip(odd_documents(spark), queries.BPE_RANKS, public_tokenizers.PATTERN).collect()}
 
 
 # MinHash near-dedup
