@@ -1,29 +1,34 @@
 """MinHash near-dedup by weighted shingles (operator 9).
 
-Documents are multisets of five-word shingles. A shingle weighs 1 + ln(count in
-the document) times a damped inverse document frequency over the whole corpus.
-Improved consistent weighted sampling draws ROWS * BANDS samples of each; two
-documents share a sample with the probability of their weighted Jaccard
-similarity. Documents that share a band's samples are candidates, and a
-candidate pair becomes a link only when its weighted Jaccard similarity,
-computed from both whole texts, reaches the threshold.
-
-Document frequency. Only shingles in at least RARE of all documents weigh less
-than 1 (before their count), so only these are needed later. There are at most
-(shingles in a mean document) / RARE of them, whatever the corpus' size, which
-is why they may be broadcast. The counts themselves are exact and made by a
-shuffle of all shingles' hashes, packed in sorted blocks.
+Documents are multisets of five-word shingles. Improved consistent weighted
+sampling draws ROWS * BANDS samples of each by its TF-IDF weights: 1 + ln(count
+in the document) times an inverse document frequency between DAMP and 1.
+Documents that share a band's samples are candidates, and a candidate pair
+becomes a link only when its weighted Jaccard similarity, computed from both
+whole texts, reaches the threshold. There a shingle weighs 1 + ln(count): the
+threshold says how alike two texts are, whatever else the corpus holds. With
+the inverse document frequency in it, thousands of near copies would stop being
+near copies of each other, because what they share would be the commonest.
+
+Recall of the bands. A pair of similarity s has a TF-IDF similarity of at least
+s * DAMP / (s * DAMP + 1 - s), 0.667 at the threshold, if each shared shingle
+stands in every document. It then shares a band with probability 0.996, and
+with 0.99999 if the shared shingles are rare.
+
+Document frequency. Only shingles in at least `least` documents weigh less than
+1 (before their count), so only these are needed later. least is RARE of the
+documents, or more if that is needed for at most MOST_FREQUENT such shingles;
+that bounds the table which is broadcast. The counts themselves are exact and
+made by a shuffle of all shingles' hashes, packed in sorted blocks.
 
 Groups. Documents with equal shingle multisets are one class at once and go on
 as one representative. First each member of a bucket is compared with one hub,
 the member that meets most others over all bands (an original meets more of its
-copies than these meet each other). Buckets that hold several components
-afterwards are compared further: those of up to SMALL members in all pairs
-across components, larger ones with HUBS hubs. What is then still apart in a
-larger bucket is settled by a prefix-filter join on rare shingles with the
-members of all other components there (see _prefix_pairs), which passes no
-pair at the threshold over. So each pair that shares a band ends in one
-component or is below the threshold, and no bucket is capped.
+copies than these meet each other). What is then still apart from the largest
+component of a bucket is settled by a prefix-filter join on rare shingles with
+the members of all such buckets (see _prefix_pairs), which passes no pair at
+the threshold over. So each pair that shares a band ends in one component or is
+below the threshold, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -33,16 +38,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import persist, small_batches, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8**5)**20 = 0.9996.
-ROWS, BANDS = 5, 20
-RARE, DAMP = 0.0005, 0.9
-SMALL, HUBS = 64, 16
+ROWS, BANDS = 4, 25
+RARE, DAMP = 0.0005, 0.5
+#: Entries of the table of frequent shingles that is broadcast, 20 bytes each.
+MOST_FREQUENT = 2_000_000
+#: Bytes of a text whose words are hashed at once, and of shingle vectors that a worker keeps.
+WINDOW, KEPT_BYTES = 1 << 20, 16 << 20
 #: Shingles that a task sorts at once.
 BLOCK_SHINGLES = 1_000_000
 SEED = 20_011
@@ -69,7 +77,7 @@ class _Rolling:
     place = _mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
     def __init__(self):
-        self.grow(1 << 16)
+        self.grow(1 << 17)
 
     def grow(self, n: int) -> None:
         self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, np.uint64(b), np.uint64)])) for b in (self.base, self.inverse))
@@ -80,6 +88,19 @@ def _rolling() -> _Rolling:
     return _Rolling()
 
 
+def _word_hashes(codes: np.ndarray) -> np.ndarray:
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = codes != 32
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    roll = _rolling()
+    if len(codes) > len(roll.up):
+        roll.grow(2 * len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(roll.byte[codes] * roll.up[: len(codes)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * roll.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 64-bit hashes of the text's shingles, and their counts.
 
@@ -91,19 +112,20 @@ def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(raw.translate(_FOLD), np.uint8)
     if not (codes != 32).any():
         codes = np.frombuffer(raw.translate(_SPACES), np.uint8)
-    inside = np.zeros(len(codes) + 2, np.int8)
-    inside[1:-1] = codes != 32
-    edges = np.flatnonzero(np.diff(inside))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
+    found, at = [], 0
+    while at < len(codes):
+        end = at + WINDOW
+        if end < len(codes):  # a window ends at white space
+            gaps = np.flatnonzero(codes[at:end] == 32)
+            after = np.flatnonzero(codes[end:] == 32) if not len(gaps) else gaps
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end + int(after[0]) + 1 if len(after) else len(codes)
+        found.append(_word_hashes(codes[at:end]))
+        at = end
+    word = np.concatenate(found) if found else np.empty(0, np.uint64)
+    if not len(word):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    roll = _rolling()
-    if len(codes) > len(roll.up):
-        roll.grow(2 * len(codes))
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(roll.byte[codes] * roll.up[: len(codes)], out=sums[1:])
-    word = _mix((sums[ends] - sums[starts]) * roll.down[starts] + (ends - starts).astype(np.uint64))
     n = max(1, len(word) - words + 1)
+    roll = _rolling()
     joined = np.zeros(n, np.uint64)
     for i in range(min(words, len(word))):
         joined += word[i : i + n] * roll.place[i % WORDS] + np.uint64(i)
@@ -159,29 +181,49 @@ def _frequent_in(least: int):
     return frequent
 
 
+def least_documents(n_docs: int, n_bytes: int) -> int:
+    """From so many documents on a shingle is frequent; a text has at most half as many shingles as bytes, plus one."""
+    return max(2, int(np.ceil(RARE * n_docs)), int(np.ceil((n_bytes / 2 + n_docs) / MOST_FREQUENT)))
+
+
 def frequent_shingles(docs: DataFrame, n_docs: int, n_bytes: int, text: str = "text") -> DataFrame:
-    """hash, n: the exact document frequency of every shingle in at least RARE of the n_docs documents."""
+    """hash, n: the exact document frequency of every shingle in at least least_documents(n_docs, n_bytes) documents."""
     bits = min(24, max(7, (n_bytes // 6 // 1_000_000).bit_length()))
     blocks = docs.select(text_or_empty(text).alias("body")).mapInPandas(lambda it: _blocks(it, bits), "block long, hashes binary, counts binary")
-    return blocks.groupBy("block").applyInPandas(_frequent_in(max(2, int(np.ceil(RARE * n_docs)))), "hash long, n long")
+    return blocks.groupBy("block").applyInPandas(_frequent_in(least_documents(n_docs, n_bytes)), "hash long, n long")
+
+
+def by_count(counts: np.ndarray) -> np.ndarray:
+    """Sublinear in the count, so that a passage repeated hundreds of times does not outweigh the rest of a text."""
+    return 1.0 + np.log(counts)
 
 
 class Weights:
-    """Damped inverse document frequency: 1 for rare shingles, down to DAMP for one in every document."""
+    """Inverse document frequency from 1 for shingles in at most `least` documents down to DAMP for one in every document."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_docs: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_docs: int, least: int):
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        spread = np.log(max(1, n_docs) / np.maximum(1, counts[order])) / np.log(1 / RARE)
-        self.weights = DAMP + (1 - DAMP) * np.clip(spread, 0, 1)
+        self.hashes, self.counts = hashes[order], counts[order]
+        spread = np.log(max(1, n_docs) / np.maximum(1, self.counts)) / max(1e-9, np.log(max(1, n_docs) / least))
+        self.inverse = (DAMP + (1 - DAMP) * np.clip(spread, 0, 1)).astype(np.float32)
+
+    def _held(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        return at, self.hashes[at] == found
 
     def of(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Sublinear in the count, so that a passage repeated hundreds of times does not outweigh the rest of a text."""
-        often = 1.0 + np.log(counts)
+        """The TF-IDF weights of a document's shingles."""
         if not len(self.hashes):
-            return often
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        return often * np.where(self.hashes[at] == found, self.weights[at], 1.0)
+            return by_count(counts)
+        at, held = self._held(found)
+        return by_count(counts) * np.where(held, self.inverse[at], 1.0)
+
+    def documents(self, found: np.ndarray) -> np.ndarray:
+        """Document frequencies, 0 for those that are not frequent."""
+        if not len(self.hashes):
+            return np.zeros(len(found), np.int64)
+        at, held = self._held(found)
+        return np.where(held, self.counts[at], 0)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -255,56 +297,69 @@ def _sampler() -> Sampler:
     return Sampler()
 
 
-def _signed(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
-    """doc_id, content (two hashes of the weighted shingles), bands."""
-    weights, sampler = shared.value, _sampler()
-
-    def flush(ids, found) -> pd.DataFrame:
-        full = [i for i, (h, _) in enumerate(found) if len(h)]
-        bands: list = [None] * len(found)
-        first: list = [None] * len(found)
-        second: list = [None] * len(found)
-        if full:
-            sizes = np.array([len(found[i][0]) for i in full])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            hashes = np.concatenate([found[i][0] for i in full])
-            counts = np.concatenate([found[i][1] for i in full])
-            own = _mix(hashes + _mix(counts.astype(np.uint64)))
-            for i, key, a, b in zip(full, band_keys(sampler.sample(hashes, weights.of(hashes, counts), starts)).view(np.int64), np.add.reduceat(own, starts).view(np.int64), np.add.reduceat(_mix(own ^ _M2), starts).view(np.int64), strict=True):
-                bands[i], first[i], second[i] = key, a, b
-        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64"), "content1": pd.Series(first, dtype="Int64"), "content2": pd.Series(second, dtype="Int64"), "bands": pd.Series(bands, dtype=object)})
-
-    ids, found, size = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["body"], strict=True):
-            ids.append(doc_id)
-            found.append(shingles(text))
-            size += len(found[-1][0])
+_SIGNATURE = T.StructType([T.StructField("content1", T.LongType()), T.StructField("content2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+
+def _signer(shared):
+    """A column function: two hashes of the weighted shingles, and the bands' keys; nulls for a text without words."""
+
+    def signed(texts: list[str]) -> list[tuple]:
+        weights, sampler = shared.value, _sampler()
+        out: list[tuple] = []
+        held: list[tuple] = []
+
+        def flush() -> None:
+            full = [x for x in held if len(x[0])]
+            rows = iter(())
+            if full:
+                starts = np.concatenate([[0], np.cumsum([len(h) for h, _ in full])[:-1]])
+                hashes, counts = np.concatenate([h for h, _ in full]), np.concatenate([n for _, n in full])
+                own = _mix(hashes + _mix(counts.astype(np.uint64)))
+                keys = band_keys(sampler.sample(hashes, weights.of(hashes, counts), starts)).view(np.int64)
+                rows = zip(np.add.reduceat(own, starts).view(np.int64).tolist(), np.add.reduceat(_mix(own ^ _M2), starts).view(np.int64).tolist(), keys, strict=True)
+            out.extend(next(rows) if len(h) else (None, None, None) for h, _ in held)
+            held.clear()
+
+        size = 0
+        for text in texts:
+            held.append(shingles(text))
+            size += len(held[-1][0])
             if size > 60_000:
-                yield flush(ids, found)
-                ids, found, size = [], [], 0
-    if ids:
-        yield flush(ids, found)
+                flush()
+                size = 0
+        flush()
+        return out
 
+    @F.pandas_udf(_SIGNATURE)
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            one, two, bands = zip(*signed(texts.tolist()), strict=True) if len(texts) else ((), (), ())
+            yield pd.DataFrame({"content1": pd.Series(one, dtype="Int64"), "content2": pd.Series(two, dtype="Int64"), "bands": pd.Series(bands, dtype=object)})
 
-def _verified(batches: Iterator[pd.DataFrame], shared, threshold: float) -> Iterator[pd.DataFrame]:
-    weights = shared.value
+    return column
+
+
+def _verified(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     cached: dict[int, tuple] = {}
+    size = 0
 
-    def vector(doc_id, text):
-        if doc_id not in cached:
-            if len(cached) > 64:
-                cached.clear()
+    def vector(rep, text):
+        nonlocal size
+        if rep not in cached:
             h, n = shingles(text)
-            cached[doc_id] = h, weights.of(h, n)
-        return cached[doc_id]
+            if size + 16 * len(h) > KEPT_BYTES:
+                cached.clear()
+                size = 0
+            size += 16 * len(h)
+            cached[rep] = h, by_count(n)
+        return cached[rep]
 
     for batch in batches:
         kept = []
-        for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
+        for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
             hub = vector(b, text_b)
             h, n = shingles(text_a)
-            kept.append(similarity((h, weights.of(h, n)), hub) >= threshold - 1e-9)
+            kept.append(similarity((h, by_count(n)), hub) >= threshold - 1e-9)
         yield batch.loc[kept, ["a", "b"]]
 
 
@@ -327,147 +382,123 @@ def components(links: DataFrame, pairs: tuple[str, str] = ("a", "b")) -> DataFra
             return labels
 
 
-def _exploded(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
-    """rep, version (tells different texts of a doc_id apart), hash, weight, total: a row for each shingle."""
-    weights = shared.value
-
-    def flush(held) -> pd.DataFrame:
-        sizes = [len(h) for _, _, h, _ in held]
-        column = lambda values: np.repeat(values, sizes)
-        return pd.DataFrame({
-            "rep": column([r for r, *_ in held]), "version": column([v for _, v, *_ in held]), "hash": np.concatenate([h for *_, h, _ in held]).view(np.int64),
-            "weight": np.concatenate([w for *_, w in held]), "total": column([w.sum() for *_, w in held]),
-        })
-
-    held, size = [], 0
+def _prefixes(batches: Iterator[pd.DataFrame], shared, threshold: float) -> Iterator[pd.DataFrame]:
+    """A row for each shingle of a text's prefix: rep, label, is_apart, hash, before, total, lesser."""
+    names = ["rep", "label", "is_apart", "hash", "before", "total", "lesser"]
+    slack = 1e-6
     for batch in batches:
-        for rep, version, text in zip(batch["doc_id"], batch["version"], batch["body"], strict=True):
+        rows = []
+        for rep, label, is_apart, text in zip(batch["rep"], batch["label"], batch["is_apart"], batch["body"], strict=True):
             h, n = shingles(text)
-            if len(h):
-                held.append((rep, version, h, weights.of(h, n)))
-                size += len(h)
-            if size > 60_000:
-                yield flush(held)
-                held, size = [], 0
-    if held:
-        yield flush(held)
+            order = np.lexsort((h, shared.value.documents(h)))
+            weight = by_count(n)[order]
+            total = float(weight.sum())
+            before = np.cumsum(weight) - weight
+            upto = int(np.searchsorted(before, (1 - threshold + slack) * total, "right"))
+            lesser = before[:upto] <= ((1 - threshold) / (1 + threshold) + slack) * total
+            rows.append(pd.DataFrame({"rep": rep, "label": label, "is_apart": is_apart, "hash": h[order][:upto].view(np.int64), "before": before[:upto], "total": total, "lesser": lesser}))
+        yield pd.concat(rows)[names] if rows else pd.DataFrame(columns=names)
 
 
 def _prefix_pairs(members: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """a, b: pairs across components, among them every one at the threshold that shares a bucket.
 
-    A text's shingles are ordered by the number of members that have them,
+    A text's shingles are ordered by their document frequency in the corpus,
     rarest first. What two texts share is at most what either weighs from their
     first common shingle on, and at the threshold t at least t / (1 + t) of
     both weights together. So that shingle stands within the first 1 - t of
-    either weight, and within the first (1 - t) / (1 + t) of the lesser one.
-    One end of each pair is apart from its bucket's largest component.
+    the greater text's weight, and within the first (1 - t) / (1 + t) of the
+    lesser one's. Texts that share only frequent passages and are below the
+    threshold have their own words there, so they do not meet. One end of each
+    pair is apart from its bucket's largest component.
     """
-    sized = members.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
-    top = sized.groupBy("band", "key").agg(F.max_by("label", F.struct("size", "label")).alias("top"))
-    apart = members.join(top, ["band", "key"]).where("label <> top").select(F.col("rep").alias("apart")).distinct()
+    sized = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    top = persist(sized.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top")), narrow=True)
+    apart = members.join(top, "key").where("label <> top").select(F.col("rep").alias("apart")).distinct()
     labelled = persist(members.select("rep", "label").distinct().join(apart, F.col("rep") == F.col("apart"), "left").select("rep", "label", F.col("apart").isNotNull().alias("is_apart")), narrow=True)
-    held = texts.join(labelled, texts["doc_id"] == labelled["rep"], "left_semi").distinct().select("doc_id", F.xxhash64("body").alias("version"), "body")
-    every = persist(held.mapInPandas(lambda it: _exploded(it, shared), "rep long, version long, hash long, weight double, total double"))
-    spread = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("rep", "version").orderBy("n", "hash").rowsBetween(Window.unboundedPreceding, -1)
-    placed = every.join(spread, "hash").withColumn("before", F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-    slack = 1e-6
-    prefix = placed.where((F.col("n") > 1) & (F.col("before") <= (1 - threshold + slack) * F.col("total")))
-    prefix = persist(prefix.select("rep", "hash", "before", "total").join(labelled, "rep"))
-    one = prefix.where("is_apart").select("hash", F.col("rep").alias("x"), F.col("label").alias("label_x"), F.col("before").alias("before_x"), F.col("total").alias("total_x"))
-    two = prefix.select("hash", F.col("rep").alias("y"), F.col("label").alias("label_y"), F.col("before").alias("before_y"), F.col("total").alias("total_y"))
-    least = (threshold / (1 + threshold) - slack) * (F.col("total_x") + F.col("total_y"))
+    rows = texts.join(labelled, "rep").select("rep", "label", "is_apart", "body").repartition("rep")
+    prefix = persist(rows.mapInPandas(lambda it: _prefixes(it, shared, threshold), "rep long, label long, is_apart boolean, hash long, before double, total double, lesser boolean"))
+    one = prefix.where("lesser").select("hash", *[F.col(c).alias(f"{c}_x") for c in ("rep", "label", "is_apart", "before", "total")])
+    two = prefix.select("hash", *[F.col(c).alias(f"{c}_y") for c in ("rep", "label", "is_apart", "before", "total")])
+    least = (threshold / (1 + threshold) - 1e-6) * (F.col("total_x") + F.col("total_y"))
     enough = F.least(F.col("total_x") - F.col("before_x"), F.col("total_y") - F.col("before_y")) >= least
-    return one.join(two, "hash").where((F.col("label_x") != F.col("label_y")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    across = (F.col("label_x") != F.col("label_y")) & (F.col("is_apart_x") | F.col("is_apart_y")) & (F.col("total_x") <= F.col("total_y") * (1 + 1e-9))
+    return one.join(two, "hash").where(across & enough).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def _share(spark: SparkSession, docs: DataFrame, text: str):
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_or_empty(text))), F.lit(0)).alias("bytes")).first()
-    # At most (mean shingles of a document) / RARE rows, see the module's notes.
+    # At most MOST_FREQUENT rows, see least_documents.
     found = frequent_shingles(docs, size["n"], size["bytes"], text).toPandas()
-    return spark.sparkContext.broadcast(Weights(found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), size["n"]))
+    weights = Weights(found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), size["n"], least_documents(size["n"], size["bytes"]))
+    return spark.sparkContext.broadcast(weights)
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id for every row of docs; class_id: the least doc_id of the class.
-
-    A class is a connected component of links of weighted Jaccard similarity
-    of at least threshold. Null texts are empty; texts without words are alone,
-    each in its own class. A null doc_id has a null class and links nothing.
-    Rows that repeat a doc_id are one document if their texts are alike; if
-    not, they stand under the least class of these. Empty table: no rows. Other
-    columns are not read.
-    """
+def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str, carried: Column) -> DataFrame:
+    """uid, row (the struct carried, which holds text), doc_id, keep (doc_id and uid of the row that stands for the class) for every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = _share(spark, docs, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("body"))
-    signed = persist(rows.mapInPandas(lambda it: _signed(it, shared), "doc_id long, content1 long, content2 long, bands array<long>"))
-    usable = signed.where("doc_id is not null and content1 is not null")
+    sign = _signer(shared)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), sign(text_or_empty(text)).alias("signature"), carried.alias("row"))
+    # Written once: from here on a row is known by its uid, whatever its doc_id.
+    signed = persist(rows.select("uid", "doc_id", "row", "signature.*"))
+    body = F.coalesce(F.col("row").getField(text).cast("string"), F.lit("")).alias("body")
     same = ["content1", "content2"]
-    reps = persist(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
-
-    held = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    members = persist(_shared_buckets(held), narrow=True)
-    links = labels = None
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "uid")
+    reps = persist(signed.where("content1 is not null").groupBy(*same).agg(F.min(own).alias("pick"), F.min_by("bands", "uid").alias("bands")).select(F.col("pick.uid").alias("rep"), "pick", *same, "bands"))
+
+    held = reps.select("rep", F.explode("bands").alias("key"))
+    # Written before it is joined: a crowded bucket can then be split among tasks.
+    several = persist(held.groupBy("key").agg(F.count("rep").alias("n")).where("n > 1"), narrow=True)
+    members = persist(held.join(several, "key"), narrow=True)
+    labels = None
     if not members.isEmpty():
         degree = persist(members.groupBy("rep").agg(F.sum("n").alias("degree")), narrow=True)
-        texts = persist(rows.where("doc_id is not null").join(degree.select("rep"), rows["doc_id"] == F.col("rep"), "left_semi"))
-        verify = lambda pairs: persist(_pair_texts(pairs, texts).mapInPandas(lambda it: _verified(it, shared, threshold), "a long, b long"))
-        first = members.join(degree, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub"))
-        links = verify(members.join(first, ["band", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-        labels = components(links)
-    open_members = None if links is None else persist(_unsettled(members, labels), narrow=True)
-    if open_members is not None and not open_members.isEmpty():
-        small, large = open_members.where(F.col("n") <= SMALL), open_members.where(F.col("n") > SMALL)
-        other = small.select("band", "key", F.col("rep").alias("b"), F.col("label").alias("other"))
-        close = small.join(other, ["band", "key"]).where("rep < b and label <> other").select(F.col("rep").alias("a"), "b")
-        by_degree = Window.partitionBy("band", "key").orderBy(F.col("degree").desc(), "rep")
-        hubs = persist(large.join(degree, "rep").withColumn("place", F.row_number().over(by_degree)).where(F.col("place") <= HUBS).select("band", "key", F.col("rep").alias("b"), F.col("label").alias("other")), narrow=True)
-        far = large.join(hubs, ["band", "key"]).where("rep <> b and label <> other").select(F.col("rep").alias("a"), "b")
-        links = links.union(verify(close.union(far).distinct()))
+        texts = persist(signed.select(F.col("uid").alias("rep"), body).join(degree.select("rep"), "rep", "left_semi"))
+        verify = lambda pairs: persist(_pair_texts(pairs, texts).mapInPandas(lambda it: _verified(it, threshold), "a long, b long"))
+        hubs = persist(members.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub")), narrow=True)
+        links = verify(members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
         labels = components(links)
-        left = persist(_unsettled(large.drop("label"), labels), narrow=True)
+        left = persist(_unsettled(members.drop("n"), labels), narrow=True)
         if not left.isEmpty():
-            links = links.union(verify(_prefix_pairs(left, texts, shared, threshold)))
-            labels = components(links)
-    if links is None:
-        joined = reps.select("rep", F.col("rep").alias("label"), *same)
-    else:
-        joined = reps.join(labels, reps["rep"] == labels["node"], "left").select("rep", F.coalesce("label", "rep").alias("label"), *same)
-    out = signed.select("doc_id", *same).join(joined.select(*same, "label"), same, "left")
-    return out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+            labels = components(links.union(verify(_prefix_pairs(left, texts, shared, threshold))))
+    joined = reps.select(F.col("rep").alias("node"), *same, "pick") if labels is None else reps.select("rep", *same, "pick").join(labels, reps["rep"] == labels["node"], "left").select(F.coalesce("label", "rep").alias("node"), *same, "pick")
+    best = joined.groupBy("node").agg(F.min("pick").alias("keep"))
+    kept = joined.select("node", *same).join(best, "node").select(*same, "keep")
+    return signed.join(kept, same, "left").select("uid", "row", "doc_id", F.coalesce(F.col("keep"), own).alias("keep"))
 
 
-def _shared_buckets(held: DataFrame) -> DataFrame:
-    """The rows whose bucket holds several representatives, with their number n."""
-    several = held.groupBy("band", "key").agg(F.count("rep").alias("n")).where("n > 1")
-    return held.join(several, ["band", "key"])
-
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id for every row of docs; class_id: the least doc_id of the class.
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members with the label of their component; one without links is its own."""
-    return members.join(labels, members["rep"] == labels["node"], "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+    A class is a connected component of links of weighted Jaccard similarity
+    of at least threshold. Null texts are empty; texts without words are alone,
+    each in its own class. Rows that repeat a doc_id are judged each by its own
+    text. Rows with a null doc_id take part; a class of such rows alone has a
+    null class_id. Empty table: no rows. Other columns are not read.
+    """
+    return _classes(docs, threshold, doc_id, text, F.struct(F.col(text))).select("doc_id", F.col("keep.doc_id").alias("class_id"))
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with their labels."""
-    marked = _labelled(members, labels)
-    several = marked.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return marked.join(several.select("band", "key"), ["band", "key"], "left_semi")
+    """The members of buckets that hold several components, with the labels of these; a member without links is its own."""
+    marked = persist(members.join(labels, members["rep"] == labels["node"], "left").select("rep", "key", F.coalesce("label", "rep").alias("label")), narrow=True)
+    several = persist(marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), narrow=True)
+    return marked.join(several, "key", "left_semi")
 
 
 def _pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("body").alias("text_a"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("body").alias("text_b"))
+    ta = texts.select(F.col("rep").alias("a"), F.col("body").alias("text_a"))
+    tb = texts.select(F.col("rep").alias("b"), F.col("body").alias("text_b"))
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
 
 
-def near_distinct(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with its columns: of each class the document with the least doc_id.
+def near_distinct(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay, with its columns: of each class one row, that with the least doc_id.
 
-    What goes is joined; its table of ids is broadcast if it is small.
+    Among rows that repeat it any one of them, and of a class without ids any
+    row. Texts without words all stay. See near_classes for other odd rows.
     """
-    gone = persist(near_classes(docs, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    classes = _classes(docs, threshold, doc_id, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return classes.where(F.col("uid") == F.col("keep.uid")).select("row.*")

@@ -423,14 +423,21 @@ def test_bpe_query(spark, sf, library):
 # MinHash near-dedup
 
 
+def plain_grams(text):
+    """The five-word shingles of a text, by strings alone."""
+    fold = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    words = [fold(w) for w in re.findall(r"[a-zA-Z0-9\x7f-\U0010ffff]+", text)] or re.findall(r"[^\x20\x09-\x0d]+", text)
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def plain_vector(text):
+    return {g: 1 + np.log(n) for g, n in Counter(plain_grams(text)).items()}
+
+
 def brute_classes(docs, threshold=minhash.THRESHOLD):
-    """Classes from the weighted Jaccard similarity of all pairs."""
-    n_docs = len(docs)
-    sets = {i: minhash.shingles(t) for i, t in docs.items()}
-    df = Counter(x for h, _ in sets.values() for x in h.tolist())
-    rare = {x: n for x, n in df.items() if n >= max(2, int(np.ceil(minhash.RARE * n_docs)))}
-    weights = minhash.Weights(np.array(list(rare), np.uint64), np.array(list(rare.values()), np.int64), n_docs)
-    vectors = {i: dict(zip(h.tolist(), weights.of(h, c).tolist(), strict=True)) for i, (h, c) in sets.items()}
+    """Classes from the weighted Jaccard similarity of all pairs, without anything of the module's."""
+    vectors = {i: plain_vector(t) for i, t in docs.items()}
+    total = {i: sum(v.values()) for i, v in vectors.items()}
     parent = {i: i for i in docs}
 
     def root(i):
@@ -438,17 +445,15 @@ def brute_classes(docs, threshold=minhash.THRESHOLD):
             i = parent[i]
         return i
 
-    near = set()
     ids = sorted(docs)
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
+            if min(total[a], total[b]) < threshold * max(total[a], total[b]) - 1e-9 or not total[a] or root(a) == root(b):
+                continue
             u, v = vectors[a], vectors[b]
             low = sum(min(w, v[k]) for k, w in u.items() if k in v)
-            s = low / (sum(u.values()) + sum(v.values()) - low) if u and v else 0
-            near |= {(a, b)} if abs(s - threshold) < 1e-6 else set()
-            if s >= threshold:
+            if low / (total[a] + total[b] - low) >= threshold - 1e-9:
                 parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert not near
     return {i: root(i) for i in ids}
 
 
@@ -499,6 +504,35 @@ def test_near_classes_on_documents(spark, sf):
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_classes(docs).collect()} == brute_classes({r["doc_id"]: r["text"] for r in docs.collect()})
 
 
+def test_near_classes_of_passages_that_a_third_shares(spark):
+    """Texts of one passage and words of their own, below the threshold, and chains among them above it."""
+    draw = random.Random(17)
+    passage = " ".join(f"p{i}" for i in range(150))
+    docs = {i: passage + " " + " ".join(f"w{draw.randrange(10**9)}" for _ in range(draw.choice([20, 30, 45]))) for i in range(240)}
+    for i in range(60):
+        docs[len(docs)] = edited(docs[i * 3].split(), 5, draw)
+    docs |= {len(docs) + i: " ".join(f"x{draw.randrange(10**9)}" for _ in range(100)) for i in range(200)}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(7)
+    found, wanted = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(rows).collect()}, brute_classes(docs)
+    assert {i: (c, wanted[i]) for i, c in found.items() if c != wanted[i]} == {}
+
+
+def test_frequent_shingles_are_bounded():
+    for n_docs, n_bytes in ((10, 10**9), (10**7, 10**14), (10**9, 10**12)):
+        least = minhash.least_documents(n_docs, n_bytes)
+        assert (n_bytes / 2 + n_docs) / least <= minhash.MOST_FREQUENT and least >= minhash.RARE * n_docs
+
+
+def test_shingles_of_long_texts_do_not_depend_on_the_window(monkeypatch):
+    texts = ["".join(random.Random(i).choices("ab c, D\n", k=400)) + "z" * 300 + " end of it all now" for i in range(20)] + ["y" * 500, " " * 300, ""]
+    whole = [minhash.shingles(t) for t in texts]
+    monkeypatch.setattr(minhash, "WINDOW", 37)
+    for text, (hashes, counts) in zip(texts, whole, strict=True):
+        again = minhash.shingles(text)
+        assert again[0].tolist() == hashes.tolist() and again[1].tolist() == counts.tolist()
+        assert sorted(counts.tolist()) == sorted(Counter(plain_grams(text)).values())
+
+
 def test_document_frequencies_are_exact(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     df = Counter(x for r in docs.collect() for x in minhash.shingles(r["text"])[0].view(np.int64).tolist())
