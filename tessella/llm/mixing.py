@@ -9,7 +9,7 @@ its exact word: whole epochs first, then the documents up to the remainder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import SPACES, persist, text_or_empty
@@ -31,7 +31,9 @@ def source_targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     above goes to the others by weight. That ends where every target is
     min(most * size, level * weight): sources in order of their limit by
     weight, the first whose limit reaches the level of the rest fixes it.
-    One row a source is all that meets in a task here.
+    The sources' totals, one row each and none of their documents, meet in one
+    task; that is fine for sources that people weigh (up to some 100,000), not
+    for a column with a value of its own for each document.
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -53,17 +55,8 @@ def source_targets(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     return levels.select("source", "nth", "source_size", F.when(F.col("first").isNull() | (F.col("place") < F.col("first.place")), limit).otherwise(level).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs.
-
-    Nulls: a null text has size 0; a null source is a source of its own, the
-    last; a null doc_id has its own key. Repeated rows count each; rows that
-    tie in key, doc_id and size are interchangeable. A document of size 0 takes
-    0. An empty table gives no rows. Other columns of docs are not read, so
-    names of theirs cannot clash.
-    """
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
-    sized = persist(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key")))
+def _plan(sized: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """sized (doc_id, source, size, key, uid) with source_size, target, taken."""
     targets = persist(source_targets(sized, weights, share, most))
     placed = sized.withColumn("is_null", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit("")))
     named = targets.select(F.col("source").isNull().alias("is_null"), F.coalesce("source", F.lit("")).alias("name"), "nth", "source_size", "target")
@@ -77,23 +70,40 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: in
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     rest = words - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return (
-        placed.join(offsets, ["nth", "range"])
-        .withColumn("before", before)
-        .select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
-    )
+    taken = (epochs * F.col("size") + part).cast("long")
+    return placed.join(offsets, ["nth", "range"]).withColumn("before", before).select("uid", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def _sized(docs: DataFrame, doc_id: str, source: str, text: str, uid: Column) -> DataFrame:
+    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    return persist(docs.select(uid.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key")))
+
+
+def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of docs.
+
+    Nulls: a null text has size 0; a null source is a source of its own, the
+    last; a null doc_id has its own key. Repeated rows count each; rows that
+    tie in key, doc_id and size are interchangeable. A document of size 0 takes
+    0. An empty table gives no rows. Other columns of docs are not read, so
+    names of theirs cannot clash.
+    """
+    return _plan(_sized(docs, doc_id, source, text, F.lit(0)), weights, share, most).drop("uid")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """docs as the mix takes them: whole texts, each as often as it is taken.
 
     A text is repeated for each epoch; of the one that the budget cuts, at
     least half must be taken for it to stand once more. A text without words
-    costs nothing and stays once. Columns and texts are those of docs; rows
-    with a null doc_id go, as nothing tells them apart.
+    costs nothing and stays once. Columns and texts are those of docs. Each row
+    is planned by itself, those with a null doc_id and those that repeat too.
     """
-    plan = mix_sources(docs, **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # Written once: from here on a row is known by its uid, whatever its doc_id.
+    held = persist(docs.select(F.monotonically_increasing_id().alias("uid"), row.alias("row")))
+    flat = held.select("uid", *[F.col("row").getField(c).alias(c) for c in ("doc_id", "source", "text")])
+    plan = _plan(_sized(flat, "doc_id", "source", "text", F.col("uid")), weights, share, most)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int")
-    by_id = plan.groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max(copies).alias("_copies")).where("_copies > 0")
-    rows = docs.join(by_id, docs["doc_id"] == by_id["_mixed_id"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    by_uid = plan.select("uid", copies.alias("copies")).where("copies > 0")
+    return held.join(by_uid, "uid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
