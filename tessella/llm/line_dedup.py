@@ -7,14 +7,10 @@ counted by partial sums, so it never gathers in a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessella.llm.common import ascii_lower, persist, small_batches, text_or_empty
+from tessella.llm.common import ascii_lower, persist, text_or_empty
 
 
 def line_key(line):
@@ -23,10 +19,11 @@ def line_key(line):
 
 
 def _candidates(docs: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
-    """doc_id, pos, hash of each line whose key is long enough."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
-    return keys.select("doc_id", "pos", F.unhex(F.md5("key")).alias("hash"))
+    """doc_id, version, pos, hash of each line whose key is long enough; version tells different texts of a doc_id apart."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body")).where(F.col("doc_id").isNotNull())
+    lines = rows.select("doc_id", F.xxhash64("body").alias("version"), F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
+    keys = lines.select("doc_id", "version", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
+    return keys.select("doc_id", "version", "pos", F.unhex(F.md5("key")).alias("hash"))
 
 
 def repeated_lines(lines: DataFrame, least_docs: int = 3) -> DataFrame:
@@ -36,35 +33,32 @@ def repeated_lines(lines: DataFrame, least_docs: int = 3) -> DataFrame:
     return counted.where(F.col("n_docs") >= least_docs)
 
 
-@F.pandas_udf(T.StringType())
-def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The text without the lines at the given positions."""
-    for texts, drops in batches:
-        out = []
-        for text, gone in zip(texts, drops, strict=True):
-            if text is None or gone is None:
-                out.append(None)
-                continue
-            gone = set(gone.tolist())
-            out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
-        yield pd.Series(out, dtype=object)
+def _without(body: Column, gone: Column) -> Column:
+    """body without the lines at the ascending positions gone: the stretches between them, put together again."""
+
+    def stretches(parts: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(gone, i - 1), F.lit(-1)) + 1
+        upto = lambda i: F.coalesce(F.get(gone, i), F.size(parts))
+        return F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(parts, after(i) + 1, upto(i) - after(i)))
+
+    # The one-element array binds the split text once for all stretches.
+    return F.array_join(F.flatten(F.transform(F.array(F.split(body, "\n", -1)), lambda parts: F.flatten(stretches(parts)))), "\n")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text for every row of docs.
 
     A null or empty text has one empty line. Rows that repeat a doc_id are one
-    document in the counts; positions to drop are then those of any of them
-    (give each row its own doc_id to avoid that). A null doc_id counts in no
-    document and loses no line. Empty table: no rows. Other columns aren't read.
+    document in the counts, but each loses its own lines only. A null doc_id
+    counts in no document and loses no line. Empty table: no rows. Other
+    columns aren't read.
     """
-    small_batches(docs.sparkSession)
     lines = persist(_candidates(docs, doc_id, text, least_chars))
     frequent = persist(repeated_lines(lines, least_docs))
     found = lines.join(frequent, "hash").where(F.col("doc_id") != F.col("last_doc"))
-    drops = found.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body"))
-    joined = rows.join(drops, "doc_id", "left")
-    kept = F.coalesce(_without(F.when(F.col("gone").isNotNull(), F.col("body")), F.col("gone")), F.col("body"))
+    drops = found.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("body")).withColumn("version", F.xxhash64("body"))
+    joined = rows.join(drops, ["doc_id", "version"], "left")
+    kept = F.when(F.col("gone").isNull(), F.col("body")).otherwise(_without(F.col("body"), F.col("gone")))
     n_lines = (F.length("body") - F.length(F.regexp_replace("body", "\n", "")) + 1).cast("long")
     return joined.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
