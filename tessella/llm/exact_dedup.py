@@ -6,12 +6,13 @@
 3. The salts' winners, at most SALTS for a text, merge globally.
 
 Digest and whole normalised text are the grouping key in each, so texts with
-equal digests but different content never meet.
+equal digests but different content never meet. Rows then find their class by
+the digest; where one digest stands for several texts, by the text as well.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import SPACES, persist, text_or_empty
@@ -25,15 +26,22 @@ def normalised(text: str):
 
 
 def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """text_sha256, check, keep_id, group_size: a row for each different text.
-
-    check is a second, independent hash of the text. Rows can be assigned to
-    their class by both without moving their texts again.
-    """
+    """text_sha256, keep_id, group_size, body: a row for each different text; body only where texts share a digest."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("body")).withColumn("text_sha256", F.sha2("body", 256)).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     salted = rows.groupBy("text_sha256", "body", "salt").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-    merged = salted.groupBy("text_sha256", "body").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return merged.select("text_sha256", F.xxhash64("body").alias("check"), "keep_id", "group_size")
+    # Dealt by digest alone: the texts of a digest are then counted where they are, without another exchange.
+    dealt = salted.repartition(F.col("text_sha256"))
+    merged = dealt.groupBy("text_sha256", "body").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    merged = merged.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("text_sha256")))
+    return merged.select("text_sha256", "keep_id", "group_size", F.when(F.col("texts") > 1, F.col("body")).alias("body"))
+
+
+def _with_class(rows: DataFrame, classes: DataFrame, body: Column) -> DataFrame:
+    """rows (with text_sha256) and their class' keep_id, group_size and own_body: the normalised text body where a digest is not enough, else null."""
+    alone = classes.where("body is null").select("text_sha256", "keep_id", "group_size")
+    shared = classes.where("body is not null").select("text_sha256", F.col("body").alias("own_body"), "keep_id", "group_size")
+    by_text = rows.withColumn("own_body", body).join(shared, ["text_sha256", "own_body"])
+    return rows.join(alone, "text_sha256").withColumn("own_body", F.lit(None).cast("string")).unionByName(by_text)
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,9 +52,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     repeats doc_id and text is the same document: each counts in group_size and
     has the same kept. Empty table: no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("body"))
-    rows = rows.select("doc_id", F.sha2("body", 256).alias("text_sha256"), F.xxhash64("body").alias("check"))
-    return rows.join(exact_classes(docs, doc_id, text), ["text_sha256", "check"]).select(
+    classes = persist(exact_classes(docs, doc_id, text))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_sha256", F.sha2(normalised("text"), 256))
+    return _with_class(rows, classes, normalised("text")).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
@@ -58,10 +66,9 @@ def exact_distinct(docs: DataFrame) -> DataFrame:
     table is small enough to broadcast and no text moves once more. Rows that
     repeat the doc_id and text of one that stays, stay with it.
     """
-    classes = exact_classes(docs).where("group_size > 1")
-    rows = docs.select(F.col("doc_id").alias("_gone_id"), normalised("text").alias("body"))
-    rows = rows.select("_gone_id", F.sha2("body", 256).alias("text_sha256"), F.xxhash64("body").alias("check"))
-    gone = rows.join(classes, ["text_sha256", "check"]).where(~F.col("_gone_id").eqNullSafe(F.col("keep_id")))
-    gone = persist(gone.select("_gone_id", F.col("check").alias("_gone_check")).distinct())
-    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(normalised("text")) == gone["_gone_check"])
+    classes = persist(exact_classes(docs).where("group_size > 1 or body is not null"))
+    rows = docs.select(F.col("doc_id").alias("_gone_id"), "text").withColumn("text_sha256", F.sha2(normalised("text"), 256))
+    gone = _with_class(rows, classes, normalised("text")).where(~F.col("_gone_id").eqNullSafe(F.col("keep_id")))
+    gone = persist(gone.select("_gone_id", F.col("text_sha256").alias("_gone_sha256"), F.col("own_body").alias("_gone_body")).distinct())
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.sha2(normalised("text"), 256) == gone["_gone_sha256"]) & (gone["_gone_body"].isNull() | (normalised("text") == gone["_gone_body"]))
     return docs.join(gone, same, "left_anti")
