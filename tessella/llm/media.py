@@ -9,6 +9,7 @@ confirmed formats further in are media embedded in it, which can be carved out.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,46 @@ MAGIC = {
 }
 
 
-def _wav_end(data: memoryview, at: int) -> int:
+#: Bytes that are unpacked at once.
+_PIECE = 1 << 16
+_PDF_MARKS = re.compile(rb"%PDF-|startxref\s+[0-9]+\s+%%EOF")
+
+
+def _sums(bits: int, polynomial: int) -> list[int]:
+    """The table of a cyclic redundancy check, most significant bit first."""
+    top, all_ = 1 << bits - 1, (1 << bits) - 1
+    table = []
+    for byte in range(256):
+        rest = byte << bits - 8
+        for _ in range(8):
+            rest = (rest << 1 & all_) ^ (polynomial if rest & top else 0)
+        table.append(rest)
+    return table
+
+
+# The polynomials of FLAC's sums over frames and frame headers.
+_FLAC_SUMS, _FLAC_HEADS = _sums(16, 0x8005), _sums(8, 0x07)
+
+
+class _Seen:
+    """What searches and walks over one file have found, so that many candidates in it do not repeat them."""
+
+    def __init__(self, data: memoryview):
+        self.data = data
+        self.spots: dict[bytes, tuple[int, int]] = {}
+        self.directories: dict[int, int] = {}
+        self.ends: dict[int, tuple[int, int, int, int]] = {}
+
+    def find(self, what: bytes, at: int) -> int:
+        """As bytes.find, without a copy."""
+        asked, found = self.spots.get(what, (0, -2))
+        if found == -2 or at < asked or -1 < found < at:
+            m = re.compile(re.escape(what)).search(self.data, at)
+            asked, found = self.spots[what] = at, m.start() if m else -1
+        return found
+
+
+def _wav_end(data: memoryview, at: int, seen: _Seen) -> int:
     if len(data) < at + 44 or bytes(data[at + 8 : at + 16]) != b"WAVEfmt ":
         return 0
     riff, = struct.unpack_from("<I", data, at + 4)
@@ -61,7 +101,7 @@ def _wav_end(data: memoryview, at: int) -> int:
     return 0
 
 
-def _png_end(data: memoryview, at: int) -> int:
+def _png_end(data: memoryview, at: int, seen: _Seen) -> int:
     pos, first = at + 8, True
     while pos + 12 <= len(data):
         size, name = struct.unpack_from(">I", data, pos)[0], bytes(data[pos + 4 : pos + 8])
@@ -75,7 +115,7 @@ def _png_end(data: memoryview, at: int) -> int:
     return 0
 
 
-def _gif_end(data: memoryview, at: int) -> int:
+def _gif_end(data: memoryview, at: int, seen: _Seen) -> int:
     if len(data) < at + 14 or 0 in struct.unpack_from("<HH", data, at + 6):
         return 0
     pos = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 128 else 0)
@@ -95,7 +135,7 @@ def _gif_end(data: memoryview, at: int) -> int:
     return 0
 
 
-def _jpeg_end(data: memoryview, at: int) -> int:
+def _jpeg_end(data: memoryview, at: int, seen: _Seen) -> int:
     pos, frame = at + 2, False
     while pos + 4 <= len(data) and data[pos] == 0xFF:
         kind, size = data[pos + 1], struct.unpack_from(">H", data, pos + 2)[0]
@@ -103,13 +143,13 @@ def _jpeg_end(data: memoryview, at: int) -> int:
             return 0
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         if kind == 0xDA:
-            end = bytes(data[pos:]).find(b"\xff\xd9") if frame else -1
-            return pos + end + 2 if end >= 0 else 0
+            end = seen.find(b"\xff\xd9", pos) if frame else -1
+            return end + 2 if end >= 0 else 0
         pos += 2 + size
     return 0
 
 
-def _bmp_end(data: memoryview, at: int) -> int:
+def _bmp_end(data: memoryview, at: int, seen: _Seen) -> int:
     if len(data) < at + 54:
         return 0
     size, unused, offset, header = struct.unpack_from("<IIII", data, at + 2)
@@ -118,44 +158,142 @@ def _bmp_end(data: memoryview, at: int) -> int:
     return at + size if good and size - offset >= (width * bits + 31) // 32 * 4 * abs(height) else 0
 
 
-def _pdf_end(data: memoryview, at: int) -> int:
+def _pdf_end(data: memoryview, at: int, seen: _Seen) -> int:
+    """The last startxref, number and %%EOF before another %PDF- header, as a file may hold several revisions."""
     if len(data) < at + 8 or data[at + 5] not in b"12" or data[at + 6] != 46:
         return 0
-    end = bytes(data[at:]).rfind(b"%%EOF")
-    return at + end + 5 if end > 0 and b"startxref" in bytes(data[at : at + end]) else 0
-
-
-def _zip_end(data: memoryview, at: int) -> int:
-    if len(data) < at + 52 or struct.unpack_from("<H", data, at + 8)[0] not in (0, 8, 9, 12, 14, 93):
-        return 0
-    rest = bytes(data[at:])
-    end = rest.rfind(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(rest):
-        return 0
-    size, start = struct.unpack_from("<II", rest, end + 12)
-    return at + end + 22 + struct.unpack_from("<H", rest, end + 20)[0] if start + size == end and rest[start : start + 4] in (b"PK\x01\x02", b"PK\x05\x06") else 0
+    pos, end = at + 8, 0
+    for m in _PDF_MARKS.finditer(data, pos):
+        if m[0] == b"%PDF-":
+            break
+        end = m.end()
+    return end
+
+
+def _zip_end(data: memoryview, at: int, seen: _Seen) -> int:
+    """The end of the archive whose local entries begin here: its directory's offsets must fit this start."""
+    start = _zip_directory(data, at, seen)
+    if start not in seen.ends:
+        pos = start
+        while start and len(data) >= pos + 46 and data[pos : pos + 4] == b"PK\x01\x02":
+            pos += 46 + sum(struct.unpack_from("<HHH", data, pos + 28))
+        good = start and len(data) >= pos + 22 and data[pos : pos + 4] == b"PK\x05\x06"
+        seen.ends[start] = (pos, *struct.unpack_from("<IIH", data, pos + 12)) if good else (0, 0, 0, 0)
+    pos, size, offset, comment = seen.ends[start]
+    return pos + 22 + comment if pos and size == pos - start and offset == start - at and pos + 22 + comment <= len(data) else 0
+
+
+def _zip_directory(data: memoryview, at: int, seen: _Seen) -> int:
+    """Where the directory stands behind the local entries that begin here, 0 if they break off."""
+    pos, walked = at, []
+    while pos and pos not in seen.directories and len(data) >= pos + 30 and data[pos : pos + 4] == b"PK\x03\x04":
+        walked.append(pos)
+        flags, method = struct.unpack_from("<HH", data, pos + 6)
+        packed, plain, name, extra = struct.unpack_from("<IIHH", data, pos + 18)
+        pos += 30 + name + extra
+        if not flags & 8:
+            pos = pos + packed if pos + packed <= len(data) else 0
+        elif method == 8:  # sizes follow the data: where deflated data end, they say themselves
+            end = _inflated_end(data, pos, -15)
+            pos = end + 12 + 4 * (data[end : end + 4] == b"PK\x07\x08") if end else 0
+        else:
+            pos = _descriptor_of_stored(data, pos, seen)
+    pos = seen.directories.get(pos, pos if data[pos : pos + 4] in (b"PK\x01\x02", b"PK\x05\x06") else 0)
+    seen.directories.update(dict.fromkeys(walked, pos))
+    return pos
+
+
+def _descriptor_of_stored(data: memoryview, at: int, seen: _Seen) -> int:
+    """The end of the first descriptor that states the length and the sum of what precedes it."""
+    pos, upto, sum_ = seen.find(b"PK\x07\x08", at), at, 0
+    while 0 <= pos <= len(data) - 16:
+        sum_, upto = zlib.crc32(data[upto:pos], sum_), pos
+        if struct.unpack_from("<III", data, pos + 4) == (sum_, pos - at, pos - at):
+            return pos + 16
+        pos = seen.find(b"PK\x07\x08", pos + 4)
+    return 0
 
 
-def _gzip_end(data: memoryview, at: int) -> int:
-    if len(data) < at + 18 or data[at + 3] & 0xE0:
-        return 0
-    unzip = zlib.decompressobj(31)
-    rest = bytes(data[at:])
+def _inflated_end(data: memoryview, at: int, window: int) -> int:
+    """Where the compressed stream that begins at a place ends, 0 if it is none; read in pieces, nothing is kept."""
+    unzip, pos = zlib.decompressobj(window), at
     try:
-        while not unzip.eof and rest:
-            unzip.decompress(rest, 1 << 20)
-            rest = unzip.unconsumed_tail
+        while not unzip.eof and pos < len(data):
+            piece = data[pos : pos + _PIECE]
+            pos += len(piece)
+            unzip.decompress(piece, _PIECE)
+            while unzip.unconsumed_tail and not unzip.eof:
+                unzip.decompress(unzip.unconsumed_tail, _PIECE)
     except zlib.error:
         return 0
-    return len(data) - len(unzip.unused_data) if unzip.eof else 0
+    return pos - len(unzip.unused_data) if unzip.eof else 0
+
 
+def _gzip_end(data: memoryview, at: int, seen: _Seen) -> int:
+    return 0 if len(data) < at + 18 or data[at + 3] & 0xE0 else _inflated_end(data, at, 31)
 
-def _flac_end(data: memoryview, at: int) -> int:
-    good = len(data) >= at + 42 and data[at + 4] & 127 == 0 and bytes(data[at + 5 : at + 8]) == b"\0\0\x22"
-    return len(data) if good else 0
 
+def _flac_end(data: memoryview, at: int, seen: _Seen) -> int:
+    """Stream information, further metadata blocks, then frames whose headers have right sums, up to the number of samples stated.
 
-def _ogg_end(data: memoryview, at: int) -> int:
+    A frame ends where the next one's header begins or, the last one, where the
+    sum over the frame is right.
+    """
+    if len(data) < at + 42 or data[at + 4] & 127 or data[at + 5 : at + 8] != b"\0\0\x22":
+        return 0
+    low, high = struct.unpack_from(">HH", data, at + 8)
+    stated = int.from_bytes(data[at + 18 : at + 26], "big") & (1 << 36) - 1
+    pos, last = at + 4, False
+    while not last:
+        if len(data) < pos + 4:
+            return 0
+        last, pos = bool(data[pos] & 128), pos + 4 + int.from_bytes(data[pos + 1 : pos + 4], "big")
+    if not 16 <= low <= high or pos > len(data):
+        return 0
+    done = 0
+    while not stated or done < stated:
+        block, body = _flac_frame(data, pos)
+        if not block:
+            return pos if done and not stated else 0
+        sum_, end = 0, 0
+        for i in range(pos, body):
+            sum_ = _flac_sum(sum_, data[i])
+        for i in range(body, len(data) - 1):
+            if sum_ == data[i] << 8 | data[i + 1] and (_flac_frame(data, i + 2)[0] or done + block >= stated):
+                end = i + 2
+                break
+            sum_ = _flac_sum(sum_, data[i])
+        if not end:
+            return 0
+        done, pos = done + block, end
+    return pos
+
+
+def _flac_sum(sum_: int, byte: int) -> int:
+    return (sum_ << 8 & 0xFFFF) ^ _FLAC_SUMS[sum_ >> 8 ^ byte]
+
+
+def _flac_frame(data: memoryview, at: int) -> tuple[int, int]:
+    """The samples of the frame whose header begins at a place and where the header ends; 0, 0 if there is none."""
+    if len(data) < at + 6 or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8 or data[at + 3] & 1:
+        return 0, 0
+    size, rate, first = data[at + 2] >> 4, data[at + 2] & 15, data[at + 4]
+    more = 0 if first < 0x80 else 8 - (first ^ 0xFF).bit_length() - 1
+    pos = at + 5 + more
+    wide = {6: 1, 7: 2}.get(size, 0)
+    end = pos + wide + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if size == 0 or rate == 15 or len(data) <= end:
+        return 0, 0
+    sum_ = 0
+    for byte in data[at:end]:
+        sum_ = _FLAC_HEADS[sum_ ^ byte]
+    if sum_ != data[end]:
+        return 0, 0
+    samples = int.from_bytes(data[pos : pos + wide], "big") + 1 if wide else 192 if size == 1 else 144 << size if size < 6 else 1 << size
+    return samples, end + 1
+
+
+def _ogg_end(data: memoryview, at: int, seen: _Seen) -> int:
     pos = at
     while len(data) >= pos + 27 and bytes(data[pos : pos + 5]) == b"OggS\0":
         table = data[pos + 27 : pos + 27 + data[pos + 26]]
@@ -190,14 +328,15 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of each confirmed file: the outer one first if it begins at 0, then those embedded.
 
     A candidate inside another embedded one that is already confirmed is part
-    of that one.
+    of that one. Empty bytes hold no file.
     """
     view, found, covered = memoryview(data), [], 0
+    seen = _Seen(view)
     for last, (size, kind) in automaton().iter(data.decode("latin-1")):
         start = last - size + 1
         if start and start < covered:
             continue
-        if end := VALID[kind](view, start):
+        if end := VALID[kind](view, start, seen):
             found.append((kind, start, end))
             covered = end if start else covered
     return found
@@ -273,8 +412,34 @@ def media_features(stored: DataFrame) -> DataFrame:
     return stored.withColumn("found", _features("media")).select("doc_id", "n_bytes", "declared_type", "found.*")
 
 
+def corrected_types(stored: DataFrame, id_column: str = "doc_id", declared: str = "declared_type", media: str = "media") -> DataFrame:
+    """doc_id, declared_type, media_type, corrected for every row of stored.
+
+    media_type is the format confirmed from the first byte to the last, else
+    the one confirmed at the start, else the declared type. Null media keep
+    their declared type. Rows that repeat stand each.
+    """
+    small_batches(stored.sparkSession)
+
+    @F.pandas_udf("string")
+    def kind(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for many in batches:
+            yield pd.Series([_outer_type(x) for x in many], dtype=object)
+
+    found = stored.select(F.col(id_column).alias("doc_id"), F.col(declared).alias("declared_type"), kind(media).alias("kind"))
+    return found.select("doc_id", "declared_type", F.coalesce("kind", "declared_type").alias("media_type"), (F.col("kind").isNotNull() & ~F.col("kind").eqNullSafe(F.col("declared_type"))).alias("corrected"))
+
+
+def _outer_type(data: bytes | None) -> str | None:
+    at_start = [] if data is None else [(b == len(data), k) for k, a, b in sniff(data) if a == 0]
+    return max(at_start)[1] if at_start else None
+
+
 def carve(stored: DataFrame, id_column: str = "doc_id", media: str = "media") -> DataFrame:
-    """doc_id, media_type, start, content: each confirmed file inside stored media, the outer one not counted."""
+    """doc_id, media_type, start, content: each confirmed file inside stored media, the outer one not counted.
+
+    Null and empty media have none; rows that repeat are carved each.
+    """
     small_batches(stored.sparkSession)
 
     @F.pandas_udf("array<struct<media_type:string,start:long,content:binary>>")
