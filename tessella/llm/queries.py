@@ -59,10 +59,15 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record is put together again; its type and reference, and of a response length and digest too, are read from its own bytes."""
     records = warc.archive_pages(common.table(spark, sf_dir, "pages"))
-    return records.select(
-        F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
-        warc.header_field("WARC-Type").alias("record_type"), F.regexp_extract(warc.header_field("WARC-Refers-To"), "<urn:record:(.*)>", 1).cast("long").alias("refers_to"),
+    read = records.select("id", "payload_bytes", "payload_digest", warc.parsed_record(warc.record_bytes()).alias("record"))
+    read = read.select("id", "payload_bytes", "payload_digest", "record.*").withColumn("record_type", warc.header_field("WARC-Type"))
+    own = F.col("record_type") == "response"
+    return read.select(
+        F.col("id").alias("page_id"), F.when(own, F.octet_length("body").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(own, F.sha2("body", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", F.regexp_extract(warc.header_field("WARC-Refers-To"), "<urn:record:(.*)>", 1).cast("long").alias("refers_to"),
     )
 
 
