@@ -69,7 +69,7 @@ class Lexicon:
 
     def __init__(self, learnt: dict[bytes, float] | None = None):
         self.learnt = learnt or {}
-        self.heads = frozenset(g[:SHORTEST] for g in self.learnt if not g.endswith(END))
+        self.heads = frozenset(g.removesuffix(END)[:SHORTEST] for g in self.learnt)
         strong = {g[:-1] for g, w in self.learnt.items() if g.endswith(END) and w >= WEIGHT_BANDS[-1]}
         self.words = LEXICON | strong
         self.single = frozenset(_RUNS.sub(rb"\1", w) for w in self.words if len(w) > 3)
@@ -81,11 +81,9 @@ class Lexicon:
         """Of the given words those that the learnt part knows, each with its greatest weight."""
         if not self.learnt:
             return {}
-        known, heads, found = self.learnt.get, self.heads, {}
-        for w in words:
-            best = known(w + END, 0.0)
-            if w[:SHORTEST] in heads:
-                best = max(best, *(known(w[:k], 0.0) for k in range(SHORTEST, min(len(w), LONGEST) + 1)), 0.0)
+        known, found = self.learnt.get, {}
+        for w in [w for w in words if w[:SHORTEST] in self.heads]:
+            best = max(known(w + END, 0.0), *(known(w[:k], 0.0) for k in range(SHORTEST, min(len(w), LONGEST) + 1)), 0.0)
             if best > 0:
                 found[w] = best
         return found
@@ -115,7 +113,7 @@ def features(text: str, lexicon: Lexicon = _FIXED) -> list[float]:
     for w, weight in weights.items():
         if weight >= WEIGHT_BANDS[0]:
             bands[sum(weight >= x for x in WEIGHT_BANDS) - 1] += counts[w]
-    fixed = {w for w in counts if w in LEXICON}
+    fixed = counts.keys() & LEXICON
     insults = fixed | {w for w, weight in weights.items() if weight >= WEIGHT_BANDS[-1]}
     you = sum(counts[w] for w in counts.keys() & SECOND_PERSON)
     near = 0

@@ -105,6 +105,15 @@ def test_mix_odd_rows(spark):
     assert mixing.mixed_documents(odd_documents(spark)).columns == odd_documents(spark).columns
 
 
+def test_mixed_documents_keep_rows_without_or_with_the_same_id(spark):
+    rows = [(None, "a b c", "en", "s1", 5), (None, "d e", "en", "s1", 3), (7, "f g h", "en", "s1", 5), (7, "i j", "en", None, 3), (8, "k", "en", None, 1), (8, "k", "en", None, 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    once = Counter(r["text"] for r in mixing.mixed_documents(docs, weights=(1, 1, 1), share=1.0, most=1).collect())
+    assert once == Counter(r[1] for r in rows)
+    twice = Counter(r["text"] for r in mixing.mixed_documents(docs, weights=(1, 1, 1), share=2.0, most=2).collect())
+    assert twice == Counter(r[1] for r in rows) + Counter(r[1] for r in rows if r[1])
+
+
 def test_mixed_documents_come_near_the_targets(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     longest = docs.select(mixing.word_count("text").alias("n")).agg(F.max("n")).first()[0]
@@ -195,6 +204,77 @@ def test_embedded_media_are_carved(spark):
     assert [(r["media_type"], bytes(r["content"])) for r in media.carve(rows).orderBy("start").collect()] == parts
 
 
+def flac(seed=3) -> bytes:
+    """Two frames of four samples each, verbatim and constant, one channel of eight bits."""
+
+    def crc(data, bits, poly):
+        rest = 0
+        for bit in "".join(f"{b:08b}" for b in data) + "0" * bits:
+            rest = rest << 1 | int(bit)
+            if rest >> bits:
+                rest ^= 1 << bits | poly
+        return rest
+
+    def frame(number, sub):
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, number, 15])
+        body = head + bytes([crc(head, 8, 7)]) + sub
+        return body + struct.pack(">H", crc(body, 16, 0x8005))
+
+    info = struct.pack(">HH", 16, 16) + bytes(6) + ((8000 << 44) | (7 << 36) | 32).to_bytes(8, "big") + bytes(16)
+    return b"fLaC" + b"\x80\0\0\x22" + info + frame(0, b"\x02" + bytes(random.Random(seed).choices(range(256), k=16))) + frame(1, b"\0\x07")
+
+
+def test_several_files_of_a_format_are_carved_apart():
+    def packed(name, how):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", how) as z:
+            z.writestr(name, name * 50)
+            z.writestr("second", b"PK\x03\x04 inside")
+        return out.getvalue()
+
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    revised = pdf + b"\n2 0 obj\nendobj\nstartxref\n40\n%%EOF"
+    for one, two, kind in ((packed("a", 0), packed("b", 8), "application/zip"), (pdf, revised, "application/pdf"), (flac(), flac(4), "audio/flac")):
+        whole = b"before " + one + b" plain text between " + two + b" and after"
+        assert [(k, whole[a:b]) for k, a, b in media.sniff(whole)] == [(kind, one), (kind, two)]
+        assert [(k, whole[a:b]) for k, a, b in media.sniff(whole[: 7 + len(one) + 12])] == [(kind, one)]
+    stream = io.BytesIO()
+
+    class Unseekable(io.RawIOBase):
+        writable = lambda self: True
+        write = lambda self, b: stream.write(b)
+
+    with zipfile.ZipFile(Unseekable(), "w") as z:  # sizes behind the data
+        z.writestr("a", b"stored")
+        z.writestr("b", b"deflated " * 20, zipfile.ZIP_DEFLATED)
+    whole = b"x" + stream.getvalue() + b"y"
+    assert [(k, whole[a:b]) for k, a, b in media.sniff(whole)] == [("application/zip", stream.getvalue())]
+    broken = bytearray(flac())
+    broken[-4] ^= 1
+    assert media.sniff(bytes(broken)) == []
+
+
+def test_sniffing_many_candidates_is_linear():
+    import time
+
+    def seconds(data):
+        start = time.perf_counter()
+        media.sniff(data)
+        return time.perf_counter() - start
+
+    local = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 20, 0, 0, 0, 0, 0, 0, 0, 0, 0)
+    open_ = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 20, 8, 0, 0, 0, 0, 0, 0, 0, 0)
+    for part in (b"%PDF-1.4 ", local, open_, b"\xff\xd8\xff\xc0\x00\x04ab\xff\xda\x00\x04ab", b"\x1f\x8b\x08\0" + bytes(20), b"fLaC"):
+        short, long = seconds(part * 4_000), seconds(part * 40_000)
+        assert long < 60 * short + 1, part
+
+
+def test_declared_types_are_corrected(spark):
+    rows = [(1, "text/plain", bytearray(png())), (2, "image/png", bytearray(png())), (3, "image/gif", bytearray(b"nothing")), (4, "audio/wav", None), (5, None, bytearray(png() + b"tail")), (6, "a", bytearray(b""))]
+    found = {r["doc_id"]: tuple(r)[1:] for r in media.corrected_types(spark.createDataFrame(rows, "doc_id long, declared_type string, media binary")).collect()}
+    assert found == {1: ("text/plain", "image/png", True), 2: ("image/png", "image/png", False), 3: ("image/gif", "image/gif", False), 4: ("audio/wav", "audio/wav", False), 5: (None, "image/png", True), 6: ("a", "a", False)}
+
+
 # toxicity
 
 
@@ -284,6 +364,16 @@ def test_exact_dedup_against_brute_force(spark):
     assert exact_dedup.exact_dedup(empty_documents(spark)).count() == 0
 
 
+def test_exact_dedup_of_texts_that_share_a_digest(spark, monkeypatch):
+    """A digest of one character stands in for SHA-256: the whole texts must keep classes apart."""
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, bits: F.substring(F.md5(c), 1, 1))
+    docs = spark.createDataFrame([(i, f"text {i % 40}", i) for i in range(120)] + [(None, "text 1", 0)], "doc_id long, text string, own_body int")
+    for r in exact_dedup.exact_dedup(docs).collect():
+        i = 1 if r["doc_id"] is None else r["doc_id"] % 40
+        assert (r["keep_id"], r["group_size"]) == (i, 3 + (i == 1))
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_distinct(docs).collect()) == list(range(40))
+
+
 def test_exact_dedup_hot_text(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 1, "same  text").otherwise(F.concat(F.lit("t"), "id")).alias("text")).repartition(40)
     rows = exact_dedup.exact_dedup(docs).where("group_size > 1").collect()
@@ -316,6 +406,13 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.line_dedup(empty_documents(spark)).count() == 0
 
 
+def test_line_dedup_rows_that_repeat_an_id(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, f"{line}\nkeep A"), (1, f"keep B\n{line}"), (2, line), (3, f"x\n{line}\n{line}\ny"), (4, line), (None, line), (1, f"{line}\nkeep A")]
+    out = sorted(((r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert out == sorted([(1, 2, 1, "keep A"), (1, 2, 1, "keep B"), (1, 2, 1, "keep A"), (2, 1, 1, ""), (3, 4, 2, "x\ny"), (4, 1, 0, line), (0, 1, 0, line)])
+
+
 # token counts
 
 
@@ -562,6 +659,16 @@ def test_near_classes_odd_rows(spark):
     assert minhash.near_distinct(docs).columns == docs.columns
 
 
+def test_near_distinct_judges_each_row_by_its_own_text(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (2, one + " more"), (3, two), (3, one), (3, "alone with this id"), (None, two + " end"), (None, "no id and no copy"), (4, two), (4, two), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in minhash.near_distinct(docs).collect())
+    assert kept == Counter([(1, one), (3, two), (3, "alone with this id"), (None, "no id and no copy"), (None, None), (5, "")])
+    classes = Counter(tuple(r) for r in minhash.near_classes(docs).collect())
+    assert classes == Counter([(1, 1), (2, 1), (3, 3), (3, 1), (3, 3), (None, 3), (None, None), (4, 3), (4, 3), (None, None), (5, 5)])
+
+
 # WARC
 
 
@@ -569,7 +676,7 @@ def test_warc_round_trip(spark):
     body = "x" * 200
     rows = [(3, "http://a/1", body), (1, "http://a/2", body), (2, None, body), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u\r\nX: y", "ü" * 50), (9, "v", "ü" * 50), (None, "w", body), (1, "http://a/2", body)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    records = warc.archive_pages(pages).withColumn("bytes", warc.record_bytes()).collect()
+    records = warc.archive_pages(pages).withColumn("bytes", warc.record_bytes()).withColumn("parsed", warc.parsed_record(F.col("bytes"))).collect()
     assert len(records) == len(rows)
     for r in records:
         head, _, block = bytes(r["bytes"]).partition(b"\r\n\r\n")
@@ -577,9 +684,15 @@ def test_warc_round_trip(spark):
         text = {i: (t or "").encode() for i, _, t in rows}[r["id"]]
         first = {text: i for i, _, t in sorted(rows, key=lambda x: -(x[0] or 99)) if (t or "").encode() == text}[text]
         revisit = len(text) >= 100 and r["id"] != first
-        assert bytes(r["payload"]) == text and fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(text).hexdigest()
+        http, _, body = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(text)}".encode() in http
+        assert r["payload_bytes"] == len(text) and r["payload_digest"] == hashlib.sha256(text).hexdigest() and (r["payload"] is None if revisit else bytes(r["payload"]) == text)
+        assert fields.get("WARC-Profile") == (warc.REVISIT_PROFILE if revisit else None) and fields["Content-Type"] == "application/http;msgtype=response"
+        assert fields.get("WARC-Target-URI") in (None, "u%0D%0AX: y", *(u for _, u, _ in rows))
+        assert (r["parsed"]["header"] + r["parsed"]["http"]).encode() + bytes(r["parsed"]["body"]) + b"\r\n\r\n" == bytes(r["bytes"])
+        assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(text).hexdigest()
         assert fields["WARC-Type"] == ("revisit" if revisit else "response") and fields.get("WARC-Refers-To") == (f"<urn:record:{first}>" if revisit else None)
-        assert block == (b"" if revisit else text) + b"\r\n\r\n" and int(fields["Content-Length"]) == (0 if revisit else len(text)) and "X" not in fields
+        assert body == (b"" if revisit else text) + b"\r\n\r\n" and int(fields["Content-Length"]) == len(http) + 4 + (0 if revisit else len(text)) and "X" not in fields
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
