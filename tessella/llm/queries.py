@@ -76,6 +76,47 @@ QUERIES = {
     for f in (op1_mix_sources, op2_url_filter, op3_media_sniff, op4_toxicity, op5_exact_dedup, op6_line_dedup, op7_token_counts, op8_byte_bpe, op9_minhash_dedup, op10_warc_archive)
 }
 
+def _url_sql(levels: int = 6) -> str:
+    """The template tree of url_filter with its levels written out, for paths of up to so many segments."""
+    level = """
+        n{0} as (select host, head, count(distinct segment) as children from (select *, rest[1] as segment from t{1} where len(rest) > 0) group by 1, 2),
+        b{0} as (select host, head, rest[1] as segment, sum(bad)::bigint as bad, sum(labelled)::bigint as labelled from t{1} where len(rest) > 0 group by 1, 2, 3),
+        s{0} as (select host, head from b{0} group by 1, 2 having count(*) <= 20 and sum((labelled >= 5)::int) >= 2),
+        k{0} as (select b.*, lag(bad) over w as last_bad, lag(labelled) over w as last_n from b{0} b join s{0} using (host, head) where labelled >= 5
+                 window w as (partition by host, head order by bad / labelled, segment)),
+        a{0} as (select *, bad / labelled as share, coalesce((abs(bad / labelled - last_bad / last_n)
+                 > 1.96::double * sqrt((bad + last_bad) / (labelled + last_n) * (1 - (bad + last_bad) / (labelled + last_n)) * (1 / labelled + 1 / last_n)))::int, 0) as apart from k{0}),
+        g{0} as (select *, sum(apart) over (partition by host, head order by share, segment) as grp from a{0}),
+        m{0} as (select host, head, grp, list_sort(list(segment)) as members from g{0} group by 1, 2, 3),
+        x{0} as (select g.host, g.head, g.segment, case when len(members) = 1 then members[1] else '{{' || array_to_string(members, '|') || '}}' end as general from g{0} g join m{0} m using (host, head, grp)
+                 union all select b.host, b.head, segment, '*' from b{0} b join s{0} using (host, head) where labelled < 5),
+        t{0} as (select t.host, t.shape, t.bad, t.labelled,
+                        case when len(rest) = 0 then t.head else t.head || '/' || case when n.children > 20 then '*' else coalesce(x.general, rest[1]) end end as head, rest[2:] as rest
+                 from t{1} t left join n{0} n on t.host = n.host and t.head = n.head left join x{0} x on t.host = x.host and t.head = x.head and t.rest[1] = x.segment),"""
+    return rf"""
+        with recursive r0 as (select page_id, coalesce(url, '') as u, strpos(coalesce(url, ''), '://') as p from pages),
+        r1 as (select page_id, case when p > 0 then substr(u, p + 3) else '' end as rest from r0),
+        r2 as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r1),
+        r3 as (select *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: case when regexp_matches(s, '[0-9]') or length(s) > 40 then '*' else s end) as parts,
+                      case when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+                           when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+                           when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+                           when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+                           when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule from r2),
+        urls as (select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as own, array_to_string(parts, '/') as shape, parts from r3),
+        t0 as (select host, shape, coalesce(sum((own = 'block')::int), 0)::bigint as bad, count(own) as labelled, '' as head, any_value(parts) as rest from urls group by 1, 2),
+        {"".join(level.format(i, i - 1) for i in range(1, levels + 1))}
+        shapes as (select host, shape, bad, labelled, substr(head || case when len(rest) > 0 then '/' || array_to_string(rest, '/') else '' end, 2) as template from t{levels}),
+        ways as (select *, list_transform(generate_series(1, len(string_split(host, '.'))), lambda n: array_to_string(string_split(host, '.')[len(string_split(host, '.')) - n + 1:], '.'))
+                   || list_transform(generate_series(1, len(list_filter(string_split(template, '/'), lambda s: s <> ''))), lambda n: host || '/' || array_to_string(string_split(template, '/')[1:n], '/')) as way from shapes),
+        evidence as (select node, sum(bad)::bigint as bad, sum(labelled)::bigint as labelled from (select unnest(way) as node, bad, labelled from ways) group by 1),
+        fold as (select host, template, way, 0 as level, (select (sum(bad) + 2.5::double) / (sum(labelled) + 5.0::double) from t0) as purity from (select distinct host, template, way from ways)
+                 union all select f.host, f.template, f.way, f.level + 1, (e.bad + 5.0::double * f.purity) / (e.labelled + 5.0::double) from fold f join evidence e on e.node = f.way[f.level + 1]),
+        judged as (select host, template, purity from fold where level = len(way))
+        select page_id, host, path, rule, coalesce(own, case when purity >= 0.75 then 'block' else 'allow' end) as verdict
+        from urls join shapes using (host, shape) join judged using (host, template)"""
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
@@ -98,41 +139,7 @@ ORACLE_SQL = {
                case when source_size = 0 then 0 else (words // source_size) * size
                     + greatest(0, least(size, words - (words // source_size) * source_size - before)) end::bigint as taken
         from c""",
-    "op2_url_filter": r"""
-        with r0 as (select page_id, coalesce(url, '') as u, strpos(coalesce(url, ''), '://') as p from pages),
-        r1 as (select page_id, case when p > 0 then substr(u, p + 3) else '' end as rest from r0),
-        r2 as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r1),
-        r3 as (select *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: case when regexp_matches(s, '[0-9]') or length(s) > 40 then '*' else s end) as parts,
-                      case when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
-                           when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
-                           when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
-                           when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
-                           when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule from r2),
-        urls as (select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as own,
-                        array_to_string(case when len(parts) <= 6 then parts else list_append(parts[1:6], '**') end, '/') as shape from r3),
-        shapes as (select host, shape, coalesce(sum((own = 'block')::int), 0)::bigint as bad, count(own) as labelled from urls group by 1, 2),
-        nodes as (select host, shape, i - 1 as depth, string_split(shape, '/')[i] as segment, array_to_string(string_split(shape, '/')[1:i - 1], '/') as parent
-                  from shapes, generate_series(1, len(string_split(shape, '/'))) g(i)),
-        wide as (select host, parent, depth from nodes group by 1, 2, 3 having count(distinct segment) > 20),
-        general as (select n.host, n.shape, n.depth, case when w.host is not null then '*' else n.segment end as segment from nodes n left join wide w using (host, parent, depth)),
-        built as (select host, shape, arg_min(segment, depth) as first, string_agg(segment, '/' order by depth) as template from general group by 1, 2),
-        templates as (select * from shapes join built using (host, shape)),
-        b0 as (select host, first, sum(bad)::bigint as bad, sum(labelled)::bigint as labelled from templates group by 1, 2),
-        b1 as (select *, sum(bad) over (partition by host)::bigint as host_bad, sum(labelled) over (partition by host)::bigint as host_labelled, sum(bad) over ()::bigint as all_bad, sum(labelled) over ()::bigint as all_labelled from b0),
-        b2 as (select *, case when labelled < 5 then '*' when host_labelled - labelled > 0
-                      and abs(bad / labelled - (host_bad - bad) / (host_labelled - labelled))
-                          <= 1.96::double * sqrt(host_bad / host_labelled * (1 - host_bad / host_labelled) * (1 / labelled + 1 / (host_labelled - labelled)))
-                      then '*' else first end as branch from b1),
-        m0 as (select t.*, branch, host_bad, host_labelled, all_bad, all_labelled from templates t join b2 using (host, first)),
-        m1 as (select *, branch || case when strpos(template, '/') > 0 then substr(template, strpos(template, '/')) else '' end as merged from m0),
-        m2 as (select *, sum(bad) over (partition by host, branch, merged)::bigint as t_bad, sum(labelled) over (partition by host, branch, merged)::bigint as t_labelled,
-                      sum(bad) over (partition by host, branch)::bigint as b_bad, sum(labelled) over (partition by host, branch)::bigint as b_labelled from m1),
-        p0 as (select *, (all_bad + 2.5::double) / (all_labelled + 5.0::double) as corpus_share from m2),
-        p1 as (select *, (host_bad + 5.0::double * corpus_share) / (host_labelled + 5.0::double) as host_share from p0),
-        p2 as (select *, (b_bad + 5.0::double * host_share) / (b_labelled + 5.0::double) as branch_share from p1),
-        p3 as (select host, shape, (t_bad + 5.0::double * branch_share) / (t_labelled + 5.0::double) as purity from p2)
-        select page_id, host, path, rule, coalesce(own, case when purity >= 0.75 then 'block' else 'allow' end) as verdict
-        from urls join p3 using (host, shape)""",
+    "op2_url_filter": _url_sql(),
     "op5_exact_dedup": r"""
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents),
         g as (select body, min(doc_id) as keep_id, count(*) as group_size from d group by body)

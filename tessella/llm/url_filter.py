@@ -1,12 +1,17 @@
 """URL filters by a path-template tree (operator 2), in DataFrame functions only.
 
 Segments of a path that vary become wildcards: those with digits or of great
-length at once, others where a node has too many different children. What is
-left is a small tree for each host. Branches of a host (its first segments)
-whose share of blocked pages does not differ significantly from that of its
-other branches are merged. A template is rejected by its smoothed share of
-blocked pages, where a branch smooths its templates, a host its branches and
-the whole corpus its hosts.
+length at once, others where a node has too many different children. That goes
+level by level from each host's root, children being counted below the already
+generalised parent. Where a node has several children with evidence, these are
+merged pairwise, nearest shares of blocked pages first, as long as two
+neighbours do not differ significantly.
+
+A template is rejected by its smoothed share of blocked pages: each node of the
+way to it, from the last label of the host's name over its parent domains and
+the host to each segment of the template, smooths the next. So a host without
+labelled pages is judged by its parent domain, and a template without any by
+its branch.
 """
 
 from __future__ import annotations
@@ -18,10 +23,6 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import ascii_lower, persist
 
-#: Segments deeper than this are one wildcard together.
-DEPTH = 6
-
-
 def url_host(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; null or no ://: empty."""
     rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
@@ -47,33 +48,83 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 def general_segments(path: Column) -> Column:
     """The path's segments; those with a digit or over 40 characters are *."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 40), "*").otherwise(s))
-    return F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**"))))
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 40), "*").otherwise(s))
 
 
-def path_templates(paths: DataFrame, fanout: int = 20) -> DataFrame:
-    """host, shape -> first, template. paths: a row for each host and shape (segments joined by /).
+def merged_branches(branches: DataFrame, z: float, support: int) -> DataFrame:
+    """host, head, segment, general: names of the branches of each node after merging. branches: host, head, segment, bad, labelled.
 
-    A segment becomes * where its parent has over fanout different children.
+    Branches in order of their share; a new group begins where two neighbours
+    differ by more than z standard errors. Those under support labelled pages
+    are * together. A node may have a bounded number of branches only.
+    """
+    node = ["host", "head"]
+    known = branches.where(F.col("labelled") >= support).withColumn("share", F.col("bad") / F.col("labelled"))
+    ordered = Window.partitionBy(*node).orderBy("share", "segment")
+    last_bad, last_n = F.lag("bad").over(ordered), F.lag("labelled").over(ordered)
+    marked = known.withColumn("last_bad", last_bad).withColumn("last_n", last_n)
+    pooled = (F.col("bad") + F.col("last_bad")) / (F.col("labelled") + F.col("last_n"))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("last_n")))
+    apart = F.coalesce((F.abs(F.col("share") - F.col("last_bad") / F.col("last_n")) > z * error).cast("int"), F.lit(0))
+    grouped = marked.withColumn("apart", apart).withColumn("group", F.sum("apart").over(ordered)).groupBy(*node, "group").agg(F.sort_array(F.collect_list("segment")).alias("members"))
+    name = F.when(F.size("members") == 1, F.col("members")[0]).otherwise(F.concat(F.lit("{"), F.array_join("members", "|"), F.lit("}")))
+    few = branches.where(F.col("labelled") < support).select(*node, "segment", F.lit("*").alias("general"))
+    return grouped.select(*node, F.explode("members").alias("segment"), name.alias("general")).unionByName(few)
+
+
+def path_templates(shapes: DataFrame, fanout: int = 20, z: float = 1.96, support: int = 5) -> DataFrame:
+    """host, shape, bad, labelled, template for every row of shapes (host, shape, bad, labelled; shape: segments joined by /).
+
+    A segment becomes * where its node has over fanout different children; the
+    children of others are merged if two at least have support labelled pages.
+    A node is only looked at if one of both is possible, so the loop ends where
+    paths thin out, and not at a depth.
     """
-    parts = F.split("shape", "/")
-    nodes = paths.select("host", "shape", F.posexplode(parts).alias("depth", "segment")).withColumn("parent", F.array_join(F.slice(F.split("shape", "/"), F.lit(1), F.col("depth")), "/"))
-    children = nodes.groupBy("host", "parent", "depth", "segment").agg(F.lit(1).alias("one"))
-    wide = children.groupBy("host", "parent", "depth").agg(F.count("one").alias("children")).where(F.col("children") > fanout).select("host", "parent", "depth", F.lit(True).alias("wide"))
-    general = nodes.join(wide, ["host", "parent", "depth"], "left").withColumn("segment", F.when(F.col("wide"), "*").otherwise(F.col("segment")))
-    built = general.groupBy("host", "shape").agg(F.sort_array(F.collect_list(F.struct("depth", "segment"))).alias("parts"))
-    segments = F.transform("parts", lambda p: p["segment"])
-    return built.select("host", "shape", F.element_at(segments, 1).alias("first"), F.array_join(segments, "/").alias("template"))
+    node = ["host", "head"]
+    rest = F.filter(F.split("shape", "/"), lambda s: s != "")
+    rows = shapes.select("host", "shape", "bad", "labelled", F.lit("").alias("head"), rest.alias("rest"))
+    out = []
+    while True:
+        nodes = rows.where(F.size("rest") > 0).groupBy(*node).agg(F.count(F.lit(1)).alias("shapes"), F.sum("labelled").alias("known"))
+        nodes = persist(nodes.where((F.col("shapes") > fanout) | (F.col("known") >= 2 * support)).select(*node, F.lit(True).alias("looked_at")), narrow=True)
+        if nodes.isEmpty():
+            break
+        looked = rows.join(nodes, node, "left")
+        moves = F.col("looked_at").isNotNull() & (F.size("rest") > 0)
+        out.append(looked.where(~moves).select(rows.columns))
+        moving = looked.where(moves).withColumn("segment", F.col("rest")[0])
+        branches = persist(moving.groupBy(*node, "segment").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")))
+        widths = branches.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum((F.col("labelled") >= support).cast("int")).alias("supported"))
+        widths = persist(widths.where((F.col("children") > fanout) | (F.col("supported") >= 2)), narrow=True)
+        names = merged_branches(branches.join(widths.where(F.col("children") <= fanout).select(*node), node), z, support)
+        wide = widths.where(F.col("children") > fanout).select(*node, F.lit(True).alias("wide"))
+        general = F.when(F.col("wide"), "*").otherwise(F.coalesce("general", "segment"))
+        moved = moving.join(wide, node, "left").join(names, [*node, "segment"], "left")
+        left = F.expr("slice(rest, 2, size(rest))")
+        rows = persist(moved.select("host", "shape", "bad", "labelled", F.concat("head", F.lit("/"), general).alias("head"), left.alias("rest")))
+    out.append(rows)
+    every = out[0]
+    for part in out[1:]:
+        every = every.unionByName(part)
+    whole = F.concat("head", F.when(F.size("rest") > 0, F.concat(F.lit("/"), F.array_join("rest", "/"))).otherwise(""))
+    return every.select("host", "shape", "bad", "labelled", F.substring(whole, F.lit(2), F.length(whole)).alias("template"))
+
+
+def tree_nodes(host: Column, template: Column) -> Column:
+    """The nodes on the way to a template: the host's parent domains, shortest first, the host, then host and each beginning of the template."""
+    labels, parts = F.split(host, "[.]"), F.filter(F.split(template, "/"), lambda s: s != "")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
+    paths = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return F.concat(domains, F.slice(paths, F.lit(2), F.size(parts)))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str = "page_id", url: str = "url", fanout: int = 20, z: float = 1.96, support: int = 5, smooth: float = 5.0, reject: float = 0.75) -> DataFrame:
     """page_id, host, path, rule, template, purity, verdict for every row of pages.
 
     The urls that a rule fits are the labelled ones. Others are blocked if
-    their template's smoothed share of blocked urls is at least reject. A
-    branch merges with the others of its host if it has under support labelled
-    urls or its share is within z standard errors of theirs; smooth is the
-    weight of the level above, in urls.
+    their template's smoothed share of blocked urls is at least reject; smooth
+    is the weight of the level above, in urls. See path_templates for fanout, z
+    and support.
 
     A null url, or one without ://, has an empty host and path and is judged as
     these. Rows that repeat count each. Empty table: no rows. Only the two
@@ -85,27 +136,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str
     blocked = (F.col("fits.verdict") == "block").cast("int")
     shapes = persist(urls.groupBy("host", "shape").agg(F.sum(blocked).alias("bad"), F.count(blocked).alias("labelled")).fillna(0))
 
-    templates = shapes.join(path_templates(shapes, fanout), ["host", "shape"])
-    branches = templates.groupBy("host", "first").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    hosts = branches.groupBy("host").agg(F.sum("bad").alias("host_bad"), F.sum("labelled").alias("host_labelled"))
     corpus = shapes.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled")).first()
-    rest_n, rest_bad = F.col("host_labelled") - F.col("labelled"), F.col("host_bad") - F.col("bad")
-    pooled = F.col("host_bad") / F.col("host_labelled")
-    gap = F.col("bad") / F.col("labelled") - rest_bad / rest_n
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_n))
-    alike = (F.col("labelled") < support) | F.when(rest_n > 0, F.abs(gap) <= z * error).otherwise(False)
-    branches = branches.join(hosts, "host").withColumn("branch", F.when(alike, "*").otherwise(F.col("first")))
-
-    merged = templates.join(branches.select("host", "first", "branch", "host_bad", "host_labelled"), ["host", "first"])
-    tail = F.when(F.instr("template", "/") > 0, F.substring(F.col("template"), F.instr("template", "/"), F.length("template"))).otherwise("")
-    merged = merged.withColumn("template", F.concat("branch", tail))
-    by_template = merged.groupBy("host", "branch", "template").agg(F.sum("bad").alias("t_bad"), F.sum("labelled").alias("t_labelled"))
-    by_branch = by_template.groupBy("host", "branch").agg(F.sum("t_bad").alias("b_bad"), F.sum("t_labelled").alias("b_labelled"))
-    corpus_share = F.lit((corpus["bad"] + smooth * 0.5) / (corpus["labelled"] + smooth))
-    host_share = (F.col("host_bad") + smooth * corpus_share) / (F.col("host_labelled") + smooth)
-    branch_share = (F.col("b_bad") + smooth * host_share) / (F.col("b_labelled") + smooth)
-    purity = (F.col("t_bad") + smooth * branch_share) / (F.col("t_labelled") + smooth)
-    judged = merged.join(by_template, ["host", "branch", "template"]).join(by_branch, ["host", "branch"]).select("host", "shape", "template", purity.alias("purity"))
+    corpus_share = (corpus["bad"] + smooth * 0.5) / (corpus["labelled"] + smooth)
+    templates = persist(path_templates(shapes, fanout, z, support))
+    nodes = tree_nodes(F.col("host"), F.col("template"))
+    evidence = templates.where("labelled > 0").select("bad", "labelled", F.explode(nodes).alias("node")).groupBy("node").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    way = templates.select("host", "template").distinct().select("host", "template", F.posexplode(nodes).alias("level", "node"))
+    met = way.join(persist(evidence, narrow=True), "node", "left").groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", "bad", "labelled"))).alias("way"))
+    step = lambda share, x: (F.coalesce(x["bad"], F.lit(0)) + smooth * share) / (F.coalesce(x["labelled"], F.lit(0)) + smooth)
+    judged = met.select("host", "template", F.aggregate("way", F.lit(corpus_share), step).alias("purity"))
+    shaped = persist(templates.select("host", "shape", "template").join(judged, ["host", "template"]))
 
     own = F.when(F.col("purity") >= reject, "block").otherwise("allow")
-    return urls.join(persist(judged), ["host", "shape"]).select("page_id", "host", "path", F.col("fits.rule").alias("rule"), "template", "purity", F.coalesce(F.col("fits.verdict"), own).alias("verdict"))
+    return urls.join(shaped, ["host", "shape"]).select("page_id", "host", "path", F.col("fits.rule").alias("rule"), "template", "purity", F.coalesce(F.col("fits.verdict"), own).alias("verdict"))

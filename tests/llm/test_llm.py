@@ -156,7 +156,38 @@ def test_url_templates_learn_from_labels(spark):
     for i, u in enumerate(urls):
         if u.endswith("/777.html"):
             assert rows[i]["verdict"] == ("block" if "/shop/" in u else "allow"), u
-    assert rows[0]["template"] == "shop/*"
+    assert rows[0]["template"] == "shop/*" and rows[50]["template"] == "{blog|news}/*"
+
+
+def judged(spark, rules, urls, **options):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return {urls[r["page_id"]]: r for r in url_filter.judge_urls(pages, rules, **options).collect()}
+
+
+def test_url_evidence_of_the_parent_domain(spark):
+    rules = [("block", "bets.test/a/"), ("allow", "news.test/a/"), ("allow", "news.test/b/")]
+    urls = [f"http://h{i}.{d}.test/{s}/{w}" for d in ("bets", "news") for i in range(6) for s in ("a", "b") for w in "xyz"] + ["http://m.casino-win.bets.test/q", "http://quiet.news.test/q", "http://bets.test/", "http://elsewhere.org/q"]
+    found = judged(spark, rules, urls)
+    assert found["http://m.casino-win.bets.test/q"]["verdict"] == found["http://bets.test/"]["verdict"] == found["http://h3.bets.test/b/x"]["verdict"] == "block"
+    assert found["http://quiet.news.test/q"]["verdict"] == found["http://elsewhere.org/q"]["verdict"] == "allow"
+
+
+def test_url_branches_merge_pairwise_at_every_depth(spark):
+    rules = [("block", f"h.net/x/y/z/u/v/w/q/{s}/b") for s in ("ad", "promo")] + [("allow", f"h.net/x/y/z/u/v/w/q/{s}/a") for s in ("docs", "help")] + [("allow", "h.net/x/y/z/u/v/w/q/promo/c")]
+    start = "http://h.net/x/y/z/u/v/w/q"
+    words = [f"{a}{b}" for a in "klmno" for b in "prstuv"]
+    urls = [f"{start}/{s}/{k}{w}" for s, k in (("ad", "b"), ("promo", "b"), ("docs", "a"), ("help", "a"), ("promo", "c")) for w in words[: 2 if k == "c" else None]] + [f"{start}/ad/new", f"{start}/help/new", f"{start}/other/new"]
+    found = judged(spark, rules, urls)
+    assert found[f"{start}/ad/new"]["template"] == "x/y/z/u/v/w/q/{ad|promo}/*" and found[f"{start}/ad/new"]["verdict"] == "block"
+    assert found[f"{start}/help/new"]["template"] == "x/y/z/u/v/w/q/{docs|help}/*" and found[f"{start}/help/new"]["verdict"] == "allow"
+    assert found[f"{start}/other/new"]["template"] == "x/y/z/u/v/w/q/*/new"
+
+
+def test_url_wildcards_below_wildcards(spark):
+    names = [f"{a}{b}" for a in "klmnop" for b in "prstu"]
+    found = judged(spark, [], [f"http://h.net/{n}/{m}" for n, m in zip(names, reversed(names), strict=True)] + ["http://h.net/" + "deep/" * 300])
+    assert {r["template"] for u, r in found.items() if "deep" not in u} == {"*/*"}
+    assert next(r for u, r in found.items() if "deep" in u)["template"] == "*/*" + "/deep" * 298
 
 
 # media
