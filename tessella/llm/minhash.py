@@ -15,11 +15,11 @@ s * DAMP / (s * DAMP + 1 - s), 0.667 at the threshold, if each shared shingle
 stands in every document. It then shares a band with probability 0.996, and
 with 0.99999 if the shared shingles are rare.
 
-Document frequency. Only shingles in at least `least` documents weigh less than
-1 (before their count), so only these are needed later. least is RARE of the
-documents, or more if that is needed for at most MOST_FREQUENT such shingles;
-that bounds the table which is broadcast. The counts themselves are exact and
-made by a shuffle of all shingles' hashes, packed in sorted blocks.
+Document frequency. Only shingles in over RARE of all documents weigh less than
+1 (before their count). The MOST_FREQUENT commonest shingles are broadcast, for
+these weights and to order shingles by rarity; that bounds the table whatever
+the corpus' size. The counts themselves are exact and made by a shuffle of all
+shingles' hashes, packed in sorted blocks.
 
 Groups. Documents with equal shingle multisets are one class at once and go on
 as one representative. First each member of a bucket is compared with one hub,
@@ -47,6 +47,8 @@ from tessella.llm.common import persist, small_batches, text_or_empty
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 25
 RARE, DAMP = 0.0005, 0.5
+#: Document frequencies below this are not told apart.
+FEWEST = 4
 #: Entries of the table of frequent shingles that is broadcast, 20 bytes each.
 MOST_FREQUENT = 2_000_000
 #: Bytes of a text whose words are hashed at once, and of shingle vectors that a worker keeps.
@@ -181,16 +183,26 @@ def _frequent_in(least: int):
     return frequent
 
 
-def least_documents(n_docs: int, n_bytes: int) -> int:
-    """From so many documents on a shingle is frequent; a text has at most half as many shingles as bytes, plus one."""
-    return max(2, int(np.ceil(RARE * n_docs)), int(np.ceil((n_bytes / 2 + n_docs) / MOST_FREQUENT)))
-
-
-def frequent_shingles(docs: DataFrame, n_docs: int, n_bytes: int, text: str = "text") -> DataFrame:
-    """hash, n: the exact document frequency of every shingle in at least least_documents(n_docs, n_bytes) documents."""
+def frequent_shingles(docs: DataFrame, n_bytes: int, text: str = "text", fewest: int = FEWEST) -> DataFrame:
+    """hash, n: the exact document frequency of every shingle in at least fewest documents."""
     bits = min(24, max(7, (n_bytes // 6 // 1_000_000).bit_length()))
     blocks = docs.select(text_or_empty(text).alias("body")).mapInPandas(lambda it: _blocks(it, bits), "block long, hashes binary, counts binary")
-    return blocks.groupBy("block").applyInPandas(_frequent_in(least_documents(n_docs, n_bytes)), "hash long, n long")
+    return blocks.groupBy("block").applyInPandas(_frequent_in(fewest), "hash long, n long")
+
+
+def least_kept(counted: DataFrame) -> int:
+    """The least frequency from which on at most MOST_FREQUENT shingles are left (frequencies over 1,024 in steps of doubling)."""
+    n = F.col("n")
+    step = F.when(n <= 1024, n).otherwise((1024 * F.pow(F.lit(2.0), F.floor(F.log2(n / 1024)))).cast("long"))
+    left, least = 0, None
+    for r in sorted(counted.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        left += r["count"]
+        if left > MOST_FREQUENT and r["step"] < 1024:
+            return r["step"] + 1
+        if left > MOST_FREQUENT:
+            return 2 * r["step"] if least is None else least
+        least = r["step"]
+    return FEWEST
 
 
 def by_count(counts: np.ndarray) -> np.ndarray:
@@ -199,12 +211,12 @@ def by_count(counts: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """Inverse document frequency from 1 for shingles in at most `least` documents down to DAMP for one in every document."""
+    """Inverse document frequency from 1 for shingles in at most `rare` documents down to DAMP for one in every document."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_docs: int, least: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n_docs: int, rare: int):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        spread = np.log(max(1, n_docs) / np.maximum(1, self.counts)) / max(1e-9, np.log(max(1, n_docs) / least))
+        spread = np.log(max(1, n_docs) / np.maximum(1, self.counts)) / max(1e-9, np.log(max(1, n_docs) / rare))
         self.inverse = (DAMP + (1 - DAMP) * np.clip(spread, 0, 1)).astype(np.float32)
 
     def _held(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -428,9 +440,12 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, shared, threshold: float
 
 def _share(spark: SparkSession, docs: DataFrame, text: str):
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_or_empty(text))), F.lit(0)).alias("bytes")).first()
-    # At most MOST_FREQUENT rows, see least_documents.
-    found = frequent_shingles(docs, size["n"], size["bytes"], text).toPandas()
-    weights = Weights(found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64), size["n"], least_documents(size["n"], size["bytes"]))
+    # At most MOST_FREQUENT rows, see least_kept.
+    counted = persist(frequent_shingles(docs, size["bytes"], text))
+    least = least_kept(counted)
+    found = counted.where(F.col("n") >= least).toPandas()
+    rare = max(2, least, int(np.ceil(RARE * size["n"])))
+    weights = Weights(found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int32), size["n"], rare)
     return spark.sparkContext.broadcast(weights)
 
 

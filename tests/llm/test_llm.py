@@ -645,10 +645,15 @@ def test_near_classes_of_passages_that_a_third_shares(spark):
     assert {i: (c, wanted[i]) for i, c in found.items() if c != wanted[i]} == {}
 
 
-def test_frequent_shingles_are_bounded():
-    for n_docs, n_bytes in ((10, 10**9), (10**7, 10**14), (10**9, 10**12)):
-        least = minhash.least_documents(n_docs, n_bytes)
-        assert (n_bytes / 2 + n_docs) / least <= minhash.MOST_FREQUENT and least >= minhash.RARE * n_docs
+def test_frequent_shingles_are_bounded(spark, monkeypatch):
+    counts = [4] * 50 + [5] * 30 + [9] * 10 + [1500] * 5 + [5000] * 3
+    counted = spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "hash long, n long")
+    for most in (1000, 60, 48, 20, 8, 4):
+        monkeypatch.setattr(minhash, "MOST_FREQUENT", most)
+        least = minhash.least_kept(counted)
+        assert sum(n >= least for n in counts) <= most and (most < 1000 or least == minhash.FEWEST)
+        assert sum(n >= least - 1 for n in counts) > most or least == minhash.FEWEST or least > 1024
+    assert minhash.least_kept(counted.limit(0)) == minhash.FEWEST
 
 
 def test_shingles_of_long_texts_do_not_depend_on_the_window(monkeypatch):
@@ -664,7 +669,7 @@ def test_shingles_of_long_texts_do_not_depend_on_the_window(monkeypatch):
 def test_document_frequencies_are_exact(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     df = Counter(x for r in docs.collect() for x in minhash.shingles(r["text"])[0].view(np.int64).tolist())
-    found = {r["hash"]: r["n"] for r in minhash.frequent_shingles(docs.repartition(9), docs.count(), 10**6).collect()}
+    found = {r["hash"]: r["n"] for r in minhash.frequent_shingles(docs.repartition(9), 10**6, fewest=2).collect()}
     assert found == {x: n for x, n in df.items() if n >= 2}
 
 
