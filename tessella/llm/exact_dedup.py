@@ -40,8 +40,10 @@ def _with_class(rows: DataFrame, classes: DataFrame, body: Column) -> DataFrame:
     """rows (with text_sha256) and their class' keep_id, group_size and own_body: the normalised text body where a digest is not enough, else null."""
     alone = classes.where("body is null").select("text_sha256", "keep_id", "group_size")
     shared = classes.where("body is not null").select("text_sha256", F.col("body").alias("own_body"), "keep_id", "group_size")
-    by_text = rows.withColumn("own_body", body).join(shared, ["text_sha256", "own_body"])
-    return rows.join(alone, "text_sha256").withColumn("own_body", F.lit(None).cast("string")).unionByName(by_text)
+    found = rows.join(alone, "text_sha256").withColumn("own_body", F.lit(None).cast("string"))
+    if shared.isEmpty():  # no digest stands for two texts, so no text has to move once more
+        return found
+    return found.unionByName(rows.withColumn("own_body", body).join(shared, ["text_sha256", "own_body"]))
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,8 +69,10 @@ def exact_distinct(docs: DataFrame) -> DataFrame:
     repeat the doc_id and text of one that stays, stay with it.
     """
     classes = persist(exact_classes(docs).where("group_size > 1 or body is not null"))
-    rows = docs.select(F.col("doc_id").alias("_gone_id"), "text").withColumn("text_sha256", F.sha2(normalised("text"), 256))
+    rows = docs.select(F.col("doc_id").alias("_gone_id"), "text", F.xxhash64(normalised("text")).alias("_check")).withColumn("text_sha256", F.sha2(normalised("text"), 256))
     gone = _with_class(rows, classes, normalised("text")).where(~F.col("_gone_id").eqNullSafe(F.col("keep_id")))
-    gone = persist(gone.select("_gone_id", F.col("text_sha256").alias("_gone_sha256"), F.col("own_body").alias("_gone_body")).distinct())
-    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.sha2(normalised("text"), 256) == gone["_gone_sha256"]) & (gone["_gone_body"].isNull() | (normalised("text") == gone["_gone_body"]))
+    # A row that goes is named by its id and a short hash of its text, and by the text itself where digests met.
+    check = F.xxhash64(normalised("text"))
+    gone = persist(gone.select("_gone_id", F.col("_check").alias("_gone_check"), F.col("own_body").alias("_gone_body")).distinct())
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (check == gone["_gone_check"]) & (gone["_gone_body"].isNull() | (normalised("text") == gone["_gone_body"]))
     return docs.join(gone, same, "left_anti")
