@@ -68,7 +68,7 @@ def aggregate_polygons(px: DataFrame, size: tuple[int, int], value: str = "value
     """Polygons of each category and tile, moved to raster pixels."""
     key = ["raster_name", "x_off", "y_off"]
     found = vector.vectorize(px.select(*key, "y", "x", value), key, *size, value=value)
-    return found.withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] + F.col("x_off")).alias("x"), (p["y"] + F.col("y_off")).alias("y")))))
+    return found.withColumn("rings", vector.moved_rings("rings", F.col("x_off"), F.col("y_off")))
 
 
 def tiling_summary(rasters: DataFrame, scheme: LocalScheme, disk: tuple[int, int]) -> DataFrame:

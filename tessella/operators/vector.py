@@ -6,10 +6,10 @@ ring, the others are holes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,97 +78,184 @@ def rasterize(features: DataFrame, width: int, height: int, value: str, group: S
     return burnt.groupBy(*group, "y", "x").agg(F.max(value).alias(value))
 
 
-def distance_to_edges(px: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """px with distance: from each pixel's centre to the nearest side of its own feature."""
-    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+def pixels_near_edges(features: DataFrame, keys: Sequence[str], distance: float, width: int, height: int) -> DataFrame:
+    """keys, y, x, distance: the pixels whose centre is at most a distance from a side, once for each such side.
+
+    A side names the rows that it comes near to, and in each row the columns
+    around the part of it that is near, so the work follows the outline's length.
+    """
+    e = polygon_edges(features, keys)
+    first = F.greatest(F.ceil(F.least("ey0", "ey1") - distance - 0.5), F.lit(0)).cast("int")
+    last = F.least(F.floor(F.greatest("ey0", "ey1") + distance - 0.5), F.lit(height - 1)).cast("int")
+    rows = e.withColumns({"_a": first, "_b": last}).where("_a <= _b").select("*", F.explode(F.sequence("_a", "_b")).alias("y"))
     dx, dy = F.col("ex1") - F.col("ex0"), F.col("ey1") - F.col("ey0")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("ex0")) * dx + (y - F.col("ey0")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))))
-    t = F.coalesce(t, F.lit(0.0))
+    # Where along the side the rows y + 0.5 - distance and y + 0.5 + distance cross it; the whole side if it is level.
+    at = lambda d: F.when(dy == 0, F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("y") + 0.5 + d - F.col("ey0")) / dy)))
+    one, two = F.col("ex0") + F.coalesce(at(-distance), F.lit(0.0)) * dx, F.col("ex0") + F.coalesce(at(distance), F.lit(1.0)) * dx
+    left = F.greatest(F.ceil(F.least(one, two) - distance - 0.5), F.lit(0)).cast("int")
+    right = F.least(F.floor(F.greatest(one, two) + distance - 0.5), F.lit(width - 1)).cast("int")
+    near = rows.withColumns({"_a": left, "_b": right}).where("_a <= _b").select(*keys, "ex0", "ey0", "ex1", "ey1", "y", F.explode(F.sequence("_a", "_b")).alias("x"))
+    x, y = F.col("x") + 0.5, F.col("y") + 0.5
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("ex0")) * dx + (y - F.col("ey0")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
     d = F.hypot(x - F.col("ex0") - t * dx, y - F.col("ey0") - t * dy)
-    return px.join(edges, list(keys)).groupBy(*px.columns).agg(F.min(d).alias("distance"))
+    return near.select(*keys, "y", "x", d.alias("distance")).where(F.col("distance") <= distance)
 
 
 def buffered_pixels(features: DataFrame, keys: Sequence[str], distance: float, width: int, height: int) -> DataFrame:
     """keys, y, x: the pixels of the polygons grown (distance > 0) or shrunk (< 0) by a distance in pixels."""
-    edges = polygon_edges(features, keys)
     inside = burnt_pixels(features, keys, width, height)
+    near = pixels_near_edges(features, keys, abs(distance), width, height)
     if distance < 0:
-        return distance_to_edges(inside, edges, keys).where(F.col("distance") >= -distance).select(*keys, "y", "x")
-    b = features.select(*keys, polygon_bounds().alias("_b"))
-    span = lambda lo, hi, n: F.sequence(F.greatest(F.floor(lo - distance), F.lit(0)).cast("int"), F.greatest(F.lit(0), F.least(F.ceil(hi + distance), F.lit(n - 1))).cast("int"))
-    near = b.select(*keys, F.explode(span(F.col("_b.bottom"), F.col("_b.top"), height)).alias("y"), "_b").select(*keys, "y", F.explode(span(F.col("_b.left"), F.col("_b.right"), width)).alias("x"))
-    grown = distance_to_edges(near, edges, keys).where(F.col("distance") <= distance).select(*keys, "y", "x")
-    return inside.unionByName(grown).distinct()
+        return inside.join(near.where(F.col("distance") < -distance), [*keys, "y", "x"], "left_anti")
+    return inside.unionByName(near.select(*keys, "y", "x")).distinct()
+
+
+#: Steps (y, x) to the cell ahead on the right and ahead on the left of a side walked with its own cell on the right: top east, right south, bottom west, left north.
+_RIGHT = np.array([(0, 1), (1, 0), (0, -1), (-1, 0)])
+_LEFT = np.array([(-1, 1), (1, 1), (1, -1), (-1, -1)])
+#: The cell across a side, and the corner at which its walk begins.
+_ACROSS = np.array([(-1, 0), (0, 1), (1, 0), (0, -1)])
+_START = np.array([(0, 0), (0, 1), (1, 1), (1, 0)])
+
+
+def regions(grids: np.ndarray) -> np.ndarray:
+    """The 4-connected regions of equal values but 0 in grids (n, height, width): for each cell the least cell number of its region, -1 for 0."""
+    n, h, w = grids.shape
+    label = np.arange(grids.size).reshape(n, h, w)
+    down, right = (grids[:, :-1] == grids[:, 1:]) & (grids[:, 1:] != 0), (grids[:, :, :-1] == grids[:, :, 1:]) & (grids[:, :, 1:] != 0)
+    pairs = np.concatenate([np.stack([label[:, :-1][down], label[:, 1:][down]]), np.stack([label[:, :, :-1][right], label[:, :, 1:][right]])], axis=1)
+    root = label.ravel().copy()
+    while True:
+        a, b = root[pairs[0]], root[pairs[1]]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return np.where(grids.ravel() == 0, -1, root).reshape(n, h, w)
+
+
+def traced(grids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rings of the regions of grids (n, height, width): (region, area) of each ring, offsets of its points, x, y.
+
+    Sides between a region and what is
+    not of it are walked with the region on the right. Where two of its cells
+    touch at a corner only, the walk keeps to its own cell, so it turns right
+    whenever the cell ahead on the right is not of the region. Each side thus
+    knows the next; rings are the cycles, found and ranked by doubling steps.
+    Corners only are kept, in order, the first repeated at the end.
+    """
+    n, h, w = grids.shape
+    region = np.full((n, h + 2, w + 2), -1, np.int64)
+    region[:, 1:-1, 1:-1] = regions(grids)
+    tile, y, x, side = np.nonzero(np.stack([(region[:, 1 + i : h + 1 + i, 1 + j : w + 1 + j] != region[:, 1:-1, 1:-1]) & (region[:, 1:-1, 1:-1] >= 0) for i, j in _ACROSS], axis=-1))
+    own = region[tile, y + 1, x + 1]
+    number = np.full((n, h + 2, w + 2, 4), -1, np.int64)
+    number[tile, y + 1, x + 1, side] = np.arange(len(tile))
+    ahead = lambda steps: (y + 1 + steps[side, 0], x + 1 + steps[side, 1])
+    (ry, rx), (ly, lx) = ahead(_RIGHT), ahead(_LEFT)
+    turns_right = region[tile, ry, rx] != own
+    turns_left = ~turns_right & (region[tile, ly, lx] == own)
+    follow = np.where(turns_right, number[tile, y + 1, x + 1, (side + 1) % 4], np.where(turns_left, number[tile, ly, lx, (side - 1) % 4], number[tile, ry, rx, side]))
+    # The least side of each cycle leads it; the distance to the leader, going on, orders the others.
+    lead, jump = np.arange(len(tile)), follow.copy()
+    for _ in range(max(1, len(tile)).bit_length()):
+        lead, jump = np.minimum(lead, lead[jump]), jump[jump]
+    ends = lead[follow] == follow
+    left, jump = np.where(ends, 0, 1), np.where(ends, np.arange(len(tile)), follow)
+    for _ in range(max(1, len(tile)).bit_length()):
+        left, jump = left + left[jump], jump[jump]
+    came = np.empty(len(tile), np.int64)
+    came[follow] = side
+    order = np.lexsort((-left, lead))
+    order = order[came[order] != side[order]]
+    px, py = (x + _START[side, 1])[order].astype(float), (y + _START[side, 0])[order].astype(float)
+    first = np.flatnonzero(np.diff(lead[order], prepend=-1))
+    size = np.diff(np.append(first, len(order)))
+    spot = np.arange(len(order)) + np.repeat(np.arange(len(first)), size)
+    offsets = np.append(first + np.arange(len(first)), len(order) + len(first))
+    xs, ys = np.empty(offsets[-1]), np.empty(offsets[-1])
+    xs[spot], ys[spot] = px, py
+    xs[offsets[1:] - 1], ys[offsets[1:] - 1] = px[first], py[first]
+    cross = np.append(xs[:-1] * ys[1:] - xs[1:] * ys[:-1], 0.0)
+    cross[offsets[1:] - 1] = 0.0
+    area = np.add.reduceat(cross, offsets[:-1]) / 2 if len(first) else np.empty(0)
+    return own[order][first], area, offsets, xs, ys
+
+
+#: Cells of tiles that are traced together.
+CELLS_AT_ONCE = 1 << 20
+_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
 
-def trace(mask: np.ndarray) -> list[list[list[tuple[int, int]]]]:
-    """Polygons (outer ring, holes) of the 4-connected regions of a small boolean matrix, in pixel corners.
+def vectorize(px: DataFrame, keys: Sequence[str], width: int, height: int, value: str = "value") -> DataFrame:
+    """keys, value, part, rings: the regions of each value but 0, tile by tile; part counts a tile's regions of a value in the order of their first pixels.
 
-    Sides between a set and an unset pixel are walked with the set pixel on
-    the right; at a corner where two regions touch the walk keeps to its own.
+    A tile is packed by one aggregation; many tiles at once are traced by array
+    operations, without a loop over tiles, pixels or sides.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.select(*keys, value).schema) + ", part int, rings array<array<struct<x:double,y:double>>>"
+    tiles = px.where(F.col(value) != 0).groupBy(*keys).agg(F.collect_list((F.col("y") * width + F.col("x")).cast("int")).alias("_at"), F.collect_list(value).alias("_value"))
+
+    def polygons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS_AT_ONCE // (width * height))
+        for batch in (whole.slice(start, step) for whole in batches for start in range(0, whole.num_rows, step)):
+            at, values = batch.column("_at"), batch.column("_value")
+            tile = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy())
+            grids = np.zeros((batch.num_rows, height * width), values.type.value_type.to_pandas_dtype())
+            grids[tile, at.flatten().to_numpy()] = values.flatten().to_numpy()
+            region, area, offsets, x, y = traced(grids.reshape(-1, height, width))
+            # Rings of a region stand together, the outer one (the only one of positive area) first.
+            order = np.lexsort((-area, region))
+            size = np.diff(offsets)[order]
+            points = np.repeat(offsets[:-1][order] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            rings = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), pa.StructArray.from_arrays([x[points], y[points]], fields=list(_POINT)))
+            start = np.flatnonzero(np.diff(region[order], prepend=-1))
+            found = region[order][start]
+            polygon = pa.ListArray.from_arrays(np.append(start, len(order)).astype(np.int32), rings)
+            owner, number = found // (height * width), grids.ravel()[found]
+            by_value = np.lexsort((found, number, owner))
+            head = np.flatnonzero(np.diff(owner[by_value], prepend=-1).astype(bool) | np.diff(number[by_value], prepend=number[by_value][:1] - 1).astype(bool))
+            part = np.empty(len(found), np.int32)
+            part[by_value] = np.arange(len(found)) - np.repeat(head, np.diff(np.append(head, len(found))))
+            columns = [batch.column(k).take(pa.array(owner)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(number, values.type.value_type), pa.array(part), polygon], names=[*keys, value, "part", "rings"])
+
+    return tiles.mapInArrow(polygons, schema)
+
+
+def dissolved_polygons(tiles: DataFrame, group: Sequence[str] = ("z",), patch: int = 64) -> DataFrame:
+    """group, patch_x, patch_y, part, rings: a set of unit cells (x, y) as polygons in cell coordinates, patch by patch.
+
+    Cells of a patch, patch x patch of them, dissolve into its regions; a
+    region that goes on beyond a patch is cut at its border, so that no task
+    ever holds more than a patch.
     """
-    h, w = mask.shape
-    m = np.zeros((h + 2, w + 2), bool)
-    m[1:-1, 1:-1] = mask
-    region = np.zeros(m.shape, np.int64)
-    count = 0
-    for y, x in np.argwhere(m):
-        if region[y, x]:
-            continue
-        count += 1
-        region[y, x], todo = count, [(y, x)]
-        while todo:
-            a, b = todo.pop()
-            for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
-                if m[c, d] and not region[c, d]:
-                    region[c, d] = count
-                    todo.append((c, d))
-    sides: dict[tuple[int, int, int], dict] = {}
-    for y, x in np.argwhere(m):
-        r, px, py = region[y, x], x - 1, y - 1
-        for other, start, end in (((y - 1, x), (px, py), (px + 1, py)), ((y, x + 1), (px + 1, py), (px + 1, py + 1)), ((y + 1, x), (px + 1, py + 1), (px, py + 1)), ((y, x - 1), (px, py + 1), (px, py))):
-            if not m[other]:
-                sides.setdefault((r, *start), {})[end] = True
-    rings: dict[int, list] = {}
-    while sides:
-        key = next(iter(sides))
-        r, start = key[0], key[1:]
-        ring, at, came = [start], start, None
-        while True:
-            ends = sides[(r, *at)]
-            # Turning right keeps to the pixel just walked around.
-            nxt = next(iter(ends)) if len(ends) == 1 or came is None else min(ends, key=lambda e: 0 if (came[0] * (e[1] - at[1]) - came[1] * (e[0] - at[0])) > 0 else 1)  # noqa: B023
-            del ends[nxt]
-            if not ends:
-                del sides[(r, *at)]
-            came, at = (nxt[0] - at[0], nxt[1] - at[1]), nxt
-            ring.append(at)
-            if at == start:
-                break
-        corners = [p for a, p, b in zip([ring[-2], *ring[:-2]], ring[:-1], ring[1:], strict=True) if (p[0] - a[0]) * (b[1] - p[1]) != (p[1] - a[1]) * (b[0] - p[0])]
-        rings.setdefault(r, []).append([(int(a), int(b)) for a, b in [*corners, corners[0]]])
-    area = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
-    return [sorted(found, key=area, reverse=True) for found in rings.values()]
+    at = lambda c: F.floor(F.col(c) / patch).cast("int")
+    cells = tiles.select(*group, at("x").alias("patch_x"), at("y").alias("patch_y"), F.pmod("x", F.lit(patch)).alias("x"), F.pmod("y", F.lit(patch)).alias("y"), F.lit(1).alias("_one"))
+    found = vectorize(cells, [*group, "patch_x", "patch_y"], patch, patch, "_one")
+    return found.select(*group, "patch_x", "patch_y", "part", moved_rings("rings", F.col("patch_x") * patch, F.col("patch_y") * patch).alias("rings"))
 
 
-def vectorize(px: DataFrame, keys: Sequence[str], width: int, height: int, value: str = "value") -> DataFrame:
-    """keys, value, part, rings: the regions of each value but 0, tile by tile. One tile's pixels meet in a task."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in px.select(*keys, value).schema) + ", part int, rings array<array<struct<x:double,y:double>>>"
+def moved_rings(rings: str, dx: Column, dy: Column) -> Column:
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))))
+
+
+def mask_footprint(px: DataFrame, valid: Column, keys: Sequence[str] = ("raster_name",), patch: int = 64) -> DataFrame:
+    """keys, patch_x, patch_y, part, rings: the valid pixels of rasters as polygons in pixel coordinates, patch by patch."""
+    return dissolved_polygons(px.where(valid).select(*keys, "x", "y"), keys, patch)
+
+
+def ring_length(rings="rings") -> Column:
+    """The length of all rings together, for sides along the axes or not."""
+    r = F.col(rings) if isinstance(rings, str) else rings
+    side = lambda ring: F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(0.0), lambda s, i: s + F.hypot(F.element_at(ring, i + 1)["x"] - F.element_at(ring, i)["x"], F.element_at(ring, i + 1)["y"] - F.element_at(ring, i)["y"]))
+    return F.aggregate(r, F.lit(0.0), lambda s, ring: s + side(ring))
+
 
-    def regions(pdf: pd.DataFrame) -> pd.DataFrame:
-        ys, xs, values = (pdf[c].to_numpy() for c in ("y", "x", value))
-        number, part, rings = [], [], []
-        for v in np.unique(values):
-            grid = np.zeros((height, width), bool)
-            grid[ys[values == v], xs[values == v]] = True
-            for n, p in enumerate(trace(grid)):
-                number.append(v)
-                part.append(n)
-                rings.append([[{"x": float(a), "y": float(b)} for a, b in r] for r in p])
-        head = pdf[list(keys)].iloc[[0] * len(part)].reset_index(drop=True)
-        return head.assign(**{value: number, "part": part, "rings": rings})
-
-    return px.where(F.col(value) != 0).groupBy(*keys).applyInPandas(regions, schema)
+def ring_corners(rings="rings") -> Column:
+    """The number of corners of all rings together; the point that closes a ring does not count again."""
+    return F.aggregate(F.col(rings) if isinstance(rings, str) else rings, F.lit(0), lambda s, ring: s + F.size(ring) - 1)
 
 
 def ring_area(ring: Column) -> Column:
