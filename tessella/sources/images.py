@@ -1,6 +1,9 @@
-"""PNG files of tiles as pixels, and pixels as PNG files; fetching tiles; other databases.
+"""Image files of tiles as pixels, and pixels as PNG files; fetching tiles; other databases.
 
-One file is decoded in a task; pixels leave as packed rows, one a tile.
+Files are read by Spark's image source (PNG, TIFF, JPEG, GIF, BMP), so they
+are decoded in the JVM, file by file. Palette images give colours; labels come
+back by the inverse palette of their categories. Pixels leave as packed rows,
+one a tile.
 """
 
 from __future__ import annotations
@@ -16,50 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _HEAD = b"\x89PNG\r\n\x1a\n"
-_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-PALETTE = T.ArrayType(T.ArrayType(T.IntegerType()))
-_IMAGE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("palette", PALETTE)])
-
-
-def decode(raw: bytes) -> tuple[np.ndarray, list[list[int]] | None]:
-    """(height, width, channels) of 8 bits and the palette, if any. Palette images give indices."""
-    if raw[:8] != _HEAD:
-        raise ValueError("no PNG file")
-    pos, body, palette, head = 8, [], None, None
-    while pos + 12 <= len(raw):
-        size, name = struct.unpack_from(">I4s", raw, pos)
-        chunk = raw[pos + 8 : pos + 8 + size]
-        if name == b"IHDR":
-            head = struct.unpack(">IIBBBBB", chunk)
-        elif name == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3).tolist()
-        elif name == b"IDAT":
-            body.append(chunk)
-        pos += 12 + size
-    if head is None or head[2] != 8 or head[6]:
-        raise ValueError("only PNG of 8 bits without interlacing is read")
-    width, height, n = head[0], head[1], _CHANNELS[head[3]]
-    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * n)
-    out = np.zeros((height + 1, width * n + n), np.uint8)  # a blank line above, a blank pixel to the left
-    for y in range(height):
-        kind, line, up = lines[y, 0], lines[y, 1:], out[y]
-        if kind == 0:
-            out[y + 1, n:] = line
-        elif kind == 2:
-            out[y + 1, n:] = line + up[n:]
-        elif kind == 1:
-            out[y + 1, n:] = np.cumsum(line.reshape(-1, n), axis=0, dtype=np.uint8).ravel()
-        else:
-            row = out[y + 1]
-            for i in range(n, len(row)):
-                a, b, c = int(row[i - n]), int(up[i]), int(up[i - n])
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                row[i] = (int(line[i - n]) + guess) & 255
-    return out[1:, n:].reshape(height, width, n), palette
 
 
 def encode(image: np.ndarray, palette: Sequence[Sequence[int]] | None = None) -> bytes:
@@ -73,33 +32,30 @@ def encode(image: np.ndarray, palette: Sequence[Sequence[int]] | None = None) ->
     return _HEAD + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + colors + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
-@F.pandas_udf(_IMAGE)
-def decoded(files: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Content of a file to its image; null where it cannot be read."""
-    for contents in files:
-        rows = []
-        for raw in contents:
-            try:
-                image, palette = decode(raw)
-                rows.append((image.shape[1], image.shape[0], image.shape[2], image.tobytes(), palette))
-            except (ValueError, TypeError, KeyError, struct.error, zlib.error):
-                rows.append((None, None, None, None, None))
-        yield pd.DataFrame(rows, columns=["width", "height", "channels", "data", "palette"])
-
-
 def read_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
-    """path, width, height, channels, data (row by row, channels together), palette of every file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", decoded("content").alias("i")).select("path", "i.*")
+    """path, width, height, channels, data of every file; data: row by row, channels together, blue first; nulls where a file cannot be read."""
+    files = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    good = F.col("image.nChannels") > 0
+    kept = lambda field, name: F.when(good, F.col(f"image.{field}")).alias(name)
+    return files.select(F.col("image.origin").alias("path"), kept("width", "width"), kept("height", "height"), kept("nChannels", "channels"), kept("data", "data"))
 
 
 def image_pixels(images: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, y, x, band, value in long form."""
-    at = F.col("_p")
-    byte = lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("int")
-    cells = images.select(*keys, "width", "channels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") * F.col("channels") - 1)).alias("_p"))
-    place = F.floor(at / F.col("channels"))
-    return cells.select(*keys, F.floor(place / F.col("width")).cast("int").alias("y"), F.pmod(place, F.col("width")).cast("int").alias("x"), F.pmod(at, F.col("channels")).cast("int").alias("band"), byte(at + 1).alias("value"))
+    """keys, y, x, band, value in long form; band 0 is red or gray, 3 alpha. Images that could not be read have no rows."""
+    # One character a byte, so that the bytes are parted once and not cut out one by one.
+    cells = images.where("data is not null").select(*keys, "width", "channels", F.posexplode(F.split(F.decode("data", "ISO-8859-1"), "")).alias("_p", "_c"))
+    place, channel = F.floor(F.col("_p") / F.col("channels")), F.pmod("_p", F.col("channels"))
+    band = F.when((F.col("channels") < 3) | (channel == 3), channel).otherwise(2 - channel)
+    return cells.select(*keys, F.floor(place / F.col("width")).cast("int").alias("y"), F.pmod(place, F.col("width")).cast("int").alias("x"), band.cast("int").alias("band"), F.ascii("_c").alias("value"))
+
+
+def label_pixels(images: DataFrame, keys: Sequence[str], categories: DataFrame) -> DataFrame:
+    """keys, y, x, label of palette images: the index of each colour in the categories' palette, 0 for other colours."""
+    from tessella.operators.pixels import bands_wide, inverse_palette
+
+    wide = bands_wide(image_pixels(images, keys), [*keys, "y", "x"], [0, 1, 2], ["r", "g", "b"])
+    found = wide.join(inverse_palette(categories), ["r", "g", "b"], "left")
+    return found.select(*keys, "y", "x", F.coalesce("palette_index", F.lit(0)).alias("label"))
 
 
 def encoded_images(packed: DataFrame, width: int, height: int, palette: Sequence[Sequence[int]] | None = None, data: str = "data") -> DataFrame:
