@@ -92,6 +92,26 @@ def utm(lon, lat, zone: int, north: bool = True) -> tuple[Column, Column]:
     return 500000 + 0.9996 * radius * x, (0 if north else 10_000_000) + 0.9996 * radius * y
 
 
+def utm_inverse(easting, northing, zone: int, north: bool = True) -> tuple[Column, Column]:
+    """Longitude and latitude of UTM coordinates, by the series of the way back."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi = (col(northing) - (0 if north else 10_000_000)) / (0.9996 * radius)
+    eta = (col(easting) - 500000) / (0.9996 * radius)
+    x, y = eta, xi
+    for j, c in enumerate(beta, 1):
+        x = x - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    chi = F.asin(F.sin(y) / F.cosh(x))
+    phi = chi
+    for j, c in enumerate(delta, 1):
+        phi = phi + c * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(x), F.cos(y))) + (6 * zone - 183), F.degrees(phi)
+
+
 # affine transforms: a struct (a, b, c, d, e, f) with x = a col + b row + c, y = d col + e row + f
 
 
@@ -219,6 +239,18 @@ def parsed_tile_path(path) -> list[Column]:
     return [kind.alias("tile_class"), part(local, 1).alias("raster_name"), *[part(q, i).cast("int").alias(n) for n, q, i in ints]]
 
 
+def normalised_tile_path(path, root: str) -> Column:
+    """A tile's path under another root: its parent folder and its name."""
+    parts = F.split(col(path), "/")
+    return F.concat(F.lit(f"{root}/"), F.element_at(parts, -2), F.lit("/"), F.element_at(parts, -1))
+
+
+def rerooted_path(path, old: str, new: str) -> Column:
+    """A path with its leading folder exchanged; others stay."""
+    p = col(path)
+    return F.when(F.startswith(p, F.lit(old)), F.concat(F.lit(new), F.substring(p, F.lit(len(old) + 1), F.length(p)))).otherwise(p)
+
+
 def quantity(text) -> Column:
     """struct(values, unit) of "[a b] unit" or "a unit"."""
     t = col(text)

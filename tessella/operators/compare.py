@@ -15,7 +15,8 @@ def confusion_map(px: DataFrame, categories: DataFrame, label: str, mask: str, o
     """px without label and mask, for each active category that is not ignored: name and outcome.
 
     categories (name, palette_index, is_active, is_ignore) is a short list: its
-    rows are the classes of one segmentation.
+    rows are the classes of one segmentation, at most 256 as palette indices
+    are bytes, which bounds the array that stands beside each pixel.
     """
     if set(outcomes) != set(OUTCOMES):
         raise ValueError(f"outcomes must name {sorted(OUTCOMES)}")
@@ -23,7 +24,9 @@ def confusion_map(px: DataFrame, categories: DataFrame, label: str, mask: str, o
     is_label, is_mask = F.col(label) == F.col("palette_index"), F.col(mask) == F.col("palette_index")
     outcome = F.when(is_label & is_mask, outcomes["tp"]).when(~is_label & is_mask, outcomes["fp"]).when(is_label & ~is_mask, outcomes["fn"]).otherwise(outcomes["tn"])
     kept = [c for c in px.columns if c not in (label, mask)]
-    return px.crossJoin(F.broadcast(active)).select(*kept, "name", outcome.alias("outcome"))
+    classes = active.groupBy().agg(F.collect_list(F.struct("name", "palette_index")).alias("_classes"))  # one row
+    each = px.crossJoin(F.broadcast(classes)).select(*kept, label, mask, F.explode("_classes").alias("_class"))
+    return each.select(*kept, label, mask, "_class.name", "_class.palette_index").select(*kept, "name", outcome.alias("outcome"))
 
 
 def confusion_counts(px: DataFrame, categories: DataFrame, label: str, mask: str, group: Sequence[str] = ()) -> DataFrame:

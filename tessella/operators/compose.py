@@ -22,6 +22,38 @@ def project_affine(px: DataFrame, matrix: str = "matrix") -> DataFrame:
     return px.withColumns({"raster_x": (m["a"] * F.col("x") + m["b"] * F.col("y") + m["c"]).cast("int"), "raster_y": (m["d"] * F.col("x") + m["e"] * F.col("y") + m["f"]).cast("int")})
 
 
+def project_by_matrix(px: DataFrame, matrices: DataFrame, tilings: DataFrame, tile: Sequence[str] = ("x_off", "y_off"), value: str = "value") -> DataFrame:
+    """raster_name, y, x, value: project with a tile-to-raster matrix of each tile instead of its offset.
+
+    matrices: raster_name, tile, matrix. Several tile pixels may land on one
+    raster pixel and several tiles may meet there; the last tile in order
+    wins, and of its pixels the last by row and column.
+    """
+    placed = project_affine(px.join(matrices.select("raster_name", *tile, "matrix"), ["raster_name", *tile])).join(tilings.select("raster_name", "width", "height"), "raster_name")
+    inside = placed.where("raster_y between 0 and height - 1 and raster_x between 0 and width - 1")
+    return inside.groupBy("raster_name", F.col("raster_y").alias("y"), F.col("raster_x").alias("x")).agg(F.max_by(value, F.struct(*tile, "y", "x")).alias(value))
+
+
+def tiles_within(tiles: DataFrame, rasters: DataFrame) -> DataFrame:
+    """The tiles that lie inside their raster and do not reach its last row or column."""
+    sized = tiles.join(rasters.select("raster_name", "width", "height"), "raster_name")
+    return sized.where("x_off >= 0 and y_off >= 0 and x_off + src_w < width and y_off + src_h < height").select(*tiles.columns)
+
+
+def project_polygons(px: DataFrame, size: tuple[int, int], width: int, height: int, value: str = "value") -> DataFrame:
+    """raster_name, y, x, value: tiles composed by way of their regions' polygons.
+
+    The regions of each value become polygons in raster pixels, which are burnt
+    again; of several values the largest palette index wins, the background 0 never.
+    """
+    from tessella.operators import vector
+
+    key = ["raster_name", "x_off", "y_off"]
+    found = vector.vectorize(px.select(*key, "y", "x", value), key, *size, value=value)
+    placed = found.withColumn("rings", vector.moved_rings("rings", F.col("x_off"), F.col("y_off"))).withColumn("feature_id", F.struct("x_off", "y_off", "part"))
+    return vector.rasterize(placed.select("raster_name", "feature_id", "rings", value), width, height, value, ["raster_name"])
+
+
 def overlay(raster: DataFrame, layer: DataFrame, pixel: Sequence[str], channels: Sequence[str] = ("r", "g", "b"), weight: int = 192) -> DataFrame:
     """raster with alpha 255, replaced by the layer (alpha weight) where that is not black."""
     top = layer.where(" or ".join(f"{c} <> 0" for c in channels)).select(*pixel, *[F.col(c).alias(f"_{c}") for c in channels])

@@ -66,6 +66,22 @@ def tile_size_in_pixels(transform, x, y, zoom) -> tuple[Column, Column]:
     return (side(0, 1) + side(3, 2)) / 2, (side(0, 3) + side(1, 2)) / 2
 
 
+def default_grid(rasters: DataFrame, source: int, target: int) -> DataFrame:
+    """raster_name, grid, width, height: the grid in another CRS on which a raster keeps its resolution along the diagonal.
+
+    rasters: raster_name, transform, width, height. Bounds are those of the
+    moved sides; a pixel is as long as the moved diagonal is in source pixels.
+    """
+    fx, fy = transformer(source, target)
+    zero, w, h = F.lit(0), F.col("width"), F.col("height")
+    bounds = reprojected_bounds(X.corner_bounds("transform", zero, zero, w, h), source, target)
+    at = lambda c, r: (fx(X.apply_x("transform", c, r)), fy(X.apply_y("transform", c, r)))
+    (x0, y0), (x1, y1) = at(zero, zero), at(w, h)
+    placed = rasters.select("raster_name", bounds.alias("_b"), (F.hypot(x1 - x0, y1 - y0) / F.hypot(w, h)).alias("_p"))
+    cells = lambda low, high: F.greatest(F.lit(1), F.floor((F.col(f"_b.{high}") - F.col(f"_b.{low}")) / F.col("_p") + 0.5)).cast("int")
+    return placed.select("raster_name", X.affine(F.col("_p"), 0, F.col("_b.left"), 0, -F.col("_p"), F.col("_b.top")).alias("grid"), cells("left", "right").alias("width"), cells("bottom", "top").alias("height"))
+
+
 def warp(px: DataFrame, rasters: DataFrame, grids: DataFrame, source: int, target: int, value: str = "value") -> DataFrame:
     """raster_name, y, x, value of rasters on grids in another CRS, nearest neighbour, 0 outside.
 

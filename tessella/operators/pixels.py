@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -133,6 +134,43 @@ def resize_bilinear(px: DataFrame, tile: Sequence[str], src: tuple[int, int], di
     return rows.groupBy(*tile, F.col("py.d").alias("y"), F.col("px.d").alias("x")).agg(F.sum(weighted).alias(value))
 
 
+def _cubic(d: Column) -> Column:
+    a = -0.75
+    return F.when(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1).when(d < 2, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a).otherwise(0.0)
+
+
+def _lanczos(d: Column) -> Column:
+    sinc = lambda v: F.when(v == 0, 1.0).otherwise(F.sin(math.pi * v) / (math.pi * v))
+    return F.when(d < 4, sinc(d) * sinc(d / 4)).otherwise(0.0)
+
+
+#: Weight of a source place by its distance from the target's place, and how many places reach to either side.
+KERNELS = {"cubic": (_cubic, 2), "lanczos": (_lanczos, 4)}
+
+
+def resize_by_kernel(px: DataFrame, tile: Sequence[str], src: tuple[int, int], disk: tuple[int, int], kernel: str = "cubic", value: str = "value") -> DataFrame:
+    """tile, y, x, value (double) at disk size: pixel centres, edges clamped, weights of a target made to add up to 1.
+
+    As in resize_bilinear each source pixel adds its parts to its targets.
+    """
+    weight, reach = KERNELS[kernel]
+
+    def parts(at: str, n: int, m: int) -> Column:
+        spread = F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - reach) * m / n).cast("int") - 1), F.least(F.lit(m - 1), F.ceil((F.col(at) + reach + 1) * m / n).cast("int")))
+
+        def of(d: Column) -> Column:
+            place = (d + 0.5) * n / m - 0.5
+            taps = F.transform(F.sequence(F.lit(1 - reach), F.lit(reach)), lambda k: F.struct(F.greatest(F.lit(0), F.least(F.floor(place) + k, F.lit(n - 1))).alias("s"), weight(F.abs(place - F.floor(place) - k)).alias("w")))
+            total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, t: s + t["w"])
+            return F.struct(d.alias("d"), (total(F.filter(taps, lambda t: t["s"] == F.col(at))) / total(taps)).alias("w"))
+
+        return F.filter(F.transform(spread, of), lambda p: p["w"] != 0)
+
+    rows = px.select(*tile, "y", value, F.explode(parts("x", src[0], disk[0])).alias("px"))
+    rows = rows.select(*tile, value, "px", F.explode(parts("y", src[1], disk[1])).alias("py"))
+    return rows.groupBy(*tile, F.col("py.d").alias("y"), F.col("px.d").alias("x")).agg(F.sum(F.col(value) * F.col("px.w") * F.col("py.w")).alias(value))
+
+
 def overviews(px: DataFrame, group: Sequence[str], factors: Sequence[int], value: str = "value") -> DataFrame:
     """group, factor, y, x, value: rounded means of factor x factor blocks."""
     each = px.select(*group, "y", "x", value, F.explode(F.array(*map(F.lit, factors))).alias("factor"))

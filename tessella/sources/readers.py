@@ -55,6 +55,38 @@ def tiles_of_paths(files: DataFrame, path: str = "tile_path", raster_name: str |
     return tiles
 
 
+def the_tile_class(tiles: DataFrame) -> DataFrame:
+    """One row, tile_class: that of all tiles; an error if there are none or several."""
+    found = tiles.agg(F.min("tile_class").alias("_low"), F.max("tile_class").alias("_high"))
+    return found.select(F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.raise_error("tiles of one class are expected")).alias("tile_class"))
+
+
+def files_of_tiles(keys: DataFrame, files: DataFrame, key: Sequence[str], path: str = "tile_path") -> DataFrame:
+    """keys with the one file of each tile, null if it has none; several are an error."""
+    own = files.groupBy(*key).agg(F.min(path).alias("_low"), F.max(path).alias("_high"))
+    one = F.when(F.col("_low").eqNullSafe(F.col("_high")), F.col("_low")).otherwise(F.raise_error(F.concat(F.lit("several files: "), "_low", F.lit(", "), "_high")))
+    return keys.join(own, list(key), "left").withColumn(path, one).drop("_low", "_high")
+
+
+def listed_files(files: DataFrame, path: str = "path", ext: str | None = None, include: Sequence[str] = (), ignore: Sequence[str] = ()) -> DataFrame:
+    """Files of an extension (any case) whose path holds all of include and none of ignore, with base_name and stem."""
+    p = F.col(path)
+    keep = F.lit(True) if ext is None else F.endswith(F.lower(p), F.lit(ext.lower()))
+    for part in include:
+        keep = keep & F.contains(p, F.lit(part))
+    for part in ignore:
+        keep = keep & ~F.contains(p, F.lit(part))
+    return files.where(keep).withColumn("base_name", F.regexp_extract(p, "[^/]*$", 0)).withColumn("stem", F.regexp_replace(p, r"\.[^./]*$", ""))
+
+
+def concatenated(*segmentations: DataFrame) -> DataFrame:
+    """The features of several segmentations, which must stand in one CRS."""
+    out = segmentations[0]
+    for s in segmentations[1:]:
+        out = out.unionByName(s)
+    return same_crs(out)
+
+
 def without_ignored(files: DataFrame, path: str, search: str, ignore: str | None) -> DataFrame:
     """Files that match a regular expression and not another."""
     found = files.where(F.col(path).rlike(search))
@@ -113,6 +145,17 @@ def read_tiling_json(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("raster_tiling_result_list").alias("r")).select("r.*")
 
 
+def tilings_of_json(texts: DataFrame, text: str = "value") -> DataFrame:
+    """A row for each raster of texts as sinks.tiling_json writes them: raster_name, crs, transform, width, height, origin, stride, size."""
+    t = F.from_json(text, "raster_fn string, raster_crs string, raster_transform array<double>, raster_width int, raster_height int, tiling_info struct<tiling_source_offset_int:string,tiling_source_stride_float:string,tiling_source_size_int:string>")
+    rows = texts.select(t.alias("t"))
+    number = lambda c: X.quantity(F.col(f"t.tiling_info.{c}"))
+    return rows.select(
+        F.col("t.raster_fn").alias("raster_name"), F.col("t.raster_crs").alias("crs"), X.affine(*[F.col("t.raster_transform")[i] for i in range(6)]).alias("transform"),
+        F.col("t.raster_width").alias("width"), F.col("t.raster_height").alias("height"), number("tiling_source_offset_int").alias("origin"), number("tiling_source_stride_float").alias("stride"), number("tiling_source_size_int").alias("size"),
+    )
+
+
 def read_blocks(spark: SparkSession, path: str, raster_names: Sequence[str] | None = None) -> DataFrame:
     """Raster blocks or tiles stored by the parquet sink; the raster filter prunes partitions."""
     blocks = spark.read.parquet(path)
