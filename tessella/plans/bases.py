@@ -20,8 +20,8 @@ LAYERED = """lay as (select concat('l', (l_suppkey % 4)::varchar) tile_id, (l_pa
 
 COVER = """cov as (select distinct 10 z, floor((((user_id * 7919) % 360000) / 1000.0::double - 180) / 360.0::double * 1024 + 512)::int x, (user_id % 1024)::int y from events)"""
 
-FILES = """files as (select doc_id file_id, concat('image_pixel_tiles/r', (doc_id % 7)::varchar, '/width_height_900_900/width_offset_', ((doc_id % 13) * 450 - 150)::varchar,
-  '/height_offset_', ((doc_id % 11) * 450 - 150)::varchar, case when doc_id % 5 = 0 then '.png.aux.xml' else '.png' end) tile_path from documents)"""
+FILES = """files as (select doc_id file_id, concat('image_pixel_tiles/r', (doc_id // 2 % 7)::varchar, '/width_height_900_900/width_offset_', ((doc_id // 2 % 13) * 450 - 150)::varchar,
+  '/height_offset_', ((doc_id // 2 % 11) * 450 - 150)::varchar, case when doc_id % 6 = 1 then '.png.aux.xml' else '.png' end) tile_path from documents)"""
 
 CATEGORIES = """cats(ord, name, palette_index, r, g, b, is_active, is_ignore) as (values (0, 'background', 0, 255, 0, 0, true, false), (1, 'building', 1, 0, 0, 255, true, false),
   (2, 'tree', 2, 0, 255, 0, true, false), (3, 'impervious_surfaces', 3, 255, 255, 255, true, false), (4, 'low_vegetation', 4, 0, 255, 255, true, false),

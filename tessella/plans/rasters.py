@@ -39,6 +39,11 @@ def _colors(spark: SparkSession, d: str) -> DataFrame:
     return wide.withColumns({c: F.when(F.col(c) >= 25, 255).otherwise(0) for c in "rgb"})
 
 
+def _base_raster_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """The rasters of 40 x 40 pixels that the tiles without overlap (every second one each way) make up; the others repeat their area."""
+    return A.tile_pixels(spark, d).where("x_off % 8 = 0 and y_off % 8 = 0").select("raster_name", (F.col("y_off") + F.col("y")).alias("y"), (F.col("x_off") + F.col("x")).alias("x"), F.col("val").alias("value"))
+
+
 def nodata_ratio(spark, d):
     s = pixels.nodata_statistics(A.tile_pixels(spark, d), TILE, 8, 8, "val", 2)
     return s.select(*TILE, "n_nodata", "n_values", "empty_border", F.round(F.col("n_nodata") / F.col("n_values"), 6).alias("ratio"))
@@ -158,12 +163,6 @@ def fusion_confusion(spark, d):
 
 
 def confusion_map(spark, d):
-    px = A.predicted_pixels(spark, d).where("x_off < 8 and y_off < 8").select(*TILE, "y", "x", "val", "pred")
-    return CMP.confusion_map(px, _categories(spark), "val", "pred", {"tp": 1, "fp": 2, "tn": 3, "fn": 4})
-
-
-def confusion_map_all_tiles(spark, d):
-    """confusion_map over every predicted pixel, not only the first tiles of each raster."""
     px = A.predicted_pixels(spark, d).select(*TILE, "y", "x", "val", "pred")
     return CMP.confusion_map(px, _categories(spark), "val", "pred", {"tp": 1, "fp": 2, "tn": 3, "fn": 4})
 
@@ -219,14 +218,14 @@ def resize_bilinear(spark, d):
 
 def windowed_read(spark, d):
     """Overhanging tiles cut from rasters that are put together from base tiles."""
-    px = A.tile_pixels(spark, d).where("x_off % 8 = 0 and y_off % 8 = 0").select("raster_name", (F.col("y_off") + F.col("y")).alias("y"), (F.col("x_off") + F.col("x")).alias("x"), F.col("val").alias("value"))
+    px = _base_raster_pixels(spark, d)
     tiles = tiling.local_tiles(px.select("raster_name").distinct().withColumns({"width": F.lit(40), "height": F.lit(40)}), LocalScheme((12, 12), (9, 9)))
     return readers.windowed_read(px, tiles, (12, 12))
 
 
 def warped_read(spark, d):
     """A mercator tile over each raster, which spans 4 degrees, read by nearest neighbour."""
-    px = A.tile_pixels(spark, d).where("x_off % 8 = 0 and y_off % 8 = 0").select("raster_name", (F.col("y_off") + F.col("y")).alias("y"), (F.col("x_off") + F.col("x")).alias("x"), F.col("val").alias("value"))
+    px = _base_raster_pixels(spark, d)
     rasters = px.select("raster_name").distinct().select("raster_name", F.lit(40).alias("width"), F.lit(40).alias("height"), X.affine(0.1, 0, 10.0, 0, -0.1, 52.0).alias("transform"))
     tiles = rasters.select("raster_name", F.lit(8).alias("z"), F.lit(136).alias("x"), F.lit(84).alias("y"))
     return readers.warped_read(rasters, px, tiles, 16)
@@ -234,7 +233,7 @@ def warped_read(spark, d):
 
 def warp_raster(spark, d):
     """Rasters in EPSG:4326 on a grid in EPSG:3857."""
-    px = A.tile_pixels(spark, d).where("x_off % 8 = 0 and y_off % 8 = 0").select("raster_name", (F.col("y_off") + F.col("y")).alias("y"), (F.col("x_off") + F.col("x")).alias("x"), F.col("val").alias("value"))
+    px = _base_raster_pixels(spark, d)
     names = px.select("raster_name").distinct()
     rasters = names.withColumn("transform", X.affine(0.1, 0, 10.0, 0, -0.1, 52.0))
     grids = names.select("raster_name", X.affine(20000.0, 0, 1100000.0, 0, -20000.0, 6820000.0).alias("grid"), F.lit(25).alias("width"), F.lit(30).alias("height"))
@@ -279,13 +278,6 @@ def polygon_areas(spark, d):
 
 
 def tile_polygon_candidates(spark, d):
-    grid = A.tile_pixels(spark, d).where("raster_name = 'r0' and x_off % 8 = 0 and y_off % 8 = 0").select(F.lit(1).alias("k"), "x_off", "y_off", "src_w", "src_h").distinct()
-    tiles = spatial.tile_boxes(grid).select("k", "x_off", "y_off", "x0", "y0", "x1", "y1")
-    features = A.triangles(spark, d).select(F.lit(1).alias("k"), "feature_id", "rings")
-    return vector.tile_candidates(tiles, features, ["k"], (8.0, 8.0)).select("x_off", "y_off", "feature_id")
-
-
-def tile_polygon_candidates_all_rasters(spark, d):
     """Tiles of every raster with the polygons of that raster; polygons are dealt to the rasters by their number."""
     px = A.tile_pixels(spark, d)
     tiles = spatial.tile_boxes(px.select(*TILE, "src_w", "src_h").distinct()).select(*TILE, "x0", "y0", "x1", "y1")
@@ -324,13 +316,13 @@ def vectorize_stats(spark, d):
 
 
 def vectorize_regions(spark, d):
-    """Number of regions of each category and tile; no SQL, as regions are found by a walk."""
+    """Number of regions of each category and tile."""
     return api.aggregate_polygons(_labels(spark, d), (8, 8)).groupBy(*TILE, "value").agg(F.count("part").alias("regions"))
 
 
 def tile_pipeline(spark, d):
     """Tiles cut from rasters and filtered for nodata, from catalog to pixels."""
-    px = A.tile_pixels(spark, d).where("x_off % 8 = 0 and y_off % 8 = 0").select("raster_name", (F.col("y_off") + F.col("y")).alias("y"), (F.col("x_off") + F.col("x")).alias("x"), F.col("val").alias("value"))
+    px = _base_raster_pixels(spark, d)
     rasters = px.select("raster_name").distinct().withColumns({"width": F.lit(40), "height": F.lit(40)})
     return api.tile(rasters, px, LocalScheme((12, 12), (9, 9), keep_borders=False), threshold=50)
 
@@ -364,11 +356,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         nodata_ratio, nodata_filter, keep_rule, tile_to_rasters, shared_tile_counts, multi_raster_tiles, mosaic_first_nonzero, append_max, alpha_channel, band_selection, image_to_label, unique_colors, palette_lookup, palette_inverse,
-        category_filters, category_json, coco_json, color_hex, normalize_uint8, base_aux_split, overlap_pairs, fuse_tiles, fuse_disabled, fusion_confusion, confusion_map, confusion_map_all_tiles, confusion_counts, rgb_difference, simulate_border,
+        category_filters, category_json, coco_json, color_hex, normalize_uint8, base_aux_split, overlap_pairs, fuse_tiles, fuse_disabled, fusion_confusion, confusion_map, confusion_counts, rgb_difference, simulate_border,
         simulate_pattern, metatile, tile_boundary, category_mask, packed_roundtrip, overviews, resize_nearest, resize_bilinear, windowed_read, warped_read, warp_raster, project_pixels, overlay_composite, grid_canvas, geojson_polygons, geojson_crs,
-        polygon_bbox, polygon_areas, tile_polygon_candidates, tile_polygon_candidates_all_rasters, rasterize_polygons, rasterize_append, rasterize_tiles, buffer_polygons, vectorize_stats, vectorize_regions, tile_pipeline,
+        polygon_bbox, polygon_areas, tile_polygon_candidates, rasterize_polygons, rasterize_append, rasterize_tiles, buffer_polygons, vectorize_stats, vectorize_regions, tile_pipeline,
     )
-}
+} | {"confusion_map_all_tiles": confusion_map, "tile_polygon_candidates_all_rasters": tile_polygon_candidates}
 
 ORACLE_SQL = {
     "nodata_ratio": f"with {_NODATA} select *, round(n_nodata / n_values, 6) ratio from st",
@@ -399,8 +391,6 @@ ORACLE_SQL = {
     "fuse_disabled": f"with {_BASE} select lab.* from lab join bs using (raster_name, x_off, y_off)",
     "fusion_confusion": f"with {_BASE}, {_fused('pred')}, {B.CATEGORIES}, j as (select f.value v, lab.value l from fused f join lab using (raster_name, x_off, y_off, y, x)) select c.name as name, {_COUNTS.format(l='l', m='v')} from j, cats c where is_active and not is_ignore group by 1",
     "confusion_map": f"""with {B.PREDICTED}, {B.CATEGORIES} select raster_name, x_off, y_off, y, x, name, case when val = palette_index and pred = palette_index then 1 when pred = palette_index then 2 when val = palette_index then 4 else 3 end outcome
-        from pred, cats where x_off < 8 and y_off < 8 and is_active and not is_ignore""",
-    "confusion_map_all_tiles": f"""with {B.PREDICTED}, {B.CATEGORIES} select raster_name, x_off, y_off, y, x, name, case when val = palette_index and pred = palette_index then 1 when pred = palette_index then 2 when val = palette_index then 4 else 3 end outcome
         from pred, cats where is_active and not is_ignore""",
     "confusion_counts": f"with {B.PREDICTED}, {B.CATEGORIES} select raster_name, c.name as name, {_COUNTS.format(l='val', m='pred')} from pred, cats c where is_active and not is_ignore group by 1, 2",
     "rgb_difference": f"""with {B.LAYERED}, m as (select tile_id, y, x, band, coalesce(arg_min(value, raster_ord) filter (where value <> 0), 0) a, max(value) b from lay group by 1, 2, 3, 4) select tile_id, y, x, case when bool_or(a <> b) then 11 else 0 end as value from m group by 1, 2, 3""",
@@ -435,8 +425,7 @@ ORACLE_SQL = {
     "geojson_crs": "select o_orderkey id, case o_orderkey % 4 when 0 then 4326 when 1 then 3857 when 2 then 32633 else 4326 end crs from orders",
     "polygon_bbox": f"""with {B.TRIANGLES} select feature_id, x0 "left", y0 bottom, x1 "right", y2 top from tri""",
     "polygon_areas": f"with {B.TRIANGLES} select feature_id, 20.0::double area, true valid from tri",
-    "tile_polygon_candidates": f"""with {B.TRIANGLES}, t as (select (i * 8)::int x_off, (j * 8)::int y_off from generate_series(0, 4) a(i), generate_series(0, 4) b(j)) select x_off, y_off, feature_id from t join tri on x0 <= x_off + 7 and x1 >= x_off and y0 <= y_off + 7 and y2 >= y_off""",
-    "tile_polygon_candidates_all_rasters": f"""with {B.PIXELS}, {B.TRIANGLES}, t as (select distinct raster_name, x_off, y_off from px), f as (select *, 'r' || (feature_id % (select max(vec_id) // 100 + 1 from embeddings)) raster_name from tri)
+    "tile_polygon_candidates": f"""with {B.PIXELS}, {B.TRIANGLES}, t as (select distinct raster_name, x_off, y_off from px), f as (select *, 'r' || (feature_id % (select max(vec_id) // 100 + 1 from embeddings)) raster_name from tri)
         select raster_name, x_off, y_off, feature_id from t join f using (raster_name) where x0 <= x_off + 7 and x1 >= x_off and y0 <= y_off + 7 and y2 >= y_off""",
     "rasterize_polygons": f"with {_EDGES} select feature_id, y, x from burnt where y < 44 and x < 44",
     "rasterize_append": f"with {_EDGES} select y, x, max(category_index) category_index from burnt where y < 44 and x < 44 group by 1, 2",
@@ -451,3 +440,5 @@ ORACLE_SQL = {
     "tile_pipeline": f"""with {_CUT}, s as (select raster_name, x_off, y_off from cut group by 1, 2, 3 having count(*) filter (where value = 0) < 72 and not (bool_and(value = 0) filter (where y = 0) or bool_and(value = 0) filter (where y = 11) or bool_and(value = 0) filter (where x = 0) or bool_and(value = 0) filter (where x = 11)))
         select cut.* from cut join s using (raster_name, x_off, y_off)""",
 }
+#: Other names under which these are known.
+ORACLE_SQL |= {"confusion_map_all_tiles": ORACLE_SQL["confusion_map"], "tile_polygon_candidates_all_rasters": ORACLE_SQL["tile_polygon_candidates"]}

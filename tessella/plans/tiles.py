@@ -56,10 +56,13 @@ def _layout(scheme: LocalScheme):
 
 
 def tile_count_closed_form(spark, d):
-    """Tiles of each raster by the closed form and by enumeration."""
-    t = tiling.raster_tilings(A.rasters(spark, d), CENTERED)
+    """Tiles of each raster by the closed form, by enumeration, and of these the ones inside the raster."""
+    r = A.rasters(spark, d)
+    t = tiling.raster_tilings(r, CENTERED)
     n = (F.col("layout_x.negative") + F.col("layout_x.positive")) * (F.col("layout_y.negative") + F.col("layout_y.positive"))
-    return t.select("raster_name", n.cast("int").alias("closed"), (F.size("layout_x.offsets") * F.size("layout_y.offsets")).cast("int").alias("listed"))
+    inside = F.count_if((F.col("x_off") >= 0) & (F.col("y_off") >= 0) & (F.col("x_off") + F.col("src_w") <= F.col("width")) & (F.col("y_off") + F.col("src_h") <= F.col("height")))
+    listed = tiling.local_tiles(r, CENTERED).join(r.select("raster_name", "width", "height"), "raster_name").groupBy("raster_name").agg(F.count("tile_ord").cast("int").alias("listed"), inside.cast("int").alias("inside"))
+    return t.select("raster_name", n.cast("int").alias("closed")).join(listed, "raster_name")
 
 
 def debug_first_k_tiles(spark, d):
@@ -114,13 +117,7 @@ def mercator_bounds(spark, d):
 
 
 def mercator_tiles_of_bbox(spark, d):
-    p = A.points(spark, d)
-    boxes = p.select("point_id", (F.col("lon") - 0.3).alias("w"), (F.col("lat") - 0.2).alias("s"), F.least(F.col("lon") + 0.3, F.lit(179.9)).alias("e"), (F.col("lat") + 0.2).alias("n")).where("w >= -180")
-    return C.tiles_of_bounds(boxes, "w", "s", "e", "n", 9).select("point_id", "z", "x", "y")
-
-
-def mercator_tiles_of_bbox_wrapped(spark, d):
-    """mercator_tiles_of_bbox with boxes that go on beyond the antimeridian."""
+    """Tiles of boxes around points; boxes that go on beyond the antimeridian have both parts."""
     w, e = F.col("lon") - 0.3, F.col("lon") + 0.3
     boxes = A.points(spark, d).select("point_id", F.when(w < -180, w + 360).otherwise(w).alias("w"), (F.col("lat") - 0.2).alias("s"), F.when(e > 180, e - 360).otherwise(e).alias("e"), (F.col("lat") + 0.2).alias("n"))
     return C.tiles_of_bounds(boxes, "w", "s", "e", "n", 9).select("point_id", "z", "x", "y")
@@ -136,10 +133,12 @@ def lonlat_to_3857(spark, d):
 
 
 def utm_round_trip(spark, d):
-    """UTM coordinates of points moved into zone 33."""
+    """UTM coordinates of points moved into zone 33, and the points that these lead back to."""
     p = A.points(spark, d).select("point_id", (F.col("lon") / 60 + 15).alias("lon"), F.abs("lat").alias("lat")).where("lat < 84")
     e, n = X.utm("lon", "lat", 33)
-    return p.select("point_id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+    there = p.select("point_id", e.alias("e"), n.alias("n"))
+    lon, lat = X.utm_inverse("e", "n", 33)
+    return there.select("point_id", F.round("e", 3).alias("easting"), F.round("n", 3).alias("northing"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 def cover_distinct(spark, d):
@@ -265,29 +264,26 @@ _IDY = "greatest(least(floor((0.5::double - ln((1 + sin(radians(greatest(least({
 QUERIES = {name: _layout(s) for name, s in {**LAYOUTS, "tile_layout_meters": METERS}.items()} | {
     f.__name__: f
     for f in (
-        tile_count_closed_form, debug_first_k_tiles, tile_transform, tile_bounds, tile_paths, tile_path_parse, files_minus_ignored, paired_files, natural_sort_key, mercator_index, mercator_bounds, mercator_tiles_of_bbox, mercator_tiles_of_bbox_wrapped,
+        tile_count_closed_form, debug_first_k_tiles, tile_transform, tile_bounds, tile_paths, tile_path_parse, files_minus_ignored, paired_files, natural_sort_key, mercator_index, mercator_bounds, mercator_tiles_of_bbox,
         mercator_footprint, lonlat_to_3857, utm_round_trip, cover_distinct, cover_zoom_in, cover_zoom_out, cover_extent, cover_split, cover_semi_join, cover_csv_roundtrip, tile_json_roundtrip, pixel_coordinates, dissolve_edges, neighbors, surrounded_tiles, border_pixels,
         tiling_statistics, tiling_statistics_rollup, ratio_comment, tiling_metadata, reprojected_bounds, gcp_transform, mercator_tile_pixel_size,
     )
-}
+} | {"mercator_tiles_of_bbox_wrapped": mercator_tiles_of_bbox}
 
 ORACLE_SQL = {name: f"{_layout_sql(s)} select * from tiles" for name, s in {**LAYOUTS, "tile_layout_meters": METERS}.items()} | {
-    "tile_count_closed_form": f"{_CENTERED} select raster_name, count(*)::int closed, count(*)::int listed from tiles group by 1",
+    "tile_count_closed_form": f"{_CENTERED} select raster_name, count(*)::int closed, count(*)::int listed, (count(*) filter (where x_off >= 0 and y_off >= 0 and x_off + src_w <= width and y_off + src_h <= height))::int inside from tiles join rasters using (raster_name) group by 1",
     "debug_first_k_tiles": f"{_CENTERED} select * from tiles qualify row_number() over (partition by raster_name order by tile_ord) <= 5",
     "tile_transform": f"""{_CENTERED} select raster_name, tile_ord, round(gsd * src_w / 64, 6) t_a, round(origin_x + gsd * x_off, 6) t_c, round(-gsd * src_h / 64, 6) t_e, round(origin_y - gsd * y_off, 6) t_f from tiles join rasters using (raster_name)""",
     "tile_bounds": f"""{_CENTERED} select raster_name, tile_ord, round(origin_x + gsd * x_off, 6) "left", round(origin_y - gsd * (y_off + src_h), 6) bottom, round(origin_x + gsd * (x_off + src_w), 6) "right", round(origin_y - gsd * y_off, 6) top from tiles join rasters using (raster_name)""",
     "tile_paths": f"""{_CENTERED} select raster_name, tile_ord, 'image_pixel_tiles/' || raster_name || '/width_height_' || src_w || '_' || src_h || '/width_offset_' || x_off || '/height_offset_' || y_off || '.png' tile_path from tiles""",
-    "tile_path_parse": f"""with {B.FILES} select file_id, 'ImagePixelTile' tile_class, 'r' || (file_id % 7) raster_name, ((file_id % 13) * 450 - 150)::int x_off, ((file_id % 11) * 450 - 150)::int y_off, 900 src_w, 900 src_h from files where not ends_with(tile_path, '.aux.xml')""",
+    "tile_path_parse": f"""with {B.FILES} select file_id, 'ImagePixelTile' tile_class, 'r' || (file_id // 2 % 7) raster_name, ((file_id // 2 % 13) * 450 - 150)::int x_off, ((file_id // 2 % 11) * 450 - 150)::int y_off, 900 src_w, 900 src_h from files where not ends_with(tile_path, '.aux.xml')""",
     "files_minus_ignored": f"with {B.FILES} select tile_path, count(*) n from files where ends_with(tile_path, '.png') group by 1",
     "paired_files": f"with {B.FILES} select distinct a.tile_path left_path, b.tile_path right_path from files a join files b on b.tile_path = a.tile_path || '.aux.xml'",
     "natural_sort_key": f"""with {B.FILES} select file_id, array_to_string(list_transform(regexp_extract_all(tile_path, '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(p, 20, '0') else p end), '') sort_key from files""",
     "mercator_index": f"with {B.POINTS} select point_id, {_IDX.format(lon='lon', n=4096)} x, {_IDY.format(lat='lat', n=4096)} y from points",
     "mercator_bounds": f"""with {B.COVER} select z, x, y, round({_WEST}, 6) west, round({_NORTH.format(y='(y + 1)')}, 6) south, round({_WEST} + 360 / 1024.0::double, 6) east, round({_NORTH.format(y='y')}, 6) north,
         round(x / 1024.0::double * 40075016.685578488 - 20037508.342789244, 6) left_3857, round(20037508.342789244 - y / 1024.0::double * 40075016.685578488, 6) top_3857 from cov""",
-    "mercator_tiles_of_bbox": f"""with {B.POINTS}, b as (select point_id, lon - 0.3::double w, lat - 0.2::double s, least(lon + 0.3::double, 179.9::double) e, lat + 0.2::double n from points),
-        r as (select point_id, {_IDX.format(lon='w', n=512)} x0, {_IDX.format(lon='(e - 1e-11::double)', n=512)} x1, {_IDY.format(lat='n', n=512)} y0, {_IDY.format(lat='(s + 1e-11::double)', n=512)} y1 from b where w >= -180)
-        select point_id, 9 z, x::int x, y::int y from r, generate_series(x0, greatest(x0, x1)) gx(x), generate_series(y0, greatest(y0, y1)) gy(y)""",
-    "mercator_tiles_of_bbox_wrapped": f"""with {B.POINTS}, b as (select point_id, case when lon - 0.3::double < -180 then lon - 0.3::double + 360 else lon - 0.3::double end w, lat - 0.2::double s, case when lon + 0.3::double > 180 then lon + 0.3::double - 360 else lon + 0.3::double end e, lat + 0.2::double n from points),
+    "mercator_tiles_of_bbox": f"""with {B.POINTS}, b as (select point_id, case when lon - 0.3::double < -180 then lon - 0.3::double + 360 else lon - 0.3::double end w, lat - 0.2::double s, case when lon + 0.3::double > 180 then lon + 0.3::double - 360 else lon + 0.3::double end e, lat + 0.2::double n from points),
         p as (select point_id, s, n, {_IDX.format(lon='w', n=512)} x0, case when w <= e then {_IDX.format(lon='(e - 1e-11::double)', n=512)} else 511 end x1 from b union all select point_id, s, n, 0, {_IDX.format(lon='(e - 1e-11::double)', n=512)} from b where w > e),
         r as (select point_id, x0, x1, {_IDY.format(lat='n', n=512)} y0, {_IDY.format(lat='(s + 1e-11::double)', n=512)} y1 from p)
         select point_id, 9 z, x::int x, y::int y from r, generate_series(x0, greatest(x0, x1)) gx(x), generate_series(y0, greatest(y0, y1)) gy(y)""",
@@ -321,10 +317,12 @@ ORACLE_SQL = {name: f"{_layout_sql(s)} select * from tiles" for name, s in {**LA
         select z, x, y, round(radians(w) * 6378137, 3) "left", round(ln(tan(pi() / 4 + radians(s) / 2)) * 6378137, 3) bottom, round(radians(e) * 6378137, 3) "right", round(ln(tan(pi() / 4 + radians(n) / 2)) * 6378137, 3) top from e""",
     "gcp_transform": f"with {B.RASTERS} select raster_name, round(gsd, 4) t_a, 0.0::double t_b, round(origin_x, 4) t_c, 0.0::double t_d, round(-gsd, 4) t_e, round(origin_y, 4) t_f from rasters",
     "mercator_tile_pixel_size": f"""with {B.COVER} select z, x, y, round(360 / 1024.0::double / 0.001, 4) w, round(({_NORTH.format(y='y')} - {_NORTH.format(y='(y + 1)')}) / 0.0005::double, 4) h from cov""",
-    "utm_round_trip": f"""with {B.POINTS}, p as (select point_id, radians(abs(lat)) phi, radians(lon / 60) lam from points where abs(lat) < 84),
+    "utm_round_trip": f"""with {B.POINTS}, p as (select point_id, lon, lat, radians(abs(lat)) phi, radians(lon / 60) lam from points where abs(lat) < 84),
         k as (select 6378137.0::double a, 1 / 298.257223563::double f), n as (select a, f / (2 - f) n from k),
         c as (select *, a / (1 + n) * (1 + n**2 / 4 + n**4 / 64) rad, n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 a1, 13 * n**2 / 48 - 3 * n**3 / 5 a2, 61 * n**3 / 240 a3, 2 * sqrt(n) / (1 + n) ec from n),
         t as (select *, sinh(atanh(sin(phi)) - ec * atanh(ec * sin(phi))) tt from p, c), q as (select *, atan2(tt, cos(lam)) xi, atanh(sin(lam) / sqrt(1 + tt * tt)) eta from t)
         select point_id, round(500000 + 0.9996::double * rad * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) easting,
-               round(0.9996::double * rad * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) northing from q""",
+               round(0.9996::double * rad * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) northing, round(lon / 60 + 15, 6) lon, round(abs(lat), 6) lat from q""",
 }
+#: Another name under which this is known.
+ORACLE_SQL |= {"mercator_tiles_of_bbox_wrapped": ORACLE_SQL["mercator_tiles_of_bbox"]}

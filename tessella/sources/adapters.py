@@ -77,7 +77,8 @@ def geojson(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tile_files(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of tile files, sidecars among them, from documents."""
+    """Paths of tile files from documents, two to a tile; every third tile has a sidecar for its second."""
     k = F.col("doc_id")
-    path = F.concat(F.lit("image_pixel_tiles/r"), k % 7, F.lit("/width_height_900_900/width_offset_"), (k % 13) * 450 - 150, F.lit("/height_offset_"), (k % 11) * 450 - 150, F.when(k % 5 == 0, ".png.aux.xml").otherwise(".png"))
+    n = F.floor(k / 2)
+    path = F.concat(F.lit("image_pixel_tiles/r"), n % 7, F.lit("/width_height_900_900/width_offset_"), (n % 13) * 450 - 150, F.lit("/height_offset_"), (n % 11) * 450 - 150, F.when(k % 6 == 1, ".png.aux.xml").otherwise(".png"))
     return _read(spark, d, "documents").select(k.alias("file_id"), path.alias("tile_path"))

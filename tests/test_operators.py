@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -337,40 +338,123 @@ def test_streamed_tiles_equal_a_batch(spark, tmp_path):
     assert sorted(spark.table("live").collect()) == want
 
 
-def test_png_round_trip_and_filters(spark, tmp_path):
-    import zlib as z
+def tiff(m: np.ndarray) -> bytes:
+    """A baseline file of one gray strip."""
+    h, w = m.shape
+    tags = [(256, 3, w), (257, 3, h), (258, 3, 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 3, h), (279, 4, h * w)]
+    data = m.astype(np.uint8).tobytes().ljust(h * w + h * w % 2, b"\0")
+    return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHIHH" if k == 3 else "<HHII", n, k, 1, *((v, 0) if k == 3 else (v,))) for n, k, v in tags) + bytes(4)
 
+
+def test_image_files(spark, tmp_path):
     from tessella.sources import images
 
     draw = np.random.default_rng(1)
-    for n in (1, 2, 3, 4):
-        m = draw.integers(0, 255, (5, 7, n)).astype(np.uint8)
-        assert (images.decode(images.encode(m))[0] == m).all()
-    m = draw.integers(0, 255, (5, 6, 3)).astype(int)
-    lines = []
-    for y in range(5):  # each filter once, by its definition
-        row, up, kind = m[y].ravel(), m[y - 1].ravel() if y else np.zeros(18, int), y
-        left, corner = np.append([0, 0, 0], row[:-3]), np.append([0, 0, 0], up[:-3])
-        p = left + up - corner
-        near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
-        guess = (0 * row, left, up, (left + up) // 2, near)[kind]
-        lines.append(bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes())
-    plain = images.encode(m.astype(np.uint8))
-    at = plain.index(b"IDAT")
-    data = z.compress(b"".join(lines))
-    filtered = plain[: at - 4] + len(data).to_bytes(4, "big") + b"IDAT" + data + z.crc32(b"IDAT" + data).to_bytes(4, "big") + plain[plain.index(b"IEND") - 4 :]
-    assert (images.decode(filtered)[0] == m).all()
-    (tmp_path / "a.png").write_bytes(images.encode(np.array([[0, 1], [2, 1]]), [(0, 0, 0), (9, 8, 7), (1, 1, 1)]))
+    made = {f"{n}.png": draw.integers(0, 255, (5, 7, n)).astype(np.uint8) for n in (1, 3, 4)}
+    made["gray.tif"] = draw.integers(0, 255, (3, 4, 1))
+    for name, m in made.items():
+        (tmp_path / name).write_bytes(tiff(m[:, :, 0]) if name.endswith("tif") else images.encode(m))
+    (tmp_path / "bad.png").write_bytes(b"junk")
+    read = images.read_images(spark, str(tmp_path), "*.{png,tif}").withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
+    rows = {r["name"]: r for r in read.collect()}
+    assert set(rows) == {*made, "bad.png"} and rows["bad.png"]["data"] is None and rows["3.png"]["channels"] == 3
+    found = {(r["name"], r["y"], r["x"], r["band"]): r["value"] for r in images.image_pixels(read, ["name"]).collect()}
+    assert found == {(name, y, x, b): v for name, m in made.items() for (y, x, b), v in np.ndenumerate(m)}
+    labels = np.array([[0, 1], [2, 1]])
+    packed = spark.createDataFrame([(1, labels.ravel().tolist())], "t int, data array<int>")
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels" / "a.png").write_bytes(bytes(images.encoded_images(packed, 2, 2, [c.palette_color for c in K.LAND_COVER]).first()["png"]))
+    again = images.label_pixels(images.read_images(spark, str(tmp_path / "labels")), ["path"], K.to_df(spark, K.LAND_COVER)).collect()
+    assert {(r["y"], r["x"]): r["label"] for r in again} == dict(np.ndenumerate(labels))
+
+
+def test_fetching_mosaics_and_granules(spark, tmp_path):
+    from tessella.sources import images
+
     (tmp_path / "bad.png").write_bytes(b"junk")
-    rows = {r["path"].rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path)).collect()}
-    assert rows["bad.png"]["data"] is None and rows["a.png"]["palette"][1] == [9, 8, 7]
-    px = images.image_pixels(images.read_images(spark, str(tmp_path)).where("data is not null"), ["path"])
-    assert sorted((r["y"], r["x"], r["value"]) for r in px.collect()) == [(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 1)]
-    packed = spark.createDataFrame([(1, [0, 1, 2, 1])], "t int, data array<int>")
-    assert (images.decode(bytes(images.encoded_images(packed, 2, 2).first()["png"]))[0][:, :, 0] == [[0, 1], [2, 1]]).all()
+    px = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 1)], "y int, x int, value int")
     urls = spark.createDataFrame([(f"file://{tmp_path}/bad.png",), ("nothing",), (None,)], "url string")
     assert sorted(bytes(r["content"]) if r["content"] else b"" for r in images.fetch_images(urls).collect()) == [b"", b"", b"junk"]
     both = images.virtual_mosaic(px.withColumn("value", F.lit(0)), px)
     assert {r["value"] for r in pixels.mosaic(both, ["y", "x"]).collect()} == {0, 1, 2}
     boxes = spark.createDataFrame([("g1", 0.0, 0.0, 1.0, 1.0), ("g2", 5.0, 5.0, 6.0, 6.0)], "granule string, west double, south double, east double, north double")
     assert [r["granule"] for r in images.granules_of_tiles(boxes.drop("granule").limit(1), boxes).collect()] == ["g1"]
+
+
+def test_traced_regions_against_flood_fill():
+    draw = np.random.default_rng(4)
+    grids = draw.integers(0, 3, (40, 7, 9))
+    grids[0], grids[1], grids[2] = 0, 1, np.pad(np.zeros((3, 5), int), 2, constant_values=2)
+    region, area, offsets, x, y = vector.traced(grids)
+    n, h, w = grids.shape
+    label = -np.ones(grids.shape, int)
+    for start in np.ndindex(*grids.shape):
+        if grids[start] and label[start] < 0:
+            label[start], todo = np.ravel_multi_index(start, grids.shape), [start]
+            while todo:
+                t, a, b = todo.pop()
+                for c, d in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
+                    if 0 <= c < h and 0 <= d < w and grids[t, c, d] == grids[start] and label[t, c, d] < 0:
+                        label[t, c, d] = label[start]
+                        todo.append((t, c, d))
+    assert (vector.regions(grids) == label).all()
+    inside = {}  # pixel centres by crossings of the rings' upright sides
+    for i, r in enumerate(region):
+        xs, ys = x[offsets[i] : offsets[i + 1]], y[offsets[i] : offsets[i + 1]]
+        assert (xs[0], ys[0]) == (xs[-1], ys[-1]) and all((a == b) != (c == d) for a, b, c, d in zip(xs, xs[1:], ys, ys[1:], strict=False))
+        grid = inside.setdefault(int(r), np.zeros((h, w), int))
+        for x0, y0, y1 in zip(xs[:-1], ys[:-1], ys[1:], strict=True):
+            grid[int(min(y0, y1)) : int(max(y0, y1)), int(x0) :] += 1
+    assert set(inside) == set(np.unique(label[label >= 0]))
+    for r, grid in inside.items():
+        assert ((grid % 2 == 1) == (label[r // (h * w)] == r)).all()
+        assert sum(area[region == r]) == (label == r).sum() and (area[region == r] > 0).sum() == 1
+
+
+@pytest.mark.parametrize(("kernel", "weight"), [("cubic", lambda d: 1.25 * d**3 - 2.25 * d**2 + 1 if d <= 1 else -0.75 * d**3 + 3.75 * d**2 - 6 * d + 3 if d < 2 else 0), ("lanczos", lambda d: float(np.sinc(d) * np.sinc(d / 4)) if d < 4 else 0)])
+def test_resizing_by_kernel(spark, kernel, weight):
+    m = np.random.default_rng(2).integers(0, 255, (6, 9))
+    px = spark.createDataFrame([(1, y, x, int(v)) for (y, x), v in np.ndenumerate(m)], "t int, y int, x int, value int")
+
+    def axis(n, k):
+        out = np.zeros((k, n))
+        for d in range(k):
+            place = (d + 0.5) * n / k - 0.5
+            for s in range(math.floor(place) - 3, math.floor(place) + 5):
+                out[d, min(max(s, 0), n - 1)] += weight(abs(place - s))
+        return out / out.sum(1, keepdims=True)
+
+    for w, h in ((4, 11), (9, 6), (18, 3)):
+        want = axis(6, h) @ m @ axis(9, w).T
+        got = {(r["y"], r["x"]): r["value"] for r in pixels.resize_by_kernel(px, ["t"], (9, 6), (w, h), kernel).collect()}
+        assert got == pytest.approx(dict(np.ndenumerate(want)))
+
+
+def test_readers_of_tiles_insist_on_one_class_and_one_file(spark):
+    files = spark.createDataFrame([("ImagePixelTile", "a", "x.png"), ("ImagePixelTile", "b", "y.png"), ("ImagePixelTile", "b", "z.png")], "tile_class string, raster_name string, tile_path string")
+    assert readers.the_tile_class(files).first()[0] == "ImagePixelTile"
+    keys = spark.createDataFrame([("a",), ("c",)], "raster_name string")
+    assert {tuple(r) for r in readers.files_of_tiles(keys, files.where("raster_name = 'a'"), ["raster_name"]).collect()} == {("a", "x.png"), ("c", None)}
+    for broken in (lambda: readers.files_of_tiles(files.select("raster_name"), files, ["raster_name"]).collect(), lambda: readers.the_tile_class(files.withColumn("tile_class", F.col("tile_path"))).collect()):
+        with pytest.raises(Exception, match="several files|one class"):
+            broken()
+
+
+def test_buffers_against_distances(spark):
+    """Pixels of a square and a slanted triangle within a distance, by measuring every pixel."""
+    rings = {1: [(5.0, 4.0), (12.0, 4.0), (12.0, 9.0), (5.0, 9.0), (5.0, 4.0)], 2: [(2.0, 12.5), (14.0, 15.0), (4.5, 19.0), (2.0, 12.5)]}
+    features = spark.createDataFrame([(i, [[{"x": x, "y": y} for x, y in r]]) for i, r in rings.items()], "feature_id int, rings array<array<struct<x:double,y:double>>>")
+    inside = {tuple(r) for r in vector.burnt_pixels(features, ["feature_id"], 24, 24).select("feature_id", "y", "x").collect()}
+
+    def distance(i, y, x):
+        best, p = math.inf, np.array([x + 0.5, y + 0.5])
+        for a, b in zip(map(np.array, rings[i]), map(np.array, rings[i][1:]), strict=False):
+            t = min(1, max(0, (p - a) @ (b - a) / ((b - a) @ (b - a))))
+            best = min(best, float(np.hypot(*(p - a - t * (b - a)))))
+        return best
+
+    cells = [(i, y, x) for i in rings for y in range(24) for x in range(24)]
+    grown = {tuple(r) for r in vector.buffered_pixels(features, ["feature_id"], 2.2, 24, 24).select("feature_id", "y", "x").collect()}
+    assert grown == {c for c in cells if c in inside or distance(*c) <= 2.2}
+    shrunk = {tuple(r) for r in vector.buffered_pixels(features, ["feature_id"], -1.2, 24, 24).select("feature_id", "y", "x").collect()}
+    assert shrunk == {c for c in cells if c in inside and distance(*c) >= 1.2}

