@@ -49,8 +49,8 @@ ROWS, BANDS = 4, 25
 RARE, DAMP = 0.0005, 0.5
 #: Document frequencies below this are not told apart.
 FEWEST = 4
-#: Entries of the table of frequent shingles that is broadcast, 20 bytes each.
-MOST_FREQUENT = 2_000_000
+#: Entries of the table of frequent shingles that is broadcast, 16 bytes each.
+MOST_FREQUENT = 1_000_000
 #: Bytes of a text whose words are hashed at once, and of shingle vectors that a worker keeps.
 WINDOW, KEPT_BYTES = 1 << 20, 16 << 20
 #: Shingles that a task sorts at once.
@@ -443,9 +443,9 @@ def _share(spark: SparkSession, docs: DataFrame, text: str):
     # At most MOST_FREQUENT rows, see least_kept.
     counted = persist(frequent_shingles(docs, size["bytes"], text))
     least = least_kept(counted)
-    found = counted.where(F.col("n") >= least).toPandas()
+    found = counted.where(F.col("n") >= least).select("hash", F.col("n").cast("int").alias("n")).toArrow()
     rare = max(2, least, int(np.ceil(RARE * size["n"])))
-    weights = Weights(found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int32), size["n"], rare)
+    weights = Weights(found["hash"].to_numpy().view(np.uint64), found["n"].to_numpy(), size["n"], rare)
     return spark.sparkContext.broadcast(weights)
 
 
