@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import byte_bpe, common, exact_dedup, line_dedup, media, minhash, mixing, token_counts, toxicity, url_filter, warc
+from tessella.llm import byte_bpe, common, exact_dedup, fill_middle, hard_negatives, licenses, line_dedup, media, minhash, mixing, token_counts, toxicity, url_filter, warc
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -71,9 +71,23 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(common.table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restored text is made from output and form alone."""
+    out = fill_middle.fill_middle(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored_text(), 256).alias("restored_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_url_filter, op3_media_sniff, op4_toxicity, op5_exact_dedup, op6_line_dedup, op7_token_counts, op8_byte_bpe, op9_minhash_dedup, op10_warc_archive)
+    for f in (op1_mix_sources, op2_url_filter, op3_media_sniff, op4_toxicity, op5_exact_dedup, op6_line_dedup, op7_token_counts, op8_byte_bpe, op9_minhash_dedup, op10_warc_archive, op11_license_scan, op12_fill_middle, op13_hard_negatives)
 }
 
 def _url_sql(levels: int = 6) -> str:
@@ -117,6 +131,32 @@ def _url_sql(levels: int = 6) -> str:
         from urls join shapes using (host, shape) join judged using (host, template)"""
 
 
+def _license_sql() -> str:
+    """Grams compared as words; diagonals, groups and coverage as in licenses."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = [(label, text.split(), i < len(licenses.PHRASES)) for i, (label, text) in enumerate((*licenses.PHRASES, *licenses.NOTICES))]
+    rows = ",\n".join(f"({i}, '{label}', {str(phrase).lower()}, {quoted(words)})" for i, (label, words, phrase) in enumerate(templates))
+    return rf"""
+        with t as (select *, case when phrase then 2 else 3 end as size, len(words) as length from (values {rows}) v(template, label, phrase, words)),
+        g as (select *, list_slice(words, p + 1, p + size) as gram from (select *, unnest(range(length - size + 1)) as p from t)),
+        w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.WORD}') as words from documents),
+        s as (select doc_id, size, i, list_slice(words, i + 1, i + size) as gram from (select doc_id, words, size, unnest(range(greatest(len(words) - size + 1, 0))) as i from w, (values (2), (3)) z(size))),
+        h as (select doc_id, template, label, phrase, g.size, length, p, i - p as diagonal from s join g on s.size = g.size and s.gram = g.gram),
+        l as (select doc_id, template, label, phrase, size, length, diagonal, diagonal + min(p) as first, diagonal + max(p) + size as last,
+                     list_distinct(flatten(list(range(p, p + size)))) as covered from h group by doc_id, template, label, phrase, size, length, diagonal),
+        a as (select *, sum(apart) over (partition by doc_id, template order by diagonal) as grp
+              from (select *, coalesce((phrase or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > 3)::int, 0) as apart from l)),
+        m as (select doc_id, template, label, phrase, length, min(first) as first, max(last) - min(first) <= 2 * length as fits, len(list_distinct(flatten(list(covered)))) as all_words, max(len(covered)) as one_line from a group by doc_id, template, label, phrase, length, grp),
+        c as (select *, case when fits then all_words else one_line end / length as coverage from m),
+        v as (select *, coverage >= case when phrase then 1.0 else 0.8 end as verified from c),
+        r as (select doc_id, count(*) filter (where verified and phrase) as n_base, min(first) filter (where verified and phrase) as first_word, max(first) filter (where verified and phrase) as last_word,
+                     array_to_string(list_sort(list_distinct(list(label) filter (where verified and phrase))), ',') as base_labels,
+                     array_to_string(list_sort(list_distinct(list(label) filter (where verified))), ',') as labels, max(coverage) as score from v group by doc_id)
+        select w.doc_id, len(w.words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+               coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+        from w left join r using (doc_id)"""
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
@@ -160,4 +200,24 @@ ORACLE_SQL = {
                case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
                case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
         from q""",
+    "op11_license_scan": _license_sql(),
+    "op12_fill_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as body, sha256('7:' || doc_id) as k from documents),
+        h as (select *, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(k, i, 8))::bigint) as h, string_split(body, chr(10)) as parts from d),
+        u as (select doc_id, body, h, list_transform(parts[:-2], lambda s: s || chr(10)) || list_filter(parts[-1:], lambda s: s <> '') as units from h),
+        c as (select *, len(units) as n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as b,
+                     case when body = '' or contains(body, '<P>') or contains(body, '<S>') or contains(body, '<M>') then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form from u),
+        p as (select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from c)
+        select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+               sha256(case form when 'plain' then body when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+               sha256(body) as restored_sha256
+        from p""",
+    "op13_hard_negatives": r"""
+        with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+                   from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        p as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+        good as (select anchor_id, vec_id as positive_id, score as positive_score from p where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        bad as (select g.*, p.vec_id as negative_id, p.score as negative_score, row_number() over (partition by g.anchor_id, positive_id order by p.score desc, p.vec_id) as rank
+                from good g join p on g.anchor_id = p.anchor_id and not p.same and 80 * positive_score <= 100 * p.score and 100 * p.score <= 100 * positive_score)
+        select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from bad where rank <= 5""",
 }
