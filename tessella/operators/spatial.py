@@ -35,6 +35,39 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], cell: tup
     return dealt(left, "l").join(dealt(right, "r"), [*on, "_cx", "_cy"]).where(meets & home).drop("_cx", "_cy")
 
 
+def sized_overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], cell: float = 1.0) -> DataFrame:
+    """As overlap_join, for rectangles of any size: none is dealt to more than four cells of a grid.
+
+    Grids have cells of cell * 2**level. A rectangle stands on the least level
+    whose cells are as wide and as high as itself, and looks for others on its
+    own level and on the coarser ones that are in use under its `on`.
+    """
+    box, c = ["x0", "y0", "x1", "y1"], F.col
+    extent = lambda s: F.greatest(c(f"{s}_x1") - c(f"{s}_x0"), c(f"{s}_y1") - c(f"{s}_y0"))
+    size = lambda level: cell * F.pow(F.lit(2.0), level)
+
+    def leveled(df: DataFrame, side: str) -> DataFrame:
+        named = df.select(*on, *[c(k).alias(f"{side}_{k}") for k in box], *[k for k in df.columns if k not in (*on, *box)])
+        return named.withColumn(f"_{side}", F.when(extent(side) <= cell, 0).otherwise(F.ceil(F.log2(extent(side) / cell))).cast("int"))
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        cells = lambda low, high: F.sequence(F.floor(c(f"{side}_{low}") / size(c("_level"))), F.floor(c(f"{side}_{high}") / size(c("_level"))))
+        return df.withColumn("_cx", F.explode(cells("x0", "x1"))).withColumn("_cy", F.explode(cells("y0", "y1")))
+
+    def looking(df: DataFrame, side: str, others: DataFrame, other: str, own: bool) -> DataFrame:
+        used = others.groupBy(*on).agg(F.collect_set(f"_{other}").alias("_used"))
+        fit = lambda n: n >= c(f"_{side}") if own else n > c(f"_{side}")
+        return dealt(df.join(used, list(on)).withColumn("_level", F.explode(F.filter("_used", fit))).drop("_used"), side)
+
+    a, b = leveled(left, "l"), leveled(right, "r")
+    by = [*on, "_level", "_cx", "_cy"]
+    fine_left = looking(a, "l", b, "r", True).join(dealt(b.withColumn("_level", c("_r")), "r"), by)
+    fine_right = looking(b, "r", a, "l", False).join(dealt(a.withColumn("_level", c("_l")), "l"), by)
+    meets = (c("l_x0") <= c("r_x1")) & (c("r_x0") <= c("l_x1")) & (c("l_y0") <= c("r_y1")) & (c("r_y0") <= c("l_y1"))
+    home = (F.floor(F.greatest("l_x0", "r_x0") / size(c("_level"))) == c("_cx")) & (F.floor(F.greatest("l_y0", "r_y0") / size(c("_level"))) == c("_cy"))
+    return fine_left.unionByName(fine_right).where(meets & home).drop("_level", "_cx", "_cy", "_l", "_r")
+
+
 def tile_boxes(tiles: DataFrame) -> DataFrame:
     """tiles with the inclusive rectangle of their source pixels."""
     return tiles.withColumns({"x0": F.col("x_off"), "y0": F.col("y_off"), "x1": F.col("x_off") + F.col("src_w") - 1, "y1": F.col("y_off") + F.col("src_h") - 1})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import regions
+from tessella.operators import regions, validity
 from tessella.plans import bases as B
 from tessella.plans import files as P
 from tessella.plans import rasters as R
@@ -37,7 +37,13 @@ def whole_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("raster_name", "value", "first_y", "first_x", (F.size("rings") - 1).alias("holes"), corners.alias("corners"))
 
 
-QUERIES = {f.__name__: f for f in (whole_cover, whole_footprints, whole_segments)}
+def polygon_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with polygons of many kinds."""
+    found = validity.polygon_validity(A.odd_polygons(spark, d), ["feature_id"])
+    return found.select("feature_id", "valid", F.array_join("problems", ",").alias("problems"))
+
+
+QUERIES = {f.__name__: f for f in (whole_cover, whole_footprints, whole_segments, polygon_problems)}
 
 #: Cells (k, v, y, x) and regions (g): sides with their cell on the right, the side that follows each, and the ring from each topmost, then leftmost corner.
 _RINGS = """
@@ -57,7 +63,31 @@ _RINGS = """
                from ring r join walk w on w.k = r.k and w.v = r.v and w.y0 = r.y0 and w.x0 = r.x0 and w.d0 = r.d0 and w.i < r.n where w.i = 0 or w.pd <> w.d)"""
 _POINTS = "(g // 100000)::int first_y, (g % 100000)::int first_x, ring::int ring, corner::int corner, sy::double y, sx::double x from corner"
 
+_SHAPES = ", ".join(f"({n}, {r}, {i}, {x}, {y})" for n, shape in enumerate(A.ODD_SHAPES) for r, ring in enumerate(shape) for i, (x, y) in enumerate(p for k, p in enumerate(ring) if not k or p != ring[k - 1]))
+#: Every side with every other one of its polygon, and every corner with every other ring.
+_PROBLEMS = f"""with pts as (select o_orderkey f, r, i, x + (o_custkey % 500) * 1000 x, y + o_custkey % 7 - 3 y from orders join (values {_SHAPES}) v(n, r, i, x, y) on n = o_orderkey % {len(A.ODD_SHAPES)}),
+    side as (select *, max(i) over (partition by f, r) m from (select f, r, i, x ax, y ay, lead(x) over w bx, lead(y) over w as "by" from pts window w as (partition by f, r order by i)) where bx is not null),
+    met as (select p.f, p.r pr, q.r qr, p.r = q.r and (q.i - p.i = 1 or (p.i = 0 and q.i = p.m)) as near,
+        sign((p.bx - p.ax) * (q.ay - p.ay) - (p.by - p.ay) * (q.ax - p.ax)) oa, sign((p.bx - p.ax) * (q.by - p.ay) - (p.by - p.ay) * (q.bx - p.ax)) ob,
+        sign((q.bx - q.ax) * (p.ay - q.ay) - (q.by - q.ay) * (p.ax - q.ax)) oc, sign((q.bx - q.ax) * (p.by - q.ay) - (q.by - q.ay) * (p.bx - q.ax)) od,
+        {', '.join(f"case when {s}.{e}x between least({t}.ax, {t}.bx) and greatest({t}.ax, {t}.bx) and {s}.{e}y between least({t}.ay, {t}.by) and greatest({t}.ay, {t}.by) then {{'x': {s}.{e}x, 'y': {s}.{e}y}} end {s}{e}" for s, t in ('qp', 'pq') for e in 'ab')}
+        from side p join side q on p.f = q.f and (p.r, p.i) < (q.r, q.i)),
+    on_ as (select *, list_distinct(list_filter([case when oa = 0 then qa end, case when ob = 0 then qb end, case when oc = 0 then pa end, case when od = 0 then pb end], lambda t: t is not null)) spots, oa * ob < 0 and oc * od < 0 as cut from met),
+    touch as (select distinct f, pr, qr, spots[1] spot from on_ where pr <> qr and len(spots) = 1),
+    free as (select p.*, exists (select 1 from touch t where t.f = p.f and p.r in (t.pr, t.qr) and (t.spot.x, t.spot.y) = (p.x, p.y)) as held from pts p),
+    within as (select p.f, p.r, p.i, p.y, p.x, s.r as ring, count(*) filter (where (s.ay <= p.y) <> (s.by <= p.y) and sign((s.bx - s.ax) * (p.y - s.ay) - (s.by - s.ay) * (p.x - s.ax)) = case when s.by > s.ay then 1 else -1 end) % 2 = 1 as inn
+        from free p join side s on s.f = p.f and s.r <> p.r where not held group by all),
+    bad as (select f, 'open_ring' problem from pts group by f, r having arg_min(x, i) <> arg_max(x, i) or arg_min(y, i) <> arg_max(y, i)
+        union select f, 'few_points' from pts group by f, r having count(distinct (x, y)) < 3
+        union select f, case when near then 'spike' when pr = qr then 'self_contact' else 'rings_cross' end from on_ where case when near then len(spots) > 1 when pr = qr then cut or len(spots) > 0 else cut or len(spots) > 1 end
+        union select f, 'rings_cross' from within group by f, r, ring having bool_or(inn) and not bool_and(inn)
+        union select f, 'hole_outside' from within where ring = 0 group by f, r having not arg_min(inn, (y, x))
+        union select f, 'nested_holes' from within where ring > 0 and r > 0 group by f, r, ring having arg_min(inn, (y, x))
+        union select f, 'inside_apart' from touch group by f, pr, qr having count(distinct spot) > 1)
+    select o_orderkey feature_id, count(problem) = 0 as valid, coalesce(string_agg(distinct problem, ',' order by problem), '') problems from orders left join bad on f = o_orderkey group by 1"""
+
 ORACLE_SQL = {
+    "polygon_problems": _PROBLEMS,
     "whole_cover": f"with recursive {B.COVER}, cell as (select distinct 5 k, y // 32 y, x // 32 x, 1 v from cov), {P._REACH}, {_RINGS} select k z, {_POINTS}",
     "whole_footprints": f"with recursive {R._CANVAS}, cell as (select raster_name k, y, x, 1 v from cv where value <> 2), {P._REACH}, {_RINGS} select k raster_name, {_POINTS}",
     "whole_segments": f"""with recursive {R._CANVAS}, cell as (select raster_name k, y, x, value v from cv where value <> 0), {P._REACH}, {_RINGS}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,34 @@ def triangles(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "orders").select(F.col("o_orderkey").alias("feature_id"), F.array(F.array(point(0.0, 0.0), point(7.0, 1.0), point(2.0, 6.0), point(0.0, 0.0))).alias("rings"), kind.alias("category_index"))
 
 
+#: Polygons by what is right or wrong with them; rings of points (x, y).
+ODD_SHAPES = (
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(4, 4), (4, 8), (8, 8), (8, 4), (4, 4)]],
+    [[(0, 0), (20, 20), (20, 0), (0, 20), (0, 0)]],
+    [[(0, 0), (20, 0), (20, 20), (20, 30), (20, 20), (0, 20), (0, 0)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(24, 4), (24, 8), (28, 8), (28, 4), (24, 4)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(2, 2), (2, 18), (18, 18), (18, 2), (2, 2)], [(6, 6), (6, 9), (9, 9), (9, 6), (6, 6)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(4, 4), (4, 8), (8, 8), (8, 4), (4, 4)], [(8, 8), (8, 12), (12, 12), (12, 8), (8, 8)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(4, 10), (16, 10), (10, 16), (4, 10)], [(4, 10), (10, 4), (16, 10), (10, 7), (4, 10)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(15, 5), (15, 9), (25, 9), (25, 5), (15, 5)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(20, 5), (14, 5), (14, 9), (20, 9), (20, 5)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(10, 0), (6, 6), (14, 6), (10, 0)]],
+    [[(0, 0), (20, 0), (20, 20), (0, 20), (0, 0)], [(5, 20), (10, 25), (15, 20), (10, 15), (5, 20)]],
+    [[(0, 0), (20, 0), (20, 0), (20, 20), (0, 20), (0, 0)]],
+    [[(0, 0), (20, 0), (0, 0)]],
+)
+
+
+def odd_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons of ODD_SHAPES from orders, moved about: feature_id, shape, rings."""
+    listed = json.dumps([[[{"x": x, "y": y} for x, y in ring] for ring in shape] for shape in ODD_SHAPES])
+    shape = F.element_at(F.from_json(F.lit(listed), "array<array<array<struct<x:double,y:double>>>>"), (F.col("o_orderkey") % len(ODD_SHAPES) + 1).cast("int"))
+    dx, dy = (F.col("o_custkey") % 500) * 1000, F.col("o_custkey") % 7 - 3
+    rings = F.transform(shape, lambda r: F.transform(r, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))))
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("feature_id"), (F.col("o_orderkey") % len(ODD_SHAPES)).cast("int").alias("shape"), rings.alias("rings"))
+
+
 def layered_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of up to five rasters over four 32x32 tiles from lineitem: tile_id, y, x, band, raster_ord, value."""
     value = F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_quantity").cast("int"))
