@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import exprs as X
+from tessella.operators.warping import sampled
 
 GEOMETRY = "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
 FEATURE = f"struct<type:string,geometry:{GEOMETRY},features:array<struct<type:string,geometry:{GEOMETRY}>>,crs:struct<properties:struct<name:string>>>"
@@ -178,18 +179,50 @@ def windowed_read(px: DataFrame, tiles: DataFrame, size: tuple[int, int], fill:
     return blank.join(cut, ["raster_name", "x_off", "y_off", "y", "x"], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
 
-def warped_read(rasters: DataFrame, px: DataFrame, tiles: DataFrame, disk: int, value: str = "value") -> DataFrame:
-    """z, x, y, row, col, value of mercator tiles read from rasters in EPSG:4326 by nearest neighbour.
+def warped_read(rasters: DataFrame, px: DataFrame, tiles: DataFrame, disk: int, value: str = "value", resampling: str = "nearest", block: int = 256) -> DataFrame:
+    """z, x, y, row, col, value of mercator tiles read from rasters in EPSG:4326, 0 outside them.
 
     rasters: raster_name, transform, width, height. tiles: raster_name, z, x, y.
-    Each tile pixel's centre is mapped back to a raster pixel, and pixels meet
-    by an equi-join; outside the raster it is 0.
+    Each tile pixel's centre is mapped back into the raster. The nearest pixel
+    is met by an equi-join; other kernels (see warping.RESAMPLING) work within
+    blocks of source pixels.
     """
     every = F.sequence(F.lit(0), F.lit(disk - 1))
     t = tiles.join(rasters.select("raster_name", X.inverse("transform").alias("_inv"), "width", "height"), "raster_name")
     grid = t.select("*", F.explode(every).alias("row")).select("*", F.explode(every).alias("col"))
     lon = X.tile_west(F.col("x") + (F.col("col") + 0.5) / disk, "z")
     lat = X.tile_north(F.col("y") + (F.col("row") + 0.5) / disk, "z")
-    at = grid.withColumns({"_x": F.floor(X.apply_x("_inv", lon, lat)).cast("int"), "_y": F.floor(X.apply_y("_inv", lon, lat)).cast("int")})
+    placed = grid.withColumns({"_sx": X.apply_x("_inv", lon, lat), "_sy": X.apply_y("_inv", lon, lat)})
+    if resampling != "nearest":
+        places = placed.select("raster_name", "z", F.col("x").alias("_tile_x"), F.col("y").alias("_tile_y"), F.col("row").alias("y"), F.col("col").alias("x"), F.col("_sy").alias("sy"), F.col("_sx").alias("sx"))
+        found = sampled(px, places, ["raster_name"], ["z", "_tile_x", "_tile_y"], resampling, block, value)
+        return found.select("raster_name", "z", F.col("_tile_x").alias("x"), F.col("_tile_y").alias("y"), F.col("y").alias("row"), F.col("x").alias("col"), value)
+    at = placed.withColumns({"_x": F.floor("_sx").cast("int"), "_y": F.floor("_sy").cast("int")})
     source = px.select("raster_name", F.col("x").alias("_x"), F.col("y").alias("_y"), value)
     return at.join(source, ["raster_name", "_x", "_y"], "left").select("raster_name", "z", F.col("x"), F.col("y"), "row", "col", F.coalesce(value, F.lit(0)).alias(value))
+
+
+def read_tiles(rasters: DataFrame, px: DataFrame, tiles: DataFrame, disk: int, value: str = "value", resampling: str = "nearest", block: int = 256) -> DataFrame:
+    """tile_class, raster_name, the tile's key, row, col, value of tiles of both classes, each read as its class asks.
+
+    tiles: tile_class, raster_name, z, x, y (of mercator tiles, else null) and
+    x_off, y_off, src_w, src_h (of pixel tiles, else null). A mercator tile is
+    warped from a raster in EPSG:4326; a pixel tile is a window brought to disk
+    x disk pixels by the same kernel. An unknown class is an error.
+    """
+    known = F.col("tile_class").isin("MercatorTile", "ImagePixelTile")
+    checked = tiles.withColumn("tile_class", F.when(known, F.col("tile_class")).otherwise(F.raise_error(F.concat(F.lit("no such tile class: "), F.coalesce("tile_class", F.lit("null"))))))
+    web = warped_read(rasters, px, checked.where("tile_class = 'MercatorTile'").select("raster_name", "z", "x", "y"), disk, value, resampling, block)
+    every = F.sequence(F.lit(0), F.lit(disk - 1))
+    window = ["x_off", "y_off", "src_w", "src_h"]
+    cells = checked.where("tile_class = 'ImagePixelTile'").select("raster_name", *window, F.explode(every).alias("y")).select("*", F.explode(every).alias("x"))
+    places = cells.withColumns({"sy": F.col("y_off") + (F.col("y") + 0.5) * F.col("src_h") / disk, "sx": F.col("x_off") + (F.col("x") + 0.5) * F.col("src_w") / disk})
+    if resampling == "nearest":
+        at = places.withColumns({"_x": F.floor("sx").cast("int"), "_y": F.floor("sy").cast("int")})
+        cut = at.join(px.select("raster_name", F.col("x").alias("_x"), F.col("y").alias("_y"), value), ["raster_name", "_x", "_y"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    else:
+        cut = sampled(px, places, ["raster_name"], window, resampling, block, value)
+    none = lambda *names: [F.lit(None).cast("int").alias(n) for n in names]
+    local = cut.select(F.lit("ImagePixelTile").alias("tile_class"), "raster_name", *none("z", "tile_x", "tile_y"), *[F.col(k).cast("int").alias(k) for k in window], F.col("y").alias("row"), F.col("x").alias("col"), value)
+    warped = web.select(F.lit("MercatorTile").alias("tile_class"), "raster_name", *[F.col(a).cast("int").alias(b) for a, b in (("z", "z"), ("x", "tile_x"), ("y", "tile_y"))], *none(*window), "row", "col", value)
+    return warped.unionByName(local)
