@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +44,8 @@ MAGIC = {
 }
 
 
-#: Bytes that are unpacked at once.
-_PIECE = 1 << 16
+#: Bytes that are unpacked at once, and between sums that are kept.
+_PIECE, _STEP = 1 << 16, 1 << 12
 _PDF_MARKS = re.compile(rb"%PDF-|startxref\s+[0-9]+\s+%%EOF")
 
 
@@ -59,26 +61,79 @@ def _sums(bits: int, polynomial: int) -> list[int]:
     return table
 
 
-# The polynomials of FLAC's sums over frames and frame headers.
-_FLAC_SUMS, _FLAC_HEADS = _sums(16, 0x8005), _sums(8, 0x07)
+# The polynomial of FLAC's sum over frame headers.
+_FLAC_HEADS = _sums(8, 0x07)
 
 
 class _Seen:
-    """What searches and walks over one file have found, so that many candidates in it do not repeat them."""
+    """What searches and walks over one file have found, so that many candidates in it do not repeat them.
+
+    Every walk from place to place leaves its outcome at all places that it
+    came by, so a place is walked on from once, whatever the number of
+    candidates that lead to it.
+    """
 
     def __init__(self, data: memoryview):
         self.data = data
-        self.spots: dict[bytes, tuple[int, int]] = {}
-        self.directories: dict[int, int] = {}
+        self.places: dict[bytes, list[int]] = {}
         self.ends: dict[int, tuple[int, int, int, int]] = {}
+        self.sums: list[int] | None = None
+        self.flac: _Flac | None = None
+        self.described: dict[int, list[int]] | None = None
+        # By walk: where from each place it comes to.
+        self.walked: dict[str, dict] = defaultdict(dict)
 
     def find(self, what: bytes, at: int) -> int:
-        """As bytes.find, without a copy."""
-        asked, found = self.spots.get(what, (0, -2))
-        if found == -2 or at < asked or -1 < found < at:
-            m = re.compile(re.escape(what)).search(self.data, at)
-            asked, found = self.spots[what] = at, m.start() if m else -1
-        return found
+        """As bytes.find, by places found once."""
+        if what not in self.places:
+            self.places[what] = [m.start() for m in re.finditer(re.escape(what), self.data)]
+        spots = self.places[what]
+        i = bisect_left(spots, at)
+        return spots[i] if i < len(spots) else -1
+
+    def crc32(self, a: int, b: int) -> int:
+        """The sum of data[a:b]; of long spans from sums kept at steps of _STEP."""
+        if b - a <= 8 * _STEP:
+            return zlib.crc32(self.data[a:b])
+        if self.sums is None:
+            self.sums = [0]
+            for at in range(0, len(self.data), _STEP):
+                self.sums.append(zlib.crc32(self.data[at : at + _STEP], self.sums[-1]))
+        upto = lambda at: zlib.crc32(self.data[at // _STEP * _STEP : at], self.sums[at // _STEP])
+        return upto(b) ^ _shifted(upto(a), b - a)
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials modulo that of CRC-32, bits reversed."""
+    out = 0
+    while a:
+        if a & 0x80000000:
+            out ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _zeros() -> list[list[int]]:
+    """For each byte of a number of zero bytes, and each value of it, the factor that they are."""
+    tables, step = [], 0x00800000  # x**8
+    for _ in range(5):
+        row = [0x80000000]  # 1
+        for _ in range(256):
+            row.append(_times(row[-1], step))
+        step = row.pop()
+        tables.append(row)
+    return tables
+
+
+def _shifted(sum_: int, zeros: int) -> int:
+    """What a CRC-32 contributes once so many further bytes have passed."""
+    for row in _zeros():
+        if zeros & 255:
+            sum_ = _times(row[zeros & 255], sum_)
+        zeros >>= 8
+    return sum_
 
 
 def _wav_end(data: memoryview, at: int, seen: _Seen) -> int:
@@ -88,65 +143,105 @@ def _wav_end(data: memoryview, at: int, seen: _Seen) -> int:
     end = at + 8 + riff
     if end > len(data):
         return 0
-    pos, fmt = at + 12, None
-    while pos + 8 <= end:
+    pos, fmt = _wav_data(data, at + 12, seen)
+    if not pos or not fmt or pos + 8 > end:
+        return 0
+    size, = struct.unpack_from("<I", data, pos + 4)
+    kind = struct.unpack_from("<HHIIHH", data, fmt + 8)
+    return end if pos + 8 + size <= end and kind[0] == 1 and kind[1] and kind[4] == kind[1] * kind[5] // 8 and size % kind[4] == 0 else 0
+
+
+def _wav_data(data: memoryview, at: int, seen: _Seen) -> tuple[int, int]:
+    """The data chunk that chunks from a place lead to, and the last format chunk before it; 0 for none."""
+    known, trail, pos = seen.walked["wav"], [], at
+    while pos not in known:
+        if pos + 8 > len(data):
+            known[pos] = 0, 0
+            break
         name, size = bytes(data[pos : pos + 4]), struct.unpack_from("<I", data, pos + 4)[0]
-        if pos + 8 + size > end:
-            return 0
-        if name == b"fmt " and size >= 16:
-            fmt = struct.unpack_from("<HHIIHH", data, pos + 8)
         if name == b"data":
-            return end if fmt and fmt[0] == 1 and fmt[1] and fmt[4] == fmt[1] * fmt[5] // 8 and size % fmt[4] == 0 else 0
+            known[pos] = pos, 0
+            break
+        trail.append((pos, name == b"fmt " and size >= 16))
         pos += 8 + size + size % 2
-    return 0
+    spot, fmt = known[pos]
+    for pos, is_format in reversed(trail):
+        fmt = fmt or (pos if is_format else 0)
+        known[pos] = spot, fmt
+    return known[at]
 
 
 def _png_end(data: memoryview, at: int, seen: _Seen) -> int:
-    pos, first = at + 8, True
-    while pos + 12 <= len(data):
-        size, name = struct.unpack_from(">I", data, pos)[0], bytes(data[pos + 4 : pos + 8])
-        if pos + 12 + size > len(data) or (first and (name != b"IHDR" or size != 13)):
-            return 0
-        if zlib.crc32(data[pos + 4 : pos + 8 + size]) != struct.unpack_from(">I", data, pos + 8 + size)[0]:
-            return 0
-        pos, first = pos + 12 + size, False
-        if name == b"IEND":
-            return pos
-    return 0
+    if len(data) < at + 20 or struct.unpack_from(">I", data, at + 8)[0] != 13 or data[at + 12 : at + 16] != b"IHDR":
+        return 0
+    known, trail, pos, end = seen.walked["png"], [], at + 8, 0
+    while pos not in known and pos + 12 <= len(data):
+        trail.append(pos)
+        size, last = struct.unpack_from(">I", data, pos)[0], data[pos + 4 : pos + 8] == b"IEND"
+        if pos + 12 + size > len(data) or seen.crc32(pos + 4, pos + 8 + size) != struct.unpack_from(">I", data, pos + 8 + size)[0]:
+            break
+        pos += 12 + size
+        if last:
+            end = pos
+            break
+    else:
+        end = known.get(pos, 0)
+    known.update(dict.fromkeys(trail, end))
+    return end
 
 
 def _gif_end(data: memoryview, at: int, seen: _Seen) -> int:
     if len(data) < at + 14 or 0 in struct.unpack_from("<HH", data, at + 6):
         return 0
+    known, trail, end = seen.walked["gif"], [], 0
     pos = at + 13 + (3 << (data[at + 10] & 7) + 1 if data[at + 10] & 128 else 0)
-    while pos < len(data):
+    while pos not in known and pos < len(data):
+        trail.append(pos)
         kind = data[pos]
         if kind == 0x3B:
-            return pos + 1
+            end = pos + 1
+            break
         if kind == 0x2C and pos + 10 < len(data):
             pos += 11 + (3 << (data[pos + 9] & 7) + 1 if data[pos + 9] & 128 else 0)
         elif kind == 0x21:
             pos += 2
         else:
-            return 0
-        while pos < len(data) and data[pos]:
-            pos += data[pos] + 1
-        pos += 1
-    return 0
+            break
+        pos = _after_blocks(data, pos, seen)
+    else:
+        end = known.get(pos, 0)
+    known.update(dict.fromkeys(trail, end))
+    return end
+
+
+def _after_blocks(data: memoryview, at: int, seen: _Seen) -> int:
+    """Behind the empty block that ends the blocks from a place on."""
+    known, trail, pos = seen.walked["gif blocks"], [], at
+    while pos not in known and pos < len(data) and data[pos]:
+        trail.append(pos)
+        pos += data[pos] + 1
+    end = known.get(pos, pos + 1)
+    known.update(dict.fromkeys(trail, end))
+    return end
 
 
 def _jpeg_end(data: memoryview, at: int, seen: _Seen) -> int:
-    pos, frame = at + 2, False
-    while pos + 4 <= len(data) and data[pos] == 0xFF:
+    known, trail, pos, frame, end = seen.walked["jpeg"], [], at + 2, False, 0
+    while (pos, frame) not in known and pos + 4 <= len(data) and data[pos] == 0xFF:
+        trail.append((pos, frame))
         kind, size = data[pos + 1], struct.unpack_from(">H", data, pos + 2)[0]
         if size < 2 or pos + 2 + size > len(data):
-            return 0
+            break
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         if kind == 0xDA:
-            end = seen.find(b"\xff\xd9", pos) if frame else -1
-            return end + 2 if end >= 0 else 0
+            end = seen.find(b"\xff\xd9", pos) + 2 if frame else 0
+            end = end if end > 1 else 0
+            break
         pos += 2 + size
-    return 0
+    else:
+        end = known.get((pos, frame), 0)
+    known.update(dict.fromkeys(trail, end))
+    return end
 
 
 def _bmp_end(data: memoryview, at: int, seen: _Seen) -> int:
@@ -185,8 +280,8 @@ def _zip_end(data: memoryview, at: int, seen: _Seen) -> int:
 
 def _zip_directory(data: memoryview, at: int, seen: _Seen) -> int:
     """Where the directory stands behind the local entries that begin here, 0 if they break off."""
-    pos, walked = at, []
-    while pos and pos not in seen.directories and len(data) >= pos + 30 and data[pos : pos + 4] == b"PK\x03\x04":
+    known, pos, walked = seen.walked["zip"], at, []
+    while pos and pos not in known and len(data) >= pos + 30 and data[pos : pos + 4] == b"PK\x03\x04":
         walked.append(pos)
         flags, method = struct.unpack_from("<HH", data, pos + 6)
         packed, plain, name, extra = struct.unpack_from("<IIHH", data, pos + 18)
@@ -194,28 +289,64 @@ def _zip_directory(data: memoryview, at: int, seen: _Seen) -> int:
         if not flags & 8:
             pos = pos + packed if pos + packed <= len(data) else 0
         elif method == 8:  # sizes follow the data: where deflated data end, they say themselves
-            end = _inflated_end(data, pos, -15)
+            end = _inflated_end(data, pos, -15, seen)
             pos = end + 12 + 4 * (data[end : end + 4] == b"PK\x07\x08") if end else 0
         else:
             pos = _descriptor_of_stored(data, pos, seen)
-    pos = seen.directories.get(pos, pos if data[pos : pos + 4] in (b"PK\x01\x02", b"PK\x05\x06") else 0)
-    seen.directories.update(dict.fromkeys(walked, pos))
+    pos = known.get(pos, pos if data[pos : pos + 4] in (b"PK\x01\x02", b"PK\x05\x06") else 0)
+    known.update(dict.fromkeys(walked, pos))
     return pos
 
 
 def _descriptor_of_stored(data: memoryview, at: int, seen: _Seen) -> int:
     """The end of the first descriptor that states the length and the sum of what precedes it."""
-    pos, upto, sum_ = seen.find(b"PK\x07\x08", at), at, 0
-    while 0 <= pos <= len(data) - 16:
-        sum_, upto = zlib.crc32(data[upto:pos], sum_), pos
-        if struct.unpack_from("<III", data, pos + 4) == (sum_, pos - at, pos - at):
+    if seen.described is None:
+        seen.described = defaultdict(list)  # by the place that their lengths lead back to
+        for m in re.finditer(b"PK\x07\x08", data):
+            if m.end() + 12 <= len(data):
+                packed, plain = struct.unpack_from("<II", data, m.start() + 8)
+                if packed == plain <= m.start():
+                    seen.described[m.start() - packed].append(m.start())
+    for pos in seen.described.get(at, ()):
+        if struct.unpack_from("<I", data, pos + 4)[0] == seen.crc32(at, pos):
             return pos + 16
-        pos = seen.find(b"PK\x07\x08", pos + 4)
     return 0
 
 
-def _inflated_end(data: memoryview, at: int, window: int) -> int:
-    """Where the compressed stream that begins at a place ends, 0 if it is none; read in pieces, nothing is kept."""
+def _stored_chain(data: memoryview, at: int, seen: _Seen) -> tuple[int, int]:
+    """Where stored blocks from a byte on lead, and the bytes that they hold: behind the last block, or 0 if one is cut or damaged, or minus the place of a block that is not stored."""
+    known, trail, pos, last = seen.walked["stored"], [], at, False
+    while pos not in known and not last:
+        if pos < len(data) and data[pos] >> 1 & 3:
+            known[pos] = -pos, 0
+            break
+        size, other = struct.unpack_from("<HH", data, pos + 1) if pos + 5 <= len(data) else (0, 0)
+        if size ^ other != 0xFFFF or pos + 5 + size > len(data):
+            known[pos] = 0, 0
+            break
+        trail.append((pos, size))
+        last, pos = bool(data[pos] & 1), pos + 5 + size
+    end, held = (pos, 0) if last else known[pos]
+    for pos, size in reversed(trail):
+        held += size
+        known[pos] = end, held
+    return end, held
+
+
+def _inflated_end(data: memoryview, at: int, window: int, seen: _Seen) -> int:
+    """Where the compressed stream that begins at a place ends, 0 if it is none; read in pieces, nothing is kept.
+
+    Stored blocks are walked over by their lengths; a gzip stream of stored
+    blocks alone is only read if its stated length is right.
+    """
+    start = at if window < 0 else _gzip_body(data, at, seen)
+    if not start:
+        return 0
+    end, held = _stored_chain(data, start, seen)
+    if end == 0 or (end > 0 and window < 0):
+        return end
+    if end > 0 and (len(data) < end + 8 or struct.unpack_from("<I", data, end + 4)[0] != held & 0xFFFFFFFF):
+        return 0
     unzip, pos = zlib.decompressobj(window), at
     try:
         while not unzip.eof and pos < len(data):
@@ -229,8 +360,22 @@ def _inflated_end(data: memoryview, at: int, window: int) -> int:
     return pos - len(unzip.unused_data) if unzip.eof else 0
 
 
+def _gzip_body(data: memoryview, at: int, seen: _Seen) -> int:
+    """Where the compressed data of a gzip member begin, 0 if its header is cut."""
+    flags, pos = data[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + (struct.unpack_from("<H", data, pos)[0] if pos + 2 <= len(data) else len(data))
+    for bit in (8, 16):
+        if flags & bit:
+            pos = seen.find(b"\0", pos) + 1
+            if not pos:
+                return 0
+    pos += 2 * bool(flags & 2)
+    return pos if pos < len(data) else 0
+
+
 def _gzip_end(data: memoryview, at: int, seen: _Seen) -> int:
-    return 0 if len(data) < at + 18 or data[at + 3] & 0xE0 else _inflated_end(data, at, 31)
+    return 0 if len(data) < at + 18 or data[at + 3] & 0xE0 else _inflated_end(data, at, 31, seen)
 
 
 def _flac_end(data: memoryview, at: int, seen: _Seen) -> int:
@@ -243,34 +388,112 @@ def _flac_end(data: memoryview, at: int, seen: _Seen) -> int:
         return 0
     low, high = struct.unpack_from(">HH", data, at + 8)
     stated = int.from_bytes(data[at + 18 : at + 26], "big") & (1 << 36) - 1
-    pos, last = at + 4, False
-    while not last:
-        if len(data) < pos + 4:
-            return 0
-        last, pos = bool(data[pos] & 128), pos + 4 + int.from_bytes(data[pos + 1 : pos + 4], "big")
-    if not 16 <= low <= high or pos > len(data):
+    pos = _after_metadata(data, at + 4, seen)
+    if not 16 <= low <= high or not pos or pos > len(data):
         return 0
-    done = 0
-    while not stated or done < stated:
-        block, body = _flac_frame(data, pos)
-        if not block:
-            return pos if done and not stated else 0
-        sum_, end = 0, 0
-        for i in range(pos, body):
-            sum_ = _flac_sum(sum_, data[i])
-        for i in range(body, len(data) - 1):
-            if sum_ == data[i] << 8 | data[i + 1] and (_flac_frame(data, i + 2)[0] or done + block >= stated):
-                end = i + 2
-                break
-            sum_ = _flac_sum(sum_, data[i])
-        if not end:
-            return 0
-        done, pos = done + block, end
-    return pos
+    if seen.flac is None:
+        seen.flac = _Flac(data)
+    return seen.flac.end(pos, stated)
 
 
-def _flac_sum(sum_: int, byte: int) -> int:
-    return (sum_ << 8 & 0xFFFF) ^ _FLAC_SUMS[sum_ >> 8 ^ byte]
+def _after_metadata(data: memoryview, at: int, seen: _Seen) -> int:
+    """Behind the last of the metadata blocks from a place on, 0 if they are cut."""
+    known, trail, pos = seen.walked["flac"], [], at
+    while pos not in known and len(data) >= pos + 4:
+        trail.append(pos)
+        last, pos = data[pos] & 128, pos + 4 + int.from_bytes(data[pos + 1 : pos + 4], "big")
+        if last:
+            known.update(dict.fromkeys(trail, pos))
+            return pos
+    end = known.get(pos, 0)
+    known.update(dict.fromkeys(trail, end))
+    return end
+
+
+@lru_cache(maxsize=1)
+def _powers() -> np.ndarray:
+    """x to each power below 32767, the order of x, modulo the polynomial of FLAC's sum over frames."""
+    out = np.empty(32767, np.uint16)
+    value = 1
+    for i in range(len(out)):
+        out[i] = value
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if value & 0x8000 else 0)
+    return out
+
+
+class _Flac:
+    """All frames of a file and how they follow one another.
+
+    The sum over a span, its own two bytes with it, is 0 if and only if a
+    running sum, each byte of which is taken back by its place, is alike at
+    both ends. So a frame's end is the next place with the value of its begin.
+    """
+
+    def __init__(self, data: memoryview):
+        frames = {m.start(): f for m in re.finditer(b"\xff[\xf8\xf9]", data) if (f := _flac_frame(data, m.start()))[0]}
+        self.at = np.array(list(frames), np.int64)
+        self.samples = np.array([f[0] for f in frames.values()], np.int64)
+        body = np.array([f[1] for f in frames.values()], np.int64)
+        if not len(self.at):
+            return
+        value = self._running(data)
+        order = np.argsort(value, kind="stable")
+        sorted_ = value[order]
+        # Places of equal value stand together, in order: the first one from behind the header on.
+        group = np.searchsorted(sorted_, value[self.at], "right")
+        self.any_end = np.full(len(self.at), -1, np.int64)
+        self.next = np.full(len(self.at), -1, np.int64)
+        key = sorted_.astype(np.int64) * (len(value) + 1) + order
+        spot = np.searchsorted(key, value[self.at].astype(np.int64) * (len(value) + 1) + body + 2)
+        found = spot < group
+        self.any_end[found] = order[spot[found]]
+        own = value[self.at].astype(np.int64) * (len(value) + 1) + self.at
+        by_value = np.argsort(own)
+        spot = np.searchsorted(own[by_value], value[self.at].astype(np.int64) * (len(value) + 1) + body + 2)
+        there = spot < len(own)
+        there[there] = value[self.at][by_value[spot[there]]] == value[self.at][there]
+        self.next[there] = by_value[spot[there]]
+        self._chains()
+
+    @staticmethod
+    def _running(data: memoryview) -> np.ndarray:
+        every = np.frombuffer(data, np.uint8)
+        out = np.zeros(len(every) + 1, np.uint16)
+        for a in range(0, len(every), 1 << 20):
+            part = every[a : a + (1 << 20)]
+            place, powers, sums = np.arange(a, a + len(part)), _powers(), np.zeros(len(part), np.uint16)
+            for bit in range(8):
+                sums ^= np.where(part >> bit & 1, powers[(8 + bit - 8 * place) % 32767], np.uint16(0)).astype(np.uint16)
+            out[a + 1 : a + 1 + len(part)] = np.bitwise_xor.accumulate(sums) ^ out[a]
+        return out
+
+    def _chains(self) -> None:
+        """What follows a frame 1, 2, 4 ... frames on, and the samples until there; and, without a stated number, where all ends."""
+        n = len(self.at)
+        step, held = np.where(self.next < 0, n, self.next), np.append(self.samples, 0)
+        self.steps, self.held = [np.append(step, n)], [held]
+        while (self.steps[-1] < n).any():
+            step, held = self.steps[-1], self.held[-1]
+            self.steps.append(step[step])
+            self.held.append(held + held[step])
+        number = {int(a): i for i, a in enumerate(self.at)}
+        self.number, self.last = number, np.zeros(n, np.int64)
+        for i in range(n - 1, -1, -1):
+            end = int(self.any_end[i])
+            self.last[i] = 0 if end < 0 else self.last[number[end]] if end in number else end
+
+    def end(self, pos: int, stated: int) -> int:
+        """Where the frames from a place on end that hold so many samples (0: all that follow)."""
+        if not len(self.at) or pos not in self.number:
+            return 0
+        i = self.number[pos]
+        if not stated:
+            return int(self.last[i])
+        # The longest way that stays below the number; the frame after it is the last one.
+        for step, held in zip(reversed(self.steps), reversed(self.held), strict=True):
+            if i < len(self.at) and held[i] < stated:
+                i, stated = int(step[i]), stated - int(held[i])
+        return max(0, int(self.any_end[i])) if i < len(self.at) else 0
 
 
 def _flac_frame(data: memoryview, at: int) -> tuple[int, int]:
@@ -294,15 +517,20 @@ def _flac_frame(data: memoryview, at: int) -> tuple[int, int]:
 
 
 def _ogg_end(data: memoryview, at: int, seen: _Seen) -> int:
-    pos = at
-    while len(data) >= pos + 27 and bytes(data[pos : pos + 5]) == b"OggS\0":
+    known, trail, pos, end = seen.walked["ogg"], [], at, 0
+    while pos not in known and len(data) >= pos + 27 and data[pos : pos + 5] == b"OggS\0":
+        trail.append(pos)
         table = data[pos + 27 : pos + 27 + data[pos + 26]]
-        if pos + 27 + len(table) + sum(table) > len(data):
-            return 0
         last, pos = data[pos + 5] & 4, pos + 27 + len(table) + sum(table)
+        if pos > len(data):
+            break
         if last:
-            return pos
-    return 0
+            end = pos
+            break
+    else:
+        end = known.get(pos, 0)
+    known.update(dict.fromkeys(trail, end))
+    return end
 
 
 #: Each gives the end of the format's file that begins at a place, 0 if none does.

@@ -24,11 +24,16 @@ shingles' hashes, packed in sorted blocks.
 Groups. Documents with equal shingle multisets are one class at once and go on
 as one representative. First each member of a bucket is compared with one hub,
 the member that meets most others over all bands (an original meets more of its
-copies than these meet each other). What is then still apart from the largest
-component of a bucket is settled by a prefix-filter join on rare shingles with
-the members of all such buckets (see _prefix_pairs), which passes no pair at
-the threshold over. So each pair that shares a band ends in one component or is
-below the threshold, and no bucket is capped.
+copies than these meet each other). A bucket of two is settled by that. The
+members of larger buckets that still hold several components draw LONG_ROWS *
+LONG_BANDS further samples by their weights in the verification. Where texts
+are made of shared blocks, nearly all share a short band with nearly all; a
+long band tells a pair at the threshold, which it finds with probability
+0.999, from one that has half in common, which it meets once in 500 times. In
+buckets of long bands of at most SMALL members every pair of components is
+compared; in larger ones the hub, and what is then still apart is settled by a
+prefix-filter join on rare shingles (see _prefix_pairs), which passes no pair
+at the threshold over. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -47,6 +52,8 @@ from tessella.llm.common import persist, small_batches, text_or_empty
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 25
 RARE, DAMP = 0.0005, 0.5
+#: Bands of the second look at crowded buckets, bands drawn at once, and members up to which a long band's bucket is compared pair by pair.
+LONG_ROWS, LONG_BANDS, LONG_AT_ONCE, SMALL = 16, 243, 16, 16
 #: Document frequencies below this are not told apart.
 FEWEST = 4
 #: Entries of the table of frequent shingles that is broadcast, 16 bytes each.
@@ -56,8 +63,10 @@ WINDOW, KEPT_BYTES = 1 << 20, 16 << 20
 #: Shingles that a task sorts at once.
 BLOCK_SHINGLES = 1_000_000
 SEED = 20_011
+#: Shingles whose long bands are drawn together.
+LONG_SHINGLES = 400_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_TABLE_BITS = 14
+_TABLE_BITS, _LONG_TABLE_BITS = 14, 12
 
 _punct = bytes(b for b in range(127) if not chr(b).isalnum())
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _punct, b"abcdefghijklmnopqrstuvwxyz" + b" " * len(_punct))
@@ -259,9 +268,9 @@ class Sampler:
     elements cost one lookup.
     """
 
-    def __init__(self, samples: int = ROWS * BANDS):
-        draw = np.random.default_rng(SEED)
-        size = (samples, 1 << _TABLE_BITS)
+    def __init__(self, samples: int = ROWS * BANDS, bits: int = _TABLE_BITS, seed: int = SEED):
+        draw = np.random.default_rng(seed)
+        size, self.bits = (samples, 1 << bits), bits
         self.r = draw.gamma(2.0, 1.0, size).astype(np.float32)
         self.b = draw.random(size, np.float32)
         self.lead = (np.log(draw.gamma(2.0, 1.0, size)) - self.r * (1 - self.b)).astype(np.float32)
@@ -280,7 +289,7 @@ class Sampler:
         name = hashes >> np.uint64(32)
         odd = np.flatnonzero(weights != 1.0)
         log_weight = np.log(weights[odd]).astype(np.float32)
-        shift = np.uint64(64 - _TABLE_BITS)
+        shift = np.uint64(64 - self.bits)
         for k, turn in enumerate(self.turn):
             at = ((hashes * turn) >> shift).astype(np.int64)
             least = self.unit[k][at] | name
@@ -293,17 +302,46 @@ class Sampler:
         return out
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each document."""
-    keys = np.empty((len(samples), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(samples), band + 1, np.uint64)
-        for row in range(ROWS):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + samples[:, band * ROWS + row])
+def band_keys(samples: np.ndarray, rows: int = ROWS, first: int = 0) -> np.ndarray:
+    """A 64-bit key for each band of each document; first: the number of bands before these."""
+    bands = samples.shape[1] // rows
+    keys = np.empty((len(samples), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(samples), first + band + 1, np.uint64)
+        for row in range(rows):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + samples[:, band * rows + row])
         keys[:, band] = key
     return keys
 
 
+def _long_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """rep, key: the long bands of each text (rep, body), drawn by the weights of the verification."""
+
+    def flush(held: list[tuple]) -> Iterator[pd.DataFrame]:
+        starts = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in held])[:-1]])
+        hashes, weights = np.concatenate([h for _, h, _ in held]), np.concatenate([by_count(n) for _, _, n in held])
+        reps = np.array([r for r, _, _ in held])
+        for first in range(0, LONG_BANDS, LONG_AT_ONCE):
+            bands = min(LONG_AT_ONCE, LONG_BANDS - first)
+            # Drawn anew for each part: tables for all samples would not fit beside the texts.
+            sampler = Sampler(bands * LONG_ROWS, _LONG_TABLE_BITS, SEED + 1 + first)
+            keys = band_keys(sampler.sample(hashes, weights, starts), LONG_ROWS, first)
+            yield pd.DataFrame({"rep": np.repeat(reps, bands), "key": keys.view(np.int64).ravel()})
+
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for rep, text in zip(batch["rep"], batch["body"], strict=True):
+            h, n = shingles(text)
+            held.append((rep, h, n))
+            size += len(h)
+            if size > LONG_SHINGLES:
+                yield from flush(held)
+                held, size = [], 0
+    if held:
+        yield from flush(held)
+
+
 @lru_cache(maxsize=1)
 def _sampler() -> Sampler:
     return Sampler()
@@ -472,12 +510,16 @@ def _classes(docs: DataFrame, threshold: float, doc_id: str, text: str, carried:
         degree = persist(members.groupBy("rep").agg(F.sum("n").alias("degree")), narrow=True)
         texts = persist(signed.select(F.col("uid").alias("rep"), body).join(degree.select("rep"), "rep", "left_semi"))
         verify = lambda pairs: persist(_pair_texts(pairs, texts).mapInPandas(lambda it: _verified(it, threshold), "a long, b long"))
-        hubs = persist(members.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub")), narrow=True)
-        links = verify(members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+        links = verify(_hub_pairs(members, degree))
         labels = components(links)
-        left = persist(_unsettled(members.drop("n"), labels), narrow=True)
+        left = persist(_unsettled(members.where("n > 2").drop("n"), labels), narrow=True)
         if not left.isEmpty():
-            labels = components(links.union(verify(_prefix_pairs(left, texts, shared, threshold))))
+            long_members = _long_members(left, texts)
+            more = persist(links.union(verify(_long_pairs(long_members, labels))), narrow=True)
+            labels = components(more)
+            crowded = persist(_unsettled(long_members.where(F.col("n") > SMALL).drop("n"), labels), narrow=True)
+            if not crowded.isEmpty():
+                labels = components(more.union(verify(_prefix_pairs(crowded, texts, shared, threshold))))
     joined = reps.select(F.col("rep").alias("node"), *same, "pick") if labels is None else reps.select("rep", *same, "pick").join(labels, reps["rep"] == labels["node"], "left").select(F.coalesce("label", "rep").alias("node"), *same, "pick")
     best = joined.groupBy("node").agg(F.min("pick").alias("keep"))
     kept = joined.select("node", *same).join(best, "node").select(*same, "keep")
@@ -496,6 +538,34 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "d
     return _classes(docs, threshold, doc_id, text, F.struct(F.col(text))).select("doc_id", F.col("keep.doc_id").alias("class_id"))
 
 
+def _hub_pairs(members: DataFrame, degree: DataFrame) -> DataFrame:
+    """a, b: every member of a bucket with the one of the greatest degree."""
+    hubs = persist(members.join(degree, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub")), narrow=True)
+    return members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _long_members(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """rep, key, n: the long bands of left's texts that several have."""
+    own = texts.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "body").repartition("rep")
+    drawn = persist(own.mapInPandas(_long_bands, "rep long, key long"))
+    several = persist(drawn.groupBy("key").agg(F.count("rep").alias("n")).where("n > 1"), narrow=True)
+    return persist(drawn.join(several, "key"), narrow=True)
+
+
+def _long_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b across components: all pairs of a bucket of at most SMALL members, and those with the hub of a larger one."""
+    marked = members.join(labels, members["rep"] == labels["node"], "left").select("rep", "key", "n", F.coalesce("label", "rep").alias("label"))
+    few = marked.where(F.col("n") <= SMALL)
+    one, two = (few.select("key", F.col("rep").alias(a), F.col("label").alias(f"label_{a}")) for a in "ab")
+    near = one.join(two, "key").where("a < b and label_a <> label_b").select("a", "b")
+    many = marked.where(F.col("n") > SMALL)
+    hubs = _hub_pairs(many.select("rep", "key"), many.groupBy("rep").agg(F.sum("n").alias("degree")))
+    known = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    of = lambda df, c: df.join(known, F.col(c) == F.col("_node"), "left").withColumn(f"label_{c}", F.coalesce("_label", c)).drop("_node", "_label")
+    apart = of(of(hubs, "a"), "b").where("label_a <> label_b").select("a", "b")
+    return near.union(apart).distinct()
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, with the labels of these; a member without links is its own."""
     marked = persist(members.join(labels, members["rep"] == labels["node"], "left").select("rep", "key", F.coalesce("label", "rep").alias("label")), narrow=True)
