@@ -92,17 +92,25 @@ QUERIES = {
 
 def _url_sql(levels: int = 6) -> str:
     """The template tree of url_filter with its levels written out, for paths of up to so many segments."""
+    def unlike(bad: str, n: str) -> str:
+        """By how many standard errors the shares of gs[i] and gs[i + 1] differ; bad, n: of which fields, first and second."""
+        (b1, b2), (n1, n2) = ((f"gs[i].{x.split()[0]}", f"gs[i + 1].{x.split()[1]}") for x in (bad, n))
+        pooled = f"({b1} + {b2}) / ({n1} + {n2})"
+        return f"case when {b1} / {n1} = {b2} / {n2} then 0.0::double else abs({b1} / {n1} - {b2} / {n2}) / sqrt({pooled} * (1 - {pooled}) * (1 / {n1} + 1 / {n2})) end"
+
     level = """
         n{0} as (select host, head, count(distinct segment) as children from (select *, rest[1] as segment from t{1} where len(rest) > 0) group by 1, 2),
         b{0} as (select host, head, rest[1] as segment, sum(bad)::bigint as bad, sum(labelled)::bigint as labelled from t{1} where len(rest) > 0 group by 1, 2, 3),
         s{0} as (select host, head from b{0} group by 1, 2 having count(*) <= 20 and sum((labelled >= 5)::int) >= 2),
-        k{0} as (select b.*, lag(bad) over w as last_bad, lag(labelled) over w as last_n from b{0} b join s{0} using (host, head) where labelled >= 5
-                 window w as (partition by host, head order by bad / labelled, segment)),
-        a{0} as (select *, bad / labelled as share, coalesce((abs(bad / labelled - last_bad / last_n)
-                 > 1.96::double * sqrt((bad + last_bad) / (labelled + last_n) * (1 - (bad + last_bad) / (labelled + last_n)) * (1 / labelled + 1 / last_n)))::int, 0) as apart from k{0}),
-        g{0} as (select *, sum(apart) over (partition by host, head order by share, segment) as grp from a{0}),
-        m{0} as (select host, head, grp, list_sort(list(segment)) as members from g{0} group by 1, 2, 3),
-        x{0} as (select g.host, g.head, g.segment, case when len(members) = 1 then members[1] else '{{' || array_to_string(members, '|') || '}}' end as general from g{0} g join m{0} m using (host, head, grp)
+        k{0}(host, head, gs) as (
+            select host, head, list({{'bad': bad, 'n': labelled, 'lb': bad, 'ln': labelled, 'hb': bad, 'hn': labelled, 'members': [segment]}} order by bad / labelled, segment) from b{0} b join s{0} using (host, head) where labelled >= 5 group by 1, 2
+            union all select host, head, gs[:best.i - 1] || [{{'bad': o.bad + t.bad, 'n': o.n + t.n, 'lb': o.lb, 'ln': o.ln, 'hb': t.hb, 'hn': t.hn, 'members': o.members || t.members}}] || gs[best.i + 2:]
+            from (select *, gs[best.i] as o, gs[best.i + 1] as t from (select *, list_sort(list_filter(list_transform(generate_series(1, len(gs) - 1), lambda i: {{'apart': {means}, 'i': i, 'ends': {ends}}}), lambda p: p.apart <= 1.96::double and p.ends <= 1.96::double))[1] as best from k{0}))
+            where best is not null),
+        l{0} as (select host, head, unnest(arg_min(gs, len(gs))) as grp from k{0} group by 1, 2),
+        m{0} as (select host, head, list_sort(grp.members) as members from l{0}),
+        g{0} as (select *, unnest(members) as segment from m{0}),
+        x{0} as (select g.host, g.head, g.segment, case when len(members) = 1 then members[1] else '{{' || array_to_string(members, '|') || '}}' end as general from g{0} g
                  union all select b.host, b.head, segment, '*' from b{0} b join s{0} using (host, head) where labelled < 5),
         t{0} as (select t.host, t.shape, t.bad, t.labelled,
                         case when len(rest) = 0 then t.head else t.head || '/' || case when n.children > 20 then '*' else coalesce(x.general, rest[1]) end end as head, rest[2:] as rest
@@ -119,7 +127,7 @@ def _url_sql(levels: int = 6) -> str:
                            when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule from r2),
         urls as (select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as own, array_to_string(parts, '/') as shape, parts from r3),
         t0 as (select host, shape, coalesce(sum((own = 'block')::int), 0)::bigint as bad, count(own) as labelled, '' as head, any_value(parts) as rest from urls group by 1, 2),
-        {"".join(level.format(i, i - 1) for i in range(1, levels + 1))}
+        {"".join(level.format(i, i - 1, means=unlike("bad bad", "n n"), ends=unlike("lb hb", "ln hn")) for i in range(1, levels + 1))}
         shapes as (select host, shape, bad, labelled, substr(head || case when len(rest) > 0 then '/' || array_to_string(rest, '/') else '' end, 2) as template from t{levels}),
         ways as (select *, list_transform(generate_series(1, len(string_split(host, '.'))), lambda n: array_to_string(string_split(host, '.')[len(string_split(host, '.')) - n + 1:], '.'))
                    || list_transform(generate_series(1, len(list_filter(string_split(template, '/'), lambda s: s <> ''))), lambda n: host || '/' || array_to_string(string_split(template, '/')[1:n], '/')) as way from shapes),

@@ -4,8 +4,8 @@ Segments of a path that vary become wildcards: those with digits or of great
 length at once, others where a node has too many different children. That goes
 level by level from each host's root, children being counted below the already
 generalised parent. Where a node has several children with evidence, these are
-merged pairwise, nearest shares of blocked pages first, as long as two
-neighbours do not differ significantly.
+merged pairwise, the most alike by their pooled shares of blocked pages first,
+as long as neither the groups nor their outermost branches differ significantly.
 
 A template is rejected by its smoothed share of blocked pages: each node of the
 way to it, from the last label of the host's name over its parent domains and
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import ascii_lower, persist
@@ -51,22 +51,54 @@ def general_segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 40), "*").otherwise(s))
 
 
-def merged_branches(branches: DataFrame, z: float, support: int) -> DataFrame:
-    """host, head, segment, general: names of the branches of each node after merging. branches: host, head, segment, bad, labelled.
+def _unlike(bad: Column, n: Column, other_bad: Column, other_n: Column) -> Column:
+    """By how many standard errors two shares differ."""
+    pooled = (bad + other_bad) / (n + other_n)
+    gap = F.abs(bad / n - other_bad / other_n)
+    return F.when(gap == 0, 0.0).otherwise(gap / F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / other_n)))
 
-    Branches in order of their share; a new group begins where two neighbours
-    differ by more than z standard errors. Those under support labelled pages
-    are * together. A node may have a bounded number of branches only.
+
+def merged_groups(branches: Column, z: float, most: int) -> Column:
+    """Groups of branches (array of at most `most` structs share, segment, bad, labelled, sorted): array of struct(bad, labelled, low_bad, low_n, high_bad, high_n, members).
+
+    The two neighbouring groups that are most alike merge, again and again, as
+    long as their pooled shares differ by at most z standard errors, and so do
+    the least branch of the one and the greatest of the other: differences of
+    neighbours cannot add up.
+    """
+    field = lambda x, *names: [x[n] for n in names]
+    group = lambda bad, n, low_bad, low_n, high_bad, high_n, members: F.struct(bad.alias("bad"), n.alias("labelled"), low_bad.alias("low_bad"), low_n.alias("low_n"), high_bad.alias("high_bad"), high_n.alias("high_n"), members.alias("members"))
+    single = F.transform(branches, lambda b: group(*field(b, "bad", "labelled"), *field(b, "bad", "labelled") * 2, F.array(b["segment"])))
+
+    def joined(groups: Column, i: Column) -> Column:
+        one, two = F.get(groups, i - 1), F.get(groups, i)
+        both = group(one["bad"] + two["bad"], one["labelled"] + two["labelled"], *field(one, "low_bad", "low_n"), *field(two, "high_bad", "high_n"), F.concat(one["members"], two["members"]))
+        return F.concat(F.slice(groups, F.lit(1), i - 1), F.array(both), F.slice(groups, i + 2, F.size(groups)))
+
+    def once(groups: Column, _: Column) -> Column:
+        def pair(i: Column) -> Column:
+            one, two = F.get(groups, i - 1), F.get(groups, i)
+            ends = _unlike(*field(one, "low_bad", "low_n"), *field(two, "high_bad", "high_n"))
+            means = _unlike(*field(one, "bad", "labelled"), *field(two, "bad", "labelled"))
+            return F.when((means <= z) & (ends <= z), F.struct(means.alias("apart"), i.alias("i")))
+
+        pairs = F.when(F.size(groups) > 1, F.transform(F.sequence(F.lit(1), F.size(groups) - 1), pair))
+        best = F.array_min(F.filter(pairs, lambda p: p.isNotNull()))
+        return F.when(best.isNull(), groups).otherwise(joined(groups, best["i"]))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), single, once)
+
+
+def merged_branches(branches: DataFrame, z: float, support: int, most: int) -> DataFrame:
+    """host, head, segment, general: names of the branches of each node after merging (see merged_groups). branches: host, head, segment, bad, labelled.
+
+    Those under support labelled pages are * together. A node has at most
+    `most` branches.
     """
     node = ["host", "head"]
-    known = branches.where(F.col("labelled") >= support).withColumn("share", F.col("bad") / F.col("labelled"))
-    ordered = Window.partitionBy(*node).orderBy("share", "segment")
-    last_bad, last_n = F.lag("bad").over(ordered), F.lag("labelled").over(ordered)
-    marked = known.withColumn("last_bad", last_bad).withColumn("last_n", last_n)
-    pooled = (F.col("bad") + F.col("last_bad")) / (F.col("labelled") + F.col("last_n"))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("last_n")))
-    apart = F.coalesce((F.abs(F.col("share") - F.col("last_bad") / F.col("last_n")) > z * error).cast("int"), F.lit(0))
-    grouped = marked.withColumn("apart", apart).withColumn("group", F.sum("apart").over(ordered)).groupBy(*node, "group").agg(F.sort_array(F.collect_list("segment")).alias("members"))
+    known = branches.where(F.col("labelled") >= support)
+    listed = known.groupBy(*node).agg(F.array_sort(F.collect_list(F.struct((F.col("bad") / F.col("labelled")).alias("share"), "segment", "bad", "labelled"))).alias("branches"))
+    grouped = listed.select(*node, F.explode(F.transform(merged_groups(F.col("branches"), z, most), lambda g: F.array_sort(g["members"]))).alias("members"))
     name = F.when(F.size("members") == 1, F.col("members")[0]).otherwise(F.concat(F.lit("{"), F.array_join("members", "|"), F.lit("}")))
     few = branches.where(F.col("labelled") < support).select(*node, "segment", F.lit("*").alias("general"))
     return grouped.select(*node, F.explode("members").alias("segment"), name.alias("general")).unionByName(few)
@@ -78,25 +110,31 @@ def path_templates(shapes: DataFrame, fanout: int = 20, z: float = 1.96, support
     A segment becomes * where its node has over fanout different children; the
     children of others are merged if two at least have support labelled pages.
     A node is only looked at if one of both is possible, so the loop ends where
-    paths thin out, and not at a depth.
+    paths thin out, and not at a depth. Segments that all paths of a node begin
+    with are passed over at once: very deep paths cost a round for each place
+    where they part, not for each segment.
     """
     node = ["host", "head"]
     rest = F.filter(F.split("shape", "/"), lambda s: s != "")
     rows = shapes.select("host", "shape", "bad", "labelled", F.lit("").alias("head"), rest.alias("rest"))
+    common = F.aggregate(F.sequence(F.lit(0), F.least(F.size("low"), F.size("high")) - 1), F.lit(0), lambda n, i: F.when((n == i) & (F.get("low", i) == F.get("high", i)), n + 1).otherwise(n))
     out = []
     while True:
-        nodes = rows.where(F.size("rest") > 0).groupBy(*node).agg(F.count(F.lit(1)).alias("shapes"), F.sum("labelled").alias("known"))
-        nodes = persist(nodes.where((F.col("shapes") > fanout) | (F.col("known") >= 2 * support)).select(*node, F.lit(True).alias("looked_at")), narrow=True)
+        nodes = rows.where(F.size("rest") > 0).groupBy(*node).agg(F.count(F.lit(1)).alias("shapes"), F.sum("labelled").alias("known"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        nodes = persist(nodes.where((F.col("shapes") > fanout) | (F.col("known") >= 2 * support)).select(*node, common.alias("common")), narrow=True)
         if nodes.isEmpty():
             break
         looked = rows.join(nodes, node, "left")
-        moves = F.col("looked_at").isNotNull() & (F.size("rest") > 0)
+        moves = F.col("common").isNotNull() & (F.size("rest") > 0)
         out.append(looked.where(~moves).select(rows.columns))
-        moving = looked.where(moves).withColumn("segment", F.col("rest")[0])
+        begun = F.concat("head", F.when(F.col("common") > 0, F.concat(F.lit("/"), F.array_join(F.slice("rest", F.lit(1), F.col("common")), "/"))).otherwise(""))
+        ahead = looked.where(moves).select("host", "shape", "bad", "labelled", begun.alias("head"), F.slice("rest", F.col("common") + 1, F.size("rest")).alias("rest"))
+        out.append(ahead.where(F.size("rest") == 0))
+        moving = ahead.where(F.size("rest") > 0).withColumn("segment", F.col("rest")[0])
         branches = persist(moving.groupBy(*node, "segment").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")))
         widths = branches.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum((F.col("labelled") >= support).cast("int")).alias("supported"))
         widths = persist(widths.where((F.col("children") > fanout) | (F.col("supported") >= 2)), narrow=True)
-        names = merged_branches(branches.join(widths.where(F.col("children") <= fanout).select(*node), node), z, support)
+        names = merged_branches(branches.join(widths.where(F.col("children") <= fanout).select(*node), node), z, support, fanout)
         wide = widths.where(F.col("children") > fanout).select(*node, F.lit(True).alias("wide"))
         general = F.when(F.col("wide"), "*").otherwise(F.coalesce("general", "segment"))
         moved = moving.join(wide, node, "left").join(names, [*node, "segment"], "left")
@@ -127,8 +165,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], page_id: str
     and support.
 
     A null url, or one without ://, has an empty host and path and is judged as
-    these. Rows that repeat count each. Empty table: no rows. Only the two
-    named columns are read.
+    these. Rows that repeat count each. Empty table: no rows. Paths may be of
+    any depth (see path_templates). Only the two named columns are read.
     """
     urls = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"))
     urls = urls.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
