@@ -1,4 +1,4 @@
-"""Georeferences: control points, bounds in another CRS, tile sizes, warping. EPSG 4326 and 3857."""
+"""Georeferences: control points, bounds in another CRS, tile sizes, warping."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import exprs as X
+from tessella.functions.projections import Projection, point_transformer
 from tessella.operators.warping import sampled
 
 #: Points along each side of bounds that are moved to another CRS.
@@ -83,21 +84,21 @@ def default_grid(rasters: DataFrame, source: int, target: int) -> DataFrame:
     return placed.select("raster_name", X.affine(F.col("_p"), 0, F.col("_b.left"), 0, -F.col("_p"), F.col("_b.top")).alias("grid"), cells("left", "right").alias("width"), cells("bottom", "top").alias("height"))
 
 
-def places_of_grids(rasters: DataFrame, grids: DataFrame, source: int, target: int) -> DataFrame:
+def places_of_grids(rasters: DataFrame, grids: DataFrame, source: int | Projection, target: int | Projection) -> DataFrame:
     """raster_name, y, x, sy, sx: every pixel of grids in another CRS, and where its centre lies in the raster's pixels."""
-    fx, fy = transformer(target, source)
     cells = grids.select("raster_name", "grid", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     t = cells.join(rasters.select("raster_name", X.inverse("transform").alias("_inv")), "raster_name")
-    gx, gy = fx(X.apply_x("grid", F.col("x") + 0.5, F.col("y") + 0.5)), fy(X.apply_y("grid", F.col("x") + 0.5, F.col("y") + 0.5))
+    gx, gy = point_transformer(target, source)(X.apply_x("grid", F.col("x") + 0.5, F.col("y") + 0.5), X.apply_y("grid", F.col("x") + 0.5, F.col("y") + 0.5))
     return t.select("raster_name", "y", "x", X.apply_y("_inv", gx, gy).alias("sy"), X.apply_x("_inv", gx, gy).alias("sx"))
 
 
-def warp(px: DataFrame, rasters: DataFrame, grids: DataFrame, source: int, target: int, value: str = "value", resampling: str = "nearest", block: int = 256) -> DataFrame:
+def warp(px: DataFrame, rasters: DataFrame, grids: DataFrame, source: int | Projection, target: int | Projection, value: str = "value", resampling: str = "nearest", block: int = 256) -> DataFrame:
     """raster_name, y, x, value of rasters on grids in another CRS, 0 outside.
 
     rasters: raster_name, transform. grids: raster_name, grid (the target's
-    transform), width, height. Every target pixel's centre is mapped back; the
-    nearest source pixel is met by an equi-join, other kernels (see
+    transform), width, height. source and target: EPSG codes or projections
+    (see projections). Every target pixel's centre is mapped back; the nearest
+    source pixel is met by an equi-join, other kernels (see
     warping.RESAMPLING) work within blocks of source pixels.
     """
     places = places_of_grids(rasters, grids, source, target)

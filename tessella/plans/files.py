@@ -110,11 +110,12 @@ def virtual_mosaic(spark, d):
 
 
 def granules_of_tiles(spark, d):
-    """Granules around points that meet the tiles of a cover."""
+    """Granules of many sizes around points that meet the tiles of a cover."""
     c = A.cover(spark, d).distinct()
     tiles = c.select(X.tile_west("x", "z").alias("west"), X.tile_north(F.col("y") + 1, "z").alias("south"), X.tile_west(F.col("x") + 1, "z").alias("east"), X.tile_north("y", "z").alias("north"))
     p = A.points(spark, d)
-    granules = p.select(F.concat(F.lit("g"), "point_id").alias("granule"), (F.col("lon") - 0.1).alias("west"), (F.col("lat") - 0.1).alias("south"), (F.col("lon") + 0.1).alias("east"), (F.col("lat") + 0.1).alias("north"))
+    half = F.col("point_id") % 12 + 0.1
+    granules = p.select(F.concat(F.lit("g"), "point_id").alias("granule"), (F.col("lon") - half).alias("west"), (F.col("lat") - half).alias("south"), (F.col("lon") + half).alias("east"), (F.col("lat") + half).alias("north"))
     return images.granules_of_tiles(tiles, granules)
 
 
@@ -283,7 +284,7 @@ ORACLE_SQL = {
     "georeference_validity": f"with {B.RASTERS} select raster_name, width % 3 = 0 is_default from rasters",
     "virtual_mosaic": f"""with {B.LAYERED}, v as (select tile_id, y, x, (band > 0)::int o, max(value) as value from lay group by 1, 2, 3, 4) select tile_id, y, x, 0 band, coalesce(arg_min(value, o) filter (where value <> 0), 0) as value from v group by 1, 2, 3""",
     "granules_of_tiles": f"""with {B.COVER}, {B.POINTS}, t as (select {P._WEST} w, {P._NORTH.format(y='(y + 1)')} s, (x + 1) / 1024.0::double * 360 - 180 e, {P._NORTH.format(y='y')} n from cov)
-        select 'g' || point_id granule from points where exists (select 1 from t where w <= lon + 0.1::double and e >= lon - 0.1::double and s <= lat + 0.1::double and n >= lat - 0.1::double)""",
+        select 'g' || point_id granule from points where exists (select 1 from t where w <= lon + (point_id % 12 + 0.1::double) and e >= lon - (point_id % 12 + 0.1::double) and s <= lat + (point_id % 12 + 0.1::double) and n >= lat - (point_id % 12 + 0.1::double))""",
     "polygon_reprojection": f"""with {B.TRIANGLES} select feature_id, round(radians(x0) * 6378137, 3) "left", round(ln(tan(pi() / 4 + radians(y0) / 2)) * 6378137, 3) bottom, round(radians(x1) * 6378137, 3) "right", round(ln(tan(pi() / 4 + radians(y2) / 2)) * 6378137, 3) top from tri""",
     "disk_centers": f"with {B.RASTERS} select raster_name, width / 2 x, height / 2 y from rasters",
     "category_counts": f"with {B.PIXELS}, {B.CATEGORIES} select 2 tree, count(*) pixels, (select count(*) from cats) n, (select count(*) from cats where not is_ignore) n_not_ignored from px where val = 2",

@@ -360,7 +360,7 @@ QUERIES = {
         simulate_pattern, metatile, tile_boundary, category_mask, packed_roundtrip, overviews, resize_nearest, resize_bilinear, windowed_read, warped_read, warp_raster, project_pixels, overlay_composite, grid_canvas, geojson_polygons, geojson_crs,
         polygon_bbox, polygon_areas, tile_polygon_candidates, rasterize_polygons, rasterize_append, rasterize_tiles, buffer_polygons, vectorize_stats, vectorize_regions, tile_pipeline,
     )
-} | {"confusion_map_all_tiles": confusion_map, "tile_polygon_candidates_all_rasters": tile_polygon_candidates}
+}
 
 ORACLE_SQL = {
     "nodata_ratio": f"with {_NODATA} select *, round(n_nodata / n_values, 6) ratio from st",
@@ -441,4 +441,3 @@ ORACLE_SQL = {
         select cut.* from cut join s using (raster_name, x_off, y_off)""",
 }
 #: Other names under which these are known.
-ORACLE_SQL |= {"confusion_map_all_tiles": ORACLE_SQL["confusion_map"], "tile_polygon_candidates_all_rasters": ORACLE_SQL["tile_polygon_candidates"]}

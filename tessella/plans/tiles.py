@@ -268,7 +268,7 @@ QUERIES = {name: _layout(s) for name, s in {**LAYOUTS, "tile_layout_meters": MET
         mercator_footprint, lonlat_to_3857, utm_round_trip, cover_distinct, cover_zoom_in, cover_zoom_out, cover_extent, cover_split, cover_semi_join, cover_csv_roundtrip, tile_json_roundtrip, pixel_coordinates, dissolve_edges, neighbors, surrounded_tiles, border_pixels,
         tiling_statistics, tiling_statistics_rollup, ratio_comment, tiling_metadata, reprojected_bounds, gcp_transform, mercator_tile_pixel_size,
     )
-} | {"mercator_tiles_of_bbox_wrapped": mercator_tiles_of_bbox}
+}
 
 ORACLE_SQL = {name: f"{_layout_sql(s)} select * from tiles" for name, s in {**LAYOUTS, "tile_layout_meters": METERS}.items()} | {
     "tile_count_closed_form": f"{_CENTERED} select raster_name, count(*)::int closed, count(*)::int listed, (count(*) filter (where x_off >= 0 and y_off >= 0 and x_off + src_w <= width and y_off + src_h <= height))::int inside from tiles join rasters using (raster_name) group by 1",
@@ -325,4 +325,3 @@ ORACLE_SQL = {name: f"{_layout_sql(s)} select * from tiles" for name, s in {**LA
                round(0.9996::double * rad * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) northing, round(lon / 60 + 15, 6) lon, round(abs(lat), 6) lat from q""",
 }
 #: Another name under which this is known.
-ORACLE_SQL |= {"mercator_tiles_of_bbox_wrapped": ORACLE_SQL["mercator_tiles_of_bbox"]}

@@ -70,11 +70,14 @@ def encoded_images(packed: DataFrame, width: int, height: int, palette: Sequence
     return packed.withColumn("png", files(data))
 
 
-def fetch_images(urls: DataFrame, url: str = "url", timeout: float = 10.0) -> DataFrame:
-    """urls with content: what each URL gives, null on any error. For tile servers."""
+def fetch_images(urls: DataFrame, url: str = "url", timeout: float = 10.0, most: int = 16 << 20) -> DataFrame:
+    """urls with content, what each URL gives, and error, the name of what went wrong; one of both is null. For tile servers.
 
-    @F.pandas_udf(T.BinaryType())
-    def fetched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    An answer of over `most` bytes is an error, TooLong.
+    """
+
+    @F.pandas_udf("struct<content:binary,error:string>")
+    def fetched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from urllib.request import urlopen
 
         for many in batches:
@@ -82,12 +85,13 @@ def fetch_images(urls: DataFrame, url: str = "url", timeout: float = 10.0) -> Da
             for u in many:
                 try:
                     with urlopen(u, timeout=timeout) as answer:  # noqa: S310
-                        out.append(answer.read())
-                except (OSError, ValueError, AttributeError):
-                    out.append(None)
-            yield pd.Series(out, dtype=object)
+                        content = answer.read(most + 1)
+                    out.append((content, None) if len(content) <= most else (None, "TooLong"))
+                except (OSError, ValueError, AttributeError) as e:
+                    out.append((None, type(e).__name__))
+            yield pd.DataFrame(out, columns=["content", "error"])
 
-    return urls.withColumn("content", fetched(url))
+    return urls.withColumn("_found", fetched(url)).select("*", "_found.content", "_found.error").drop("_found")
 
 
 def virtual_mosaic(*rasters: DataFrame, order: Sequence[int] | None = None) -> DataFrame:
@@ -100,16 +104,49 @@ def virtual_mosaic(*rasters: DataFrame, order: Sequence[int] | None = None) -> D
     return out
 
 
-def read_granules(spark: SparkSession, url: str, table: str, geometry: str = "geom", ident: str = "granule", **options: str) -> DataFrame:
-    """granule, west, south, east, north from a spatial database over JDBC, for the overlap join with tiles."""
-    query = f"(select {ident} as granule, st_xmin({geometry}) as west, st_ymin({geometry}) as south, st_xmax({geometry}) as east, st_ymax({geometry}) as north from {table}) as granules"
-    return spark.read.format("jdbc").options(url=url, dbtable=query, **options).load()
+#: The bounds of a granule in a spatial database, by the name of its geometry.
+SPATIAL_BOUNDS = ("st_xmin({0})", "st_ymin({0})", "st_xmax({0})", "st_ymax({0})")
+
+
+def cover_predicates(tiles: DataFrame, bounds: Sequence[str], most: int = 64) -> list[str]:
+    """SQL conditions on bounds (west, south, east, north), one for each cell of a coarse grid that tiles (west, south, east, north) touch.
+
+    Cells are as fine as at most `most` of them allow, so the driver gets a
+    bounded list; each cell's condition is narrowed to what the tiles in it
+    span. A granule may meet several.
+    """
+    span = tiles.agg(*[F.min(c).alias(c) for c in ("west", "south")], *[F.max(c).alias(c) for c in ("east", "north")]).first()
+    if span["west"] is None:
+        return []
+    per_side = max(1, int(most**0.5))
+    wide, high = ((span[b] - span[a]) / per_side or 1.0 for a, b in (("west", "east"), ("south", "north")))
+    cell = lambda c, low, size: F.least(F.floor((F.col(c) - low) / size), F.lit(per_side - 1))
+    found = tiles.groupBy(cell("west", span["west"], wide).alias("_x"), cell("south", span["south"], high).alias("_y")).agg(*[F.min(c).alias(c) for c in ("west", "south")], *[F.max(c).alias(c) for c in ("east", "north")])
+    w, s, e, n = bounds
+    return [f"{w} <= {r['east']!r} and {e} >= {r['west']!r} and {s} <= {r['north']!r} and {n} >= {r['south']!r}" for r in found.orderBy("_x", "_y").collect()]
+
+
+def read_granules(spark: SparkSession, url: str, table: str, geometry: str = "geom", ident: str = "granule", tiles: DataFrame | None = None, bounds: Sequence[str] = SPATIAL_BOUNDS, most: int = 64, **options: str) -> DataFrame:
+    """granule, west, south, east, north from a spatial database over JDBC, for the overlap join with tiles.
+
+    bounds: SQL of a granule's west, south, east and north; {0} is the
+    geometry. tiles: the database gives only granules near these, a partition
+    for each condition of cover_predicates; granules may come more than once.
+    """
+    w, s, e, n = own = [b.format(geometry) for b in bounds]
+    names = ("west", "south", "east", "north")
+    query = f"(select {ident} as granule, {', '.join(f'{b} as {name}' for b, name in zip(own, names, strict=True))} from {table}) granules"
+    if tiles is None:
+        found = spark.read.format("jdbc").options(url=url, dbtable=query, **options).load()
+    else:
+        found = spark.read.jdbc(url, query, predicates=cover_predicates(tiles, names, most) or ["1 = 0"], properties=options)
+    return found.toDF("granule", *names)
 
 
 def granules_of_tiles(tiles: DataFrame, granules: DataFrame) -> DataFrame:
     """Distinct granules whose bounds meet those of tiles (both: west, south, east, north)."""
-    from tessella.operators.spatial import overlap_join
+    from tessella.operators.spatial import sized_overlap_join
 
     box = {"x0": "west", "y0": "south", "x1": "east", "y1": "north"}
     named = lambda df, *cols: df.select(F.lit(1).alias("_k"), *cols, *[F.col(c).alias(k) for k, c in box.items()])
-    return overlap_join(named(tiles), named(granules, "granule"), ["_k"], (1.0, 1.0)).select("granule").distinct()
+    return sized_overlap_join(named(tiles), named(granules, "granule"), ["_k"], 1.0).select("granule").distinct()

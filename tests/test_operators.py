@@ -375,6 +375,8 @@ def test_fetching_mosaics_and_granules(spark, tmp_path):
     px = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 1)], "y int, x int, value int")
     urls = spark.createDataFrame([(f"file://{tmp_path}/bad.png",), ("nothing",), (None,)], "url string")
     assert sorted(bytes(r["content"]) if r["content"] else b"" for r in images.fetch_images(urls).collect()) == [b"", b"", b"junk"]
+    assert all((r["content"] is None) != (r["error"] is None) for r in images.fetch_images(urls).collect())
+    assert {r["error"] for r in images.fetch_images(urls, most=3).collect() if r["content"] is None} >= {"TooLong"}
     both = images.virtual_mosaic(px.withColumn("value", F.lit(0)), px)
     assert {r["value"] for r in pixels.mosaic(both, ["y", "x"]).collect()} == {0, 1, 2}
     boxes = spark.createDataFrame([("g1", 0.0, 0.0, 1.0, 1.0), ("g2", 5.0, 5.0, 6.0, 6.0)], "granule string, west double, south double, east double, north double")

@@ -8,8 +8,11 @@ from tessella.plans import registry
 from tests.oracle import rows, run_sql
 
 
-#: Queries that trace regions by array operations.
-TRACED = {"vectorize_stats", "vectorize_regions", "vectorize_rings", "dissolve_polygons", "mask_footprint", "project_polygons"}
+#: Queries that trace regions or apply kernels by array operations, and those that read files by their own source.
+TRACED = {
+    "vectorize_stats", "vectorize_regions", "vectorize_rings", "dissolve_polygons", "mask_footprint", "project_polygons", "whole_cover", "whole_footprints", "whole_segments",
+    "warp_bilinear", "warp_cubic", "warp_lanczos", "warp_lambert", "tiles_by_class", "tiff_windows", "tiff_georeferences",
+}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
@@ -44,11 +47,11 @@ def test_scans_read_only_their_columns(spark, sf):
 
 def test_every_predicted_pixel_is_compared(spark, sf):
     pixels = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
-    assert registry.QUERIES["confusion_map_all_tiles"](spark, sf).count() == 7 * pixels
+    assert registry.QUERIES["confusion_map"](spark, sf).count() == 7 * pixels
 
 
 def test_tiles_of_every_raster_meet_polygons(spark, sf):
-    found = registry.QUERIES["tile_polygon_candidates_all_rasters"](spark, sf)
+    found = registry.QUERIES["tile_polygon_candidates"](spark, sf)
     rasters = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("count(distinct floor(vec_id / 100))").first()[0]
     assert found.select("raster_name").distinct().count() == rasters > 1
     assert found.select("feature_id").distinct().count() == spark.read.parquet(f"{sf}/orders.parquet").count()
@@ -60,7 +63,7 @@ def test_boxes_across_the_antimeridian_have_both_sides(spark, tmp_path):
     inverse = pow(7919, -1, 360000)
     keys = [100 * inverse % 360000, 359900 * inverse % 360000]  # longitudes -179.9 and 179.9
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
-    found = {(r["point_id"], r["x"]) for r in registry.QUERIES["mercator_tiles_of_bbox_wrapped"](spark, str(tmp_path)).collect()}
+    found = {(r["point_id"], r["x"]) for r in registry.QUERIES["mercator_tiles_of_bbox"](spark, str(tmp_path)).collect()}
     assert found == {(k, x) for k in keys for x in (0, 511)}
 
 
