@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import exprs as X
+
 
 def project(px: DataFrame, tilings: DataFrame, order: Sequence[str] = ("x_off", "y_off"), value: str = "value") -> DataFrame:
     """raster_name, y, x, value on the raster: a tile pixel lands at its offset plus its place; what falls outside
@@ -34,6 +36,37 @@ def project_by_matrix(px: DataFrame, matrices: DataFrame, tilings: DataFrame, ti
     return inside.groupBy("raster_name", F.col("raster_y").alias("y"), F.col("raster_x").alias("x")).agg(F.max_by(value, F.struct(*tile, "y", "x")).alias(value))
 
 
+def mercator_windows(tiles: DataFrame, rasters: DataFrame) -> DataFrame:
+    """tiles (raster_name, z, x, y) with x_off, y_off, src_w, src_h: the whole pixels of a raster in EPSG:4326 that a mercator tile covers.
+
+    rasters: raster_name, transform, width, height. Tiles that do not lie inside
+    their raster, or reach its last row or column, are left out, as in tiles_within.
+    """
+    sized = tiles.join(rasters.select("raster_name", X.inverse("transform").alias("_inv"), "width", "height"), "raster_name")
+    at = lambda dx, dy: (X.apply_x("_inv", X.tile_west(F.col("x") + dx, "z"), X.tile_north(F.col("y") + dy, "z")), X.apply_y("_inv", X.tile_west(F.col("x") + dx, "z"), X.tile_north(F.col("y") + dy, "z")))
+    (left, top), (right, bottom) = at(0, 0), at(1, 1)
+    placed = sized.withColumns({"x_off": X.trunc(left), "y_off": X.trunc(top), "src_w": X.trunc(right - left), "src_h": X.trunc(bottom - top), "_l": left, "_t": top})
+    inside = "_l >= 0 and _t >= 0 and src_w > 0 and src_h > 0 and x_off + src_w < width and y_off + src_h < height"
+    return placed.where(inside).select(*tiles.columns, "x_off", "y_off", "src_w", "src_h")
+
+
+def project_mercator(px: DataFrame, rasters: DataFrame, disk: int, value: str = "value") -> DataFrame:
+    """raster_name, y, x, value: mercator tiles of disk x disk pixels (raster_name, z, x, y, row, col, value) back on their rasters.
+
+    A tile is brought to its window by nearest neighbour, so labels stay
+    labels; where tiles meet, the last by x and y wins. See mercator_windows.
+    """
+    windows = mercator_windows(px.select("raster_name", "z", "x", "y").distinct(), rasters)
+
+    def targets(at: str, size: str):
+        """All d of the window with floor(d disk / size) = at."""
+        first, last = F.ceil(F.col(at) * F.col(size) / disk).cast("int"), (F.ceil((F.col(at) + 1) * F.col(size) / disk) - 1).cast("int")
+        return F.filter(F.sequence(first, F.greatest(first, last)), lambda d: (d <= last) & (d < F.col(size)))
+
+    spread = px.join(windows, ["raster_name", "z", "x", "y"]).withColumn("_ty", F.explode(targets("row", "src_h"))).withColumn("_tx", F.explode(targets("col", "src_w")))
+    return spread.groupBy("raster_name", (F.col("y_off") + F.col("_ty")).alias("y"), (F.col("x_off") + F.col("_tx")).alias("x")).agg(F.max_by(value, F.struct("z", F.col("x").alias("tx"), F.col("y").alias("ty"))).alias(value))
+
+
 def tiles_within(tiles: DataFrame, rasters: DataFrame) -> DataFrame:
     """The tiles that lie inside their raster and do not reach its last row or column."""
     sized = tiles.join(rasters.select("raster_name", "width", "height"), "raster_name")

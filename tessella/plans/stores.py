@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from tessella.functions import exprs as X
 from tessella.functions import projections, stages
-from tessella.operators import assertions, georeference, tiling
+from tessella.operators import assertions, compose, georeference, tiling
+from tessella.operators import categories as K
 from tessella.plans import bases as B
+from tessella.plans import files as FL
 from tessella.plans import rasters as R
+from tessella.plans import shapes as SH
 from tessella.plans import tiles as P
 from tessella.sources import adapters as A
-from tessella.sources import lazy, sidecars, tiff
+from tessella.sources import images, lazy, readers, sidecars, sinks, tiff
 
 
 def _rasters_to_write(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +114,44 @@ def warp_lambert(spark: SparkSession, d: str) -> DataFrame:
     return georeference.warp(px, rasters, grids, 4326, 3034, resampling="bilinear", block=16).withColumn("value", F.round(F.col("value") + 0.0000001, 6))
 
 
-QUERIES = {f.__name__: f for f in (tiff_windows, tiff_georeferences, lazy_tiles, sidecar_georeferences, checked_tiles, projected_points, projected_bounds, warp_lambert)}
+def label_files(spark: SparkSession, d: str) -> DataFrame:
+    """Label tiles as palette PNG files by executors, read again by Spark's image source and the inverse palette."""
+    categories, path = K.to_df(spark, K.LAND_COVER), stages.shared_folder(spark)
+    px = A.tile_pixels(spark, d).select(*R.TILE, "y", "x", F.col("val").alias("value"))
+    sinks.write_tile_files(px, path, (8, 8), F.format_string("%s/x_%d_y_%d", *R.TILE), R.TILE, categories)
+    found = images.label_pixels(images.read_images(spark, path), ["path"], categories)
+    tile = [F.regexp_extract("path", p, 1).alias(n) for n, p in zip(R.TILE, ("([^/]*)/x_", "x_(-?[0-9]+)", "y_(-?[0-9]+)"), strict=True)]
+    return found.select(tile[0], *[t.cast("int").alias(n) for t, n in zip(tile[1:], R.TILE[1:], strict=True)], "y", "x", F.col("label").alias("value"))
+
+
+def converted_files(spark: SparkSession, d: str) -> DataFrame:
+    """TIFF files read and written again as PNG files, read by Spark's image source."""
+    px = tiff.read_pixels(spark, _written(spark, d)).where("band = 0").select(_name_of().alias("name"), "y", "x", F.array("value").alias("v"))
+    packed = px.groupBy("name").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"])).alias("data"))
+    path = stages.shared_folder(spark)
+    tiff.write_rasters(packed.select("name", F.lit(40).alias("width"), F.lit(40).alias("height"), "data"), path, file="png", kind="uint8")
+    found = images.image_pixels(images.read_images(spark, path), ["path"])
+    return found.select(F.regexp_extract("path", r"([^/]*)\.png$", 1).alias("raster_name"), "y", "x", "band", "value")
+
+
+def category_features(spark: SparkSession, d: str) -> DataFrame:
+    """GeoJSON features of every category of whole rasters, read back from their text corner by corner."""
+    lines = sinks.category_features(R.project_pixels(spark, d), ["raster_name"], K.to_df(spark, K.LAND_COVER), patch=16)
+    parsed = F.from_json("feature", "properties struct<name:string,fill:string>, geometry struct<type:string,coordinates:array<array<array<double>>>>")
+    ring = lines.select("raster_name", "first_y", "first_x", parsed.alias("f")).select("raster_name", "first_y", "first_x", "f.properties.name", "f.properties.fill", F.posexplode("f.geometry.coordinates").alias("ring", "r"))
+    corner = ring.select("*", F.posexplode(F.slice("r", F.lit(1), F.size("r") - 1)).alias("corner", "p"))
+    return corner.select("raster_name", "name", "fill", "first_y", "first_x", "ring", "corner", F.col("p")[1].alias("y"), F.col("p")[0].alias("x"))
+
+
+def project_mercator(spark: SparkSession, d: str) -> DataFrame:
+    """Mercator tiles read from rasters and put back on them."""
+    px = R._base_raster_pixels(spark, d)
+    rasters = px.select("raster_name").distinct().select("raster_name", F.lit(40).alias("width"), F.lit(40).alias("height"), X.affine(0.1, 0, 10.0, 0, -0.1, 52.0).alias("transform"))
+    tiles = rasters.select("raster_name", F.lit(9).alias("z"), F.explode(F.sequence(F.lit(269), F.lit(276))).alias("x")).select("*", F.explode(F.sequence(F.lit(167), F.lit(178))).alias("y"))
+    return compose.project_mercator(readers.warped_read(rasters, px, tiles, 16), rasters, 16)
+
+
+QUERIES = {f.__name__: f for f in (label_files, converted_files, category_features, project_mercator, tiff_windows, tiff_georeferences, lazy_tiles, sidecar_georeferences, checked_tiles, projected_points, projected_bounds, warp_lambert)}
 
 #: The projections of KNOWN by their parameters: kind, then degrees and metres; e is the ellipsoid's eccentricity.
 _PARAMETERS = """pr as (select *, sqrt(1 / f * (2 - 1 / f)) e, radians(lat_0) p0, radians(lat_1) p1, radians(lat_2) p2 from (values
@@ -149,7 +189,19 @@ _FORWARD = f"""moved as (select spot.*, x_0 + ({_radius('radians(lat)')}) * sin(
 #: phi of t by repeated correction.
 _LATITUDES = ", ".join(f"l{i} as (select *, pi() / 2 - 2 * atan(t * pow((1 - e * sin({f'phi{i - 1}' if i else '(pi() / 2 - 2 * atan(t))'})) / (1 + e * sin({f'phi{i - 1}' if i else '(pi() / 2 - 2 * atan(t))'})), e / 2)) phi{i} from {f'l{i - 1}' if i else 'polar'})" for i in range(8))
 
+_WEST, _NORTH = "(({x}) / 512.0::double * 360 - 180)", "degrees(atan(sinh(pi() * (1 - 2 * ({y}) / 512.0::double))))"
+
 ORACLE_SQL = {
+    "label_files": f"with {B.PIXELS} select raster_name, x_off, y_off, y, x, val as value from px",
+    "converted_files": f"with {R._FULL} select raster_name, y, x, 0 band, val as value from ras",
+    "category_features": f"""with recursive {R._CANVAS}, {B.CATEGORIES}, cell as (select raster_name k, y, x, value v from cv where value <> 0), {FL._REACH}, {SH._RINGS}
+        select k raster_name, name, printf('#%02x%02x%02x', r, g2.g, b) fill, (corner.g // 100000)::int first_y, (corner.g % 100000)::int first_x, ring::int ring, corner::int corner, sy::double y, sx::double x from corner join (select palette_index, name, r, g, b from cats) g2 on palette_index = v""",
+    "project_mercator": f"""with {R._FULL}, t as (select raster_name, x.x::int tx, y.y::int ty, ({_WEST.format(x='x.x')} - 10) * 10 l, (52 - {_NORTH.format(y='y.y')}) * 10 t, ({_WEST.format(x='x.x + 1')} - 10) * 10 r, (52 - {_NORTH.format(y='y.y + 1')}) * 10 b
+            from (select distinct raster_name from ras), generate_series(269, 276) x(x), generate_series(167, 178) y(y)),
+        w as (select raster_name, tx, ty, trunc(l)::int x_off, trunc(t)::int y_off, trunc(r - l)::int w, trunc(b - t)::int h from t where l >= 0 and t >= 0 and trunc(l) + trunc(r - l) < 40 and trunc(t) + trunc(b - t) < 40),
+        p as (select *, i.i * 16 // h "row", j.j * 16 // w col from w, generate_series(0, 20) i(i), generate_series(0, 20) j(j) where i.i < h and j.j < w),
+        q as (select p.raster_name, y_off + i y, x_off + j x, tx, ty, coalesce(val, 0) v from (select *, floor((52 - {_NORTH.format(y='ty + ("row" + 0.5::double) / 16')}) * 10) sy, floor(({_WEST.format(x='tx + (col + 0.5::double) / 16')} - 10) * 10) sx from p) p left join ras on ras.raster_name = p.raster_name and ras.y = sy and ras.x = sx)
+        select raster_name, y::int y, x::int x, arg_max(v, (tx, ty)) as value from q group by 1, 2, 3""",
     "tiff_windows": f"with {R._FULL} select raster_name, y, x, val as value from ras where y between 10 and 29 and x between 5 and 34",
     "tiff_georeferences": f"with {R._FULL} select distinct raster_name, 40 width, 40 height, 1 bands, 'uint8' kind, 4326 epsg, 0.1::double t_a, 10.0::double t_c, -0.1::double t_e, 52.0::double t_f from ras",
     "lazy_tiles": f"with {B.PIXELS} select raster_name, x_off, y_off, sum(val)::bigint total, case when (x_off + y_off) % 8 = 0 then 1 else 2 end made_by from px group by all",

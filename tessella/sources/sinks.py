@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,36 @@ def write_tiles(tiles: DataFrame, path: str, mode: str = "error") -> None:
     tiles.write.mode(mode).partitionBy("raster_name").parquet(path)
 
 
+def write_tile_files(px: DataFrame, path: str, size: tuple[int, int], name: Column, keys: Sequence[str], categories: DataFrame | None = None, bands: Sequence[str] = ("r", "g", "b"), value: str = "value", mode: str = "append") -> None:
+    """A PNG file for each tile, by executors: of labels (value) in the categories' palette if these are given, else of the bands' colours.
+
+    px: keys, y, x and value or bands, all pixels of each tile. name: the file's
+    name without its ending, of the keys.
+    """
+    from tessella.sources import tiff
+
+    w, h = size
+    options = {"kind": "uint8", "file": "png"}
+    if categories is not None:
+        # At most 256 rows: a palette's index is one byte.
+        known = {r["palette_index"]: list(r["palette_color"]) for r in categories.where("palette_index between 0 and 255").select("palette_index", "palette_color").collect()}
+        options["palette"] = json.dumps([known.get(i, [0, 0, 0]) for i in range(256)])
+    shown = F.array(value) if categories is not None else F.array(*bands)
+    tiles = px.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "x", shown.cast("array<int>").alias("_v")))).alias("_p"))
+    whole = F.when(F.size("_p") == w * h, F.flatten(F.transform("_p", lambda p: p["_v"]))).otherwise(F.raise_error("a tile lacks pixels").cast("array<int>"))
+    tiff.write_rasters(tiles.select(name.alias("name"), F.lit(w).alias("width"), F.lit(h).alias("height"), whole.alias("data")), path, mode, **options)
+
+
+def category_features(px: DataFrame, keys: Sequence[str], categories: DataFrame, patch: int = 64, value: str = "value") -> DataFrame:
+    """keys, name, first_y, first_x, feature: the regions of each category as GeoJSON features, filled with its colour, whole over all tiles of a raster."""
+    from tessella.operators.regions import whole_regions
+
+    found = whole_regions(px.select(*keys, "y", "x", F.col(value).alias("value")), keys, patch=patch)
+    named = categories.select(F.col("palette_index").alias("value"), "name", X.rgb_hex(*[F.col("palette_color")[i] for i in range(3)]).alias("_fill"))
+    style = F.struct(F.col("name"), F.col("_fill").alias("fill"), F.lit(0.5).alias("fill-opacity"))
+    return found.join(named, "value").select(*keys, "name", "first_y", "first_x", feature_json(F.col("rings"), style).alias("feature"))
+
+
 def append_max(spark, layer: DataFrame, path: str, out: str, pixel: Sequence[str], value: str = "value") -> None:
     """Writes to out the layer at path (if any) with another put over it: the larger value of a pixel stays."""
     from tessella.operators.pixels import append_max as merged

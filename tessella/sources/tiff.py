@@ -6,8 +6,9 @@ down: a task opens its file, reads the header and then only those strips or
 tiles that the window meets, at their own offsets. Large files are shared out
 among tasks by their size, so planning opens no file at all.
 
-Writing takes a row a raster. Tasks write into the job's own folder; only a
-commit moves the files to their place, and an abort removes the folder.
+Writing takes a row a raster, as TIFF or PNG. Tasks write into the job's own
+folder; only a commit moves the files to their place, and an abort removes the
+folder.
 
 Files are 8, 16 or 32 bits a sample or floating point, in strips or tiles, not
 packed or deflated, with or without the horizontal predictor. The file system
@@ -16,6 +17,7 @@ is pyarrow's, so paths may be local, shared or URIs of object stores.
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 import uuid
@@ -29,6 +31,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from tessella.sources import images
+
 FORMAT = "geotiff"
 PIXELS = "path string, y int, x int, band int, value double"
 RASTERS = "path string, width int, height int, bands int, kind string, transform struct<a:double,b:double,c:double,d:double,e:double,f:double>, epsg int, nodata double"
@@ -259,10 +263,26 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
+#: The formats that are written, and the endings of their files.
+ENDINGS = {"tiff": ".tif", "png": ".png"}
+
+
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.options, self.overwrite = options, overwrite
         self.job = f"_job-{uuid.uuid4().hex}"
+        self.kind_of_file = options.get("file", "tiff")
+        if self.kind_of_file not in ENDINGS:
+            raise ValueError(f"files of {self.kind_of_file} are not written; {', '.join(ENDINGS)} are")
+        self.palette = json.loads(options["palette"]) if "palette" in options else None
+
+    def _bytes(self, image: np.ndarray, given: dict) -> bytes:
+        if self.kind_of_file == "png":
+            if image.dtype.kind not in "ui" or image.min(initial=0) < 0 or image.max(initial=0) > 255:
+                raise ValueError("samples of PNG files are whole numbers from 0 to 255")
+            return images.encode(image, self.palette)
+        t = given.get("transform")
+        return file_bytes(image, [t[k] for k in "abcdef"] if t else None, given.get("epsg"), int(self.options.get("strip", 64)))
 
     def _place(self) -> tuple[fs.FileSystem, str]:
         system, path = opened(self.options["path"])
@@ -280,28 +300,34 @@ class Writer(DataSourceArrowWriter):
                 if kind := self.options.get("kind"):
                     data = data.astype(kind)
                 image = data.reshape(given["height"], given["width"], -1)
-                t = given.get("transform")
-                if "/" in given["name"] or given["name"].startswith("_"):
+                parts = given["name"].split("/")
+                if any(p in ("", ".", "..") or p.startswith("_job-") for p in parts):
                     raise ValueError(f"no name of a file: {given['name']}")
-                with system.open_output_stream(f"{folder}/{given['name']}.tif") as out:
-                    out.write(file_bytes(image, [t[k] for k in "abcdef"] if t else None, given.get("epsg"), int(self.options.get("strip", 64))))
-                names.append(f"{given['name']}.tif")
+                name = given["name"] + ENDINGS[self.kind_of_file]
+                if len(parts) > 1:
+                    system.create_dir(f"{folder}/{'/'.join(parts[:-1])}", recursive=True)
+                with system.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(self._bytes(image, given))
+                names.append(name)
         return Written(folder, names)
 
     def commit(self, messages: list[Written | None]) -> None:
         system, path = self._place()
-        names = [n for m in messages if m for n in m.names]
-        if len(set(names)) < len(names):
+        names = {n for m in messages if m for n in m.names}
+        if len(names) < sum(len(m.names) for m in messages if m):
             raise ValueError("several rasters have one name")
-        there = {f.base_name for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File}
-        if not self.overwrite and there & set(names):
-            raise ValueError(f"{len(there & set(names))} files are there already")
+        every = system.get_file_info(fs.FileSelector(path, recursive=True))
+        there = {f.path[len(path) + 1 :] for f in every if f.type == fs.FileType.File and f"/{self.job}/" not in f.path}
+        if not self.overwrite and there & names:
+            raise ValueError(f"{len(there & names)} files are there already")
+        for folder in sorted({n.rpartition("/")[0] for n in names} - {""}):
+            system.create_dir(f"{path}/{folder}", recursive=True)
         for m in messages:
             for name in m.names if m else ():
                 system.move(f"{m.folder}/{name}", f"{path}/{name}")
         if self.overwrite:
-            for name in sorted(there - set(names)):
-                if name.endswith(".tif"):
+            for name in sorted(there - names):
+                if name.endswith(ENDINGS[self.kind_of_file]):
                     system.delete_file(f"{path}/{name}")
         system.delete_dir(f"{path}/{self.job}")
 
@@ -346,10 +372,11 @@ def read_rasters(spark: SparkSession, path: str) -> DataFrame:
 def write_rasters(rasters: DataFrame, path: str, mode: str = "append", **options: str) -> None:
     """A file for each row: name, width, height, data (row by row, samples side by side), and if there transform and epsg.
 
-    kind: the samples' type (uint8 and so on; else that of data's elements);
-    strip: rows of a strip. mode "append" adds files and fails if one is there;
-    "overwrite" leaves these files only. All files appear at once at the end,
-    or none if a task fails for good.
+    file: tiff or png. kind: the samples' type (uint8 and so on; else that of
+    data's elements); strip: rows of a strip; palette: JSON of the colours of a
+    PNG file's indices. A name may have folders in it. mode "append" adds files
+    and fails if one is there; "overwrite" leaves these files only. All files
+    appear at once at the end, or none if a task fails for good.
     """
     register(rasters.sparkSession)
     rasters.write.format(FORMAT).mode(mode).options(**options).save(path)
