@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 #: Index of each outcome; callers may renumber.
 OUTCOMES = {"tp": 1, "fp": 2, "fn": 3, "tn": 4}
+MOST_CLASSES = 256
 
 
 def confusion_map(px: DataFrame, categories: DataFrame, label: str, mask: str, outcomes: Mapping[str, int] = OUTCOMES) -> DataFrame:
     """px without label and mask, for each active category that is not ignored: name and outcome.
 
     categories (name, palette_index, is_active, is_ignore) is a short list: its
-    rows are the classes of one segmentation, at most 256 as palette indices
-    are bytes, which bounds the array that stands beside each pixel.
+    rows are the classes of one segmentation, at most MOST_CLASSES as palette
+    indices are bytes. They stand in the plan as constants, so nothing is joined
+    or moved.
     """
     if set(outcomes) != set(OUTCOMES):
         raise ValueError(f"outcomes must name {sorted(OUTCOMES)}")
@@ -24,8 +26,11 @@ def confusion_map(px: DataFrame, categories: DataFrame, label: str, mask: str, o
     is_label, is_mask = F.col(label) == F.col("palette_index"), F.col(mask) == F.col("palette_index")
     outcome = F.when(is_label & is_mask, outcomes["tp"]).when(~is_label & is_mask, outcomes["fp"]).when(is_label & ~is_mask, outcomes["fn"]).otherwise(outcomes["tn"])
     kept = [c for c in px.columns if c not in (label, mask)]
-    classes = active.groupBy().agg(F.collect_list(F.struct("name", "palette_index")).alias("_classes"))  # one row
-    each = px.crossJoin(F.broadcast(classes)).select(*kept, label, mask, F.explode("_classes").alias("_class"))
+    classes = active.limit(MOST_CLASSES + 1).collect()
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"a segmentation has at most {MOST_CLASSES} classes")
+    listed = F.array(*[F.struct(F.lit(c["name"]).alias("name"), F.lit(c["palette_index"]).alias("palette_index")) for c in classes]) if classes else F.array().cast("array<struct<name:string,palette_index:int>>")
+    each = px.select(*kept, label, mask, F.explode(listed).alias("_class"))
     return each.select(*kept, label, mask, "_class.name", "_class.palette_index").select(*kept, "name", outcome.alias("outcome"))
 
 

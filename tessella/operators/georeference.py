@@ -68,6 +68,30 @@ def tile_size_in_pixels(transform, x, y, zoom) -> tuple[Column, Column]:
     return (side(0, 1) + side(3, 2)) / 2, (side(0, 3) + side(1, 2)) / 2
 
 
+def tile_pixel_corners(transform, x, y, zoom, crs: int | Projection = 4326) -> list[Column]:
+    """struct(row, col) of a mercator tile's corners in a raster's whole pixels: left top, right top, right bottom, left bottom. crs is the raster's."""
+    inv, move = X.inverse(transform), point_transformer(4326, crs)
+    out = []
+    for i, j in ((0, 0), (1, 0), (1, 1), (0, 1)):
+        px, py = move(X.tile_west(X.col(x) + i, zoom), X.tile_north(X.col(y) + j, zoom))
+        out.append(F.struct(F.floor(X.apply_y(inv, px, py)).cast("int").alias("row"), F.floor(X.apply_x(inv, px, py)).cast("int").alias("col")))
+    return out
+
+
+def local_pixel_corners(x_off="x_off", y_off="y_off", src_w="src_w", src_h="src_h") -> list[Column]:
+    """struct(row, col) of a pixel tile's corners, in the order of tile_pixel_corners."""
+    left, top = X.col(x_off), X.col(y_off)
+    right, bottom = left + X.col(src_w), top + X.col(src_h)
+    return [F.struct(r.alias("row"), c.alias("col")) for r, c in ((top, left), (top, right), (bottom, right), (bottom, left))]
+
+
+def tile_extent(corners: list[Column], pixel_x=1.0, pixel_y=1.0) -> tuple[Column, Column]:
+    """Width and height of a tile by its corners, means of opposite sides: in pixels, or in the units of the pixels' size (pixel_x along a row)."""
+    size = lambda v: v if isinstance(v, Column) else F.lit(v)
+    side = lambda a, b: F.hypot((corners[a]["row"] - corners[b]["row"]) * size(pixel_y), (corners[a]["col"] - corners[b]["col"]) * size(pixel_x))
+    return (side(0, 1) + side(3, 2)) / 2, (side(0, 3) + side(1, 2)) / 2
+
+
 def default_grid(rasters: DataFrame, source: int, target: int) -> DataFrame:
     """raster_name, grid, width, height: the grid in another CRS on which a raster keeps its resolution along the diagonal.
 

@@ -151,7 +151,21 @@ def project_mercator(spark: SparkSession, d: str) -> DataFrame:
     return compose.project_mercator(readers.warped_read(rasters, px, tiles, 16), rasters, 16)
 
 
-QUERIES = {f.__name__: f for f in (label_files, converted_files, category_features, project_mercator, tiff_windows, tiff_georeferences, lazy_tiles, sidecar_georeferences, checked_tiles, projected_points, projected_bounds, warp_lambert)}
+def tile_extents(spark: SparkSession, d: str) -> DataFrame:
+    """Mercator tiles on rasters in Lambert's projection: corners in pixels, size in pixels and metres."""
+    k = F.col("s_suppkey")
+    gsd = F.lit(0.05) * (1 + k % 4)
+    r = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("raster_"), k).alias("raster_name"), gsd.alias("gsd"), X.affine(gsd, 0, F.lit(700000.0) + k * 10, 0, -gsd, F.lit(6600000.0) - k * 5).alias("transform"), F.lit(17).alias("z"), (66628 + k % 5).cast("int").alias("x"), (46628 + k % 7).cast("int").alias("y"))
+    corners = georeference.tile_pixel_corners("transform", "x", "y", "z", 2154)
+    named = r.withColumns({f"c{i}": c for i, c in enumerate(corners)})
+    held = [F.col(f"c{i}") for i in range(4)]
+    width, height = georeference.tile_extent(held)
+    metres_x, metres_y = georeference.tile_extent(held, F.col("gsd"), F.col("gsd"))
+    numbers = {"width": width, "height": height, "metres_x": metres_x, "metres_y": metres_y}
+    return named.select("raster_name", *[F.col(f"c{i}.{n}").alias(f"{n}_{i}") for i in range(4) for n in ("row", "col")], *[F.round(v, 4).alias(n) for n, v in numbers.items()])
+
+
+QUERIES = {f.__name__: f for f in (tile_extents, label_files, converted_files, category_features, project_mercator, tiff_windows, tiff_georeferences, lazy_tiles, sidecar_georeferences, checked_tiles, projected_points, projected_bounds, warp_lambert)}
 
 #: The projections of KNOWN by their parameters: kind, then degrees and metres; e is the ellipsoid's eccentricity.
 _PARAMETERS = """pr as (select *, sqrt(1 / f * (2 - 1 / f)) e, radians(lat_0) p0, radians(lat_1) p1, radians(lat_2) p2 from (values
@@ -215,6 +229,14 @@ ORACLE_SQL = {
 }
 
 
+_SIDE = "sqrt(((r{0} - r{1}) * {2}) ** 2 + ((c{0} - c{1}) * {2}) ** 2)"
+_EXTENT = ", ".join(f"round(({_SIDE.format(a, b, u)} + {_SIDE.format(c, d, u)}) / 2, 4) {n}" for n, (a, b), (c, d), u in (("width", (0, 1), (3, 2), "1"), ("height", (0, 3), (1, 2), "1"), ("metres_x", (0, 1), (3, 2), "gsd"), ("metres_y", (0, 3), (1, 2), "gsd")))
+ORACLE_SQL["tile_extents"] = f"""with {_PARAMETERS}, {_CONES}, r as (select s_suppkey s, 0.05::double * (1 + s_suppkey % 4) gsd, 700000.0::double + s_suppkey * 10 ox, 6600000.0::double - s_suppkey * 5 oy from supplier),
+    spot as (select r.*, corner, 2154 epsg, (66628 + s % 5 + (corner in (1, 2))::int) / 131072.0::double * 360 - 180 lon, degrees(atan(sinh(pi() * (1 - 2 * (46628 + s % 7 + (corner in (2, 3))::int) / 131072.0::double)))) lat from r, (values (0), (1), (2), (3)) v(corner)), {_FORWARD},
+    p as (select s, gsd, {', '.join(f"max(floor((oy - y) / gsd)::int) filter (where corner = {i}) r{i}, max(floor((x - ox) / gsd)::int) filter (where corner = {i}) c{i}" for i in range(4))} from moved group by 1, 2)
+    select 'raster_' || s raster_name, {', '.join(f"r{i} row_{i}, c{i} col_{i}" for i in range(4))}, {_EXTENT} from p"""
+
+
 def _warped_lambert() -> str:
     from tessella.plans.warps import _sampled_sql
 
