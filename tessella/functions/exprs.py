@@ -275,3 +275,10 @@ def natural_key(path) -> Column:
 def ratio_comment(value) -> Column:
     v = col(value)
     return F.when(v < 0.5, "ratio below 0.5: most source pixels are lost").when(v > 1, "ratio above 1: tiles are blurred").otherwise("")
+
+
+def is_valid_box(west, south, east, north) -> Column:
+    """A box in degrees with west < east and south < north, within the world; false if a side is null or not a number."""
+    w, s, e, n = map(col, (west, south, east, north))
+    known = [c.isNotNull() & ~F.isnan(c) for c in (w, s, e, n)]
+    return F.coalesce(known[0] & known[1] & known[2] & known[3] & (w < e) & (s < n) & w.between(-180, 180) & e.between(-180, 180) & s.between(-90, 90) & n.between(-90, 90), F.lit(False))

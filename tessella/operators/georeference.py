@@ -92,6 +92,12 @@ def tile_extent(corners: list[Column], pixel_x=1.0, pixel_y=1.0) -> tuple[Column
     return (side(0, 1) + side(3, 2)) / 2, (side(0, 3) + side(1, 2)) / 2
 
 
+def tile_to_raster_matrix(transform, x, y, zoom, disk: int) -> Column:
+    """The affine transform from a mercator tile's pixels (disk x disk, evenly over its bounds) to pixels of a raster in EPSG:4326."""
+    own = X.from_bounds(X.tile_west(x, zoom), X.tile_north(X.col(y) + 1, zoom), X.tile_west(X.col(x) + 1, zoom), X.tile_north(y, zoom), F.lit(disk), F.lit(disk))
+    return X.compose(X.inverse(transform), own)
+
+
 def default_grid(rasters: DataFrame, source: int, target: int) -> DataFrame:
     """raster_name, grid, width, height: the grid in another CRS on which a raster keeps its resolution along the diagonal.
 

@@ -165,7 +165,39 @@ def tile_extents(spark: SparkSession, d: str) -> DataFrame:
     return named.select("raster_name", *[F.col(f"c{i}.{n}").alias(f"{n}_{i}") for i in range(4) for n in ("row", "col")], *[F.round(v, 4).alias(n) for n, v in numbers.items()])
 
 
-QUERIES = {f.__name__: f for f in (tile_extents, label_files, converted_files, category_features, project_mercator, tiff_windows, tiff_georeferences, lazy_tiles, sidecar_georeferences, checked_tiles, projected_points, projected_bounds, warp_lambert)}
+def stored_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles stored by raster; of two rasters alone the folders are read."""
+    path = stages.shared_folder(spark)
+    sinks.write_tiles(A.tile_pixels(spark, d).select(*R.TILE, "y", "x", F.col("val").alias("value")), path)
+    return readers.read_blocks(spark, path, ["r0", "r3"]).select(*R.TILE, "y", "x", "value")
+
+
+def box_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes around points, every seventh turned about and every fifth one beyond the world."""
+    k, p = F.col("point_id"), A.points(spark, d)
+    wide = F.when(k % 7 == 0, -1.0).otherwise(1.0)
+    boxes = p.select("point_id", (F.col("lon") - wide).alias("w"), (F.col("lat") - 1).alias("s"), (F.col("lon") + wide).alias("e"), F.when(k % 5 == 0, 91.0).otherwise(F.col("lat") + 1).alias("n"))
+    return boxes.select("point_id", X.is_valid_box("w", "s", "e", "n").alias("valid"))
+
+
+def tile_to_raster_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """From pixels of a cover's tiles (256 x 256) to pixels of a raster of the world."""
+    m = A.cover(spark, d).distinct().select("z", "x", "y", georeference.tile_to_raster_matrix(X.affine(0.001, 0, -180.0, 0, -0.0005, 90.0), "x", "y", "z", 256).alias("m"))
+    return m.select("z", "x", "y", *[F.round(f"m.{c}", 6).alias(f"m_{c}") for c in "abcdef"])
+
+
+def fetched_files(spark: SparkSession, d: str) -> DataFrame:
+    """Image files of tiles, asked for by their URLs: what comes is what is stored."""
+    path = stages.shared_folder(spark)
+    px = A.tile_pixels(spark, d).select(*R.TILE, "y", "x", F.col("val").alias("value"))
+    sinks.write_tile_files(px, path, (8, 8), F.format_string("%s_%d_%d", *R.TILE), R.TILE, K.to_df(spark, K.LAND_COVER))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select("path", F.sha2("content", 256).alias("own"))
+    urls = files.select(F.col("path").alias("url"), "own").unionByName(files.agg(F.min("path").alias("path")).select(F.concat("path", F.lit(".none")).alias("url"), F.lit("none").alias("own")))
+    found = images.fetch_images(urls.select("url", "own"))
+    return found.select(F.regexp_extract("url", r"([^/]*)\.png", 1).alias("tile"), F.sha2("content", 256).eqNullSafe(F.col("own")).alias("same"), "error")
+
+
+QUERIES = {f.__name__: f for f in (stored_tiles, box_validity, tile_to_raster_matrix, fetched_files, tile_extents, label_files, converted_files, category_features, project_mercator, tiff_windows, tiff_georeferences, lazy_tiles, sidecar_georeferences, checked_tiles, projected_points, projected_bounds, warp_lambert)}
 
 #: The projections of KNOWN by their parameters: kind, then degrees and metres; e is the ellipsoid's eccentricity.
 _PARAMETERS = """pr as (select *, sqrt(1 / f * (2 - 1 / f)) e, radians(lat_0) p0, radians(lat_1) p1, radians(lat_2) p2 from (values
@@ -206,6 +238,12 @@ _LATITUDES = ", ".join(f"l{i} as (select *, pi() / 2 - 2 * atan(t * pow((1 - e *
 _WEST, _NORTH = "(({x}) / 512.0::double * 360 - 180)", "degrees(atan(sinh(pi() * (1 - 2 * ({y}) / 512.0::double))))"
 
 ORACLE_SQL = {
+    "stored_tiles": f"with {B.PIXELS} select raster_name, x_off, y_off, y, x, val as value from px where raster_name in ('r0', 'r3')",
+    "box_validity": f"""with {B.POINTS}, b as (select point_id, lon - w w, lat - 1 s, lon + w e, case when point_id % 5 = 0 then 91 else lat + 1 end n from (select *, case when point_id % 7 = 0 then -1 else 1 end w from points))
+        select point_id, w < e and s < n and w >= -180 and e <= 180 and s >= -90 and n <= 90 and w <= 180 and e >= -180 as valid from b""",
+    "tile_to_raster_matrix": f"""with {B.COVER}, t as (select *, {P._WEST} w, {P._NORTH.format(y='(y + 1)')} s, (x + 1) / 1024.0::double * 360 - 180 e, {P._NORTH.format(y='y')} n from cov)
+        select z, x, y, round((e - w) / 256 / 0.001::double, 6) m_a, 0.0::double m_b, round((w + 180) / 0.001::double, 6) m_c, 0.0::double m_d, round((s - n) / 256 / -0.0005::double, 6) m_e, round((n - 90) / -0.0005::double, 6) m_f from t""",
+    "fetched_files": f"""with {B.PIXELS}, t as (select distinct concat(raster_name, '_', x_off, '_', y_off) tile from px) select tile, true as same, null::varchar error from t union all select min(tile), false, 'URLError' from t""",
     "label_files": f"with {B.PIXELS} select raster_name, x_off, y_off, y, x, val as value from px",
     "converted_files": f"with {R._FULL} select raster_name, y, x, 0 band, val as value from ras",
     "category_features": f"""with recursive {R._CANVAS}, {B.CATEGORIES}, cell as (select raster_name k, y, x, value v from cv where value <> 0), {FL._REACH}, {SH._RINGS}

@@ -11,7 +11,7 @@ from tests.oracle import rows, run_sql
 #: Queries that trace regions or apply kernels by array operations, and those that read files by their own source.
 TRACED = {
     "vectorize_stats", "vectorize_regions", "vectorize_rings", "dissolve_polygons", "mask_footprint", "project_polygons", "whole_cover", "whole_footprints", "whole_segments",
-    "warp_bilinear", "warp_cubic", "warp_lanczos", "warp_lambert", "tiles_by_class", "tiff_windows", "tiff_georeferences", "label_files", "converted_files", "category_features",
+    "warp_bilinear", "warp_cubic", "warp_lanczos", "warp_lambert", "tiles_by_class", "tiff_windows", "tiff_georeferences", "label_files", "fetched_files", "converted_files", "category_features",
 }
 
 
