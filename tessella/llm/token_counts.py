@@ -32,25 +32,27 @@ from tessella.llm.byte_bpe import ship
 from tessella.llm.common import small_batches, text_or_empty
 
 SPACE = "▁"
-#: Words kept with their counts in a Python worker; longer ones than LONG are not kept.
-KEPT, LONG = 800_000, 64
-#: Pairs of pieces whose fit is kept.
-PAIRS = 400_000
+#: Bytes of words kept with their counts in a Python worker, about; longer words than LONG are not kept.
+KEPT_BYTES, LONG = 160 << 20, 64
+#: Bytes of pairs of pieces whose fit is kept, about; bytes that an entry has besides its characters.
+PAIR_BYTES, ENTRY_BYTES = 80 << 20, 200
 NORMAL, BYTE = 1, 6
 
 
 class _Known(dict):
-    """Words and their differences; finds what is missing, keeps short words and starts anew at KEPT."""
+    """Words and their differences; finds what is missing, keeps short words and starts anew at KEPT_BYTES."""
 
     def __init__(self, find):
         super().__init__()
-        self.find = find
+        self.find, self.held = find, 0
 
     def __missing__(self, word: str) -> bytes:
         found = self.find(word)
         if len(word) <= LONG:
-            if len(self) > KEPT:
+            if self.held > KEPT_BYTES:
                 self.clear()
+                self.held = 0
+            self.held += ENTRY_BYTES + 4 * len(word) + len(found)
             self[word] = found
         return found
 
@@ -70,9 +72,13 @@ class PrefixCounts:
         if any(p.type not in (1, 2, 3, BYTE) for p in proto.pieces) or any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in pieces):
             raise ValueError("pieces must neither be user-defined nor span words")
         self.score = {p.piece: p.score for p in pieces}
+        # A prefix has at most 4 tokens a character of its last piece fewer than the one before it.
+        if 4 * max(map(len, self.score), default=1) > 128:
+            raise ValueError("pieces of over 32 characters do not fit the store's signed bytes")
         self.fallback = train.byte_fallback
         self.dummy = norm.add_dummy_prefix
         self.fits: dict[tuple[str, str], bool] = {}
+        self.fits_held = 0
         #: All pairs of characters within pieces: nothing merges across another pair.
         self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         # Letters, without the few number signs that would spoil the split of letters and signs.
@@ -100,8 +106,10 @@ class PrefixCounts:
 
     def pair_fits(self, left: str, right: str) -> bool:
         """The two are encoded as these two; with an empty left, right as itself."""
-        if len(self.fits) > PAIRS:
+        if self.fits_held > PAIR_BYTES:
             self.fits.clear()
+            self.fits_held = 0
+        self.fits_held += ENTRY_BYTES + 4 * len(left + right)
         known = self.fits[left, right] = self.encode(left + right) == [p for p in (left, right) if p]
         return known
 

@@ -46,7 +46,8 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", uri:
 
     Of records with equal payloads of at least least_bytes, the one with the
     smallest id is the response and the others revisit it; smaller ones are all
-    responses. Null payloads are empty, null URIs have no header line, null ids
+    responses. A URI stands in its own column as it came; in the header line
+    its line ends are escapes. Null payloads are empty, null URIs have no header line, null ids
     write no id and are never chosen before another. Rows that repeat id and
     payload are written each; each is a response if its id is the chosen one.
     """
@@ -62,7 +63,7 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", uri:
     head = _http_head(F.col("length"))
     block_length = F.octet_length(head) + F.when(F.col("revisit"), 0).otherwise(F.col("length"))
     header = _header_block(kind, F.col("id"), F.col("uri"), F.col("digest"), block_length, refers)
-    typed.select("id", F.col("revisit").alias("is_revisit"), "digest", header.alias("header"), head.alias("http")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    typed.select("id", "uri", F.col("revisit").alias("is_revisit"), "digest", header.alias("header"), head.alias("http")).write.option("compression", "zstd").parquet(f"{path}/headers")
     # One row a digest: the chosen record's, found by (digest, id), which is even however many records share a digest.
     chosen = rows.select("digest", F.col("id").alias("first_id"), "payload").withColumn("key", F.coalesce(F.col("first_id").cast("string"), F.lit("")))
     wanted = first.select("digest", F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("key"))
@@ -70,7 +71,7 @@ def write_archive(pages: DataFrame, path: str, record_id: str = "page_id", uri:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """id, is_revisit, header, http, digest, payload, payload_bytes, payload_digest of every record: of the full payload, also of a revisit.
+    """id, uri, is_revisit, header, http, digest, payload, payload_bytes, payload_digest of every record: of the full payload, also of a revisit.
 
     Each stored payload is hashed and measured once, where it is read, and not
     again for every record that shares it. The payload itself is joined to
