@@ -238,3 +238,13 @@ def test_unknown_tile_classes_are_an_error(spark):
     assert {r["value"] for r in readers.read_tiles(rasters, px, good, 2).collect()} == {1}
     with pytest.raises(Exception, match="no such tile class: Other"):
         readers.read_tiles(rasters, px, good.withColumn("tile_class", F.lit("Other")), 2).collect()
+
+
+def test_extents_of_tiles(spark):
+    tile = spark.createDataFrame([(3, 5, 40, 30)], "x_off int, y_off int, src_w int, src_h int")
+    corners = georeference.local_pixel_corners()
+    width, height = georeference.tile_extent(corners)
+    metres = georeference.tile_extent(corners, 0.5, 0.25)
+    found = tile.select(*[c.alias(f"c{i}") for i, c in enumerate(corners)], width.alias("w"), height.alias("h"), metres[0].alias("mw"), metres[1].alias("mh")).first()
+    assert [tuple(found[f"c{i}"]) for i in range(4)] == [(5, 3), (5, 43), (35, 43), (35, 3)]
+    assert (found["w"], found["h"], found["mw"], found["mh"]) == (40.0, 30.0, 20.0, 7.5)

@@ -163,6 +163,8 @@ def test_sidecars_go_out_and_come_back(spark, tmp_path):
     (tmp_path / "r.tif.aux.xml").write_text("<PAMDataset>\n  <SRS>EPSG:3857</SRS>\n  <GeoTransform> 1.0, 2, 3, 4, 5, 6e0</GeoTransform>\n</PAMDataset>\n")
     (tmp_path / "r.tif").write_text("no raster")
     one = sidecars.read_sidecars(spark, str(tmp_path)).collect()
+    sidecars.write_sidecars(df, f"{tmp_path}/out")
+    assert {r["path"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"x/1.png.aux.xml", "x/2.png.aux.xml", "x/4.png.aux.xml"}
     assert [(r["path"].rsplit("/", 1)[1], tuple(r["transform"]), r["crs"]) for r in one] == [("r.tif", (2.0, 3.0, 1.0, 5.0, 6.0, 4.0), "EPSG:3857")]
 
 
