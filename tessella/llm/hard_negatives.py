@@ -34,8 +34,8 @@ from tessella.llm.common import persist
 
 #: Codes of a row, bit planes of an anchor, and rows of a block that are scored before others are passed over.
 LEVELS, PLANES, FIRST = 4, 6, 32
-#: Rows of a block at most.
-BLOCK = 65_536
+#: Rows of a block at most, and bytes of its vectors once unpacked.
+BLOCK, BLOCK_BYTES = 65_536, 64 << 20
 SEED = 20_013
 
 
@@ -212,8 +212,9 @@ def coded(vectors: DataFrame, scale: float = 256, vec_id: str = "vec_id", vector
 def _cells(anchors: DataFrame, rows: DataFrame, size: int, k: int, share: int, n_anchors: int, n_rows: int) -> DataFrame:
     """The k best of each anchor and slot over all cells."""
     cores = anchors.sparkSession.sparkContext.defaultParallelism
+    block_rows = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, size))))
     # Blocks of rows are smaller where there would be fewer than cores.
-    n_a, n_r = max(1, -(-n_anchors // BLOCK)), max(1, -(-n_rows // min(BLOCK, max(1024, n_rows // (4 * cores)))))
+    n_a, n_r = max(1, -(-n_anchors // block_rows)), max(1, -(-n_rows // min(block_rows, max(1024, n_rows // (4 * cores)))))
     block = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
     left = anchors.withColumn("a", block(n_a)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
     right = rows.withColumn("r", block(n_r)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))))
