@@ -151,11 +151,13 @@ KERNELS = {"cubic": (_cubic, 2), "lanczos": (_lanczos, 4)}
 def resize_by_kernel(px: DataFrame, tile: Sequence[str], src: tuple[int, int], disk: tuple[int, int], kernel: str = "cubic", value: str = "value") -> DataFrame:
     """tile, y, x, value (double) at disk size: pixel centres, edges clamped, weights of a target made to add up to 1.
 
-    As in resize_bilinear each source pixel adds its parts to its targets.
+    As in resize_bilinear each source pixel adds its parts to its targets. The
+    parts of each source row and column are computed once: two tables of at
+    most a few entries for each pixel along a tile's sides, which are broadcast.
     """
     weight, reach = KERNELS[kernel]
 
-    def parts(at: str, n: int, m: int) -> Column:
+    def parts(at: str, n: int, m: int) -> DataFrame:
         spread = F.sequence(F.greatest(F.lit(0), F.floor((F.col(at) - reach) * m / n).cast("int") - 1), F.least(F.lit(m - 1), F.ceil((F.col(at) + reach + 1) * m / n).cast("int")))
 
         def of(d: Column) -> Column:
@@ -164,10 +166,10 @@ def resize_by_kernel(px: DataFrame, tile: Sequence[str], src: tuple[int, int], d
             total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, t: s + t["w"])
             return F.struct(d.alias("d"), (total(F.filter(taps, lambda t: t["s"] == F.col(at))) / total(taps)).alias("w"))
 
-        return F.filter(F.transform(spread, of), lambda p: p["w"] != 0)
+        places = px.sparkSession.range(n).select(F.col("id").cast("int").alias(at))
+        return F.broadcast(places.select(at, F.explode(F.filter(F.transform(spread, of), lambda p: p["w"] != 0)).alias(f"p{at}")))
 
-    rows = px.select(*tile, "y", value, F.explode(parts("x", src[0], disk[0])).alias("px"))
-    rows = rows.select(*tile, value, "px", F.explode(parts("y", src[1], disk[1])).alias("py"))
+    rows = px.join(parts("x", src[0], disk[0]), "x").join(parts("y", src[1], disk[1]), "y")
     return rows.groupBy(*tile, F.col("py.d").alias("y"), F.col("px.d").alias("x")).agg(F.sum(F.col(value) * F.col("px.w") * F.col("py.w")).alias(value))
 
 
