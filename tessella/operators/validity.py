@@ -1,7 +1,7 @@
 """Whether polygons are valid: simple closed rings, holes within their shell, one connected inside.
 
 Points are put on a grid of 1 / scale and all tests on it are exact (whole
-decimal numbers). Sides meet other sides of their polygon by the cells of grids
+numbers, decimal ones where they are large). Sides meet other sides of their polygon by the cells of grids
 that fit their length, so a long ring costs in proportion to its sides and to
 the pairs whose boxes meet.
 """
@@ -19,13 +19,20 @@ from tessella.operators.spatial import sized_overlap_join
 
 #: What can be wrong, as `polygon_validity` names it.
 PROBLEMS = ("empty", "open_ring", "few_points", "self_contact", "spike", "rings_cross", "hole_outside", "nested_holes", "inside_apart")
-#: Whole coordinates have 17 digits at most, so that products of differences fit 38.
-_WHOLE = "decimal(17,0)"
+#: Whole coordinates have 17 digits at most, so that products of differences fit a decimal number of 38.
+_WHOLE, _SHORT = "bigint", 1 << 30
+
+
+def _turn(ax, ay, bx, by) -> Column:
+    """1, 0 or -1: to which side the direction b lies of a, in long integers where products fit them, else in decimal numbers."""
+    fits = F.greatest(*[F.abs(v) for v in (ax, ay, bx, by)]) < _SHORT
+    wide = [v.cast("decimal(18,0)") for v in (ax, ay, bx, by)]
+    return F.when(fits, F.signum(ax * by - ay * bx)).otherwise(F.signum(wide[0] * wide[3] - wide[1] * wide[2])).cast("int")
 
 
 def _orientation(ax, ay, bx, by, cx, cy) -> Column:
     """1, 0 or -1: on which side of the line from a to b the point c lies."""
-    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)).cast("int")
+    return _turn(bx - ax, by - ay, cx - ax, cy - ay)
 
 
 def _on_grid(rings: str, scale: float) -> Column:
@@ -90,13 +97,13 @@ def _crossing_rings(touches: DataFrame, sides: DataFrame, keys: Sequence[str]) -
     both = named("p").join(named("q"), at).where("p_ring < q_ring")
 
     def cross(a: Column, b: Column) -> Column:
-        return F.signum(a["dx"] * b["dy"] - a["dy"] * b["dx"])
+        return _turn(a["dx"], a["dy"], b["dx"], b["dy"])
 
     def between(d: Column, a: Column, b: Column) -> Column:
         """d lies on the way from a to b, turning left."""
         convex = (cross(a, d) > 0) & (cross(d, b) > 0)
         reflex = (cross(a, d) > 0) | (cross(d, b) > 0)
-        straight = (cross(a, b) > 0) | ((cross(a, b) == 0) & (a["dx"] * b["dx"] + a["dy"] * b["dy"] > 0))
+        straight = (cross(a, b) > 0) | ((cross(a, b) == 0) & (_turn(a["dx"], a["dy"], -b["dy"], b["dx"]) > 0))
         return F.when(straight, convex).otherwise(reflex)
 
     a, b = F.get("p_d", F.lit(0)), F.get("p_d", F.lit(1))
@@ -122,7 +129,7 @@ def _inside(sides: DataFrame, touches: DataFrame, keys: Sequence[str]) -> DataFr
 
 def _apart(touches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys of polygons whose rings touch in a cycle of rings and points, so that the inside falls apart."""
-    ring = lambda r: F.struct(*keys, F.col(r).cast("decimal(17,0)").alias("x"), F.lit(None).cast(_WHOLE).alias("y"))
+    ring = lambda r: F.struct(*keys, F.col(r).cast(_WHOLE).alias("x"), F.lit(None).cast(_WHOLE).alias("y"))
     spot = F.struct(*keys, "x", "y")
     ends = touches.select(*keys, F.explode(F.array(ring("p_ring"), ring("q_ring"))).alias("u"), spot.alias("v")).distinct()
     ends = staged(ends, narrow=True)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.spatial import overlap_join
+from tessella.operators.spatial import sized_overlap_join
 
 
 def polygon_bounds(rings="rings") -> Column:
@@ -45,10 +45,10 @@ def polygon_edges(features: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def tile_candidates(tiles: DataFrame, features: DataFrame, on: Sequence[str], cell: tuple[float, float]) -> DataFrame:
-    """Pairs of tiles (x0, y0, x1, y1) and features whose bounds meet; feature columns follow."""
+    """Pairs of tiles (x0, y0, x1, y1) and features whose bounds meet; feature columns follow. Features may be far larger than tiles; cell is a tile's size."""
     b = polygon_bounds()
     boxed = features.withColumns({"_b": b}).withColumns({"x0": F.col("_b.left"), "y0": F.col("_b.bottom"), "x1": F.col("_b.right"), "y1": F.col("_b.top")}).drop("_b")
-    return overlap_join(tiles, boxed, on, cell)
+    return sized_overlap_join(tiles, boxed, on, float(max(cell)))
 
 
 def burnt_pixels(features: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:
