@@ -50,7 +50,7 @@ def by_id(df):
 def test_query_equals_its_sql(spark, sf, name):
     found = queries.QUERIES[name](spark, sf).toPandas()
     with duckdb.connect() as db:
-        for t in ("documents", "pages", "labels"):
+        for t in ("documents", "pages", "labels", "embeddings"):
             db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         wanted = db.execute(queries.ORACLE_SQL[name]).df()
     assert sorted(found.columns) == sorted(wanted.columns)
