@@ -73,4 +73,4 @@ def aggregate_polygons(px: DataFrame, size: tuple[int, int], value: str = "value
 
 def tiling_summary(rasters: DataFrame, scheme: LocalScheme, disk: tuple[int, int]) -> DataFrame:
     """Statistics of a tiling that is not carried out."""
-    return stats.tiling_statistics_rollup(stats.tile_metrics(tiling.local_tiles(rasters, scheme), rasters, *disk))
+    return stats.tiling_statistics_rollup(stats.tile_metrics(tiling.local_tiles(rasters, scheme, "transform"), *disk))

@@ -67,10 +67,9 @@ def project_mercator(px: DataFrame, rasters: DataFrame, disk: int, value: str =
     return spread.groupBy("raster_name", (F.col("y_off") + F.col("_ty")).alias("y"), (F.col("x_off") + F.col("_tx")).alias("x")).agg(F.max_by(value, F.struct("z", F.col("x").alias("tx"), F.col("y").alias("ty"))).alias(value))
 
 
-def tiles_within(tiles: DataFrame, rasters: DataFrame) -> DataFrame:
-    """The tiles that lie inside their raster and do not reach its last row or column."""
-    sized = tiles.join(rasters.select("raster_name", "width", "height"), "raster_name")
-    return sized.where("x_off >= 0 and y_off >= 0 and x_off + src_w < width and y_off + src_h < height").select(*tiles.columns)
+def tiles_within(tiles: DataFrame) -> DataFrame:
+    """The tiles that lie inside their raster, whose width and height they carry, and do not reach its last row or column."""
+    return tiles.where("x_off >= 0 and y_off >= 0 and x_off + src_w < width and y_off + src_h < height")
 
 
 def project_polygons(px: DataFrame, size: tuple[int, int], width: int, height: int, value: str = "value") -> DataFrame:

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 METRICS = ("real_world_extent", "source_width", "source_height", "width_ratio", "height_ratio")
 
 
-def tile_metrics(tiles: DataFrame, rasters: DataFrame, disk_w: int, disk_h: int) -> DataFrame:
-    """raster_name and the five metrics of each tile: extent in metres (mean of both sides), source size, disk pixels a source pixel."""
-    t = tiles.join(rasters.select("raster_name", "transform"), "raster_name")
+def tile_metrics(tiles: DataFrame, disk_w: int, disk_h: int) -> DataFrame:
+    """raster_name and the five metrics of each tile, which carries its raster's transform: extent in metres (mean of both sides), source size, disk pixels a source pixel."""
     w, h = F.col("src_w"), F.col("src_h")
     extent = (w * F.sqrt(F.col("transform.a") ** 2 + F.col("transform.d") ** 2) + h * F.sqrt(F.col("transform.b") ** 2 + F.col("transform.e") ** 2)) / 2
-    return t.select("raster_name", extent.alias("real_world_extent"), w.cast("double").alias("source_width"), h.cast("double").alias("source_height"), (disk_w / w).alias("width_ratio"), (disk_h / h).alias("height_ratio"))
+    return tiles.select("raster_name", extent.alias("real_world_extent"), w.cast("double").alias("source_width"), h.cast("double").alias("source_height"), (disk_w / w).alias("width_ratio"), (disk_h / h).alias("height_ratio"))
 
 
 def _summaries() -> list:

@@ -56,12 +56,26 @@ def raster_tilings(rasters: DataFrame, scheme: LocalScheme) -> DataFrame:
     )
 
 
-def local_tiles(rasters: DataFrame, scheme: LocalScheme) -> DataFrame:
-    """raster_name, tile_ord, x_off, y_off, src_w, src_h: x goes outermost. No shuffle."""
-    t = raster_tilings(rasters, scheme)
-    x = t.select("raster_name", "src_w", "src_h", "layout_y", F.posexplode("layout_x.offsets").alias("ix", "x_off"))
-    y = x.select("raster_name", "src_w", "src_h", "ix", "x_off", F.size("layout_y.offsets").alias("ny"), F.posexplode("layout_y.offsets").alias("iy", "y_off"))
-    return y.select("raster_name", (F.col("ix") * F.col("ny") + F.col("iy")).alias("tile_ord"), "x_off", "y_off", "src_w", "src_h")
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over as many tasks as a shuffle has (and at least one a core): for small files whose rows each make much work.
+
+    The number is stated, so that the planner does not merge partitions that are small before they grow.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def local_tiles(rasters: DataFrame, scheme: LocalScheme, *keep: str | Column) -> DataFrame:
+    """raster_name, tile_ord, x_off, y_off, src_w, src_h, keep: x goes outermost.
+
+    keep: columns of raster_tilings that each tile carries along. A join of tiles with their rasters
+    would do the same, but the planner takes tiles for as small as the catalog and may broadcast them.
+    Rasters alone are shuffled, tiles are not.
+    """
+    t = raster_tilings(dealt(rasters, "raster_name"), scheme)
+    x = t.select("raster_name", "src_w", "src_h", "layout_y", F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"), F.posexplode("layout_x.offsets").alias("ix", "x_off"))
+    y = x.select("raster_name", "src_w", "src_h", "_keep", "ix", "x_off", F.size("layout_y.offsets").alias("ny"), F.posexplode("layout_y.offsets").alias("iy", "y_off"))
+    return y.select("raster_name", (F.col("ix") * F.col("ny") + F.col("iy")).alias("tile_ord"), "x_off", "y_off", "src_w", "src_h", *(["_keep.*"] if keep else []))
 
 
 def first_tiles(tiles: DataFrame, k: int) -> DataFrame:
@@ -70,12 +84,11 @@ def first_tiles(tiles: DataFrame, k: int) -> DataFrame:
     return tiles.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
-def with_georeference(tiles: DataFrame, rasters: DataFrame, disk_w: int, disk_h: int) -> DataFrame:
-    """tiles with their own transform and bounds (left, bottom, right, top) in the raster's CRS."""
-    joined = tiles.join(rasters.select("raster_name", F.col("transform").alias("_t"), "crs"), "raster_name")
-    own = X.tile_transform("_t", "x_off", "y_off", "src_w", "src_h", F.lit(disk_w), F.lit(disk_h))
-    bounds = X.corner_bounds("_t", F.col("x_off"), F.col("y_off"), F.col("x_off") + F.col("src_w"), F.col("y_off") + F.col("src_h"))
-    return joined.select(*tiles.columns, "crs", own.alias("transform"), bounds.alias("bounds"))
+def with_georeference(tiles: DataFrame, disk_w: int, disk_h: int) -> DataFrame:
+    """tiles that carry their raster's transform with their own in its place, and bounds (left, bottom, right, top) in the raster's CRS."""
+    own = X.tile_transform("transform", "x_off", "y_off", "src_w", "src_h", F.lit(disk_w), F.lit(disk_h))
+    bounds = X.corner_bounds("transform", F.col("x_off"), F.col("y_off"), F.col("x_off") + F.col("src_w"), F.col("y_off") + F.col("src_h"))
+    return tiles.withColumns({"transform": own, "bounds": bounds})
 
 
 def neighbours(tiles: DataFrame, x: str, y: str, dx="1", dy="1") -> DataFrame:

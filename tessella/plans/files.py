@@ -30,8 +30,7 @@ def _points(json, path: str = "$.coordinates"):
 
 def tile_bounds_json(spark, d):
     """Bounds of tiles as GeoJSON, read again."""
-    r = A.rasters(spark, d)
-    t = tiling.with_georeference(tiling.local_tiles(r, P.CENTERED), r, 64, 64)
+    t = tiling.with_georeference(tiling.local_tiles(A.rasters(spark, d), P.CENTERED, "transform"), 64, 64)
     c = t.select("raster_name", "tile_ord", _points(sinks.bounds_json("bounds")))
     return c.select("raster_name", "tile_ord", "corner", F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
 
@@ -167,8 +166,7 @@ def moved_paths(spark, d):
 
 
 def tiles_within_rasters(spark, d):
-    r = A.rasters(spark, d)
-    return compose.tiles_within(tiling.local_tiles(r, P.CENTERED), r).select("raster_name", "tile_ord", "x_off", "y_off")
+    return compose.tiles_within(tiling.local_tiles(A.rasters(spark, d), P.CENTERED, "width", "height")).select("raster_name", "tile_ord", "x_off", "y_off")
 
 
 def default_grids(spark, d):

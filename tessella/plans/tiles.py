@@ -57,12 +57,10 @@ def _layout(scheme: LocalScheme):
 
 def tile_count_closed_form(spark, d):
     """Tiles of each raster by the closed form, by enumeration, and of these the ones inside the raster."""
-    r = A.rasters(spark, d)
-    t = tiling.raster_tilings(r, CENTERED)
     n = (F.col("layout_x.negative") + F.col("layout_x.positive")) * (F.col("layout_y.negative") + F.col("layout_y.positive"))
     inside = F.count_if((F.col("x_off") >= 0) & (F.col("y_off") >= 0) & (F.col("x_off") + F.col("src_w") <= F.col("width")) & (F.col("y_off") + F.col("src_h") <= F.col("height")))
-    listed = tiling.local_tiles(r, CENTERED).join(r.select("raster_name", "width", "height"), "raster_name").groupBy("raster_name").agg(F.count("tile_ord").cast("int").alias("listed"), inside.cast("int").alias("inside"))
-    return t.select("raster_name", n.cast("int").alias("closed")).join(listed, "raster_name")
+    t = tiling.local_tiles(A.rasters(spark, d), CENTERED, "width", "height", n.cast("int").alias("closed"))
+    return t.groupBy("raster_name", "closed").agg(F.count("tile_ord").cast("int").alias("listed"), inside.cast("int").alias("inside"))
 
 
 def debug_first_k_tiles(spark, d):
@@ -70,14 +68,12 @@ def debug_first_k_tiles(spark, d):
 
 
 def tile_transform(spark, d):
-    r = A.rasters(spark, d)
-    t = tiling.with_georeference(tiling.local_tiles(r, CENTERED), r, 64, 64)
+    t = tiling.with_georeference(tiling.local_tiles(A.rasters(spark, d), CENTERED, "transform"), 64, 64)
     return t.select("raster_name", "tile_ord", *[F.round(f"transform.{n}", 6).alias(f"t_{n}") for n in "acef"])
 
 
 def tile_bounds(spark, d):
-    r = A.rasters(spark, d)
-    t = tiling.with_georeference(tiling.local_tiles(r, CENTERED), r, 64, 64)
+    t = tiling.with_georeference(tiling.local_tiles(A.rasters(spark, d), CENTERED, "transform"), 64, 64)
     return t.select("raster_name", "tile_ord", *[F.round(f"bounds.{n}", 6).alias(n) for n in ("left", "bottom", "right", "top")])
 
 
@@ -183,8 +179,7 @@ def tile_json_roundtrip(spark, d):
 
 def pixel_coordinates(spark, d):
     """Coordinates of the centre pixel of every tile."""
-    r = A.rasters(spark, d)
-    t = tiling.local_tiles(r, CENTERED).join(r.select("raster_name", "transform"), "raster_name")
+    t = tiling.local_tiles(A.rasters(spark, d), CENTERED, "transform")
     x, y = X.pixel_coord("transform", F.col("x_off") + F.floor(F.col("src_w") / 2), F.col("y_off") + F.floor(F.col("src_h") / 2))
     return t.select("raster_name", "tile_ord", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
@@ -209,20 +204,17 @@ def border_pixels(spark, d):
 
 
 def tiling_statistics(spark, d):
-    r = A.rasters(spark, d)
-    out = stats.tiling_statistics(stats.tile_metrics(tiling.local_tiles(r, METERS), r, 64, 64))
+    out = stats.tiling_statistics(stats.tile_metrics(tiling.local_tiles(A.rasters(spark, d), METERS, "transform"), 64, 64))
     return out.select("raster_name", "n_tiles", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
 def tiling_statistics_rollup(spark, d):
-    r = A.rasters(spark, d)
-    out = stats.tiling_statistics_rollup(stats.tile_metrics(tiling.local_tiles(r, METERS), r, 64, 64))
+    out = stats.tiling_statistics_rollup(stats.tile_metrics(tiling.local_tiles(A.rasters(spark, d), METERS, "transform"), 64, 64))
     return out.select("raster_name", "n_tiles", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
 def ratio_comment(spark, d):
-    r = A.rasters(spark, d)
-    s = stats.tiling_statistics(stats.tile_metrics(tiling.local_tiles(r, METERS), r, 64, 64))
+    s = stats.tiling_statistics(stats.tile_metrics(tiling.local_tiles(A.rasters(spark, d), METERS, "transform"), 64, 64))
     return s.select("raster_name", X.ratio_comment("width_ratio_avg").alias("comment"))
 
 
