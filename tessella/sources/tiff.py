@@ -223,7 +223,7 @@ class Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([names, pa.array(y), pa.array(x), pa.array(band), pa.array(cut.astype(np.float64).ravel())], names=["path", "y", "x", "band", "value"])
 
 
-def file_bytes(image: np.ndarray, transform: Sequence[float] | None = None, epsg: int | None = None, strip: int = 64, packed: bool = True) -> bytes:
+def file_bytes(image: np.ndarray, transform: Sequence[float] | None = None, epsg: int | None = None, strip: int = 64, packed: bool = True, nodata: float | None = None) -> bytes:
     """A TIFF file of (height, width, samples), in strips of so many rows, its samples side by side."""
     height, width, samples = image.shape
     image = image.astype(image.dtype.newbyteorder("<"))
@@ -240,15 +240,17 @@ def file_bytes(image: np.ndarray, transform: Sequence[float] | None = None, epsg
     if epsg is not None:
         geographic = 4000 <= epsg < 5000
         tags[GEO_KEYS] = ("H", [1, 1, 0, 2, 1024, 0, 1, 2 if geographic else 1, GEOGRAPHIC if geographic else PROJECTED, 0, 1, epsg])
+    if nodata is not None:
+        tags[NODATA] = ("s", f"{nodata:.17g}\0".encode())
     starts = np.cumsum([8, *map(len, strips)])
     tags[STRIPS] = ("I", starts[:-1].tolist())
-    numbers = {v: k for k, v in TYPES.items() if k in (3, 4, 12)}
+    numbers = {v: k for k, v in TYPES.items() if k in (2, 3, 4, 12)}
     directory, beyond = [], b""
     at = int(starts[-1])
     after = at + 2 + 12 * len(tags) + 4
     for tag in sorted(tags):
         letter, values = tags[tag]
-        data = struct.pack(f"<{len(values)}{letter}", *values)
+        data = values if letter == "s" else struct.pack(f"<{len(values)}{letter}", *values)
         spot = data.ljust(4, b"\0") if len(data) <= 4 else struct.pack("<I", after + len(beyond))
         beyond += data if len(data) > 4 else b""
         directory.append(struct.pack("<HHI", tag, numbers[letter], len(values)) + spot)
@@ -282,7 +284,7 @@ class Writer(DataSourceArrowWriter):
                 raise ValueError("samples of PNG files are whole numbers from 0 to 255")
             return images.encode(image, self.palette)
         t = given.get("transform")
-        return file_bytes(image, [t[k] for k in "abcdef"] if t else None, given.get("epsg"), int(self.options.get("strip", 64)))
+        return file_bytes(image, [t[k] for k in "abcdef"] if t else None, given.get("epsg"), int(self.options.get("strip", 64)), nodata=given.get("nodata"))
 
     def _place(self) -> tuple[fs.FileSystem, str]:
         system, path = opened(self.options["path"])
@@ -298,6 +300,8 @@ class Writer(DataSourceArrowWriter):
                 given = {k: row.column(k)[0].as_py() for k in row.schema.names if k != "data"}
                 data = row.column("data").flatten().to_numpy(zero_copy_only=False)
                 if kind := self.options.get("kind"):
+                    if np.dtype(kind).kind in "iu" and data.size and not (data.min() >= np.iinfo(kind).min and data.max() <= np.iinfo(kind).max):
+                        raise ValueError(f"samples from {data.min()} to {data.max()} do not fit {kind}")
                     data = data.astype(kind)
                 image = data.reshape(given["height"], given["width"], -1)
                 parts = given["name"].split("/")
@@ -370,7 +374,7 @@ def read_rasters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_rasters(rasters: DataFrame, path: str, mode: str = "append", **options: str) -> None:
-    """A file for each row: name, width, height, data (row by row, samples side by side), and if there transform and epsg.
+    """A file for each row: name, width, height, data (row by row, samples side by side), and if there transform, epsg and nodata.
 
     file: tiff or png. kind: the samples' type (uint8 and so on; else that of
     data's elements); strip: rows of a strip; palette: JSON of the colours of a
