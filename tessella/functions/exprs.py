@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,6 +116,11 @@ def utm_inverse(easting, northing, zone: int, north: bool = True) -> tuple[Colum
 # affine transforms: a struct (a, b, c, d, e, f) with x = a col + b row + c, y = d col + e row + f
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), value being computed once a row however often it is used there."""
+    return F.transform(F.array(value), of)[0]
+
+
 def affine(a, b, c, d, e, f) -> Column:
     return F.struct(*[(x if isinstance(x, Column) else F.lit(float(x))).cast("double").alias(n) for n, x in zip("abcdef", (a, b, c, d, e, f), strict=True)])
 

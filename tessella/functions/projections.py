@@ -237,8 +237,8 @@ def densified_bounds(bounds, source: int | Projection, target: int | Projection,
     part = lambda low, high, i: b[low] + (b[high] - b[low]) * i / (steps - 1)
     sides = [lambda i: (part("left", "right", i), b["bottom"]), lambda i: (part("left", "right", i), b["top"]), lambda i: (b["left"], part("bottom", "top", i)), lambda i: (b["right"], part("bottom", "top", i))]
     every = F.sequence(F.lit(0), F.lit(steps - 1))
-    point = lambda at: F.struct(*[c.alias(n) for c, n in zip(move(*at), "xy", strict=True)])
+    point = lambda at: X.let(F.struct(at[0].alias("lon"), at[1].alias("lat")), lambda q: F.struct(*[c.alias(n) for c, n in zip(move(q["lon"], q["lat"]), "xy", strict=True)]))
     along = lambda side: F.transform(every, lambda i: point(side(i)))
     moved = F.flatten(F.array(*map(along, sides)))
-    of = lambda k: F.transform(moved, lambda p: p[k])
-    return F.struct(F.array_min(of("x")).alias("left"), F.array_min(of("y")).alias("bottom"), F.array_max(of("x")).alias("right"), F.array_max(of("y")).alias("top"))
+    of = lambda m, k: F.transform(m, lambda p: p[k])
+    return X.let(moved, lambda m: F.struct(F.array_min(of(m, "x")).alias("left"), F.array_min(of(m, "y")).alias("bottom"), F.array_max(of(m, "x")).alias("right"), F.array_max(of(m, "y")).alias("top")))
