@@ -38,20 +38,28 @@ def reprojected_bounds(bounds, source: int, target: int) -> Column:
 
 def fitted_transform(points) -> Column:
     """The affine transform of control points (row, col, x, y) by least squares; null for fewer than three or if they lie in a line."""
-    p = X.col(points)
-    total = lambda f: F.aggregate(p, F.lit(0.0), lambda s, q: s + f(q))
-    n = F.size(p).cast("double")
+
+    def total(p: Column, f) -> Column:
+        return F.aggregate(p, F.lit(0.0), lambda s, q: s + f(q))
+
+    def means(p: Column) -> Column:
+        return F.struct(*[(total(p, lambda q, k=k: q[k].cast("double")) / F.size(p).cast("double")).alias(k) for k in ("col", "row", "x", "y")])
+
     # Centred on the means, so that large coordinates lose no digits.
-    mc, mr, mx, my = (total(lambda q, k=k: q[k].cast("double")) / n for k in ("col", "row", "x", "y"))
-    cc, rr, cr = total(lambda q: (q["col"] - mc) ** 2), total(lambda q: (q["row"] - mr) ** 2), total(lambda q: (q["col"] - mc) * (q["row"] - mr))
-    det = cc * rr - cr * cr
+    def products(p: Column, m: Column) -> Column:
+        pairs = {"cc": ("col", "col"), "rr": ("row", "row"), "cr": ("col", "row"), "cx": ("col", "x"), "rx": ("row", "x"), "cy": ("col", "y"), "ry": ("row", "y")}
+        return F.struct(*[total(p, lambda q, i=i, j=j: (q[i] - m[i]) * (q[j] - m[j])).alias(n) for n, (i, j) in pairs.items()])
+
+    def fit(m: Column, s: Column) -> Column:
+        det = s["cc"] * s["rr"] - s["cr"] * s["cr"]
+
+        def one(k: str) -> tuple[Column, Column, Column]:
+            a, b = (s[f"c{k}"] * s["rr"] - s[f"r{k}"] * s["cr"]) / det, (s[f"r{k}"] * s["cc"] - s[f"c{k}"] * s["cr"]) / det
+            return a, b, m[k] - a * m["col"] - b * m["row"]
 
-    def fit(k: str, mean: Column) -> tuple[Column, Column, Column]:
-        cv, rv = total(lambda q: (q["col"] - mc) * (q[k] - mean)), total(lambda q: (q["row"] - mr) * (q[k] - mean))
-        a, b = (cv * rr - rv * cr) / det, (rv * cc - cv * cr) / det
-        return a, b, mean - a * mc - b * mr
+        return F.when(F.abs(det) > 1e-9, X.affine(*one("x"), *one("y")))
 
-    return F.when((F.size(p) >= 3) & (F.abs(det) > 1e-9), X.affine(*fit("x", mx), *fit("y", my)))
+    return X.let(X.col(points), lambda p: F.when(F.size(p) >= 3, X.let(means(p), lambda m: X.let(products(p, m), lambda s: fit(m, s)))))
 
 
 def resolved_transform(transform, points) -> Column:
