@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import exprs as X
@@ -78,10 +78,9 @@ def local_tiles(rasters: DataFrame, scheme: LocalScheme, *keep: str | Column) ->
     return y.select("raster_name", (F.col("ix") * F.col("ny") + F.col("iy")).alias("tile_ord"), "x_off", "y_off", "src_w", "src_h", *(["_keep.*"] if keep else []))
 
 
-def first_tiles(tiles: DataFrame, k: int) -> DataFrame:
-    """The first k tiles of each raster."""
-    w = Window.partitionBy("raster_name").orderBy("tile_ord")
-    return tiles.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+def first_local_tiles(rasters: DataFrame, scheme: LocalScheme, k: int) -> DataFrame:
+    """The first k of local_tiles of each raster: they are numbered from 0 on, so nothing is sorted."""
+    return local_tiles(rasters, scheme).where(F.col("tile_ord") < k)
 
 
 def with_georeference(tiles: DataFrame, disk_w: int, disk_h: int) -> DataFrame:

@@ -64,7 +64,7 @@ def tile_count_closed_form(spark, d):
 
 
 def debug_first_k_tiles(spark, d):
-    return tiling.first_tiles(tiling.local_tiles(A.rasters(spark, d), CENTERED), 5)
+    return tiling.first_local_tiles(A.rasters(spark, d), CENTERED, 5)
 
 
 def tile_transform(spark, d):
@@ -231,7 +231,7 @@ def reprojected_bounds(spark, d):
 
 def gcp_transform(spark, d):
     """Transforms fitted to the corners and centre of each raster."""
-    r = A.rasters(spark, d)
+    r = tiling.dealt(A.rasters(spark, d), "raster_name")
     at = lambda c, w: F.struct(w.alias("row"), c.alias("col"), X.apply_x("transform", c, w).alias("x"), X.apply_y("transform", c, w).alias("y"))
     zero, w, h = F.lit(0), F.col("width"), F.col("height")
     fitted = r.select("raster_name", G.resolved_transform(X.affine(1, 0, 0, 0, 1, 0), F.array(at(zero, zero), at(w, zero), at(w, h), at(zero, h), at(F.floor(w / 2), F.floor(h / 2)))).alias("t"))
