@@ -109,12 +109,17 @@ def surrounded(tiles: DataFrame, group: list[str], x: str, y: str, dx="1", dy="1
 def border_pixels(tiles: DataFrame, src_w: str = "src_w", src_h: str = "src_h", thickness: int = 1, keys: list[str] | None = None) -> DataFrame:
     """keys, x, y of the lines along a tile's sides, thickness - 1 pixels to either side (also outside the tile)."""
     keys = keys or ["raster_name", "x_off", "y_off"]
-    off = F.explode(F.sequence(F.lit(1 - thickness), F.lit(thickness - 1))) if thickness > 1 else F.lit(0)
-    rows = tiles.select(*keys, F.col(src_w).alias("_w"), F.col(src_h).alias("_h"), off.alias("_o"))
-    along = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    sizes = tiles.groupBy(*keys).agg(F.collect_set(F.struct(F.col(src_w).alias("w"), F.col(src_h).alias("h"))).alias("_sizes"))
+    along = lambda n: F.sequence(F.lit(0), n - 1)
     point = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
-    o, w, h = F.col("_o"), F.col("_w"), F.col("_h")
-    sides = F.concat(
-        F.transform(along("_w"), lambda i: point(i, o)), F.transform(along("_w"), lambda i: point(i, h - 1 + o)), F.transform(along("_h"), lambda i: point(o, i)), F.transform(along("_h"), lambda i: point(w - 1 + o, i))
-    )
-    return rows.select(*keys, F.explode(F.array_distinct(sides)).alias("_p")).select(*keys, "_p.x", "_p.y").distinct()
+
+    def sides(s: Column, o: Column) -> Column:
+        w, h = s["w"], s["h"]
+        return F.concat(
+            F.transform(along(w), lambda i: point(i, o)), F.transform(along(w), lambda i: point(i, h - 1 + o)), F.transform(along(h), lambda i: point(o, i)), F.transform(along(h), lambda i: point(w - 1 + o, i))
+        )
+
+    off = F.sequence(F.lit(1 - thickness), F.lit(thickness - 1))
+    lines = F.flatten(F.transform("_sizes", lambda s: F.flatten(F.transform(off, lambda o: sides(s, o)))))
+    # Doubles can only be of one tile, so they go before rows are made of them.
+    return sizes.select(*keys, F.explode(F.array_distinct(lines)).alias("_p")).select(*keys, "_p.x", "_p.y")
