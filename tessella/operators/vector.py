@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.spatial import sized_overlap_join
+from tessella.operators.tiling import dealt
 
 
 def polygon_bounds(rings="rings") -> Column:
@@ -101,13 +102,29 @@ def pixels_near_edges(features: DataFrame, keys: Sequence[str], distance: float,
     return near.select(*keys, "y", "x", d.alias("distance")).where(F.col("distance") <= distance)
 
 
+def pixels_about(features: DataFrame, keys: Sequence[str], distance: float, width: int, height: int) -> DataFrame:
+    """keys, y, x, inside, distance: the pixels inside polygons or at most a distance from their sides; distance: to the nearest side, null beyond.
+
+    Both kinds meet in one aggregation: a join of them would be sized by the
+    polygons' file, which says nothing about the number of pixels. Polygons are
+    dealt out by keys, so that their pixels need no shuffle of their own.
+    """
+    f = dealt(features, *keys)
+    inside = burnt_pixels(f, keys, width, height).select(*keys, "y", "x", F.lit(True).alias("inside"), F.lit(None).cast("double").alias("distance"))
+    near = pixels_near_edges(f, keys, distance, width, height).select(*keys, "y", "x", F.lit(False).alias("inside"), "distance")
+    return inside.unionByName(near).groupBy(*keys, "y", "x").agg(F.max("inside").alias("inside"), F.min("distance").alias("distance"))
+
+
+def stays_in(distance: float) -> Column:
+    """Over pixels_about: the pixel is of the polygon grown (distance > 0) or shrunk (< 0) by at most the distance asked for there."""
+    if distance < 0:
+        return F.col("inside") & (F.col("distance").isNull() | (F.col("distance") >= -distance))
+    return F.col("inside") | (F.col("distance") <= distance)
+
+
 def buffered_pixels(features: DataFrame, keys: Sequence[str], distance: float, width: int, height: int) -> DataFrame:
     """keys, y, x: the pixels of the polygons grown (distance > 0) or shrunk (< 0) by a distance in pixels."""
-    inside = burnt_pixels(features, keys, width, height)
-    near = pixels_near_edges(features, keys, abs(distance), width, height)
-    if distance < 0:
-        return inside.join(near.where(F.col("distance") < -distance), [*keys, "y", "x"], "left_anti")
-    return inside.unionByName(near.select(*keys, "y", "x")).distinct()
+    return pixels_about(features, keys, abs(distance), width, height).where(stays_in(distance)).select(*keys, "y", "x")
 
 
 #: Steps (y, x) to the cell ahead on the right and ahead on the left of a side walked with its own cell on the right: top east, right south, bottom west, left north.

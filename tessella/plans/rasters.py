@@ -304,9 +304,8 @@ def rasterize_tiles(spark, d):
 def buffer_polygons(spark, d):
     """Pixels of each polygon grown by a pixel and shrunk by a half, counted."""
     f = A.triangles(spark, d)
-    grown = vector.buffered_pixels(f, ["feature_id"], 1.0, 60, 60).groupBy("feature_id").agg(F.count("x").alias("grown"))
-    shrunk = vector.buffered_pixels(f, ["feature_id"], -0.5, 60, 60).groupBy("feature_id").agg(F.count("x").alias("shrunk"))
-    return grown.join(shrunk, "feature_id", "left").select("feature_id", "grown", F.coalesce("shrunk", F.lit(0)).alias("shrunk"))
+    about = vector.pixels_about(f, ["feature_id"], 1.0, 60, 60)
+    return about.groupBy("feature_id").agg(F.count_if(vector.stays_in(1.0)).alias("grown"), F.count_if(vector.stays_in(-0.5)).alias("shrunk"))
 
 
 def vectorize_stats(spark, d):
