@@ -200,8 +200,8 @@ def traced(grids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return own[order][first], area, offsets, xs, ys
 
 
-#: Cells of tiles that are traced together.
-CELLS_AT_ONCE = 1 << 20
+#: Cells of tiles that are traced together: some hundred bytes each, in every Python worker of an executor.
+CELLS_AT_ONCE = 1 << 16
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
 

@@ -96,3 +96,7 @@ def test_border_pixels_are_made_once(spark):
     spots = {(x, y) for o in (-1, 0, 1) for x, y in [(i, e + o) for i in range(4) for e in (0, 2)] + [(e + o, i) for i in range(3) for e in (0, 3)]}
     assert len(held) == len(set(held)) and set(held) == {(k, *s) for k in (0, 8) for s in spots}
     assert _plan(found.select("x", "y")).split("Generate explode(array_distinct")[0].count("Aggregate") == 0
+
+
+def test_tracing_holds_few_cells_at_once():
+    assert vector.CELLS_AT_ONCE * 400 < 100e6
