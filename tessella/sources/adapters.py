@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +73,10 @@ ODD_SHAPES = (
 
 def odd_polygons(spark: SparkSession, d: str) -> DataFrame:
     """Polygons of ODD_SHAPES from orders, moved about: feature_id, shape, rings."""
-    listed = json.dumps([[[{"x": x, "y": y} for x, y in ring] for ring in shape] for shape in ODD_SHAPES])
-    shape = F.element_at(F.from_json(F.lit(listed), "array<array<array<struct<x:double,y:double>>>>"), (F.col("o_orderkey") % len(ODD_SHAPES) + 1).cast("int"))
+    # A constant, where text would be parsed anew for every row.
+    point = lambda p: F.struct(F.lit(float(p[0])).alias("x"), F.lit(float(p[1])).alias("y"))
+    listed = F.array(*[F.array(*[F.array(*map(point, ring)) for ring in shape]) for shape in ODD_SHAPES])
+    shape = F.element_at(listed, (F.col("o_orderkey") % len(ODD_SHAPES) + 1).cast("int"))
     dx, dy = (F.col("o_custkey") % 500) * 1000, F.col("o_custkey") % 7 - 3
     rings = F.transform(shape, lambda r: F.transform(r, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))))
     return _read(spark, d, "orders").select(F.col("o_orderkey").alias("feature_id"), (F.col("o_orderkey") % len(ODD_SHAPES)).cast("int").alias("shape"), rings.alias("rings"))

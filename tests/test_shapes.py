@@ -154,6 +154,25 @@ def test_problems_of_polygons(spark):
     assert found[7] == (True, []) and "rings_cross" in found[8][1]
 
 
+def test_few_and_many_sides_are_judged_alike(spark, sf, monkeypatch):
+    """Rows of few sides are judged in their row, without a join of sides; by grids the same comes out."""
+    odd = A.odd_polygons(spark, sf)
+    square = closed((0, 0), (30, 0), (30, 30), (0, 30))
+    rings = [closed((10, 10), (20, 10), (15, 13)), closed((20, 10), (18, 20), (17, 15)), closed((10, 10), (12, 15), (18, 20))]
+    more = polygons(spark, [square, *rings], [square, *rings[:2]], None, [], [square, []], [square, square], [square, closed((0, 0), (9, 1), (9, 9))], [closed((1, 1), (9, 1), (9, 9)), square])
+    found = []
+    for few in (64, 0):
+        monkeypatch.setattr(validity, "FEW", few)
+        a, b = validity.polygon_validity(odd, ["feature_id"]), validity.polygon_validity(more, ["id"])
+        found.append([sorted(map(tuple, df.collect())) for df in (a, b)])
+    assert found[0] == found[1] and len({tuple(r[2]) for r in found[0][0]}) > 8
+
+
+def test_few_sides_meet_without_a_join(spark, sf, monkeypatch):
+    monkeypatch.setattr(validity, "sized_overlap_join", None)
+    assert validity.polygon_validity(A.odd_polygons(spark, sf), ["feature_id"]).where("valid").count() > 0
+
+
 def test_orientation_is_exact(spark):
     """Points that differ from a line by one part in 10**17, far beyond what doubles tell."""
     whole = lambda v: F.lit(v).cast("bigint")
