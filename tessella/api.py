@@ -39,11 +39,15 @@ def cover(tiles: DataFrame, zoom: int | None = None, splits: Sequence[int] | Non
 
 def rasterize(features: DataFrame, tiles: DataFrame, size: tuple[int, int], value: str) -> DataFrame:
     """raster_name, x_off, y_off, y, x, value: label tiles of the polygons (feature_id, rings in raster pixels, value)."""
+    from tessella.functions.stages import staged
     from tessella.operators.spatial import tile_boxes
+    from tessella.operators.tiling import dealt
 
     w, h = size
-    boxes = tile_boxes(tiles.select("raster_name", "x_off", "y_off", "src_w", "src_h")).select("raster_name", "x_off", "y_off", "x0", "y0", "x1", "y1")
-    met = vector.tile_candidates(boxes, features, ["raster_name"], (float(w), float(h)))
+    # The planner sizes tiles by what they were made of; written first they have their own size, and polygons are not sent out in their stead.
+    boxes = staged(tile_boxes(tiles.select("raster_name", "x_off", "y_off", "src_w", "src_h")).select("raster_name", "x_off", "y_off", "x0", "y0", "x1", "y1"), narrow=True)
+    # Each polygon makes many pixels; dealt out by it, its rows need not be shuffled to be paired.
+    met = vector.tile_candidates(boxes, dealt(features, "feature_id"), ["raster_name"], (float(w), float(h)), stage_left=True)
     local = met.withColumn("_ox", F.col("x_off")).withColumn("_oy", F.col("y_off"))
     moved = local.withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] - F.col("_ox")).alias("x"), (p["y"] - F.col("_oy")).alias("y")))))
     return vector.rasterize(moved.select("raster_name", "x_off", "y_off", "feature_id", "rings", value), w, h, value, ["raster_name", "x_off", "y_off"])

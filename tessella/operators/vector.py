@@ -45,11 +45,11 @@ def polygon_edges(features: DataFrame, keys: Sequence[str]) -> DataFrame:
     return s.select(*keys, F.col("_s.p.x").alias("ex0"), F.col("_s.p.y").alias("ey0"), F.col("_s.q.x").alias("ex1"), F.col("_s.q.y").alias("ey1"))
 
 
-def tile_candidates(tiles: DataFrame, features: DataFrame, on: Sequence[str], cell: tuple[float, float]) -> DataFrame:
+def tile_candidates(tiles: DataFrame, features: DataFrame, on: Sequence[str], cell: tuple[float, float], stage_left: bool = False) -> DataFrame:
     """Pairs of tiles (x0, y0, x1, y1) and features whose bounds meet; feature columns follow. Features may be far larger than tiles; cell is a tile's size."""
     b = polygon_bounds()
     boxed = features.withColumns({"_b": b}).withColumns({"x0": F.col("_b.left"), "y0": F.col("_b.bottom"), "x1": F.col("_b.right"), "y1": F.col("_b.top")}).drop("_b")
-    return sized_overlap_join(tiles, boxed, on, float(max(cell)))
+    return sized_overlap_join(tiles, boxed, on, float(max(cell)), stage_left)
 
 
 def burnt_pixels(features: DataFrame, keys: Sequence[str], width: int, height: int) -> DataFrame:

@@ -35,6 +35,25 @@ def test_pixels_of_polygons_meet_without_a_join(spark, sf, name):
     assert "Join" not in _plan(registry.QUERIES[name](spark, sf))
 
 
+def test_polygons_are_not_broadcast_to_tiles(spark, sf):
+    """What is broadcast is read from the tiles, not from the polygons' file."""
+    lines = _plan(registry.QUERIES["rasterize_tiles"](spark, sf)).splitlines()
+    assert lines
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            at = line.index("BroadcastExchange")
+            inner = []
+            for below in lines[i + 1 :]:
+                if "- " in below and below.index("- ") < at:
+                    break
+                inner.append(below)
+            assert "o_orderstatus" not in "".join(inner)
+
+
+def test_tiles_json_is_dealt_out(spark, sf):
+    assert "REPARTITION_BY_NUM" in _plan(registry.QUERIES["tile_json_roundtrip"](spark, sf))
+
+
 @pytest.fixture(scope="module")
 def uneven(spark, sf, tmp_path_factory):
     """Tables whose last raster has 15 of its 25 tiles, and a value below the usual ones."""
