@@ -9,6 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What opening a file counts as in bytes where many small files are read.
+OPEN_BYTES = 64 << 10
+
 #: Folders written since the outermost `scratch` began; None outside of one.
 _written: list[str] | None = None
 
@@ -51,6 +54,21 @@ def release(df: DataFrame) -> None:
     delete(df.sparkSession, df.staged_at)
 
 
+@contextmanager
+def many_small_files(spark: SparkSession) -> Iterator[None]:
+    """Reads that start within it take a few hundred small files a task; by Spark's default opening one counts as 4 MB, so tasks get a few files each.
+
+    The number of tasks is settled when a read runs, so what is read is to be staged within it.
+    """
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was staged within it: results are to be written inside."""

@@ -51,11 +51,16 @@ def image_pixels(images: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def label_pixels(images: DataFrame, keys: Sequence[str], categories: DataFrame) -> DataFrame:
     """keys, y, x, label of palette images: the index of each colour in the categories' palette, 0 for other colours."""
-    from tessella.operators.pixels import bands_wide, inverse_palette
-
-    wide = bands_wide(image_pixels(images, keys), [*keys, "y", "x"], [0, 1, 2], ["r", "g", "b"])
-    found = wide.join(inverse_palette(categories), ["r", "g", "b"], "left")
-    return found.select(*keys, "y", "x", F.coalesce("palette_index", F.lit(0)).alias("label"))
+    from tessella.operators.pixels import inverse_palette
+
+    # A pixel's bytes as one text of hexadecimal digits, so that its bands need not meet again.
+    texts = F.regexp_extract_all(F.hex("data"), F.concat(F.lit(".{"), (F.col("channels") * 2).cast("string"), F.lit("}")), F.lit(0))
+    cells = images.where("data is not null").select(*keys, "width", "channels", F.posexplode(texts).alias("_p", "_c"))
+    color = F.when(F.col("channels") > 2, F.substring("_c", 1, 6)).when(F.col("channels") == 2, F.concat(F.lit("00"), F.substring("_c", 3, 2), F.substring("_c", 1, 2))).otherwise(F.concat(F.lit("0000"), "_c"))
+    # At most 256 rows: a palette's index is one byte.
+    known = inverse_palette(categories).select(F.concat(*[F.lpad(F.hex(c), 2, "0") for c in ("b", "g", "r")]).alias("_c"), "palette_index")
+    found = cells.withColumn("_c", color).join(F.broadcast(known), "_c", "left")
+    return found.select(*keys, F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"), F.pmod("_p", F.col("width")).cast("int").alias("x"), F.coalesce("palette_index", F.lit(0)).alias("label"))
 
 
 def encoded_images(packed: DataFrame, width: int, height: int, palette: Sequence[Sequence[int]] | None = None, data: str = "data") -> DataFrame:

@@ -294,6 +294,7 @@ class Writer(DataSourceArrowWriter):
         system, path = self._place()
         folder, names = f"{path}/{self.job}/{uuid.uuid4().hex}", []
         system.create_dir(folder, recursive=True)
+        made = set()
         for batch in iterator:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
@@ -308,8 +309,9 @@ class Writer(DataSourceArrowWriter):
                 if any(p in ("", ".", "..") or p.startswith("_job-") for p in parts):
                     raise ValueError(f"no name of a file: {given['name']}")
                 name = given["name"] + ENDINGS[self.kind_of_file]
-                if len(parts) > 1:
-                    system.create_dir(f"{folder}/{'/'.join(parts[:-1])}", recursive=True)
+                if len(parts) > 1 and (inner := "/".join(parts[:-1])) not in made:
+                    system.create_dir(f"{folder}/{inner}", recursive=True)
+                    made.add(inner)
                 with system.open_output_stream(f"{folder}/{name}") as out:
                     out.write(self._bytes(image, given))
                 names.append(name)

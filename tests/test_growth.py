@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import stages
+from tessella.operators import categories as K
 from tessella.operators import georeference, tiling, vector
 from tessella.operators.scheme import LocalScheme
 from tessella.plans import registry
 from tessella.sources import adapters as A
-from tessella.sources import tiff
+from tessella.sources import images, tiff
 from tests.oracle import TABLES, rows, run_sql
 
 
@@ -72,6 +75,33 @@ def test_rasters_that_tiles_do_not_fill(spark, uneven, name):
     assert found == rows(run_sql(registry.ORACLE_SQL[name], uneven)) and len(found[1]) > 1
 
 
+@pytest.mark.parametrize("name", ["label_files", "fetched_files"])
+def test_labels_below_zero_come_back_from_files(spark, uneven, name):
+    found = rows(registry.QUERIES[name](spark, uneven).toPandas())
+    assert found == rows(run_sql(registry.ORACLE_SQL[name], uneven)) and len(found[1]) > 1
+
+
+def test_pixels_of_label_images_need_no_shuffle(spark):
+    packed = spark.createDataFrame([(i, "a", 1, c, bytearray(b)) for i, c, b in ((0, 3, [0, 0, 255, 255, 0, 0]), (1, 4, [0, 255, 0, 9]), (2, 1, [255]), (3, 3, [7, 7, 7]))], "i int, name string, width int, channels int, data binary")
+    found = images.label_pixels(packed, ["i", "name"], K.to_df(spark, K.LAND_COVER))
+    assert sorted((r["i"], r["y"], r["x"], r["label"]) for r in found.collect()) == [(0, 0, 0, 0), (0, 1, 0, 1), (1, 0, 0, 2), (2, 0, 0, 0), (3, 0, 0, 0)]
+    assert not any(x in _plan(found) for x in ("SortMergeJoin", "hashpartitioning(i", "hashpartitioning(_c"))
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"{i}.png").write_bytes(images.encode(np.zeros((1, 1), np.uint8)))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        assert images.read_images(spark, str(tmp_path)).rdd.getNumPartitions() >= 100
+        with stages.many_small_files(spark):
+            assert images.read_images(spark, str(tmp_path)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
 def test_samples_that_do_not_fit_are_an_error(spark, tmp_path):
     raster = spark.createDataFrame([("a", 2, 1, [-1, 3])], "name string, width int, height int, data array<int>")
     with pytest.raises(Exception, match="do not fit"):
