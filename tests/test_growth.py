@@ -27,6 +27,13 @@ def test_tiles_carry_what_they_need_of_their_raster(spark, sf, name):
     assert "Join" not in _plan(registry.QUERIES[name](spark, sf))
 
 
+@pytest.mark.parametrize("name", ["ratio_comment"])
+def test_no_task_holds_the_rows_of_most_rasters(spark, sf, name):
+    """Rows are counted by the partition that they come out of, after the planner has merged those that it takes for small."""
+    held = [r["count"] for r in registry.QUERIES[name](spark, sf).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) > 0 and max(held) <= sum(held) / 2
+
+
 def test_rasters_are_dealt_out_before_they_become_tiles(spark, sf):
     tiles = tiling.local_tiles(A.rasters(spark, sf), LocalScheme((90, 90), (45, 45)), "width")
     assert tiles.columns == ["raster_name", "tile_ord", "x_off", "y_off", "src_w", "src_h", "width"]
