@@ -27,7 +27,7 @@ def test_tiles_carry_what_they_need_of_their_raster(spark, sf, name):
     assert "Join" not in _plan(registry.QUERIES[name](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["ratio_comment", "tile_bounds", "tile_bounds_json", "tile_count_closed_form", "tile_transform", "tiles_within_rasters"])
+@pytest.mark.parametrize("name", ["ratio_comment", "tile_bounds", "tile_bounds_json", "tile_count_closed_form", "tile_transform", "tiles_within_rasters", "tiling_statistics"])
 def test_no_task_holds_the_rows_of_most_rasters(spark, sf, name):
     """Rows are counted by the partition that they come out of, after the planner has merged those that it takes for small."""
     held = [r["count"] for r in registry.QUERIES[name](spark, sf).groupBy(F.spark_partition_id()).count().collect()]
